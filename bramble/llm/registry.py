@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from bramble.llm.near_dup import op4_near_dup
 from bramble.llm.substring_dedup import op1_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup,)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_near_dup)}
 
 ORACLES: dict[str, str] = {}
