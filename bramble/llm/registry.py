@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from bramble.llm.chat_format import op2_chat_format
+from bramble.llm.fingerprint import op3_fingerprint
 from bramble.llm.near_dup import op4_near_dup
+from bramble.llm.sharding import op10_sharding
 from bramble.llm.substring_dedup import op1_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_near_dup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_chat_format, op3_fingerprint, op4_near_dup, op10_sharding)}
 
 ORACLES: dict[str, str] = {}
