@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 from bramble.llm.chat_format import op2_chat_format
+from bramble.llm.decontamination import op8_decontamination
 from bramble.llm.fingerprint import op3_fingerprint
+from bramble.llm.license_scan import op5_license_scan
 from bramble.llm.near_dup import op4_near_dup
+from bramble.llm.packing import op7_packing
+from bramble.llm.quality import op6_quality
 from bramble.llm.sharding import op10_sharding
 from bramble.llm.substring_dedup import op1_substring_dedup
+from bramble.llm.toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_chat_format, op3_fingerprint, op4_near_dup, op10_sharding)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_substring_dedup, op2_chat_format, op3_fingerprint, op4_near_dup, op5_license_scan, op6_quality, op7_packing, op8_decontamination, op9_toxicity, op10_sharding)
+}
 
 ORACLES: dict[str, str] = {}

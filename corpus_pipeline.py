@@ -1,13 +1,69 @@
-"""A corpus pipeline: each stage applies one operator to all that the stage before it kept."""
+"""A corpus pipeline: each stage applies one operator to all that the stage before it kept.
+
+Toxic documents go, then all but one of each group of near-duplicates, then passages that stand
+elsewhere already (and documents of which nothing is left), then documents with leaked test items;
+what remains is packed into training sequences.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from bramble.llm.common import cut_lineage, small_or_not, table
+from bramble.llm.decontamination import leaks
+from bramble.llm.near_dup import near_duplicates
+from bramble.llm.packing import pack_documents
+from bramble.llm.substring_dedup import dedup_substrings
+from bramble.llm.toxicity import fit, score_toxicity
+
+#: Score from which a document is toxic; ids that may be broadcast to drop documents (some 30 MB).
+TOXIC, FEW_IDS = 0.7, 1_000_000
+
+
+def _drop(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.join(small_or_not(cut_lineage(ids.distinct()), FEW_IDS), "doc_id", "left_anti").select(docs.columns)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return score_toxicity(docs, fit(docs, table(spark, sf_dir, "labels"))).where(F.col("score") < TOXIC).select(docs.columns)
+
+
+def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _drop(docs, near_duplicates(docs, k=5, percent=80).where("not kept").select("doc_id"))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = dedup_substrings(docs).where("n_removed = 0 or n_removed < n_words")
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    return out.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _drop(docs, leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [("toxicity", toxicity), ("near_dup", near_dup), ("substring_dedup", substring_dedup), ("decontamination", decontamination), ("packing", packing)]
+
+#: SQL can't express a recurrent network or a tokenizer; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each stage's rows are written to the shared folder and read again."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    docs, own = table(spark, sf_dir, "documents"), uuid.uuid4().hex
+    for name, stage in STAGES[:-1]:
+        path = f"{folder}/pipeline-{own}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
