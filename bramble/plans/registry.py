@@ -1,6 +1,431 @@
-"""Registered queries over the driver's tables and their DuckDB SQL."""
+"""Registered queries over the driver's tables; each takes (spark, sf_dir)."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from bramble.operators import advise, assess, bundles, diff, graph as g, rbac, traverse as t
+from bramble.plans.oracles import ORACLES  # noqa: F401
+from bramble.sources import graph_json, k8s, views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(function):
+    QUERIES[function.__name__] = function
+    return function
+
+
+def _events(spark: SparkSession, sf_dir: str) -> g.Graph:
+    return g.kept(g.build(views.event_graphs(spark, sf_dir)))
+
+
+def _halves(spark: SparkSession, sf_dir: str) -> tuple[g.Graph, DataFrame]:
+    graph = g.kept(g.build(views.event_graphs(spark, sf_dir, by_half=True)))
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").cast("string").alias("u")).distinct()
+    return graph, users.select(F.concat("u", F.lit("/1")).alias("old_graph_id"), F.concat("u", F.lit("/2")).alias("new_graph_id"))
+
+
+def _supply(spark: SparkSession, sf_dir: str) -> g.Graph:
+    return g.kept(g.build(views.supply_graph(spark, sf_dir)))
+
+
+def _simple(spark: SparkSession, sf_dir: str) -> tuple[g.Graph, DataFrame]:
+    graph = _events(spark, sf_dir)
+    return graph, t.simple_paths(graph)
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> tuple[g.Graph, DataFrame]:
+    graph = _events(spark, sf_dir)
+    return graph, t.attack_paths(graph)
+
+
+def _text(column: str, by: str = ">"):
+    return F.array_join(column, by).alias(column)
+
+
+# Building
+
+
+@query
+def first_edges(spark, sf_dir):
+    raw = views.event_graphs(spark, sf_dir)
+    return g.first_of_relationship(g.attached_edges(raw.edges, raw.nodes)).select("graph_id", "edge_seq", "source", "target", "relationship", "weight")
+
+
+@query
+def collapse_edges(spark, sf_dir):
+    return g.build(views.event_graphs(spark, sf_dir)).edges.select("graph_id", "edge_seq", "source", "target", "relationship", "weight", "cve", "cvss")
+
+
+@query
+def upsert_nodes(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    seen = orders.select(F.col("o_custkey").cast("string").alias("graph_id"), F.col("o_orderkey").alias("node_seq"), F.col("o_orderpriority").alias("id"), F.col("o_totalprice").alias("risk_score"))
+    return g.upsert_nodes(seen).select("graph_id", "node_seq", "id", "risk_score")
+
+
+@query
+def dangling_edges(spark, sf_dir):
+    raw = views.event_graphs(spark, sf_dir)
+    return g.dangling_edges(raw.edges, raw.nodes.where("id != 'error'")).select("graph_id", "edge_seq", "source", "target")
+
+
+@query
+def source_nodes(spark, sf_dir):
+    return g.sources(views.event_graphs(spark, sf_dir)).select("graph_id", "id")
+
+
+@query
+def sink_nodes(spark, sf_dir):
+    return g.sinks(views.event_graphs(spark, sf_dir)).select("graph_id", "id")
+
+
+@query
+def node_names(spark, sf_dir):
+    graph = g.build(views.event_graphs(spark, sf_dir))
+    names = graph.nodes.select("graph_id", F.col("id").alias("source"), "name")
+    return graph.edges.join(names, ["graph_id", "source"], "left").select("graph_id", "source", F.coalesce("name", "source").alias("source_name"), "target")
+
+
+@query
+def resolve_nodes(spark, sf_dir):
+    nation, region = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("nation", "region"))
+    wanted = nation.select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("identifier")).union(nation.select(F.lower("n_name"))).union(region.select(F.upper("r_name")))
+    for text in ("ation:1", "GION:4", "nowhere"):
+        wanted = wanted.union(spark.range(1).select(F.lit(text)))
+    return g.resolve(wanted.withColumn("graph_id", F.lit("supply")), views.supply_graph(spark, sf_dir).nodes).select("identifier", "node")
+
+
+@query
+def graph_summary(spark, sf_dir):
+    return g.counts(g.build(views.event_graphs(spark, sf_dir)))
+
+
+@query
+def node_type_counts(spark, sf_dir):
+    return g.type_counts(g.build(views.event_graphs(spark, sf_dir)))
+
+
+@query
+def relationship_counts(spark, sf_dir):
+    return g.relationship_counts(g.build(views.event_graphs(spark, sf_dir)))
+
+
+@query
+def is_dag(spark, sf_dir):
+    return t.is_dag(_events(spark, sf_dir))
+
+
+@query
+def weak_components(spark, sf_dir):
+    return t.weak_components(_events(spark, sf_dir))
+
+
+@query
+def node_listing(spark, sf_dir):
+    place = F.row_number().over(Window.partitionBy("graph_id").orderBy("type", "node_seq"))
+    return g.build(views.event_graphs(spark, sf_dir)).nodes.select("graph_id", place.alias("place"), "id", "type", "is_source", "is_sink")
+
+
+@query
+def node_connections(spark, sf_dir):
+    return g.connections(g.build(views.event_graphs(spark, sf_dir))).select("graph_id", "node", "direction", "other", "other_name", "relationship", "weight")
+
+
+@query
+def node_degrees(spark, sf_dir):
+    return g.degrees(g.build(views.event_graphs(spark, sf_dir)))
+
+
+@query
+def edge_flags(spark, sf_dir):
+    graph, simple = _simple(spark, sf_dir)
+    return t.edge_flags(graph, t.attack_paths(graph), t.cycles(graph), t.critical_nodes(graph, simple))
+
+
+# Traversals
+
+
+@query
+def blast_radius(spark, sf_dir):
+    return t.blast_radius(_events(spark, sf_dir))
+
+
+@query
+def blast_radius_counts(spark, sf_dir):
+    return t.blast_counts(t.blast_radius(_events(spark, sf_dir)))
+
+
+@query
+def blast_radius_supply(spark, sf_dir):
+    return t.blast_counts(t.blast_radius(_supply(spark, sf_dir))).select("source", "hop", "nodes")
+
+
+@query
+def reachable(spark, sf_dir):
+    graph = _events(spark, sf_dir)
+    return t.reach(graph.edges, g.sources(graph).select("graph_id", F.col("id").alias("start")))
+
+
+@query
+def shortest_path(spark, sf_dir):
+    graph = _events(spark, sf_dir)
+    ends = g.sinks(graph).select("graph_id", F.col("id").alias("target"))
+    found = t.shortest_path(graph, g.sources(graph).select("graph_id", F.col("id").alias("source")).join(ends, "graph_id"))
+    return found.select("graph_id", "source", "target", _text("path_nodes"), "hop_count", "total_risk", "severity")
+
+
+@query
+def attack_paths(spark, sf_dir):
+    return _paths(spark, sf_dir)[1].select("graph_id", "source", "sink", _text("path_nodes"), _text("relationships"), "hop_count", "total_risk", "severity")
+
+
+@query
+def attack_paths_supply(spark, sf_dir):
+    return t.attack_paths(_supply(spark, sf_dir)).select("source", "sink", "hop_count", "total_risk", "severity")
+
+
+@query
+def ranked_paths(spark, sf_dir):
+    return t.ranked(_paths(spark, sf_dir)[1]).select("graph_id", "rank", _text("path_nodes"), "total_risk")
+
+
+@query
+def path_hops(spark, sf_dir):
+    return t.path_hops(_paths(spark, sf_dir)[1])
+
+
+@query
+def simple_paths(spark, sf_dir):
+    return _simple(spark, sf_dir)[1].select("graph_id", "source", "sink", _text("path_nodes"))
+
+
+@query
+def simple_path_counts(spark, sf_dir):
+    return t.path_counts(_simple(spark, sf_dir)[1])
+
+
+@query
+def critical_nodes(spark, sf_dir):
+    return t.critical_nodes(*_simple(spark, sf_dir)).select("graph_id", "rank", "id", "eliminated", "baseline", F.round("percent", 6).alias("percent"))
+
+
+@query
+def node_risk(spark, sf_dir):
+    return t.node_risk(*_simple(spark, sf_dir)).select("graph_id", "node_id", "base_risk", "paths_through", F.round("amplified_risk", 6).alias("amplified_risk"))
+
+
+@query
+def top_node_risk(spark, sf_dir):
+    return t.node_risk(*_simple(spark, sf_dir), top_n=2).select("graph_id", "rank", "node_id", F.round("amplified_risk", 2).alias("amplified_risk"))
+
+
+@query
+def cycles(spark, sf_dir):
+    return t.cycles(_events(spark, sf_dir)).select("graph_id", _text("cycle"), "length")
+
+
+@query
+def cycle_risk(spark, sf_dir):
+    return t.cycles(_events(spark, sf_dir)).select("graph_id", _text("cycle"), F.round("risk", 6).alias("risk"))
+
+
+@query
+def cycle_break_edge(spark, sf_dir):
+    graph = _events(spark, sf_dir)
+    return t.break_edges(graph, t.cycles(graph)).select("graph_id", _text("cycle"), "source", "target", "weight", "relationship")
+
+
+@query
+def paths_through(spark, sf_dir):
+    return t.paths_through(_paths(spark, sf_dir)[1])
+
+
+# Scores and findings
+
+
+@query
+def severity(spark, sf_dir):
+    return _paths(spark, sf_dir)[1].groupBy("graph_id", "severity").agg(F.count("*").alias("paths"))
+
+
+@query
+def classify_paths(spark, sf_dir):
+    return assess.classified(*_paths(spark, sf_dir)).select("graph_id", _text("path_nodes"), _text("categories", ", "))
+
+
+@query
+def advanced_score(spark, sf_dir):
+    return assess.classified(*_paths(spark, sf_dir)).select("graph_id", _text("path_nodes"), F.round("score", 6).alias("score"))
+
+
+@query
+def category_counts(spark, sf_dir):
+    return assess.category_counts(assess.classified(*_paths(spark, sf_dir)))
+
+
+@query
+def risk_summary(spark, sf_dir):
+    graph, simple = _simple(spark, sf_dir)
+    return assess.risk_summary(graph, t.attack_paths(graph), t.cycles(graph), t.path_counts(simple), t.critical_nodes(graph, simple))
+
+
+def _findings(found: DataFrame, main: int) -> DataFrame:
+    return found.select("severity", "category", F.array_join(F.slice("affected_nodes", 1, main), ">").alias("main"), (F.size("affected_nodes") - main).cast("long").alias("others"))
+
+
+@query
+def cluster_admin(spark, sf_dir):
+    return _findings(rbac.cluster_admin(_supply(spark, sf_dir)), 2)
+
+
+@query
+def wildcard_roles(spark, sf_dir):
+    return _findings(rbac.wildcard_roles(_supply(spark, sf_dir)), 1)
+
+
+@query
+def escalation_chains(spark, sf_dir):
+    return _findings(rbac.escalation_chains(_supply(spark, sf_dir)), 3)
+
+
+@query
+def default_sa(spark, sf_dir):
+    return _findings(rbac.default_accounts(_supply(spark, sf_dir)), 2)
+
+
+@query
+def rbac_totals(spark, sf_dir):
+    return rbac.rbac_totals(_supply(spark, sf_dir)).select("severity", "findings")
+
+
+# Snapshots
+
+
+@query
+def node_diff(spark, sf_dir):
+    return diff.node_diff(*_halves(spark, sf_dir)).drop("name")
+
+
+@query
+def edge_diff(spark, sf_dir):
+    return diff.edge_diff(*_halves(spark, sf_dir))
+
+
+@query
+def path_diff(spark, sf_dir):
+    graph, pairs = _halves(spark, sf_dir)
+    return diff.path_diff(t.attack_paths(graph), pairs).withColumn("path_nodes", _text("path_nodes")).drop("total_risk")
+
+
+@query
+def diff_counts(spark, sf_dir):
+    graph, pairs = _halves(spark, sf_dir)
+    return diff.diff_counts(diff.node_diff(graph, pairs), diff.edge_diff(graph, pairs), diff.path_diff(t.attack_paths(graph), pairs))
+
+
+# Advice; the wording is ours, so the SQL has its structure
+
+
+@query
+def path_remediation(spark, sf_dir):
+    return advise.path_remediation(*_paths(spark, sf_dir)).drop("text")
+
+
+@query
+def critical_remediation(spark, sf_dir):
+    graph, simple = _simple(spark, sf_dir)
+    return advise.critical_remediation(graph, t.critical_nodes(graph, simple)).groupBy("graph_id", "rank").agg(F.count("*").alias("lines"))
+
+
+@query
+def cycle_remediation(spark, sf_dir):
+    graph = _events(spark, sf_dir)
+    return advise.cycle_remediation(graph, t.cycles(graph)).drop("text")
+
+
+@query
+def path_explanation(spark, sf_dir):
+    graph, paths = _paths(spark, sf_dir)
+    return advise.path_explanation(graph, assess.classified(graph, paths)).drop("text")
+
+
+@query
+def critical_explanation(spark, sf_dir):
+    return advise.critical_explanation(t.critical_nodes(*_simple(spark, sf_dir)))
+
+
+@query
+def highest_risk_path(spark, sf_dir):
+    return assess.highest_risk(_paths(spark, sf_dir)[1]).select("graph_id", _text("path_nodes"), "total_risk")
+
+
+# Kubernetes dumps
+
+
+def _extracted(kind: str):
+    def run(spark, sf_dir):
+        return k8s.EXTRACT[kind](views.list_dumps(spark, sf_dir)[kind]).select("id", "name", "namespace", "risk_score", "is_source", "is_sink")
+
+    QUERIES[f"{kind[:-1]}_nodes"] = run
+
+
+for _kind in k8s.NODE_KINDS:
+    _extracted(_kind)
+
+
+@query
+def rbac_edges(spark, sf_dir):
+    dumps = views.list_dumps(spark, sf_dir)
+    return k8s.rbac_edges(dumps["rolebindings"], dumps["clusterrolebindings"]).select("source", "target", "relationship", "weight")
+
+
+@query
+def pod_sa_edges(spark, sf_dir):
+    return k8s.pod_sa_edges(views.list_dumps(spark, sf_dir)["pods"]).select("source", "target", "relationship", "weight")
+
+
+@query
+def pod_secret_edges(spark, sf_dir):
+    return k8s.pod_secret_edges(views.list_dumps(spark, sf_dir)["pods"]).select("source", "target", "relationship", "weight")
+
+
+@query
+def implicit_nodes(spark, sf_dir):
+    dumps = views.list_dumps(spark, sf_dir)
+    return k8s.implicit_nodes(dumps, k8s.extracted_nodes(dumps)).select("id", "type", "name", "risk_score", "is_sink")
+
+
+@query
+def assembled_nodes(spark, sf_dir):
+    return k8s.assemble(views.list_dumps(spark, sf_dir)).nodes.select("id", "type", "risk_score", "is_source", "is_sink")
+
+
+@query
+def assembled_edges(spark, sf_dir):
+    return k8s.assemble(views.list_dumps(spark, sf_dir)).edges.select("source", "target", "relationship")
+
+
+# Documents
+
+
+@query
+def graph_document(spark, sf_dir):
+    return graph_json.documents(views.event_graphs(spark, sf_dir))
+
+
+@query
+def report_bundle(spark, sf_dir):
+    graph, simple = _simple(spark, sf_dir)
+    simple = g.cut_lineage(simple)
+    paths, rings, critical = g.cut_lineage(t.attack_paths(graph)), g.cut_lineage(t.cycles(graph)), g.cut_lineage(t.critical_nodes(graph, simple))
+    return bundles.report_bundle(graph, paths, t.blast_radius(graph), rings, critical, advise.path_remediation(graph, paths), advise.critical_remediation(graph, critical), advise.cycle_remediation(graph, rings), "2024-01-31T00:00:00")
+
+
+@query
+def display_bundle(spark, sf_dir):
+    graph, simple = _simple(spark, sf_dir)
+    return bundles.display_bundle(graph, assess.classified(graph, t.attack_paths(graph)), t.blast_radius(graph), t.cycles(graph), t.critical_nodes(graph, simple))
