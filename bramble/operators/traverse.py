@@ -126,7 +126,7 @@ def ranked(paths: DataFrame) -> DataFrame:
 def path_hops(paths: DataFrame) -> DataFrame:
     """A row for each hop of each attack path: hop (from 1), from_node, to_node, relationship, cve, cvss."""
     each = F.posexplode(F.arrays_zip(F.slice("path_nodes", 1, F.greatest(F.size("path_nodes") - 1, F.lit(0))).alias("a"), F.slice("path_nodes", 2, F.size("path_nodes")).alias("b"), F.col("relationships").alias("r"), F.col("cves").alias("c"), F.col("cvss").alias("s")))
-    return paths.select("graph_id", "source", "sink", each.alias("hop", "h")).select("graph_id", "source", "sink", (F.col("hop") + 1).alias("hop"), F.col("h.0").alias("from_node"), F.col("h.1").alias("to_node"), F.col("h.relationships").alias("relationship"), F.col("h.cves").alias("cve"), F.col("h.cvss").alias("cvss"))
+    return paths.select("graph_id", "source", "sink", each.alias("hop", "h")).select("graph_id", "source", "sink", (F.col("hop") + 1).alias("hop"), F.col("h.a").alias("from_node"), F.col("h.b").alias("to_node"), F.col("h.r").alias("relationship"), F.col("h.c").alias("cve"), F.col("h.s").alias("cvss"))
 
 
 def simple_paths(graph: Graph, cutoff: int = 15, include_trivial: bool = True, max_paths: int | None = None) -> DataFrame:
@@ -232,7 +232,7 @@ def cycles(graph: Graph, max_len: int | None = None, max_cycles: int | None = No
 def cycle_edges(found: DataFrame) -> DataFrame:
     """(graph_id, cycle, at, source, target) for each edge round each cycle."""
     pairs = F.arrays_zip(F.col("cycle").alias("s"), F.concat(F.slice("cycle", 2, F.size("cycle")), F.slice("cycle", 1, 1)).alias("t"))
-    return found.select("graph_id", "cycle", F.posexplode(pairs).alias("at", "e")).select("graph_id", "cycle", "at", F.col("e.0").alias("source"), F.col("e.1").alias("target"))
+    return found.select("graph_id", "cycle", F.posexplode(pairs).alias("at", "e")).select("graph_id", "cycle", "at", F.col("e.s").alias("source"), F.col("e.t").alias("target"))
 
 
 def break_edges(graph: Graph, found: DataFrame) -> DataFrame:

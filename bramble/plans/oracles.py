@@ -42,12 +42,12 @@ critical AS (SELECT n.graph_id, row_number() OVER (PARTITION BY n.graph_id ORDER
 HOPS = """
 hops AS (SELECT graph_id, source, sink, hop, path[hop] AS from_node, path[hop + 1] AS to_node, rels[hop] AS relationship, cves[hop] AS cve, cvss[hop] AS cvss FROM (SELECT *, unnest(range(1, hops + 1)) AS hop FROM cheapest WHERE hops > 0))"""
 CLASSES = """
-typed AS (SELECT c.*, list_transform(c.path, p -> t.m[p]) AS kinds FROM cheapest c, (SELECT map(list(id), list(type)) AS m FROM types) t),
+typed AS (SELECT c.*, list_transform(c.path, lambda p: t.m[p]) AS kinds FROM cheapest c, (SELECT map(list(id), list(type)) AS m FROM types) t),
 classes AS (SELECT *, CASE WHEN len(found) = 0 THEN ['General Access'] ELSE found END AS categories, 0.6 * cost + 0.2 * hops + 0.2 * coalesce(list_max(cvss), 0.0) AS score FROM (SELECT *, list_filter([
   CASE WHEN list_has_any(rels, ['mounts', 'accesses', 'has_secret', 'reads']) AND list_contains(kinds, 'secret') THEN 'Credential Theft' END,
   CASE WHEN kinds[-1] IN ('database', 'secret') THEN 'Data Exfiltration' END,
-  CASE WHEN list_has_any(rels, ['connects_to', 'exposes', 'uses']) AND len(list_filter(kinds, k -> k = 'pod')) >= 2 THEN 'Lateral Movement' END,
-  CASE WHEN list_has_any(rels, ['escalates_to', 'grants', 'binds_to']) AND list_has_any(kinds, ['clusterrole', 'role', 'clusterrolebinding', 'rolebinding']) THEN 'Privilege Escalation' END], x -> x IS NOT NULL) AS found FROM typed))"""
+  CASE WHEN list_has_any(rels, ['connects_to', 'exposes', 'uses']) AND len(list_filter(kinds, lambda k: k = 'pod')) >= 2 THEN 'Lateral Movement' END,
+  CASE WHEN list_has_any(rels, ['escalates_to', 'grants', 'binds_to']) AND list_has_any(kinds, ['clusterrole', 'role', 'clusterrolebinding', 'rolebinding']) THEN 'Privilege Escalation' END], lambda x: x IS NOT NULL) AS found FROM typed))"""
 DIFFS = """
 pairs AS (SELECT DISTINCT CAST(user_id AS VARCHAR) || '/1' AS old_graph_id, CAST(user_id AS VARCHAR) || '/2' AS new_graph_id FROM events)"""
 S = """
