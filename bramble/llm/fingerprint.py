@@ -70,8 +70,10 @@ def normalized(text: Column) -> Column:
 
 
 def canonical(text: Column) -> Column:
-    """Normalised, case-folded (by way of capitals, so that final sigma and sharp s fold), white space as single spaces; null is empty."""
-    return F.trim(F.regexp_replace(F.lower(F.upper(normalized(F.coalesce(text, F.lit(""))))), _SPACE, " "))
+    """Normalised, case-folded (lower case, with sharp s as ss and final sigma as sigma), white space as single spaces; null is empty."""
+    low = F.lower(normalized(F.coalesce(text, F.lit(""))))
+    folded = F.replace(F.replace(low, F.lit("\u00df"), F.lit("ss")), F.lit("\u03c2"), F.lit("\u03c3"))
+    return F.trim(F.regexp_replace(folded, _SPACE, " "))
 
 
 def digest(canon: Column) -> Column:
