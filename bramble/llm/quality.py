@@ -17,9 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from bramble.llm import textvec as tv
-from bramble.llm.common import batch_with, cut_lineage, key, with_fields, without
+from bramble.llm.common import batch_with, cut_lineage, key, small_or_not, with_fields, without
 
 BUCKETS, GRAMS, ALPHA = 1 << 16, (1, 2), 1.0
+#: Good ids that may be broadcast, so that texts need no shuffle (some 30 MB).
+FEW_IDS = 1_000_000
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -50,7 +52,7 @@ def models(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg((F.max(label_col) == 1).alias("__good"))
     share = marks.agg(F.avg(F.col("__good").cast("int"))).first()[0]
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
-    good = marks.where("__good").select("__id", F.lit(True).alias("__good"))
+    good = small_or_not(cut_lineage(marks.where("__good").select("__id", F.lit(True).alias("__good"))), FEW_IDS)
     rows = rows.join(good, "__id", "left").select("text", F.coalesce("__good", F.lit(False)).alias("good"))
     sums = rows.mapInArrow(_count, "bucket long, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
