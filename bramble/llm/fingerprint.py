@@ -109,8 +109,8 @@ def clashes(texts: DataFrame) -> DataFrame | None:
     return None if found.isEmpty() else found
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with next_text, the text of the document with the next smaller id (after the last: the first).
+def with_next(docs: DataFrame, also: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with next_text, the text of the document with the next smaller id (after the last: the first), and next_c of each column c in `also`.
 
     Ids are cut into ranges of rows at sampled quantiles; each range gets a copy of the row that follows
     its last one, so that the order is never sorted in one task. Rows of an equal id follow by a hash of their texts.
@@ -126,15 +126,18 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     copies = rows.drop("__r").join(F.broadcast(heads), ["__doc", "__h"]).dropDuplicates(["__to"]).withColumnRenamed("__to", "__r").withColumn("__copy", F.lit(1))
     both = rows.withColumn("__copy", F.lit(0)).unionByName(copies)
     order = Window.partitionBy("__r").orderBy("__copy", F.desc("__doc"), "__h")
-    return both.withColumn("next_text", F.lead(F.coalesce(text_col, F.lit(""))).over(order)).where("__copy = 0").drop("__doc", "__h", "__r", "__copy")
+    found = {"next_text": F.lead(F.coalesce(text_col, F.lit(""))).over(order)} | {f"next_{c}": F.lead(c).over(order) for c in also}
+    return both.withColumns(found).where("__copy = 0").drop("__doc", "__h", "__r", "__copy")
 
 
 def op3_fingerprint(spark, sf_dir: str) -> DataFrame:
     docs = fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    docs = with_next(docs).withColumn("text", F.coalesce("text", F.lit("")))
+    docs = with_next(docs, also=("fingerprint",)).withColumn("text", F.coalesce("text", F.lit("")))
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     docs = docs.withColumns({"n_chars": n.cast("long"), "edited": F.concat(F.left("text", n - cut), F.left("next_text", cut))})
-    docs = docs.withColumns({"edited_canon": canonical(F.col("edited")), "canon": canonical(F.col("text"))})
-    same = lambda other: (F.col("canon") == other).cast("double")
-    return docs.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", digest(F.col("edited_canon")).alias("edited_fingerprint"), same(F.col("edited_canon")).alias("near_edited"), same(canonical(F.col("next_text"))).alias("near_next"))
+    docs = docs.withColumn("edited_fingerprint", digest(canonical(F.col("edited"))))
+    # Documents' fingerprints are equal only if their bytes are; an edited text's bytes are compared where its fingerprint is equal.
+    near_edited = F.when(F.col("fingerprint") == F.col("edited_fingerprint"), (canonical(F.col("text")) == canonical(F.col("edited"))).cast("double")).otherwise(0.0)
+    near_next = (F.col("fingerprint") == F.col("next_fingerprint")).cast("double")
+    return docs.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", near_edited.alias("near_edited"), near_next.alias("near_next"))
