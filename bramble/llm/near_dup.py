@@ -9,10 +9,11 @@ their Jaccard similarity, and the estimate concentrates as with independent coor
 
 Bands of four coordinates are the bucket keys; at a similarity of 0.8 a pair misses all 32
 bands with probability (1 - 0.8 ** 4) ** 32, under 1e-7. Equal sets are one class before any
-banding, so groups of copies never meet in a bucket. In a bucket, members are compared with a
-centre (the member that shares most buckets), not with each other; only pairs that are still
-in different components afterwards are compared one by one. Every compared pair is checked
-exactly on the full sets, so no candidate is dropped and none is trusted.
+banding, so groups of copies never meet in a bucket. In a bucket, members are first compared with
+one of them, not with each other. Buckets that still hold different components are then
+compared completely: small ones pair by pair, large ones in blocks, where one matrix product counts all intersections and only a spanning forest
+of the links comes out. Every comparison is exact on the full sets, so no candidate is dropped and
+none is trusted.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ BINS, BAND = 128, 4
 FULL = np.iinfo(np.uint64).max
 #: Ids that may be broadcast to pick the documents whose sets are needed (some 30 MB).
 FEW_IDS = 1_000_000
-#: Rounds of comparing with a centre, as long as the pairs left would exceed PAIRS_A_ROW for each bucket row.
-ROUNDS, PAIRS_A_ROW = 8, 4
+#: Members of a bucket that is compared pair by pair; members and set elements of a block of a larger one.
+FEW_MEMBERS, BLOCK_MEMBERS, BLOCK_ELEMENTS = 32, 1024, 1_000_000
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,13 +113,61 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets are similar enough."""
     one, two = (sets.select(F.col("doc").alias(c), F.col("elements").alias(s)) for c, s in (("u", "a"), ("v", "b")))
     both = F.size(F.array_intersect("a", "b"))
-    return pairs.join(one, "u").join(two, "v").where(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("u", "v").distinct()
+    return pairs.join(one, "u").join(two, "v").where(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("u", "v")
 
 
 def _sizes_fit(a: str, b: str, percent: int):
     return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
 
 
+def _forest(link: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the graph with this symmetric matrix."""
+    todo, out = np.ones(len(link), dtype=bool), []
+    for root in range(len(link)):
+        if not todo[root]:
+            continue
+        todo[root], queue = False, [root]
+        while queue:
+            at = queue.pop()
+            new = np.flatnonzero(link[at] & todo)
+            todo[new] = False
+            queue += new.tolist()
+            out += [(at, x) for x in new.tolist()]
+    return out
+
+
+def _compare_blocks(percent: int):
+    """Links between two blocks of a bucket (or within one), as a spanning forest."""
+
+    def run(keys: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
+        rep, side = (table.column(c).to_numpy() for c in ("rep", "side"))
+        lists = table.column("elements").combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy())
+        _, column, count = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(rep)), sizes)
+        shared = count[column] > 1  # others are in no intersection
+        number = np.cumsum(count > 1) - 1
+        row, column = row[shared], number[column[shared]]
+        both, width = np.zeros((len(rep), len(rep)), dtype=np.float32), 4096
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            a, b = np.searchsorted(column, [low, low + width])
+            part = np.zeros((len(rep), width), dtype=np.float32)
+            part[row[a:b], column[a:b] - low] = 1
+            both += part @ part.T
+        link = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+        if keys[1].as_py() != keys[2].as_py():
+            link &= side[:, None] != side[None, :]
+        np.fill_diagonal(link, False)
+        edges = np.array(_forest(link), dtype=np.int64).reshape(-1, 2)
+        u, v = rep[edges[:, 0]], rep[edges[:, 1]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of docs.
 
@@ -134,55 +183,39 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     texts = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id"), key(id_col).alias("doc"))
     base = cut_lineage(texts.mapInArrow(_sketch(k), "id long, doc long, n long, f1 long, f2 long, bands array<long>"))
     classes = base.where("n > 0").groupBy("f1", "f2").agg(F.min("doc").alias("rep"))
-    member = cut_lineage(base.where("n > 0").select("doc", "f1", "f2").join(classes, ["f1", "f2"]).select("doc", "rep").where("doc != rep").distinct())
-    reps = base.where("n > 0").join(classes, ["f1", "f2"]).where("doc = rep").select("rep", "n", "bands")
-    rows = reps.select("rep", "n", F.explode("bands").alias("key")).distinct()
-    crowded = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    rows = cut_lineage(rows.join(crowded, "key"))
-    weights = rows.groupBy("rep").agg(F.sum("m").alias("w"))
-    rows = cut_lineage(rows.drop("m").join(weights, "rep").withColumn("comp", F.col("rep")))
-    wanted = small_or_not(cut_lineage(weights.select(F.col("rep").alias("doc"))), FEW_IDS)
+    placed = base.where("n > 0").join(classes, ["f1", "f2"])
+    placed = cut_lineage(placed.select("doc", "rep", "n", F.when(F.col("doc") == F.col("rep"), F.col("bands")).alias("bands")))
+
+    rows = placed.where("doc = rep").select("rep", "n", F.explode("bands").alias("key"))
+    first = rows.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("e"), F.min(F.struct("rep", "n")).alias("c")).where("m > 1")
+    rows = cut_lineage(rows.join(first, "key").select("key", "rep", "n", "m", "e", F.col("c.rep").alias("r2"), F.col("c.n").alias("n2")))
+    wanted = small_or_not(cut_lineage(rows.select(F.col("rep").alias("doc")).distinct()), FEW_IDS)
     sets = cut_lineage(texts.select("text", "doc").join(wanted, "doc", "left_semi").select("text", "doc").mapInArrow(_sets(k), "doc long, elements array<long>"))
 
-    links = tested = None
-    for turn in range(ROUNDS + 1):
-        mixed = rows.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count("*").alias("comps")).where("comps > 1")
-        left = cut_lineage(mixed)
-        todo, held = left.agg(F.sum((F.col("m") * F.col("m") - F.col("same")) / 2), F.sum("m")).first()
-        if not todo:
-            break
-        rows = rows.join(left.select("key"), "key", "left_semi")
-        last = turn == ROUNDS or todo <= PAIRS_A_ROW * held
-        if last:  # what few pairs are left, each with each
-            other = rows.select("key", F.col("rep").alias("r2"), F.col("n").alias("n2"), F.col("comp").alias("c2"))
-            pairs = rows.join(other, "key").where("rep < r2 and comp != c2")
-        else:
-            centre = rows.groupBy("key").agg(F.max(F.struct("w", (-F.col("rep")).alias("r"), "n", "comp")).alias("c"))
-            centre = centre.select("key", (-F.col("c.r")).alias("r2"), F.col("c.n").alias("n2"), F.col("c.comp").alias("c2"))
-            rows = cut_lineage(rows.join(centre, "key"))
-            pairs = rows.where("comp != c2")
-        pairs = pairs.where(_sizes_fit("n", "n2", percent)).select(F.least("rep", "r2").alias("u"), F.greatest("rep", "r2").alias("v")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = cut_lineage(pairs)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        new = _linked(pairs, sets, percent)
-        links = cut_lineage(new if links is None else links.unionByName(new))
-        if last:
-            break
-        rows = rows.withColumn("w", F.when(F.col("rep") == F.col("r2"), F.lit(-1)).otherwise(F.col("w"))).drop("r2", "n2", "c2", "comp")
-        found = connected_components(links, cut_lineage)
-        rows = cut_lineage(rows.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component"))
-
-    edges = member.select(F.col("doc").alias("u"), F.col("rep").alias("v"))
-    ids = base.select("id", "doc", "n")
-    if links is None:
-        out = ids.join(edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "doc"), "doc", "left")
-    else:
-        found = connected_components(links, cut_lineage)
-        direct = member.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc", F.coalesce("component", "rep").alias("component"))
-        label = direct.unionByName(found.withColumnRenamed("node", "doc")).groupBy("doc").agg(F.min("component").alias("component"))
-        out = ids.join(label, "doc", "left")
+    def linked(pairs: DataFrame) -> DataFrame:
+        fit = pairs.where(_sizes_fit("n", "n2", percent)).select(F.least("rep", "r2").alias("u"), F.greatest("rep", "r2").alias("v"))
+        return _linked(fit.where("u != v").distinct(), sets, percent)
+
+    links = cut_lineage(linked(rows))
+    label = connected_components(links, cut_lineage).withColumnRenamed("node", "rep")
+    rows = rows.drop("r2", "n2").join(label, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    rows = cut_lineage(rows)
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    rows = cut_lineage(rows.join(mixed, "key", "left_semi"))
+
+    small = rows.where(F.col("m") <= FEW_MEMBERS)
+    other = small.select("key", F.col("rep").alias("r2"), F.col("n").alias("n2"), F.col("comp").alias("c2"))
+    blocks = F.greatest(F.ceil(F.col("e") / BLOCK_ELEMENTS), F.ceil(F.col("m") / BLOCK_MEMBERS)).cast("int")
+    large = rows.where(F.col("m") > FEW_MEMBERS).select("key", "rep", blocks.alias("blocks")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    large = large.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "rep", F.least("own", "j").alias("a"), F.greatest("own", "j").alias("b"), (F.col("own") > F.col("j")).cast("int").alias("side"))
+    large = large.join(sets.select(F.col("doc").alias("rep"), "elements"), "rep").groupBy("key", "a", "b").applyInArrow(_compare_blocks(percent), "u long, v long")
+    more = cut_lineage(linked(small.join(other, "key").where("rep < r2 and comp != c2")).unionByName(large))
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        label = connected_components(links, cut_lineage).withColumnRenamed("node", "rep")
+
+    found = placed.select("doc", "rep").join(label, "rep", "left").groupBy("doc").agg(F.min(F.coalesce("component", "rep")).alias("component"))
+    out = base.select("id", "doc", "n").join(found, "doc", "left")
     component = F.coalesce("component", "doc")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(component == LAST, None).otherwise(component).alias("component_id"), (component == F.col("doc")).alias("kept"))
 
