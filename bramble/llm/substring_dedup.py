@@ -31,7 +31,7 @@ ROWS = 2
 #: Cells in a block, the unit in which partition sketches are merged.
 BLOCK = 1 << 17
 #: Candidate windows that a task holds before it sends the first of each kind.
-COMBINE = 2_000_000
+COMBINE = 1_000_000
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -76,20 +76,22 @@ def _sketch(window: int, cells: int) -> Callable[[Batches], Batches]:
     """Counts a partition's anchors and gives its sketch in blocks: the bits of cells counted once, and twice or more."""
 
     def count(batches: Batches) -> Batches:
-        sketch, any_text = np.zeros(cells, dtype=np.uint8), False
+        once, twice = np.zeros(cells // 8, dtype=np.uint8), np.zeros(cells // 8, dtype=np.uint8)
         for batch in tv.slices(batches):
             w = _Windows(batch.column(0), window)
-            any_text |= len(w.anchors) > 0
             if not len(w.anchors):
                 continue
             values = w.anchors[np.r_[True, w.anchor_at[1:] != w.anchor_at[:-1]]]  # a place counts once: its windows are neighbours
             for at in _cells(values, cells):
                 hit, n = np.unique(at, return_counts=True)
-                sketch[hit] = np.minimum(sketch[hit] + np.minimum(n, 2), 2)
-        for b in range(-(-cells // BLOCK) if any_text else 0):
-            part = sketch[b * BLOCK : (b + 1) * BLOCK]
-            if part.any():
-                bits = zlib.compress(np.packbits(part > 0).tobytes() + np.packbits(part > 1).tobytes(), 1)
+                byte, bit = hit >> 3, np.uint8(128) >> (hit & 7).astype(np.uint8)
+                again = (n > 1) | ((once[byte] & bit) > 0)
+                np.bitwise_or.at(twice, byte[again], bit[again])
+                np.bitwise_or.at(once, byte, bit)
+        for b in range(cells // BLOCK):
+            part = slice(b * BLOCK // 8, (b + 1) * BLOCK // 8)
+            if once[part].any():
+                bits = zlib.compress(once[part].tobytes() + twice[part].tobytes(), 1)
                 yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([bits], pa.binary())], names=["block", "bits"])
 
     return count

@@ -139,7 +139,7 @@ def grams(hashes: np.ndarray, first: np.ndarray, k: int, seed: int = 2) -> tuple
     return mix(rolled[valid]), out
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of about `most` bytes of text (a longer text is a piece of its own), so memory stays bounded."""
     for batch in batches:
         _, offsets = buffers(batch.column(batch.schema.get_field_index(column)))

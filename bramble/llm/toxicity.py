@@ -8,8 +8,8 @@ the whole text.
 
 Labels are of documents, not of windows: training takes the worst window of each document, as the network
 sees it at the time, for the document's label, and looks again after each round. The vectors start from
-log-odds of words and n-grams among the training documents. Training uses at most TRAIN documents of
-either class of at most TRAIN_CHARS characters, the first by a hash of their ids.
+log-odds of words and n-grams among the training documents. Training uses at most TRAIN documents
+(clean, toxic) of at most TRAIN_CHARS characters, the first by a hash of their ids.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from bramble.llm import textvec as tv
 from bramble.llm.common import batch_with, with_fields, without
 
 WINDOW, STRIDE = 32, 16
-TRAIN, TRAIN_CHARS = 2000, 20_000
+TRAIN, TRAIN_CHARS = (4000, 2000), 20_000
 WORD_BITS, GRAM_BITS, WIDTH, HIDDEN = 15, 16, 8, 8
 GRAMS = (3, 5)
 #: Rounds, steps of each, windows of a step (a quarter of them bad).
@@ -33,6 +33,8 @@ ROUNDS, STEPS, BATCH = 6, 100, 128
 DOUBT, VECTOR_STEP, STEP = 2, 0.02, 0.01
 #: Windows that a worker scores at once.
 BLOCK = 2048
+#: Bytes of text, and distinct words, that are hashed at once.
+SLICE, WORDS = 1_000_000, 50_000
 f4 = np.float32
 
 
@@ -41,32 +43,68 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Inputs:
-    """The windows of a batch of texts over its distinct words: each word's hash bucket and n-gram buckets."""
+    """The windows of a batch of texts over its distinct words: each word's hash bucket and n-gram buckets.
+
+    Texts are read a slice at a time, and n-grams hashed some words at a time, so what is in between stays small.
+    """
 
     def __init__(self, texts: pa.Array) -> None:
-        words = tv.cut(texts, tv.ALNUM, lower=True)
-        hashes = words.hashes()
-        distinct, where, self.word = np.unique(hashes, return_index=True, return_inverse=True)
-        self.counts, self.first = words.counts, words.first
-        self.buckets = (distinct >> tv.U(64 - WORD_BITS)).astype(np.int64)
-        s, lengths = words.starts[where], (words.ends - words.starts)[where]
+        hashes, counts, new, lengths, raw, known = [], [], [], [], [], np.zeros(0, dtype=tv.U)
+        for part in tv.slices(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), most=SLICE):
+            words = tv.cut(part.column(0), tv.ALNUM, lower=True)
+            h = words.hashes()
+            hashes.append(h)
+            counts.append(words.counts)
+            own, where = np.unique(h, return_index=True)
+            where = where[~np.isin(own, known)]
+            known = np.union1d(known, own)
+            start, n = words.starts[where], (words.ends - words.starts)[where]
+            new.append(h[where])
+            lengths.append(n)
+            raw.append(words.data[np.repeat(start - np.r_[0, np.cumsum(n)][:-1], n) + np.arange(int(n.sum()))])
+        join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, dtype=kind)
+        distinct, lengths, raw = join(new, tv.U), join(lengths, np.int64), join(raw, np.uint8)
+        self.counts = join(counts, np.int64)
+        self.first = np.r_[0, np.cumsum(self.counts)]
+        order = np.argsort(distinct)
+        self.word = order[np.searchsorted(known, join(hashes, tv.U))].astype(np.int32)
+        self.buckets = (distinct >> tv.U(64 - WORD_BITS)).astype(np.int32)
+        at, grams, sizes = np.r_[0, np.cumsum(lengths)], [], []
+        for low in range(0, len(lengths), WORDS):
+            some = slice(low, low + WORDS)
+            g, n = self._grams(raw[at[low] : at[min(low + WORDS, len(lengths))]], lengths[some])
+            grams.append(g)
+            sizes.append(n)
+        self.grams, self.sizes = join(grams, np.int32), join(sizes, np.int64)
+        self.starts = np.r_[0, np.cumsum(self.sizes)]
+
+    @staticmethod
+    def _grams(raw: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets of the n-grams of words, a word's after another's, and how many each has."""
         sizes = lengths + 2
         base = np.r_[0, np.cumsum(sizes)]
         codes = np.zeros(base[-1] + max(GRAMS), dtype=tv.U)
-        inner = np.arange(int(lengths.sum())) - np.repeat(np.r_[0, np.cumsum(lengths)][:-1], lengths)
-        codes[np.repeat(base[:-1] + 1, lengths) + inner] = words.data[np.repeat(s, lengths) + inner].astype(tv.U) + tv.U(3)
+        inner = np.arange(len(raw)) + np.repeat(base[:-1] + 1 - np.r_[0, np.cumsum(lengths)][:-1], lengths)
+        codes[inner] = raw.astype(tv.U) + tv.U(3)
         codes[base[:-1]], codes[base[1:] - 1] = 1, 2
-        parts, owners = [], []
-        for k in GRAMS:
-            n = np.maximum(sizes - k + 1, 0)
-            at = np.repeat(base[:-1] - np.r_[0, np.cumsum(n)][:-1], n) + np.arange(int(n.sum()))
+        each = [np.maximum(sizes - k + 1, 0) for k in GRAMS]
+        total = sum(each)
+        start = np.r_[0, np.cumsum(total)][:-1]
+        out = np.zeros(int(total.sum()), dtype=np.int32)
+        for k, n in zip(GRAMS, each, strict=True):
+            count = np.arange(int(n.sum())) - np.repeat(np.r_[0, np.cumsum(n)][:-1], n)
+            at = np.repeat(base[:-1], n) + count
             h = codes[at] * tv.keys(21 + k, k)[0]
             for j in range(1, k):
                 h += codes[at + j] * tv.keys(21 + k, k)[j]
-            parts.append((tv.mix(h) >> tv.U(64 - GRAM_BITS)).astype(np.int64))
-            owners.append(np.repeat(np.arange(len(sizes)), n))
-        order = np.argsort(np.concatenate(owners), kind="stable")
-        self.grams, self.owner = np.concatenate(parts)[order], np.concatenate(owners)[order]
+            out[np.repeat(start, n) + count] = tv.mix(h) >> tv.U(64 - GRAM_BITS)
+            start = start + n
+        return out, total
+
+    def grams_of(self, ids: np.ndarray) -> np.ndarray:
+        """The n-gram buckets of some words, one word's after another's."""
+        n, start = self.sizes[ids], self.starts[ids]
+        return self.grams[np.repeat(start - np.r_[0, np.cumsum(n)][:-1], n) + np.arange(int(n.sum()))]
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of all windows (0 stands for no word, so numbers are one more), and each window's text."""
@@ -76,7 +114,7 @@ class Inputs:
         place = number[:, None] * STRIDE + np.arange(WINDOW)
         inside = place < self.counts[text][:, None]
         at = np.where(inside, self.first[text][:, None] + place, 0)
-        return np.where(inside, self.word[at] + 1 if len(self.word) else 0, 0), text
+        return np.where(inside, self.word[at] + 1 if len(self.word) else 0, 0).astype(np.int32), text
 
 
 class Network:
@@ -94,12 +132,15 @@ class Network:
     def vectors(self, inputs: Inputs) -> np.ndarray:
         """A row for each distinct word, after one of zeros for no word."""
         out = np.zeros((len(inputs.buckets) + 1, WIDTH), dtype=f4)
-        out[1:] = self.words[inputs.buckets]
-        if len(inputs.owner):
-            starts = np.flatnonzero(np.r_[True, inputs.owner[1:] != inputs.owner[:-1]])
-            out[1 + inputs.owner[starts]] += np.add.reduceat(self.grams[inputs.grams], starts, axis=0)
+        for low in range(0, len(inputs.buckets), WORDS):
+            ids = np.arange(low, min(low + WORDS, len(inputs.buckets)))
+            out[1 + ids] = self.of_words(inputs.buckets[ids], inputs.grams_of(ids), inputs.sizes[ids])
         return out
 
+    def of_words(self, buckets: np.ndarray, grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The vectors of words with these buckets, n-grams and counts of n-grams (every word has one at least)."""
+        return self.words[buckets] + np.add.reduceat(self.grams[grams], np.r_[0, np.cumsum(sizes)][:-1], axis=0)
+
     def _gru(self, x: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
         """States over time for projected inputs (time, windows, 3 * HIDDEN), backwards for d = b."""
         H, u = HIDDEN, self.p[f"h{d}"]
@@ -175,14 +216,21 @@ class Network:
         return windows, text, np.concatenate(parts) if parts else np.zeros(0, dtype=f4)
 
 
-def _log_odds(ids: np.ndarray, owner: np.ndarray, labels: np.ndarray, size: int) -> np.ndarray:
-    """Of the bad class, for each bucket by the documents that have it, drawn towards 0 where few have it."""
-    have = np.unique(owner * size + ids)
-    bad = np.bincount(have % size, weights=labels[have // size], minlength=size)
-    all_ = np.bincount(have % size, minlength=size)
-    n_bad, n = labels.sum(), len(labels)
-    odds = np.log((bad + 0.5) / (n_bad + 1)) - np.log((all_ - bad + 0.5) / (n - n_bad + 1))
-    return np.where(all_ > 0, odds * all_ / (all_ + DOUBT), 0)
+def _log_odds(inputs: Inputs, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the bad class, for each word and n-gram bucket by the documents that have it, drawn towards 0 where few have it."""
+    sizes = (1 << WORD_BITS, 1 << GRAM_BITS)
+    bad, all_ = [np.zeros(x) for x in sizes], [np.zeros(x) for x in sizes]
+    for d, label in enumerate(labels):
+        words = np.unique(inputs.word[inputs.first[d] : inputs.first[d + 1]])
+        for i, found in enumerate((inputs.buckets[words], inputs.grams_of(words))):
+            own = np.unique(found)
+            all_[i][own] += 1
+            bad[i][own] += label
+    n_bad, n, out = labels.sum(), len(labels), []
+    for b, a in zip(bad, all_, strict=True):
+        odds = np.log((b + 0.5) / (n_bad + 1)) - np.log((a - b + 0.5) / (n - n_bad + 1))
+        out.append(np.maximum(np.where(a > 0, odds * a / (a + DOUBT), 0), -0.5).astype(f4))
+    return out[0], out[1]
 
 
 def train(texts: list[str], labels: list[int], seed: int = 1) -> Network:
@@ -193,19 +241,13 @@ def train(texts: list[str], labels: list[int], seed: int = 1) -> Network:
     if len(set(y[inputs.counts > 0])) < 2:
         net.p["bias"][:] = -3
         return net
-    doc_of_word = np.repeat(np.arange(len(texts)), inputs.counts)
-    net.words[:, 0] += 0.5 * np.maximum(_log_odds(inputs.buckets[inputs.word], doc_of_word, y, 1 << WORD_BITS), -0.5).astype(f4)
-    pairs = np.unique(doc_of_word * len(inputs.buckets) + inputs.word)
-    sizes = np.bincount(inputs.owner, minlength=len(inputs.buckets))
-    starts = np.r_[0, np.cumsum(sizes)]
-    docs, words = pairs // len(inputs.buckets), pairs % len(inputs.buckets)
-    n = sizes[words]
-    at = np.repeat(starts[words] - np.r_[0, np.cumsum(n)][:-1], n) + np.arange(int(n.sum()))
-    net.grams[:, 0] += 0.15 * np.maximum(_log_odds(inputs.grams[at], np.repeat(docs, n), y, 1 << GRAM_BITS), -0.5).astype(f4)
+    by_word, by_gram = _log_odds(inputs, y)
+    net.words[:, 0] += f4(0.5) * by_word
+    net.grams[:, 0] += f4(0.15) * by_gram
 
     windows, text = inputs.windows()
     vectors = net.vectors(inputs)
-    logits = vectors[windows, 0].max(axis=1)
+    logits = vectors[:, 0][windows].max(axis=1)
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     seen_words, seen_grams, step = np.full(1 << WORD_BITS, 1e-3, f4), np.full(1 << GRAM_BITS, 1e-3, f4), 0
     for round_ in range(ROUNDS):
@@ -227,22 +269,14 @@ def train(texts: list[str], labels: list[int], seed: int = 1) -> Network:
                 s += 0.001 * (v * v - s)
                 net.p[k] -= (STEP * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-6)).astype(f4)
             ids, dv = own[1:] - 1, dv[1:]
-            _step(net.words, seen_words, inputs.buckets[ids], dv)
-            n = sizes[ids]
-            flat = np.repeat(starts[ids] - np.r_[0, np.cumsum(n)][:-1], n) + np.arange(int(n.sum()))
-            _step(net.grams, seen_grams, inputs.grams[flat], np.repeat(dv, n, axis=0))
-            vectors[own[1:]] = net.vectors(_only(inputs, ids, flat, n))[1:]
+            buckets, flat, n = inputs.buckets[ids], inputs.grams_of(ids), inputs.sizes[ids]
+            _step(net.words, seen_words, buckets, dv)
+            _step(net.grams, seen_grams, flat, np.repeat(dv, n, axis=0))
+            vectors[own[1:]] = net.of_words(buckets, flat, n)
         vectors = net.vectors(inputs)
     return net
 
 
-def _only(inputs: Inputs, ids: np.ndarray, flat: np.ndarray, n: np.ndarray) -> Inputs:
-    """The inputs of some words alone."""
-    part = object.__new__(Inputs)
-    part.buckets, part.grams, part.owner = inputs.buckets[ids], inputs.grams[flat], np.repeat(np.arange(len(ids)), n)
-    return part
-
-
 def _step(table: np.ndarray, seen: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
     """A step of Adagrad on the rows of a table."""
     own, back = np.unique(rows, return_inverse=True)
@@ -274,9 +308,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A network trained on a bounded sample of labelled rows that are not held out."""
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("y"))
     known = docs.where(F.length(text_col).between(1, TRAIN_CHARS)).select(F.col(id_col).alias("__id")).join(marks, "__id").dropDuplicates(["__id"])
-    draw = [known.where(F.col("y") == y).orderBy(F.xxhash64("__id"), "__id").limit(TRAIN) for y in (0, 1)]
+    draw = [known.where(F.col("y") == y).orderBy(F.xxhash64("__id"), "__id").limit(n) for y, n in enumerate(TRAIN)]
     ids = draw[0].unionByName(draw[1])
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "__id").dropDuplicates(["__id"])  # 2 * TRAIN rows at most
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "__id").dropDuplicates(["__id"])  # sum(TRAIN) rows at most
     got = sorted(rows.collect(), key=lambda r: r["__id"])
     return train([r["text"] for r in got], [r["y"] for r in got])
 
