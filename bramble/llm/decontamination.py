@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Seeds are the word n-grams of test items. Pass 1 counts them over all documents; of each item the
-rarer half stays, so that common turns of phrase start nothing and every item keeps seeds.
-Pass 2 finds the places of rare seeds in documents, cuts out the passage around them, and Spark joins the
-seeds to the items that have them. Each passage and item that share a seed are then aligned word by word, which
-scores copies with words put in, left out or replaced.
+Seeds are all word n-grams of test items, however common. One pass finds their places in documents and cuts out
+the passages around them, and Spark joins the seeds to the items that have them. Around each shared seed lies a stretch that
+holds any leak with this seed in it; stretches that overlap are one. Each is aligned with the item word by word, which scores
+copies with words put in, left out or replaced. Only stretches with fewer of the item's words than a leak needs are not aligned.
+A copy of which no run of n words is left has no seed and isn't found.
 
 What tasks need to know of the seeds is a bit for each hash cell, at most MOST_CELLS / 8 bytes; the
 joins are exact, so a full filter costs time only.
@@ -72,31 +72,8 @@ def _known(runs: np.ndarray, bits: np.ndarray, cells: int) -> np.ndarray:
     return np.flatnonzero((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
 
 
-def _counts(n: int, shared, cells: int):
-    """How often each run that passes the filter stands in what the task reads."""
-
-    def out(parts: list[np.ndarray]) -> pa.RecordBatch:
-        own, count = np.unique(np.concatenate(parts), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(count)], names=["hash", "n"])
-
-    def run(batches: Batches) -> Batches:
-        bits, parts, held = np.frombuffer(shared.value, dtype=np.uint8), [], 0
-        for batch in tv.slices(batches):
-            words = tv.cut(batch.column(0), tv.ALNUM, lower=True)
-            runs, _ = tv.grams(words.hashes(), words.first, n, seed=31)
-            parts.append(runs[_known(runs, bits, cells)])
-            held += len(parts[-1])
-            if held > 1_000_000:
-                yield out(parts)
-                parts, held = [], 0
-        if held:
-            yield out(parts)
-
-    return run
-
-
 def _passages(n: int, shared, cells: int, reach: int):
-    """Passages with rare seeds: the words from `reach` before to `reach` after, passages that touch being one."""
+    """Passages with seeds: the words from `reach` before to `reach` after, passages that touch being one."""
 
     def run(batches: Batches) -> Batches:
         bits = np.frombuffer(shared.value, dtype=np.uint8)
@@ -159,15 +136,16 @@ def _aligned(batches: Batches) -> Batches:
     for batch in batches:
         at = batch.schema.get_field_index
         words, items = (batch.column(at(c)) for c in ("words", "item_words"))
-        low, high, begin = (batch.column(at(c)).to_numpy() for c in ("low", "high", "begin"))
-        pairs = [(words[i].values.to_numpy()[max(lo - b, 0) : hi - b], items[i].values.to_numpy()) for i, (lo, hi, b) in enumerate(zip(low, high, begin, strict=True))]
-        order = sorted(range(len(pairs)), key=lambda i: (len(pairs[i][1]), len(pairs[i][0])))
+        base, least = (batch.column(at(c)).to_numpy() for c in ("low", "least"))
+        pairs = [(words[i].values.to_numpy(), items[i].values.to_numpy()) for i in range(batch.num_rows)]
+        # No alignment has more matches than either side has words of the other.
+        able = [i for i, (p, q) in enumerate(pairs) if MATCH * min(np.isin(p, q).sum(), np.isin(q, p).sum()) >= least[i]]
+        order = sorted(able, key=lambda i: (len(pairs[i][1]), len(pairs[i][0])))
         score, first, last = (np.zeros(len(pairs), dtype=np.int64) for _ in range(3))
         while order:
             n = max(1, min(PAIRS, CELLS // max(1, max(len(pairs[i][1]) for i in order[:PAIRS]))))
             now, order = order[:n], order[n:]
             score[now], first[now], last[now] = align([pairs[i][0] for i in now], [pairs[i][1] for i in now])
-        base = np.maximum(low, begin)
         out = {"id": batch.column(at("id")), "item": batch.column(at("item")), "need": batch.column(at("need")), "points": pa.array(score), "first_word": pa.array(base + first), "last_word": pa.array(base + last)}
         yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
@@ -188,21 +166,21 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = SEED, share: float = SHARE
     longest, total = tests.agg(F.max(F.size("words"))).first()[0] or 0, seeds.count()
     texts = docs.select(F.col(text_col).alias("text"), key(id_col).alias("id"))
     bits, cells = _filter(seeds, total)
-    found = texts.select("text").mapInArrow(_counts(n, context.broadcast(bits), cells), "hash long, n long")
-    counts = found.join(seeds.select("hash").distinct(), "hash", "left_semi").groupBy("hash").agg(F.sum("n").alias("n"))
-    counted = seeds.join(counts, "hash", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    middle = counted.withColumn("middle", F.percentile_approx("n", 0.5, 1000).over(Window.partitionBy("item")))
-    rare = cut_lineage(middle.where("n > 0 and n <= greatest(middle, 1)").select("item", "at", "hash"))
-
-    bits, cells = _filter(rare, total)
-    passages = cut_lineage(texts.mapInArrow(_passages(n, context.broadcast(bits), cells, longest + 8), "id long, low long, words array<long>, seeds array<struct<place: long, hash: long>>"))
+    # The most that lies to one side of a seed: an item's words, and two more put in for each that matches.
+    passages = cut_lineage(texts.mapInArrow(_passages(n, context.broadcast(bits), cells, 3 * longest), "id long, low long, words array<long>, seeds array<struct<place: long, hash: long>>"))
     passages = passages.withColumn("passage", F.monotonically_increasing_id())
-    votes = passages.select("passage", F.explode("seeds").alias("s")).select("passage", "s.*").join(rare, "hash")
-    pairs = votes.groupBy("passage", "item").agg(F.min(F.col("place") - F.col("at")).alias("from"), F.max(F.col("place") - F.col("at")).alias("to"))
-    size = F.size("item_words")
-    slack = F.ceil(size / 4).cast("long") + 2
+    votes = passages.select("passage", F.explode("seeds").alias("s")).select("passage", "s.*").join(seeds.join(tests.select("item", F.size("words").cast("long").alias("need")), "item"), "hash")
+    least = F.least(share * MATCH * F.col("need"), F.lit(float(MATCH * words)))
+    # The best alignment's ends don't score below 0, and what is put in costs no more than is left over for a leak.
+    spare, before, after = F.greatest(F.floor(MATCH * F.col("need") - least), F.lit(0)), F.col("at").cast("long"), F.col("need") - F.col("at") - n
+    votes = votes.select("passage", "item", "need", least.alias("least"), (F.col("place") - before - F.least(MATCH * before, spare)).alias("low"), (F.col("place") + n + after + F.least(MATCH * after, spare)).alias("high"))
+    by_place = Window.partitionBy("passage", "item").orderBy("low", "high")
+    votes = votes.withColumn("new", F.coalesce(F.col("low") > F.max("high").over(by_place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("long"))
+    votes = votes.withColumn("stretch", F.sum("new").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
+    pairs = votes.groupBy("passage", "item", "need", "least", "stretch").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     pairs = pairs.join(tests.select("item", F.col("words").alias("item_words")), "item").join(passages.select("passage", "id", F.col("low").alias("begin"), "words"), "passage")
-    pairs = pairs.select("id", "item", "begin", "words", "item_words", (F.col("from") - slack).alias("low"), (F.col("to") + size + slack).alias("high"), size.cast("long").alias("need"))
+    low = F.greatest("low", "begin")
+    pairs = pairs.select("id", "item", F.slice("words", (low - F.col("begin") + 1).cast("int"), (F.col("high") - low).cast("int")).alias("words"), "item_words", low.alias("low"), "need", "least")
     done = pairs.mapInArrow(_aligned, "id long, item long, need long, points long, first_word long, last_word long")
     done = done.where((F.col("points") >= share * MATCH * F.col("need")) | (F.col("points") >= MATCH * words))
     best = done.groupBy("id", "item").agg(F.max(F.struct("points", (-F.col("first_word")).alias("f"), "last_word", "need")).alias("b"))

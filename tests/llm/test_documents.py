@@ -252,6 +252,36 @@ def test_leaks(spark, texts):
     assert decontamination.leaks(docs.limit(0), tests).count() == 0 and decontamination.leaks(docs, tests.limit(0)).count() == 0
 
 
+def test_leaks_by_brute_force(spark):
+    """Copies of which few seeds are left, several times and beside exact ones, against an alignment of every document with every item."""
+    rng = random.Random(8)
+    names = ("edited twice", "edited and exact", "25 words", "stretched", "common", "free")
+    items = {i: words(rng, 60 if i == 2 else 40, 5000) for i in range(len(names))}
+    items[4][:3] = ["as", "it", "were"]
+    edited = lambda w, step: [f"x{rng.randrange(5000)}" if n % step == step - 1 else x for n, x in enumerate(w)]
+    wide = items[3][:6] + [x for n in range(6, 40, 2) for x in (*items[3][n : n + 2], "in", "put")]
+    # Copies of item 5 stay below the limits.
+    copies = [edited(items[0], 4), edited(items[0], 4), edited(items[0], 4), items[1], edited(items[1], 4), items[2], items[2], items[2][:25], items[2][20:45], items[2][30:55], wide, wide, items[3]]
+    copies += [edited(items[4], 4)] * 2 + [items[5][:10] + edited(items[5][10:], 2), items[5][:15], items[5][:3]]
+    copies += [["as", "it", "were", *words(rng, 20, 5000), "as", "it", "were"] for _ in range(8)]
+    rows = {i: [*words(rng, 50, 5000), *w, *words(rng, 90, 5000)] for i, w in enumerate(copies)}
+
+    def best(x, y):
+        top, above = 0, [0] * (len(y) + 1)
+        for a in x:
+            row = [0]
+            for j, b in enumerate(y):
+                row.append(max(0, above[j] + (2 if a == b else -1), above[j + 1] - 1, row[j] - 1))
+            top, above = max(top, *row), row
+        return top
+
+    points = {(d, i): best(x, y) for d, x in rows.items() for i, y in items.items()}
+    want = {(d, i): p / (2 * len(items[i])) for (d, i), p in points.items() if p >= min(len(items[i]), 50)}
+    assert len(want) == 15
+    tables = [spark.createDataFrame([(i, " ".join(x)) for i, x in t.items()], f"{c} long, text string") for t, c in ((rows, "doc_id"), (items, "item_id"))]
+    assert {(r.doc_id, r.item_id): r.score for r in decontamination.leaks(*tables).collect()} == want
+
+
 def test_alignment():
     rng = np.random.default_rng(0)
     a, b = ([rng.integers(1, 6, rng.integers(1, n)) for _ in range(40)] for n in (30, 20))
