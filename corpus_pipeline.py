@@ -21,10 +21,23 @@ from bramble.llm.toxicity import fit, score_toxicity
 
 #: Score from which a document is toxic; ids that may be broadcast to drop documents (some 30 MB).
 TOXIC, FEW_IDS = 0.7, 1_000_000
+#: A stage's own key of each row of its input: ids may be null or repeated.
+ROW = "pipeline_row"
 
 
-def _drop(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(small_or_not(cut_lineage(ids.distinct()), FEW_IDS), "doc_id", "left_anti").select(docs.columns)
+def _folder(spark: SparkSession) -> str:
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/pipeline-{uuid.uuid4().hex}"
+
+
+def _with_row(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs with ROW, written out so that each use reads the same keys."""
+    path = f"{_folder(spark)}/rows"
+    docs.withColumn(ROW, F.monotonically_increasing_id()).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _drop(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    return rows.join(small_or_not(cut_lineage(gone.select(ROW).distinct()), FEW_IDS), ROW, "left_anti").drop(ROW)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +45,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _drop(docs, near_duplicates(docs, k=5, percent=80).where("not kept").select("doc_id"))
+    """Of each group the row with the smallest id stays (one without an id only if none has any)."""
+    rows = _with_row(spark, docs)
+    found = near_duplicates(rows, k=5, percent=80, id_col=ROW).select(ROW, "component_id")
+    found = cut_lineage(found.join(rows.select(ROW, "doc_id"), ROW))
+    first = found.groupBy("component_id").agg(F.count("*").alias("n"), F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", ROW)).alias("first")).where("n > 1")
+    return _drop(rows, found.join(first, "component_id").where(F.col(ROW) != F.col("first")[ROW]))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +60,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _drop(docs, leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
+    rows = _with_row(spark, docs)
+    return _drop(rows, leaks(rows, table(spark, sf_dir, "benchmark"), id_col=ROW))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,10 +79,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's rows are written to the shared folder and read again."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    docs, own = table(spark, sf_dir, "documents"), uuid.uuid4().hex
+    folder, docs = _folder(spark), table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = f"{folder}/pipeline-{own}/{name}"
+        path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
