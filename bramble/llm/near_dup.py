@@ -149,14 +149,14 @@ def _compare_blocks(percent: int):
         shared = count[column] > 1  # others are in no intersection
         number = np.cumsum(count > 1) - 1
         row, column = row[shared], number[column[shared]]
-        both, width = np.zeros((len(rep), len(rep)), dtype=np.float32), 4096
+        both, width = np.zeros((len(rep), len(rep)), dtype=np.int64), 4096
         order = np.argsort(column, kind="stable")
         row, column = row[order], column[order]
         for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
             a, b = np.searchsorted(column, [low, low + width])
             part = np.zeros((len(rep), width), dtype=np.float32)
             part[row[a:b], column[a:b] - low] = 1
-            both += part @ part.T
+            both += (part @ part.T).astype(np.int64)  # at most 4096 at a time, which float32 holds exactly
         link = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
         if keys[1].as_py() != keys[2].as_py():
             link &= side[:, None] != side[None, :]

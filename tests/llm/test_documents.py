@@ -114,6 +114,19 @@ def test_near_dup_hard_bucket(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got.collect()} == label
 
 
+def test_near_dup_at_the_limit():
+    """Two sets right at the limit, with so many elements in common that float32 rounds a hundred times their number."""
+    import pyarrow as pa
+
+    n = 671_089
+    elements = np.arange(2 * n)
+    for missing, want in ((0, [(1, 2)]), (1, [])):
+        lists = pa.array([elements[: n - missing], elements])
+        batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([0, 1]), lists], names=["rep", "side", "elements"])
+        found = next(near_dup._compare_blocks(50)((None, pa.scalar(0), pa.scalar(0)), iter([batch])))
+        assert list(zip(*found.to_pydict().values(), strict=True)) == want
+
+
 def test_sketch_estimates():
     rng = np.random.default_rng(5)
     a = rng.integers(0, 1 << 62, 3000).astype(np.uint64)
