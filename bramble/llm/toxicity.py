@@ -9,11 +9,13 @@ the whole text.
 Labels are of documents, not of windows: training takes the worst window of each document, as the network
 sees it at the time, for the document's label, and looks again after each round. The vectors start from
 log-odds of words and n-grams among the training documents. Training uses at most TRAIN documents
-(clean, toxic) of at most TRAIN_CHARS characters, the first by a hash of their ids.
+(clean, toxic), the first by a hash of their ids, and of each at most TRAIN_WORDS words: from a longer one,
+stretches spread evenly over all of it. It runs in one task, never on the driver, over that bounded sample.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,9 @@ from bramble.llm import textvec as tv
 from bramble.llm.common import batch_with, with_fields, without
 
 WINDOW, STRIDE = 32, 16
-TRAIN, TRAIN_CHARS = (4000, 2000), 20_000
+TRAIN, TRAIN_WORDS = (4000, 2000), 2048
+#: Bytes of a word in training; longer ones are no words of any language.
+TRAIN_WORD = 200
 WORD_BITS, GRAM_BITS, WIDTH, HIDDEN = 15, 16, 8, 8
 GRAMS = (3, 5)
 #: Rounds, steps of each, windows of a step (a quarter of them bad).
@@ -33,8 +37,8 @@ ROUNDS, STEPS, BATCH = 6, 100, 128
 DOUBT, VECTOR_STEP, STEP = 2, 0.02, 0.01
 #: Windows that a worker scores at once.
 BLOCK = 2048
-#: Bytes of text, and distinct words, that are hashed at once.
-SLICE, WORDS = 1_000_000, 50_000
+#: Bytes of text, and distinct words, that are hashed at once; windows that are numbered at once.
+SLICE, WORDS, SOME = 500_000, 50_000, 20_000
 f4 = np.float32
 
 
@@ -111,10 +115,13 @@ class Inputs:
         per_text = np.where(self.counts > 0, np.maximum(-(-(self.counts - WINDOW) // STRIDE), 0) + 1, 0)
         text = np.repeat(np.arange(len(self.counts)), per_text)
         number = np.arange(len(text)) - np.repeat(np.r_[0, np.cumsum(per_text)][:-1], per_text)
-        place = number[:, None] * STRIDE + np.arange(WINDOW)
-        inside = place < self.counts[text][:, None]
-        at = np.where(inside, self.first[text][:, None] + place, 0)
-        return np.where(inside, self.word[at] + 1 if len(self.word) else 0, 0).astype(np.int32), text
+        out = np.zeros((len(text), WINDOW), dtype=np.int32)
+        for low in range(0, len(text), SOME):
+            some = slice(low, low + SOME)
+            place = number[some, None] * STRIDE + np.arange(WINDOW)
+            inside = place < self.counts[text[some]][:, None]
+            out[some][inside] = self.word[(self.first[text[some]][:, None] + place)[inside]] + 1
+        return out, text
 
 
 class Network:
@@ -289,7 +296,7 @@ def _step(table: np.ndarray, seen: np.ndarray, rows: np.ndarray, gradient: np.nd
 def _score(shared, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
-        for batch in tv.slices(batches, text_col, 1_000_000):
+        for batch in tv.slices(batches, text_col, SLICE):
             inputs = Inputs(batch.column(batch.schema.get_field_index(text_col)))
             _, text, logits = net.scores(inputs)
             worst = np.full(batch.num_rows, net.p["bias"][0] - 5, dtype=f4)
@@ -304,15 +311,42 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _excerpts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Training rows with only as many words of each text as training looks at."""
+    for batch in tv.slices(batches):
+        words, texts = tv.cut(batch.column(2), tv.ALNUM, lower=True), []
+        sizes = words.ends - words.starts
+        for t, n in enumerate(words.counts.tolist()):
+            keep = sizes[words.first[t] : words.first[t + 1]] <= TRAIN_WORD
+            if n > TRAIN_WORDS:
+                stretches = np.zeros(-(-n // WINDOW), dtype=bool)
+                stretches[np.linspace(0, len(stretches) - 1, TRAIN_WORDS // WINDOW).astype(int)] = True
+                keep &= np.repeat(stretches, WINDOW)[:n]
+            texts.append(words.kept(t, keep).decode(errors="replace"))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["__id", "y", "text"])
+
+
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The network of all rows, pickled."""
+    rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[0])
+    net = train([r[2] for r in rows], [r[1] for r in rows])
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["network"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Network:
-    """A network trained on a bounded sample of labelled rows that are not held out."""
+    """A network trained on a bounded sample of labelled rows that are not held out.
+
+    An id with several labels counts as toxic if one says so; of several texts with one id, the smallest
+    is taken. Rows without an id, a label or a text don't train.
+    """
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("y"))
-    known = docs.where(F.length(text_col).between(1, TRAIN_CHARS)).select(F.col(id_col).alias("__id")).join(marks, "__id").dropDuplicates(["__id"])
+    known = docs.where(F.length(text_col) > 0).select(F.col(id_col).alias("__id")).join(marks, "__id").dropDuplicates(["__id"])
     draw = [known.where(F.col("y") == y).orderBy(F.xxhash64("__id"), "__id").limit(n) for y, n in enumerate(TRAIN)]
     ids = draw[0].unionByName(draw[1])
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "__id").dropDuplicates(["__id"])  # sum(TRAIN) rows at most
-    got = sorted(rows.collect(), key=lambda r: r["__id"])
-    return train([r["text"] for r in got], [r["y"] for r in got])
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).where(F.length("text") > 0).join(F.broadcast(ids), "__id")  # sum(TRAIN) ids at most
+    rows = rows.groupBy("__id", "y").agg(F.min("text").alias("text")).mapInArrow(_excerpts, "__id long, y int, text string")
+    found = rows.repartition(1).mapInArrow(_trained, "network binary").collect()  # one row
+    return pickle.loads(found[0].network) if found else train([], [])
 
 
 def score_toxicity(docs: DataFrame, network: Network, text_col: str = "text") -> DataFrame:
