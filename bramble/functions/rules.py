@@ -54,7 +54,7 @@ FIXES = {
     "uses": "Issue a dedicated, short-lived credential.",
     "connects_to": "Allow this connection only by a network policy.",
     "exposes": "Put the endpoint behind an authenticated ingress.",
-    "can_access": "Review who may reach this resource.",
+    "writes": "Restrict writing to named resources, and check what is written on admission.",
 }
 #: What to do about a resource at the end of a hop, by its type.
 TYPE_FIXES = {
@@ -66,22 +66,37 @@ TYPE_FIXES = {
     "rolebinding": "Delete the binding if nothing needs it.",
     "clusterrolebinding": "Delete the cluster-wide binding if nothing needs it.",
     "secret": "Encrypt the secret at rest and rotate it.",
-    "database": "Ask for client certificates at the database.",
+    "configmap": "Keep credentials out of the config map.",
 }
 #: Verbs of the steps of an explained path, by relationship.
 VERBS = {
     "runs_as": "runs as",
-    "binds_to": "is bound to",
-    "grants": "grants",
-    "escalates_to": "can escalate to",
+    "binds_to": "is a subject of",
+    "grants": "gives the rights of",
+    "escalates_to": "can turn into",
     "mounts": "mounts",
-    "accesses": "can access",
-    "reads": "can read",
+    "accesses": "gets into",
+    "reads": "may read",
     "has_secret": "holds",
     "uses": "makes use of",
-    "connects_to": "can connect to",
-    "exposes": "exposes",
-    "can_access": "may reach",
+    "connects_to": "talks to",
+    "exposes": "opens the way to",
+    "writes": "may change",
+}
+#: What a node is called in an explanation, by its type; other types go by their own name.
+NOUNS = {
+    "pod": "pod",
+    "service": "service",
+    "serviceaccount": "service account",
+    "role": "role",
+    "clusterrole": "cluster role",
+    "rolebinding": "role binding",
+    "clusterrolebinding": "cluster role binding",
+    "secret": "secret",
+    "configmap": "config map",
+    "database": "database",
+    "node": "machine",
+    "ingress": "ingress",
 }
 
 

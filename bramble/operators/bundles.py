@@ -4,50 +4,98 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from bramble.operators.graph import Graph, counts
+from bramble.operators.graph import Graph, counts, histograms, sources
+from bramble.operators.traverse import is_dag, ranked, weak_components, with_cycle_names
 
 
-def _rows(table: DataFrame, order: list[str], name: str) -> DataFrame:
-    """(graph_id, name): the table's rows of each graph as an array, in order."""
-    row = F.struct(*[c for c in table.columns if c != "graph_id"])
-    listed = F.sort_array(F.collect_list(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)], row.alias("row"))))
-    return table.groupBy("graph_id").agg(F.transform(listed, lambda x: x["row"]).alias(name))
+def _listed(table: DataFrame, order: list[str], row: Column, name: str) -> DataFrame:
+    """(graph_id, name): a column of the table's rows of each graph as an array, in order."""
+    rows = F.sort_array(F.collect_list(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)], row.alias("row"))))
+    return table.groupBy("graph_id").agg(rows["row"].alias(name))
 
 
-def _bundle(graph: Graph, parts: dict[str, tuple[DataFrame, list[str]]], more: dict[str, Column]) -> DataFrame:
-    out = counts(graph).select("graph_id", F.struct("nodes", "edges", "sources", "sinks").alias("summary"))
-    for name, (table, order) in parts.items():
-        out = out.join(_rows(table, order, name), "graph_id", "left")
-    fields = [F.coalesce(name, F.array().cast(dict(out.dtypes)[name])).alias(name) for name in parts]
-    return out.select("graph_id", F.to_json(F.struct(*[c.alias(n) for n, c in more.items()], "summary", *fields)).alias("document"))
+def _struct(**fields: Column | str) -> Column:
+    return F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in fields.items()])
 
 
-def report_bundle(graph: Graph, paths: DataFrame, blast: DataFrame, cycles: DataFrame, critical: DataFrame, path_fixes: DataFrame, critical_fixes: DataFrame, cycle_fixes: DataFrame, generated_at: str) -> DataFrame:
-    """(graph_id, document): metadata, summary, paths, blast radius, cycles, critical nodes and all remediation lines."""
+def summary(graph: Graph) -> DataFrame:
+    """(graph_id, graph_summary): counts, counts by type and relationship, whether it is acyclic, and its components."""
+    all_ = counts(graph).join(histograms(graph), "graph_id").join(is_dag(graph), "graph_id").join(weak_components(graph), "graph_id")
+    return all_.select("graph_id", _struct(total_nodes="nodes", total_edges="edges", node_types="node_types", relationship_types="relationship_types", source_nodes="sources", sink_nodes="sinks", is_dag="is_dag", weakly_connected_components="components").alias("graph_summary"))
+
+
+def _blast(graph: Graph, blast: DataFrame, max_depth: int) -> DataFrame:
+    """A row for each source, also for one that reaches nothing: its name, depth, nodes by hop and their number."""
     layers = blast.groupBy("graph_id", "source", "hop").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
-    parts = {
-        "attack_paths": (paths, ["total_risk", "source_seq", "sink_seq"]),
-        "blast_radius": (layers, ["source", "hop"]),
-        "cycles": (cycles, ["cycle"]),
-        "critical_nodes": (critical, ["rank"]),
-        "path_fixes": (path_fixes, ["source", "sink", "hop", "part"]),
-        "critical_node_fixes": (critical_fixes, ["rank", "part"]),
-        "cycle_fixes": (cycle_fixes, ["ring"]),
-    }
-    return _bundle(graph, parts, {"metadata": F.struct(F.lit(generated_at).alias("generated_at"), F.col("graph_id"))})
-
-
-def display_bundle(graph: Graph, classes: DataFrame, blast: DataFrame, cycles: DataFrame, critical: DataFrame) -> DataFrame:
-    """(graph_id, document): nodes, edges, classified paths with scores of two digits, cycles, critical nodes, blast radius with names."""
-    names = graph.nodes.select("graph_id", F.col("id").alias("source"), F.coalesce("name", "id").alias("source_name"))
-    layers = blast.join(names, ["graph_id", "source"]).groupBy("graph_id", "source", "source_name", "hop").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
-    shown = classes.withColumn("score", F.round("score", 2)).drop("types")
-    parts = {
-        "nodes": (graph.nodes, ["node_seq"]),
-        "edges": (graph.edges, ["edge_seq"]),
-        "attack_paths": (shown, ["total_risk", "source_seq", "sink_seq"]),
-        "cycles": (cycles, ["cycle"]),
-        "critical_nodes": (critical, ["rank"]),
-        "blast_radius": (layers, ["source", "hop"]),
-    }
-    return _bundle(graph, parts, {})
+    layers = layers.groupBy("graph_id", "source").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("hop").cast("string").alias("key"), F.col("nodes").alias("value"))))).alias("layers"), F.sum(F.size("nodes")).alias("n"))
+    starts = sources(graph).select("graph_id", F.col("id").alias("source"), F.coalesce("name", "id").alias("source_name"), "node_seq")
+    out = starts.join(layers, ["graph_id", "source"], "left")
+    return out.select("graph_id", "node_seq", "source", "source_name", F.lit(max_depth).alias("max_depth"), F.coalesce("n", F.lit(0)).alias("total_affected"), F.coalesce("layers", F.create_map().cast("map<string, array<string>>")).alias("layers"))
+
+
+_PATH = {"path_nodes": "path_nodes", "path_names": "path_names", "relationships": "relationships", "cves": "cves", "cvss_scores": "cvss", "hop_count": "hop_count", "total_risk": "total_risk", "severity": "severity"}
+
+
+def _critical(graph: Graph, critical: DataFrame, simple_counts: DataFrame) -> DataFrame:
+    """(graph_id, top_nodes, baseline)."""
+    top = _listed(critical, ["rank"], _struct(id="id", name="name", paths_eliminated="eliminated"), "top_nodes")
+    return graph.nodes.select("graph_id").distinct().join(top, "graph_id", "left").join(simple_counts.select("graph_id", F.col("paths").alias("baseline")), "graph_id", "left").withColumn("baseline", F.coalesce("baseline", F.lit(0)))
+
+
+def _document(parts: list[DataFrame], fields: dict[str, Column | str], generated_at: str) -> DataFrame:
+    """The parts, one row a graph each, as one JSON object; arrays that a graph lacks are empty."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part, "graph_id", "left")
+    arrays = {f.name: f.dataType for f in out.schema.fields if f.dataType.typeName() == "array"}
+    out = out.withColumns({n: F.coalesce(n, F.array().cast(t)) for n, t in arrays.items()})
+    made = F.struct(F.lit(generated_at).alias("generated_at"), F.col("graph_id"))
+    return out.select("graph_id", F.to_json(_struct(metadata=made, **fields), {"ignoreNullFields": "false"}).alias("document"))
+
+
+def report_bundle(graph: Graph, paths: DataFrame, blast: DataFrame, cycles: DataFrame, critical: DataFrame, simple_counts: DataFrame, path_fixes: DataFrame, critical_fixes: DataFrame, cycle_fixes: DataFrame, generated_at: str, max_depth: int = 3) -> DataFrame:
+    """(graph_id, document): metadata, summary, paths, blast radius, cycles, critical nodes and remediation; path_index counts paths from 0 by rising risk."""
+    order = ranked(paths)
+    fixes = path_fixes.groupBy("graph_id", "source", "sink").agg(F.sort_array(F.collect_list(F.struct("hop", "part", "text")))["text"].alias("fixes"))
+    fixes = order.select("graph_id", "source", "sink", (F.col("rank") - 1).alias("path_index")).join(fixes, ["graph_id", "source", "sink"], "left").withColumn("fixes", F.coalesce("fixes", F.array().cast("array<string>")))
+    rings = with_cycle_names(graph, cycles)
+    parts = [
+        summary(graph),
+        _listed(order, ["rank"], _struct(**_PATH), "attack_paths"),
+        _blast_rows(graph, blast, max_depth, ["source", "max_depth", "layers", "total_affected"]),
+        _listed(rings, ["cycle"], F.struct("cycle", "cycle_names"), "rings"),
+        _critical(graph, critical, simple_counts),
+        _listed(fixes, ["path_index"], F.struct("path_index", "fixes"), "path_fixes"),
+        _listed(critical_fixes, ["rank", "part"], F.col("text"), "critical_fixes"),
+        _listed(cycle_fixes, ["ring"], F.col("text"), "cycle_fixes"),
+    ]
+    fields = {
+        "graph_summary": "graph_summary", "attack_paths": "attack_paths", "blast_radius": "blast",
+        "cycles": _struct(cycles=F.col("rings")["cycle"], cycle_names=F.col("rings")["cycle_names"], total_cycles=F.size("rings")),
+        "critical_nodes": _struct(top_nodes="top_nodes", total_paths_baseline="baseline"),
+        "remediation": _struct(path_fixes="path_fixes", critical_node_fixes="critical_fixes", cycle_fixes="cycle_fixes"),
+    }
+    return _document(parts, fields, generated_at)
+
+
+def _blast_rows(graph: Graph, blast: DataFrame, max_depth: int, columns: list[str]) -> DataFrame:
+    """(graph_id, blast): rows of _blast in the order of sources. Maps have no order, so rows are put in place by number."""
+    rows = _blast(graph, blast, max_depth).groupBy("graph_id").agg(F.map_from_entries(F.collect_list(F.struct("node_seq", F.struct(*columns)))).alias("by_place"))
+    return rows.select("graph_id", F.transform(F.sort_array(F.map_keys("by_place")), lambda k: F.element_at("by_place", k)).alias("blast"))
+
+
+def display_bundle(graph: Graph, classes: DataFrame, blast: DataFrame, cycles: DataFrame, critical: DataFrame, simple_counts: DataFrame, generated_at: str, max_depth: int = 3) -> DataFrame:
+    """(graph_id, document): nodes, edges, classified paths with scores of two digits, cycles, critical nodes, blast radius with names, metadata and summary."""
+    node = _struct(id="id", name=F.coalesce("name", "id"), type=F.coalesce("type", F.lit("unknown")), namespace=F.coalesce("namespace", F.lit("")), risk_score=F.coalesce("risk_score", F.lit(0.0)), is_source="is_source", is_sink="is_sink", cves="cves")
+    edge = _struct(source="source", target="target", relationship="relationship", weight="weight", cve="cve", cvss="cvss")
+    parts = [
+        summary(graph),
+        _listed(graph.nodes, ["node_seq"], node, "nodes"),
+        _listed(graph.edges, ["edge_seq"], edge, "edges"),
+        _listed(ranked(classes), ["rank"], _struct(**_PATH, categories="categories", advanced_score=F.round("score", 2)), "attack_paths"),
+        _listed(with_cycle_names(graph, cycles), ["cycle"], _struct(node_ids="cycle", node_names="cycle_names"), "cycles"),
+        _critical(graph, critical, simple_counts),
+        _blast_rows(graph, blast, max_depth, ["source", "source_name", "max_depth", "total_affected", "layers"]),
+    ]
+    fields = {n: n for n in ("graph_summary", "nodes", "edges", "attack_paths", "cycles")}
+    return _document(parts, fields | {"critical_node": _struct(baseline_paths="baseline", top_nodes="top_nodes"), "blast_radius": "blast"}, generated_at)

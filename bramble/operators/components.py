@@ -6,28 +6,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
+#: A node with more than this share of all edges is a hub, so there are at most 2 / HUB hubs; and with fewer edges than FEW none is.
+HUB, FEW = 1e-4, 256
+
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, least: DataFrame, most: int) -> DataFrame:
+    """edges (u, v) with m of least (u, m, n), a row for each u. The few u with over `most` edges are sent to all tasks, so no key is hot in the join of the rest."""
+    hubs = least.where(F.col("n") > most).select("u", F.col("m").alias("hub"))
+    edges = edges.join(F.broadcast(hubs), "u", "left")  # 2 / HUB rows at most
+    rest = edges.where("hub is null").drop("hub").join(least.where(F.col("n") <= most).select("u", "m"), "u")
+    return rest.unionByName(edges.where("hub is not null").withColumnRenamed("hub", "m"))
+
+
+def _large_star(edges: DataFrame, most: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+    least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+    return _with_least(both.where("v > u"), least, most).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, most: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = _with_least(down, least, most).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def connected_components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame], rounds: int = 60) -> DataFrame:
     """(node, component) for each end of the edges (u, v); component is the smallest node that u reaches.
 
-    Each round is two joins on a node, of which one side has a row a node, so that Spark splits hubs.
+    Each round is two joins on a node, of which one side has a row a node; hubs are joined apart.
     The count of rounds grows with the logarithm of the diameter. `cut` cuts the lineage of a round.
     """
     edges = cut(edges.where("u != v").select("u", "v").distinct())
@@ -35,7 +46,8 @@ def connected_components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame]
     for _ in range(rounds):
         if not before[0]:
             break
-        edges = cut(_small_star(_large_star(edges)))
+        most = max(FEW, int(HUB * before[0]))  # the large star has each edge twice, and so has 2 / HUB hubs at most
+        edges = cut(_small_star(_large_star(edges, most), most))
         now = _mark(edges)
         if now == before:
             break

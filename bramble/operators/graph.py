@@ -8,23 +8,39 @@ from __future__ import annotations
 import tempfile
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 NODES = "graph_id string, node_seq long, id string, type string, name string, namespace string, risk_score double, is_source boolean, is_sink boolean, cves array<string>"
 EDGES = "graph_id string, edge_seq long, source string, target string, relationship string, weight double, cve string, cvss double"
 
 
+#: Identifiers that may be broadcast (some 10 MB).
+FEW_IDENTIFIERS = 100_000
+
+
 @dataclass(frozen=True)
 class Graph:
     nodes: DataFrame
     edges: DataFrame
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that spark.checkpoint.dir names; only where none is set, one of its own."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for what jobs write in between: the checkpoint folder that is set, or spark.checkpoint.dir, or, on one machine only, a temporary one."""
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        master = context.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -36,7 +52,7 @@ def upsert_nodes(nodes: DataFrame) -> DataFrame:
 
 
 def _ends(edges: DataFrame, nodes: DataFrame, how: str) -> DataFrame:
-    ids = nodes.select("graph_id", "id").distinct()
+    ids = nodes.select("graph_id", "id")
     for end in ("source", "target"):
         edges = edges.join(ids.withColumnRenamed("id", end), ["graph_id", end], how)
     return edges
@@ -96,15 +112,16 @@ def sinks(graph: Graph) -> DataFrame:
 def resolve(identifiers: DataFrame, nodes: DataFrame) -> DataFrame:
     """identifiers (graph_id, identifier) with node: an exact id, else the first node so named (in any case), else the only id that contains it (in any case), else null.
 
-    The exact and named matches are equi-joins; only identifiers that those leave are compared with all ids of their graph.
+    The exact and named matches are equi-joins; only identifiers that those leave are compared with all ids of their graph. While they
+    are few, they are sent to where the nodes are, so that a graph of very many nodes is no hot key.
     """
     wanted = identifiers.select("graph_id", "identifier").distinct()
     exact = wanted.join(nodes.select("graph_id", F.col("id").alias("identifier")).distinct(), ["graph_id", "identifier"]).withColumn("node", F.col("identifier"))
     rest = wanted.join(exact, ["graph_id", "identifier"], "left_anti")
     named = rest.withColumn("low", F.lower("identifier")).join(nodes.select("graph_id", F.lower("name").alias("low"), "node_seq", "id"), ["graph_id", "low"])
     named = named.groupBy("graph_id", "identifier").agg(F.min_by("id", "node_seq").alias("node"))
-    rest = rest.join(named, ["graph_id", "identifier"], "left_anti")
-    part = rest.join(nodes.select("graph_id", "id"), "graph_id").where(F.instr(F.lower("id"), F.lower("identifier")) > 0)
+    rest = cut_lineage(rest.join(named, ["graph_id", "identifier"], "left_anti"))
+    part = (F.broadcast(rest) if rest.count() <= FEW_IDENTIFIERS else rest).join(nodes.select("graph_id", "id"), "graph_id").where(F.instr(F.lower("id"), F.lower("identifier")) > 0)
     part = part.groupBy("graph_id", "identifier").agg(F.count("*").alias("n"), F.min("id").alias("node")).where("n = 1").drop("n")
     found = exact.unionByName(named).unionByName(part)
     return wanted.join(found, ["graph_id", "identifier"], "left")
@@ -125,6 +142,14 @@ def counts(graph: Graph) -> DataFrame:
     return nodes.join(edges, "graph_id", "left").select("graph_id", "nodes", F.coalesce("edges", F.lit(0)).alias("edges"), "sources", "sinks")
 
 
+def histograms(graph: Graph) -> DataFrame:
+    """(graph_id, node_types, relationship_types): maps of counts."""
+    listed = lambda df, column: df.groupBy("graph_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(column, "n")))).alias(f"{column}s"))
+    types, relationships = listed(type_counts(graph), "type"), listed(relationship_counts(graph), "relationship")
+    empty = F.create_map().cast("map<string, bigint>")
+    return types.join(relationships, "graph_id", "left").select("graph_id", F.col("types").alias("node_types"), F.coalesce("relationships", empty).alias("relationship_types"))
+
+
 def connections(graph: Graph) -> DataFrame:
     """Each node's edges, out and in, with the name of the node at the other end."""
     names = graph.nodes.select("graph_id", F.col("id").alias("other"), F.coalesce("name", "id").alias("other_name"))

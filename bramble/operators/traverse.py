@@ -6,7 +6,7 @@ starts advance together, so the count of rounds is that of the longest traversal
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bramble.functions.scoring import severity
 from bramble.operators.components import connected_components
@@ -66,47 +66,61 @@ def hops_to_sinks(graph: Graph, cutoff: int | None = None) -> DataFrame:
     return cut_lineage(found)
 
 
-def _hop(edges: DataFrame) -> DataFrame:
-    return edges.select("graph_id", F.col("source").alias("node"), F.col("target").alias("next"), "relationship", "weight", "cve", "cvss")
-
-
 def cheapest_paths(graph: Graph, starts: DataFrame, towards: DataFrame | None = None) -> DataFrame:
-    """The cheapest path from each start (graph_id, start) to each node it reaches, itself included.
+    """(graph_id, start, node, cost, hops, path): the cheapest path from each start (graph_id, start) to each node it reaches, itself included.
 
-    Label correcting: a round relaxes the edges of all labels that the last one improved. Ties go to fewer hops, then to the
+    Label correcting: a round relaxes the edges of the labels that the last one found, keeps the best new label of each node, and drops
+    those that an older label of the node beats; labels are written once and never again. Ties go to fewer hops, then to the
     smaller array of nodes. towards (graph_id, node) restricts the search to those nodes. Negative weights raise ValueError.
     """
     if not graph.edges.where("weight < 0").isEmpty():
         raise ValueError("weights must not be negative")
-    steps = _hop(graph.edges).where("node != next")
+    steps = graph.edges.select("graph_id", F.col("source").alias("node"), F.col("target").alias("next"), "weight").where("node != next")
     if towards is not None:
         steps = steps.join(towards.select("graph_id", F.col("node").alias("next")), ["graph_id", "next"], "left_semi")
     steps = cut_lineage(steps)
-    empty = lambda kind: F.array().cast(f"array<{kind}>")
-    label = F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.array("start").alias("path"), empty("string").alias("relationships"), empty("string").alias("cves"), empty("double").alias("cvss"), F.lit(0).alias("turn"))
-    best = cut_lineage(starts.distinct().select("graph_id", "start", F.col("start").alias("node"), label.alias("label")))
-    turn = 0
+    keys = ["graph_id", "start", "node"]
+    label = F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.array("start").alias("path"))
+    front = cut_lineage(starts.distinct().select("graph_id", "start", F.col("start").alias("node"), label.alias("label")))
+    known, rounds = front, 0
     while True:
-        turn += 1
-        front = best.where(F.col("label.turn") == turn - 1)
-        new = front.join(steps, ["graph_id", "node"]).select(
-            "graph_id", "start", F.col("next").alias("node"),
-            F.struct((F.col("label.cost") + F.col("weight")).alias("cost"), (F.col("label.hops") + 1).alias("hops"), F.concat("label.path", F.array("next")).alias("path"), F.concat("label.relationships", F.array("relationship")).alias("relationships"), F.concat("label.cves", F.array("cve")).alias("cves"), F.concat("label.cvss", F.array("cvss")).alias("cvss"), F.lit(turn).alias("turn")).alias("label"),
-        )
-        # A label that was there stays if nothing beats it; its turn is then an old one.
-        best = cut_lineage(best.unionByName(new).groupBy("graph_id", "start", "node").agg(F.min("label").alias("label")))
-        if best.where(F.col("label.turn") == turn).isEmpty():
+        longer = F.struct((F.col("label.cost") + F.col("weight")).alias("cost"), (F.col("label.hops") + 1).alias("hops"), F.concat("label.path", F.array("next")).alias("path"))
+        new = front.join(steps, ["graph_id", "node"]).select("graph_id", "start", F.col("next").alias("node"), longer.alias("label"))
+        new = new.groupBy(*keys).agg(F.min("label").alias("label")).alias("new")
+        better = F.col("old.label") <= F.col("new.label")
+        front = cut_lineage(new.join(known.alias("old"), [F.col(f"new.{k}") == F.col(f"old.{k}") for k in keys] + [better], "left_anti"))
+        if front.isEmpty():
             break
-    return best.select("graph_id", "start", "node", "label.*").drop("turn")
+        known, rounds = known.unionByName(front), rounds + 1
+    if rounds > 1:  # a node's later labels are better
+        known = known.groupBy(*keys).agg(F.min("label").alias("label"))
+    return known.select(*keys, "label.*")
+
+
+def with_details(graph: Graph, found: DataFrame) -> DataFrame:
+    """Paths (graph_id, start, node, cost, hops, path) with path_names and each hop's relationships, cves and cvss."""
+    place = F.posexplode(F.arrays_zip(F.col("path").alias("source"), F.concat(F.slice("path", 2, F.size("path")), F.array(F.lit(None).cast("string"))).alias("target"))).alias("at", "e")
+    each = found.select("graph_id", "start", "node", "cost", "hops", place).select("*", "e.*").drop("e")
+    each = each.join(graph.edges.select("graph_id", "source", "target", "relationship", "cve", "cvss"), ["graph_id", "source", "target"], "left")
+    each = each.join(graph.nodes.select("graph_id", F.col("id").alias("source"), F.coalesce("name", "id").alias("name")), ["graph_id", "source"], "left")
+    rows = F.sort_array(F.collect_list(F.struct("at", "source", "name", "relationship", "cve", "cvss"))).alias("rows")
+    out = each.groupBy("graph_id", "start", "node", "cost", "hops").agg(rows)
+    hops = F.slice("rows", 1, F.greatest(F.size("rows") - 1, F.lit(0)))
+    return out.select("graph_id", "start", "node", "cost", "hops", F.col("rows.source").alias("path"), F.col("rows.name").alias("path_names"), hops["relationship"].alias("relationships"), hops["cve"].alias("cves"), hops["cvss"].alias("cvss"))
+
+
+def _shown() -> list[Column]:
+    return [F.col("path").alias("path_nodes"), *map(F.col, ("path_names", "relationships", "cves", "cvss")), F.col("hops").alias("hop_count"), F.col("cost").alias("total_risk"), severity(F.col("cost")).alias("severity")]
 
 
 def attack_paths(graph: Graph) -> DataFrame:
-    """The cheapest path for each source and sink that it reaches, with details and severity; total_risk 0 where they are one node."""
+    """The cheapest path for each source and sink that it reaches, with names, details and severity; total_risk 0 where they are one node."""
     ends = sinks(graph).select("graph_id", F.col("id").alias("node"), F.col("node_seq").alias("sink_seq"))
     from_ = sources(graph).select("graph_id", F.col("id").alias("start"), F.col("node_seq").alias("source_seq"))
     found = cheapest_paths(graph, from_.select("graph_id", "start"), hops_to_sinks(graph))
+    found = with_details(graph, found.join(ends.select("graph_id", "node"), ["graph_id", "node"], "left_semi"))
     found = found.join(ends, ["graph_id", "node"]).join(from_, ["graph_id", "start"])
-    return found.select("graph_id", F.col("start").alias("source"), F.col("node").alias("sink"), F.col("path").alias("path_nodes"), "relationships", "cves", "cvss", F.col("hops").alias("hop_count"), F.col("cost").alias("total_risk"), severity(F.col("cost")).alias("severity"), "source_seq", "sink_seq")
+    return found.select("graph_id", F.col("start").alias("source"), F.col("node").alias("sink"), *_shown(), "source_seq", "sink_seq")
 
 
 def shortest_path(graph: Graph, pairs: DataFrame) -> DataFrame:
@@ -115,7 +129,7 @@ def shortest_path(graph: Graph, pairs: DataFrame) -> DataFrame:
         require_nodes(graph, pairs.select("graph_id", F.col(end).alias("id")))
     found = cheapest_paths(graph, pairs.select("graph_id", F.col("source").alias("start")))
     hit = found.join(pairs.select("graph_id", F.col("source").alias("start"), F.col("target").alias("node")).distinct(), ["graph_id", "start", "node"])
-    return hit.select("graph_id", F.col("start").alias("source"), F.col("node").alias("target"), F.col("path").alias("path_nodes"), "relationships", "cves", "cvss", F.col("hops").alias("hop_count"), F.col("cost").alias("total_risk"), severity(F.col("cost")).alias("severity"))
+    return with_details(graph, hit).select("graph_id", F.col("start").alias("source"), F.col("node").alias("target"), *_shown())
 
 
 def ranked(paths: DataFrame) -> DataFrame:
@@ -202,8 +216,13 @@ def is_dag(graph: Graph) -> DataFrame:
 
 
 def weak_components(graph: Graph) -> DataFrame:
-    """(graph_id, components): the count of undirected components; lone nodes count."""
-    mark = lambda end: F.to_json(F.array("graph_id", end))
+    """(graph_id, components): the count of undirected components; lone nodes count.
+
+    Nodes go by a 64-bit hash while no two have the same one, else by graph and id.
+    """
+    short, long = (lambda end: F.xxhash64("graph_id", end)), (lambda end: F.struct("graph_id", F.col(end).alias("id")))
+    total = graph.nodes.select(F.count("*"), F.count_distinct(short("id"))).first()
+    mark = short if total[0] == total[1] else long
     found = connected_components(graph.edges.select(mark("source").alias("u"), mark("target").alias("v")), cut_lineage)
     nodes = graph.nodes.withColumn("node", mark("id")).join(found, "node", "left")
     return nodes.groupBy("graph_id").agg(F.count_distinct(F.coalesce("component", "node")).alias("components"))
@@ -229,6 +248,13 @@ def cycles(graph: Graph, max_len: int | None = None, max_cycles: int | None = No
     return done.select("graph_id", "cycle", "risk", F.size("cycle").alias("length"))
 
 
+def with_cycle_names(graph: Graph, found: DataFrame) -> DataFrame:
+    """Cycles with cycle_names, the names of their nodes."""
+    each = found.select("graph_id", "cycle", F.posexplode("cycle").alias("at", "id")).join(graph.nodes.select("graph_id", "id", F.coalesce("name", "id").alias("name")), ["graph_id", "id"])
+    names = each.groupBy("graph_id", "cycle").agg(F.sort_array(F.collect_list(F.struct("at", "name")))["name"].alias("cycle_names"))
+    return found.join(names, ["graph_id", "cycle"])
+
+
 def cycle_edges(found: DataFrame) -> DataFrame:
     """(graph_id, cycle, at, source, target) for each edge round each cycle."""
     pairs = F.arrays_zip(F.col("cycle").alias("s"), F.concat(F.slice("cycle", 2, F.size("cycle")), F.slice("cycle", 1, 1)).alias("t"))

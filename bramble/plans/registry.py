@@ -22,10 +22,20 @@ def _events(spark: SparkSession, sf_dir: str) -> g.Graph:
     return g.kept(g.build(views.event_graphs(spark, sf_dir)))
 
 
-def _halves(spark: SparkSession, sf_dir: str) -> tuple[g.Graph, DataFrame]:
-    graph = g.kept(g.build(views.event_graphs(spark, sf_dir, by_half=True)))
-    users = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").cast("string").alias("u")).distinct()
-    return graph, users.select(F.concat("u", F.lit("/1")).alias("old_graph_id"), F.concat("u", F.lit("/2")).alias("new_graph_id"))
+#: Steps above this weight are rare enough that some users' graphs have no cycle, and fall apart.
+HEAVY = 150.0
+
+
+def _heavy(spark: SparkSession, sf_dir: str) -> g.Graph:
+    return g.kept(g.build(views.event_graphs(spark, sf_dir, least=HEAVY)))
+
+
+def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[g.Graph, DataFrame]:
+    """Graphs of three days each, and the pairs of a user's consecutive ones."""
+    graph = g.kept(g.build(views.event_graphs(spark, sf_dir, snapshots=True)))
+    user = F.col("user_id").cast("string")
+    seen = spark.read.parquet(f"{sf_dir}/events.parquet").select(user.alias("cluster"), views.snapshot().alias("snapshot")).distinct()
+    return graph, diff.consecutive(seen.withColumn("graph_id", F.concat("cluster", F.lit("/"), "snapshot")))
 
 
 def _supply(spark: SparkSession, sf_dir: str) -> g.Graph:
@@ -116,12 +126,12 @@ def relationship_counts(spark, sf_dir):
 
 @query
 def is_dag(spark, sf_dir):
-    return t.is_dag(_events(spark, sf_dir))
+    return t.is_dag(_heavy(spark, sf_dir))
 
 
 @query
 def weak_components(spark, sf_dir):
-    return t.weak_components(_events(spark, sf_dir))
+    return t.weak_components(_heavy(spark, sf_dir))
 
 
 @query
@@ -175,12 +185,12 @@ def shortest_path(spark, sf_dir):
     graph = _events(spark, sf_dir)
     ends = g.sinks(graph).select("graph_id", F.col("id").alias("target"))
     found = t.shortest_path(graph, g.sources(graph).select("graph_id", F.col("id").alias("source")).join(ends, "graph_id"))
-    return found.select("graph_id", "source", "target", _text("path_nodes"), "hop_count", "total_risk", "severity")
+    return found.select("graph_id", "source", "target", _text("path_nodes"), _text("path_names"), "hop_count", "total_risk", "severity")
 
 
 @query
 def attack_paths(spark, sf_dir):
-    return _paths(spark, sf_dir)[1].select("graph_id", "source", "sink", _text("path_nodes"), _text("relationships"), "hop_count", "total_risk", "severity")
+    return _paths(spark, sf_dir)[1].select("graph_id", "source", "sink", _text("path_nodes"), _text("path_names"), _text("relationships"), "hop_count", "total_risk", "severity")
 
 
 @query
@@ -225,7 +235,8 @@ def top_node_risk(spark, sf_dir):
 
 @query
 def cycles(spark, sf_dir):
-    return t.cycles(_events(spark, sf_dir)).select("graph_id", _text("cycle"), "length")
+    graph = _events(spark, sf_dir)
+    return t.with_cycle_names(graph, t.cycles(graph)).select("graph_id", _text("cycle"), _text("cycle_names"), "length")
 
 
 @query
@@ -273,28 +284,28 @@ def risk_summary(spark, sf_dir):
     return assess.risk_summary(graph, t.attack_paths(graph), t.cycles(graph), t.path_counts(simple), t.critical_nodes(graph, simple))
 
 
-def _findings(found: DataFrame, main: int) -> DataFrame:
-    return found.select("severity", "category", F.array_join(F.slice("affected_nodes", 1, main), ">").alias("main"), (F.size("affected_nodes") - main).cast("long").alias("others"))
+def _findings(found: DataFrame) -> DataFrame:
+    return found.select("severity", "category", _text("affected_nodes"))
 
 
 @query
 def cluster_admin(spark, sf_dir):
-    return _findings(rbac.cluster_admin(_supply(spark, sf_dir)), 2)
+    return _findings(rbac.cluster_admin(_supply(spark, sf_dir)))
 
 
 @query
 def wildcard_roles(spark, sf_dir):
-    return _findings(rbac.wildcard_roles(_supply(spark, sf_dir)), 1)
+    return _findings(rbac.wildcard_roles(_supply(spark, sf_dir)))
 
 
 @query
 def escalation_chains(spark, sf_dir):
-    return _findings(rbac.escalation_chains(_supply(spark, sf_dir)), 3)
+    return _findings(rbac.escalation_chains(_supply(spark, sf_dir)))
 
 
 @query
 def default_sa(spark, sf_dir):
-    return _findings(rbac.default_accounts(_supply(spark, sf_dir)), 2)
+    return _findings(rbac.default_accounts(_supply(spark, sf_dir)))
 
 
 @query
@@ -307,55 +318,56 @@ def rbac_totals(spark, sf_dir):
 
 @query
 def node_diff(spark, sf_dir):
-    return diff.node_diff(*_halves(spark, sf_dir)).drop("name")
+    return diff.node_diff(*_snapshots(spark, sf_dir))
 
 
 @query
 def edge_diff(spark, sf_dir):
-    return diff.edge_diff(*_halves(spark, sf_dir))
+    return diff.edge_diff(*_snapshots(spark, sf_dir))
 
 
 @query
 def path_diff(spark, sf_dir):
-    graph, pairs = _halves(spark, sf_dir)
-    return diff.path_diff(t.attack_paths(graph), pairs).withColumn("path_nodes", _text("path_nodes")).drop("total_risk")
+    graph, pairs = _snapshots(spark, sf_dir)
+    return diff.path_diff(t.attack_paths(graph), pairs).withColumn("path_nodes", _text("path_nodes"))
 
 
 @query
 def diff_counts(spark, sf_dir):
-    graph, pairs = _halves(spark, sf_dir)
+    graph, pairs = _snapshots(spark, sf_dir)
     return diff.diff_counts(diff.node_diff(graph, pairs), diff.edge_diff(graph, pairs), diff.path_diff(t.attack_paths(graph), pairs))
 
 
-# Advice; the wording is ours, so the SQL has its structure
+# Advice
 
 
 @query
 def path_remediation(spark, sf_dir):
-    return advise.path_remediation(*_paths(spark, sf_dir)).drop("text")
+    return advise.path_remediation(*_paths(spark, sf_dir))
 
 
 @query
 def critical_remediation(spark, sf_dir):
     graph, simple = _simple(spark, sf_dir)
-    return advise.critical_remediation(graph, t.critical_nodes(graph, simple)).groupBy("graph_id", "rank").agg(F.count("*").alias("lines"))
+    return advise.critical_remediation(graph, t.critical_nodes(graph, simple))
 
 
 @query
 def cycle_remediation(spark, sf_dir):
     graph = _events(spark, sf_dir)
-    return advise.cycle_remediation(graph, t.cycles(graph)).drop("text")
+    return advise.cycle_remediation(graph, t.cycles(graph))
 
 
 @query
 def path_explanation(spark, sf_dir):
     graph, paths = _paths(spark, sf_dir)
-    return advise.path_explanation(graph, assess.classified(graph, paths)).drop("text")
+    return advise.path_explanation(graph, assess.classified(graph, paths))
 
 
 @query
 def critical_explanation(spark, sf_dir):
-    return advise.critical_explanation(t.critical_nodes(*_simple(spark, sf_dir)))
+    graph, simple = _simple(spark, sf_dir)
+    return advise.critical_explanation(graph, t.critical_nodes(graph, simple))
 
 
 @query
@@ -422,10 +434,11 @@ def report_bundle(spark, sf_dir):
     graph, simple = _simple(spark, sf_dir)
     simple = g.cut_lineage(simple)
     paths, rings, critical = g.cut_lineage(t.attack_paths(graph)), g.cut_lineage(t.cycles(graph)), g.cut_lineage(t.critical_nodes(graph, simple))
-    return bundles.report_bundle(graph, paths, t.blast_radius(graph), rings, critical, advise.path_remediation(graph, paths), advise.critical_remediation(graph, critical), advise.cycle_remediation(graph, rings), "2024-01-31T00:00:00")
+    return bundles.report_bundle(graph, paths, t.blast_radius(graph), rings, critical, t.path_counts(simple), advise.path_remediation(graph, paths), advise.critical_remediation(graph, critical), advise.cycle_remediation(graph, rings), "2024-01-31T00:00:00")
 
 
 @query
 def display_bundle(spark, sf_dir):
     graph, simple = _simple(spark, sf_dir)
-    return bundles.display_bundle(graph, assess.classified(graph, t.attack_paths(graph)), t.blast_radius(graph), t.cycles(graph), t.critical_nodes(graph, simple))
+    simple = g.cut_lineage(simple)
+    return bundles.display_bundle(graph, assess.classified(graph, t.attack_paths(graph)), t.blast_radius(graph), t.cycles(graph), t.critical_nodes(graph, simple), t.path_counts(simple), "2024-01-31T00:00:00")

@@ -30,10 +30,30 @@ def tables(documents: DataFrame) -> Graph:
     return Graph(nodes, edges.select("graph_id", F.col("edge_seq").cast("long").alias("edge_seq"), "e.*"))
 
 
-def read_graphs(spark: SparkSession, paths: str | list[str]) -> Graph:
-    """Graph documents from JSON files, one each; graph_id is the file's name. Missing files and broken JSON raise."""
+def graph_of_file(root: str | None = None) -> Column:
+    """The name of the file that is read, less its ending; with a root, its path below that."""
+    if root is None:
+        return F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1)
+    below = F.substring_index(F.input_file_name(), root.rstrip("/") + "/", -1)
+    return F.regexp_replace(below, r"\.[^./]*$", "")
+
+
+def require_own_names(spark: SparkSession, paths: str | list[str], root: str | None) -> None:
+    """ValueError if two files would give graphs of one name."""
+    files = spark.read.format("binaryFile").load(paths).select("path", graph_of_file(root).alias("graph_id"))
+    again = files.groupBy("graph_id").agg(F.sort_array(F.collect_set("path")).alias("paths")).where(F.size("paths") > 1).take(1)
+    if again:
+        raise ValueError(f"several files for the graph {again[0].graph_id!r}: {again[0].paths[:2]}; give a root to name graphs by their paths below it")
+
+
+def read_graphs(spark: SparkSession, paths: str | list[str], root: str | None = None) -> Graph:
+    """Graph documents from JSON files, one each; graph_id is the file's name, or, with a root, its path below that.
+
+    Missing files and broken JSON raise, and so do files of one name.
+    """
+    require_own_names(spark, paths, root)
     found = spark.read.schema(DOCUMENT).option("multiLine", True).option("mode", "FAILFAST").json(paths)
-    return tables(found.withColumn("graph_id", F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1)))
+    return tables(found.withColumn("graph_id", graph_of_file(root)))
 
 
 def documents(graph: Graph) -> DataFrame:

@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from bramble.functions import rules
 from bramble.functions.scoring import severity
 from bramble.operators import advise, assess, bundles, diff, graph as g, rbac, traverse as t
 from bramble.sources import graph_json, k8s
@@ -16,6 +17,12 @@ UNIT_NODES = [("A", "pod", "entry-pod", 3.0, 1, 0), ("B", "serviceaccount", "tes
 UNIT_EDGES = [("A", "B", "runs_as", 2.0), ("B", "C", "binds_to", 3.0), ("C", "D", "accesses", 5.0), ("B", "E", "binds_to", 2.5), ("E", "D", "grants", 4.0), ("F", "G", "exposes", 2.0), ("G", "D", "accesses", 6.0), ("C", "B", "escalates_to", 3.0, "CVE-TEST-001", 7.5)]
 
 
+SUMMARY = {
+    "total_nodes": 7, "total_edges": 8, "node_types": {"pod": 1, "role": 1, "rolebinding": 1, "secret": 1, "service": 1, "serviceaccount": 2}, "source_nodes": 2, "sink_nodes": 1, "is_dag": False, "weakly_connected_components": 1,
+    "relationship_types": {"accesses": 2, "binds_to": 2, "escalates_to": 1, "exposes": 1, "grants": 1, "runs_as": 1},
+}
+
+
 def make(spark, nodes, edges, graph_id="u"):
     n = [(graph_id, i, x[0], x[1], x[2], "test", float(x[3]), bool(x[4]), bool(x[5]), []) for i, x in enumerate(nodes)]
     e = [(graph_id, i, x[0], x[1], x[2], float(x[3]), *(x[4:] or (None, None))) for i, x in enumerate(edges)]
@@ -92,13 +99,104 @@ def test_unit_advice(unit, unit_paths, unit_simple):
     fixes = advise.path_remediation(unit, unit_paths).where("source = 'A'").collect()
     assert {(r.hop, r.part) for r in fixes} == {(1, 1), (1, 3), (2, 1), (2, 3), (3, 1), (3, 3)}
     lines = advise.path_explanation(unit, assess.classified(unit, unit_paths)).where("source = 'F'").orderBy("step").collect()
-    assert len(lines) == 4 and lines[1].text == "The service external-svc exposes the serviceaccount svc-sa."
+    assert [r.text for r in lines] == [
+        "Whoever takes over the service 'external-svc' gets to the secret 'target-secret', hops: 2. Severity MEDIUM; Credential Theft, Data Exfiltration.",
+        "The service 'external-svc' opens the way to the service account 'svc-sa'.",
+        "The service account 'svc-sa' gets into the secret 'target-secret'.",
+        "The risk adds up to 8.00, and the secret 'target-secret' is lost.",
+    ]
     critical = t.critical_nodes(unit, unit_simple)
-    assert advise.critical_explanation(critical).first().top.startswith("test-sa lies on 2 of 3")
+    said = advise.critical_explanation(unit, critical).first()
+    assert said.top == "The service account 'test-sa' lies on 2 of 3 paths (66.7%)." and said.others == "test-role (1), test-binding (1), svc-sa (1)"
+    assert advise.critical_explanation(unit, critical.limit(0)).first().top == "No single node stands out."
+    hardened = advise.critical_remediation(unit, critical).where("rank = 1").orderBy("part").collect()
+    assert [r.text for r in hardened] == ["Harden serviceaccount test-sa: 2 of 3 paths run through it.", rules.TYPE_FIXES["serviceaccount"], "First, restrict the account test-sa."]
     rings = t.cycles(unit)
-    assert advise.cycle_remediation(unit, rings).first().ring == "B > C > B"
-    doc = json.loads(bundles.report_bundle(unit, unit_paths, t.blast_radius(unit), rings, critical, advise.path_remediation(unit, unit_paths), advise.critical_remediation(unit, critical), advise.cycle_remediation(unit, rings), "now").first().document)
-    assert doc["summary"]["nodes"] == 7 and len(doc["attack_paths"]) == 2 and doc["attack_paths"][0]["source"] == "F"
+    assert {(r.ring, r.break_edge, r.text) for r in advise.cycle_remediation(unit, rings).collect()} == {("test-sa > test-role > test-sa", "B > C", rules.FIXES["binds_to"]), (None, None, "Cycles to break: 1.")}
+
+
+def test_rule_keys():
+    """The tables have the keys that their values must match."""
+    assert set(rules.FIXES) == set(rules.VERBS) == set(rules.WEIGHTS)
+    assert set(rules.TYPE_FIXES) == {"serviceaccount", "role", "clusterrole", "rolebinding", "clusterrolebinding", "secret", "pod", "service", "configmap"}
+    assert set(rules.NOUNS) == set(rules.RISKS) - {"namespace"}
+
+
+def test_flaws_and_names(spark):
+    """CVEs with and without a score, unknown relationships and types, and names as they are written."""
+    graph = g.kept(g.build(make(spark, [("a", "pod", "WebFront-7", 1, 1, 0), ("b", "Robot", "R2", 1, 0, 0), ("c", "configmap", "Map", 1, 0, 1)], [("a", "b", "befriends", 1, "CVE-1", None), ("b", "c", "writes", 1, "CVE-2", 9.85)])))
+    paths = t.attack_paths(graph)
+    lines = advise.path_explanation(graph, assess.classified(graph, paths)).orderBy("step").collect()
+    assert lines[1].text == "The pod 'WebFront-7' leads by befriends to the robot 'R2'. It uses CVE-1."
+    assert lines[2].text == "The robot 'R2' may change the config map 'Map'. It uses CVE-2 (CVSS 9.8)."
+    fixes = {(r.hop, r.part): r.text for r in advise.path_remediation(graph, paths).collect()}
+    assert fixes == {(1, 1): "WebFront-7 > R2: Review befriends from WebFront-7 to R2.", (1, 2): "Patch CVE-1 (CVSS 0.0).", (2, 1): f"R2 > Map: {rules.FIXES['writes']}", (2, 2): "Patch CVE-2 (CVSS 9.8).", (2, 3): rules.TYPE_FIXES["configmap"]}
+
+
+def test_report_document(unit, unit_paths, unit_simple):
+    rings, critical = t.cycles(unit), t.critical_nodes(unit, unit_simple)
+    fixes = advise.path_remediation(unit, unit_paths)
+    doc = json.loads(bundles.report_bundle(unit, unit_paths, t.blast_radius(unit), rings, critical, t.path_counts(unit_simple), fixes, advise.critical_remediation(unit, critical), advise.cycle_remediation(unit, rings), "now").first().document)
+    assert list(doc) == ["metadata", "graph_summary", "attack_paths", "blast_radius", "cycles", "critical_nodes", "remediation"]
+    assert doc["metadata"] == {"generated_at": "now", "graph_id": "u"}
+    assert doc["graph_summary"] == SUMMARY
+    assert doc["attack_paths"][1] == {"path_nodes": ["A", "B", "E", "D"], "path_names": ["entry-pod", "test-sa", "test-binding", "target-secret"], "relationships": ["runs_as", "binds_to", "grants"], "cves": [None] * 3, "cvss_scores": [None] * 3, "hop_count": 3, "total_risk": 8.5, "severity": "MEDIUM"}
+    assert doc["blast_radius"] == [{"source": "A", "max_depth": 3, "layers": {"1": ["B"], "2": ["C", "E"], "3": ["D"]}, "total_affected": 4}, {"source": "F", "max_depth": 3, "layers": {"1": ["G"], "2": ["D"]}, "total_affected": 2}]
+    assert doc["cycles"] == {"cycles": [["B", "C"]], "cycle_names": [["test-sa", "test-role"]], "total_cycles": 1}
+    assert doc["critical_nodes"]["total_paths_baseline"] == 3 and doc["critical_nodes"]["top_nodes"][0] == {"id": "B", "name": "test-sa", "paths_eliminated": 2}
+    remediation = doc["remediation"]
+    assert [(x["path_index"], len(x["fixes"])) for x in remediation["path_fixes"]] == [(0, 4), (1, 6)]
+    assert len(remediation["critical_node_fixes"]) == 12 and len(remediation["cycle_fixes"]) == 2
+
+
+def test_display_document(unit, unit_paths, unit_simple):
+    doc = json.loads(bundles.display_bundle(unit, assess.classified(unit, unit_paths), t.blast_radius(unit), t.cycles(unit), t.critical_nodes(unit, unit_simple), t.path_counts(unit_simple), "now").first().document)
+    assert list(doc) == ["metadata", "graph_summary", "nodes", "edges", "attack_paths", "cycles", "critical_node", "blast_radius"]
+    assert doc["graph_summary"] == SUMMARY
+    assert doc["nodes"][3] == {"id": "D", "name": "target-secret", "type": "secret", "namespace": "test", "risk_score": 8.0, "is_source": False, "is_sink": True, "cves": []}
+    assert doc["edges"][-1] == {"source": "C", "target": "B", "relationship": "escalates_to", "weight": 3.0, "cve": "CVE-TEST-001", "cvss": 7.5} and doc["edges"][0]["cve"] is None
+    assert [(x["path_names"][0], x["advanced_score"], x["categories"]) for x in doc["attack_paths"]] == [("external-svc", 5.2, ["Credential Theft", "Data Exfiltration"]), ("entry-pod", 5.7, ["Data Exfiltration", "Privilege Escalation"])]
+    assert doc["cycles"] == [{"node_ids": ["B", "C"], "node_names": ["test-sa", "test-role"]}]
+    assert doc["critical_node"]["baseline_paths"] == 3 and [x["id"] for x in doc["critical_node"]["top_nodes"]] == ["B", "C", "E", "G"]
+    assert doc["blast_radius"][1] == {"source": "F", "source_name": "external-svc", "max_depth": 3, "total_affected": 2, "layers": {"1": ["G"], "2": ["D"]}}
+
+
+def test_bare_documents(spark):
+    """A graph without edges, sources and sinks has whole documents too."""
+    graph = g.kept(g.build(make(spark, [("a", "pod", "a", 1, 0, 0)], [("a", "z", "uses", 1)])))
+    simple, none = t.simple_paths(graph), t.attack_paths(graph)
+    doc = json.loads(bundles.report_bundle(graph, none, t.blast_radius(graph), t.cycles(graph), t.critical_nodes(graph, simple), t.path_counts(simple), advise.path_remediation(graph, none), advise.critical_remediation(graph, t.critical_nodes(graph, simple)), advise.cycle_remediation(graph, t.cycles(graph)), "now").first().document)
+    assert doc["attack_paths"] == doc["blast_radius"] == doc["remediation"]["path_fixes"] == [] and doc["graph_summary"]["is_dag"] is True
+    assert doc["cycles"] == {"cycles": [], "cycle_names": [], "total_cycles": 0} and doc["critical_nodes"] == {"top_nodes": [], "total_paths_baseline": 0}
+    assert doc["remediation"]["critical_node_fixes"] == ["No single node breaks a path."] and doc["remediation"]["cycle_fixes"] == ["There is no cycle."]
+
+
+def test_names_of_files(spark, tmp_path):
+    for folder in ("east", "west"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "graph.json").write_text(json.dumps({"nodes": [{"id": folder, "type": "pod", "name": "x", "namespace": "n", "risk_score": 1}]}))
+    files = [str(tmp_path / f / "graph.json") for f in ("east", "west")]
+    with pytest.raises(ValueError, match="several files"):
+        graph_json.read_graphs(spark, files)
+    got = graph_json.read_graphs(spark, files, root=str(tmp_path)).nodes.collect()
+    assert {(r.graph_id, r.id) for r in got} == {("east/graph", "east"), ("west/graph", "west")}
+
+
+def test_write_result(unit_paths, spark, tmp_path):
+    for form in ("parquet", "json"):
+        graph_json.write_result(unit_paths, f"{tmp_path}/{form}", form)
+        again = spark.read.format(form).load(f"{tmp_path}/{form}").collect()
+        assert sorted((r.graph_id, r.source, r.total_risk) for r in again) == [("u", "A", 8.5), ("u", "F", 8.0)]
+
+
+def test_own_tables(spark):
+    """A caller's own weights and risks take the place of the defaults."""
+    item = spark.createDataFrame([("c", 0)], "graph_id string, seq long")
+    parse = lambda kind, text: item.withColumn("item", F.from_json(F.lit(text), f"struct<{k8s.ITEMS[kind].replace('metadata struct', 'metadata: struct').replace('spec struct', 'spec: struct').replace('roleRef struct', 'roleRef: struct').replace('subjects array', 'subjects: array')}>"))
+    dumps = {k: parse(k, "{}").where("false") for k in k8s.ITEMS} | {"pods": parse("pods", '{"metadata": {"name": "p"}, "spec": {"serviceAccountName": "s"}}')}
+    raw = k8s.assemble(dumps, weights=rules.WEIGHTS | {"runs_as": 9.0}, risks=rules.RISKS | {"pod": 1.5, "serviceaccount": 2.5})
+    assert {(r.id, r.risk_score) for r in raw.nodes.collect()} == {("pod:default/p", 1.5), ("serviceaccount:default/s", 2.5)}
+    assert raw.edges.first().weight == 9.0
 
 
 def test_collapse_order(spark):
