@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from bramble.operators.graph import cut_lineage, shared_folder  # noqa: F401
+
 #: The key of rows without an id: they come after all others.
 LAST = (1 << 63) - 1
 
@@ -20,14 +21,6 @@ def key(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that spark.checkpoint.dir names; only where none is set (tests), one of its own."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint()
-
-
 def small_or_not(df: DataFrame, rows: int) -> DataFrame:
     """Marks a checkpointed table for broadcast if it has at most so many (narrow) rows; else Spark joins it by shuffling."""
     return F.broadcast(df) if df.count() <= rows else df

@@ -1,79 +1,97 @@
 """Document fingerprints: canonical exact digests, built of DataFrame operations only.
 
-The canonical form of a text is Unicode-normalised, case-folded, and has its white space folded
-to single spaces. Its fingerprint is a 128-bit xxhash in hexadecimal. Where a bucket of equal
-fingerprints holds texts whose canonical bytes differ, the fingerprint is lengthened by a
-SHA-256 of them, so that equal fingerprints mean equal bytes.
+The canonical form of a text is Unicode-normalised (compatibility decomposition, marks in canonical order),
+case-folded, and has its white space folded to single spaces. Its fingerprint is a 128-bit xxhash in
+hexadecimal. Where a bucket of equal fingerprints holds texts whose canonical bytes differ, the fingerprint is
+lengthened by a SHA-256 of them, so that equal fingerprints mean equal bytes.
 """
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from bramble.llm import splitters
 from bramble.llm.common import cut_lineage, key, small_or_not
-from bramble.llm.sharding import boundaries, range_of
 
 #: Fingerprints of more than one document that may be broadcast (some 30 MB).
 FEW_BUCKETS = 200_000
-#: Rows of a range of ids, as far as the number of ranges allows.
-ROWS = 2000
+#: Ranges of ids at least, and bytes of text in a range.
+LEAST, BYTES = 1024, 1 << 26
 
 _SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
-_MARK = range(0x300, 0x370)
+_HANGUL = range(0xAC00, 0xD7A4)
+_BETWEEN = chr(0x1F)
 
 
-def _single_maps() -> tuple[str, str]:
-    """Characters of the basic plane that compatibility normalisation turns into one other character, and those."""
-    pairs = [(chr(c), n) for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000 and len(n := unicodedata.normalize("NFKC", chr(c))) == 1 and n != chr(c)]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+def _characters() -> list[str]:
+    return [chr(c) for c in range(0x80, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and c not in _HANGUL]
 
 
-def _compositions() -> list[tuple[str, str, str]]:
-    """(mark, bases, composed characters) for each combining mark U+0300 to U+036F that composes."""
-    found: dict[str, list[tuple[str, str]]] = {}
-    for c in range(0xC0, 0x2000):
-        parts = unicodedata.decomposition(chr(c)).split()
-        if len(parts) == 2 and parts[0][0] != "<" and int(parts[1], 16) in _MARK and unicodedata.normalize("NFC", chr(c)) == chr(c):
-            found.setdefault(chr(int(parts[1], 16)), []).append((chr(int(parts[0], 16)), chr(c)))
-    order = sorted(found, key=lambda m: (unicodedata.combining(m), m))
-    return [(m, "".join(b for b, _ in found[m]), "".join(c for _, c in found[m])) for m in order]
+@lru_cache
+def _decompositions() -> tuple[str, str]:
+    """The characters with a decomposition, but for Hangul syllables, in order; and those decompositions, set apart."""
+    pairs = [(c, d) for c in _characters() if (d := unicodedata.normalize("NFKD", c)) != c]
+    return "".join(c for c, _ in pairs), _BETWEEN.join(d for _, d in pairs)
 
 
-def _compose(text: Column, mark: Column, bases: Column, composed: Column) -> Column:
-    parts = F.split(text, mark)
-    last = F.size(parts) - 1
+@lru_cache
+def _mark_classes() -> tuple[str, str]:
+    """All combining marks, and for each a character that ascends with its class."""
+    marks = [c for c in _characters() if unicodedata.combining(c)]
+    return "".join(marks), "".join(chr(0x100 + unicodedata.combining(c)) for c in marks)
 
-    def joined(part: Column, i: Column) -> Column:
-        end = F.right(part, F.lit(1))
-        new = F.call_function("translate", end, bases, composed)
-        return F.when(i == last, part).when(new != end, F.concat(F.left(part, F.length(part) - 1), new)).otherwise(F.concat(part, mark))
 
-    return F.array_join(F.transform(parts, joined), "")
+@lru_cache
+def _folds() -> tuple[str, str, list[tuple[str, str]]]:
+    """Where folding the case of a decomposed character is not lower case: one to one as two strings, and the others."""
+    pairs = [(low, c.casefold()) for c in _characters() if unicodedata.normalize("NFKD", c) == c and (low := c.lower()) != c.casefold()]
+    pairs = sorted(dict(pairs).items())
+    return "".join(a for a, b in pairs if len(b) == 1), "".join(b for _, b in pairs if len(b) == 1), [(a, b) for a, b in pairs if len(b) > 1]
 
 
-def normalized(text: Column) -> Column:
-    """Unicode normalisation: single-character compatibility forms, the order of marks below and above a
-    letter, and composition of letters with up to two marks U+0300 to U+036F.
+def _decomposed(text: Column) -> Column:
+    """Each of the text's distinct characters that has a decomposition is replaced by it, all over the text."""
+    known, parts = _decompositions()
+    parts = F.split(F.lit(parts), _BETWEEN)
+    syllables = [chr(c) for c in _HANGUL]
+    # Syllables without a third letter come last: translate deletes what it has no letter for.
+    order = sorted(syllables, key=lambda c: len(unicodedata.normalize("NFD", c)), reverse=True)
+    letters = ["".join(n[i] for c in order if len(n := unicodedata.normalize("NFD", c)) > i) for i in range(3)]
+    hangul = lambda c: F.concat(*[F.translate(c, "".join(order), x) for x in letters])
+    other = F.array_distinct(F.split(F.regexp_replace(text, r"[\x00-\x7F]+", ""), ""))
+    special = F.filter(other, lambda c: (c != "") & ((F.translate(c, known, "") == "") | c.between(syllables[0], syllables[-1])))
+    return F.aggregate(special, text, lambda t, c: F.replace(t, c, F.when(c.between(syllables[0], syllables[-1]), hangul(c)).otherwise(F.get(parts, F.instr(F.lit(known), c) - 1))))
 
-    Texts of ASCII, Latin-1 and Latin Extended letters alone, most texts by far, only pass the check.
-    """
-    below, above = ("".join(chr(c) for c in _MARK if unicodedata.combining(chr(c)) == k) for k in (220, 230))
-    table = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(b).alias("b"), F.lit(c).alias("c")) for m, b, c in _compositions()])
-    out = F.translate(text, *_single_maps())
-    for _ in range(2):
-        out = F.regexp_replace(out, f"([{above}])([{below}])", "$2$1")
-    for _ in range(2):
-        out = F.aggregate(table, out, lambda t, s: F.when(F.contains(t, s["m"]), _compose(t, s["m"], s["b"], s["c"])).otherwise(t))
-    return F.when(text.rlike(r"[\x{A8}\x{AA}\x{AF}\x{B2}-\x{B5}\x{B8}-\x{BA}\x{132}-\x{140}\x{149}\x{17F}\x{1C4}-\x{1CC}\x{1F1}-\x{1F3}\x{2B0}-\x{10FFFF}]"), out).otherwise(text)
+
+def _in_order(text: Column) -> Column:
+    """Runs of marks sorted by class, in their own order within one."""
+    runs = F.regexp_extract_all(text, F.lit(r"(\p{M}+|\P{M}+)"), F.lit(1))
+    marks, classes = _mark_classes()
+
+    def sorted_run(run: Column) -> Column:
+        each = F.transform(F.split(run, ""), lambda c, i: F.struct(F.translate(c, marks, classes).alias("class"), i.alias("at"), c.alias("mark")))
+        return F.array_join(F.transform(F.array_sort(each), lambda x: x["mark"]), "")
+
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^\p{M}{2}"), sorted_run(r)).otherwise(r)), "")
+
+
+def normalized(text: Column) -> Column:
+    """Unicode's compatibility decomposition. Texts of ASCII alone only pass the first check; few others have two marks in a row."""
+    ordered = lambda t: F.when(t.rlike(r"\p{M}{2}"), _in_order(t)).otherwise(t)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.get(F.transform(F.array(_decomposed(text)), ordered), 0)).otherwise(text)
 
 
 def canonical(text: Column) -> Column:
-    """Normalised, case-folded (lower case, with sharp s as ss and final sigma as sigma), white space as single spaces; null is empty."""
-    low = F.lower(normalized(F.coalesce(text, F.lit(""))))
-    folded = F.replace(F.replace(low, F.lit("\u00df"), F.lit("ss")), F.lit("\u03c2"), F.lit("\u03c3"))
-    return F.trim(F.regexp_replace(folded, _SPACE, " "))
+    """Normalised, case-folded, white space as single spaces; null is empty."""
+    one, to, more = _folds()
+    low = F.translate(F.lower(normalized(F.coalesce(text, F.lit("")))), one, to)
+    for a, b in more:
+        low = F.replace(low, F.lit(a), F.lit(b))
+    return F.trim(F.regexp_replace(low, _SPACE, " "))
 
 
 def digest(canon: Column) -> Column:
@@ -100,11 +118,14 @@ def lengthened(found: DataFrame, clashing: DataFrame | None, text_col: str, out_
 def clashes(texts: DataFrame) -> DataFrame | None:
     """Fingerprints (of columns fp, text) whose texts differ in their canonical bytes; None if there are none, as nearly always.
 
-    Only buckets of more than one text are looked at; each task keeps a bucket's least and greatest
-    bytes, so a bucket of very many copies is a row a task.
+    Each task keeps a bucket's least and greatest bytes, so a bucket of very many copies is a row a task. Where all texts of a bucket
+    have one hash as they are, they are compared as they are; the canonical form is made again only in other buckets.
     """
-    crowded = cut_lineage(texts.groupBy("fp").count().where("count > 1").select("fp"))
-    ends = texts.join(small_or_not(crowded, FEW_BUCKETS), "fp", "left_semi").select("fp", canonical(F.col("text")).cast("binary").alias("c")).groupBy("fp").agg(F.min("c").alias("a"), F.max("c").alias("z"))
+    raw = F.xxhash64("text")
+    crowded = texts.groupBy("fp").agg(F.count("*").alias("n"), F.min(raw).alias("a"), F.max(raw).alias("z")).where("n > 1")
+    crowded = small_or_not(cut_lineage(crowded.select("fp", (F.col("a") != F.col("z")).alias("differ"))), FEW_BUCKETS)
+    form = F.when(F.col("differ"), canonical(F.col("text"))).otherwise(F.coalesce("text", F.lit(""))).cast("binary")
+    ends = texts.join(crowded, "fp").select("fp", form.alias("c")).groupBy("fp").agg(F.min("c").alias("a"), F.max("c").alias("z"))
     found = cut_lineage(ends.where("a != z").select("fp"))
     return None if found.isEmpty() else found
 
@@ -112,22 +133,31 @@ def clashes(texts: DataFrame) -> DataFrame | None:
 def with_next(docs: DataFrame, also: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with next_text, the text of the document with the next smaller id (after the last: the first), and next_c of each column c in `also`.
 
-    Ids are cut into ranges of rows at sampled quantiles; each range gets a copy of the row that follows
-    its last one, so that the order is never sorted in one task. Rows of an equal id follow by a hash of their texts.
+    Ids are cut into ranges of about BYTES at sampled splitters; each range gets a copy of the row that follows
+    its last one, so that the order is never sorted in one task. Rows of an equal id follow by a hash of their texts, equal rows
+    by their place, so that one id or one row that is repeated very often still makes several ranges. Rows without an id
+    have the largest key. The table is read several times: it must be a stored one or a checkpoint.
     """
-    rows = docs.withColumns({"__doc": key(id_col), "__h": F.xxhash64(F.coalesce(text_col, F.lit("")))})
-    ids = docs.select(key(id_col).alias("__doc"))
-    bounds = boundaries(ids, "__doc", max(1, ids.count() // ROWS))
-    rows = rows.withColumn("__r", range_of(F.col("__doc"), bounds))
-    heads = rows.groupBy("__r").agg(F.max(F.struct("__doc", F.bitwise_not("__h").alias("h"))).alias("top"))
-    up = Window.orderBy("__r")
-    heads = heads.select(F.col("top.__doc").alias("__doc"), F.bitwise_not("top.h").alias("__h"), F.coalesce(F.lead("__r").over(up), F.min("__r").over(up)).alias("__to"))
-    heads = cut_lineage(heads)  # a row a range
-    copies = rows.drop("__r").join(F.broadcast(heads), ["__doc", "__h"]).dropDuplicates(["__to"]).withColumnRenamed("__to", "__r").withColumn("__copy", F.lit(1))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.withColumns({"__doc": key(id_col), "__h": F.xxhash64(text), "__s": F.monotonically_increasing_id()})
+    bytes_ = F.octet_length(text) + 1
+    total = docs.agg(F.coalesce(F.sum(bytes_), F.lit(0))).first()[0]
+    order_key = F.struct("__doc", F.bitwise_not("__h").alias("h"), F.bitwise_not("__s").alias("s"))
+    found = splitters.ranges(rows.withColumn("__w", bytes_).select("__doc", "__h", "__s", "__w"), "__doc", order_key, "__w", total, max(LEAST, -(-total // BYTES)))
+    rows = found.with_range(rows, F.col("__doc"), order_key)
+    block = F.shiftright("__r", 32).alias("__b")
+    heads = cut_lineage(rows.select("__r", "__doc", "__h", "__s").groupBy("__r").agg(F.max(order_key).alias("top")))  # a row a range
+    up = F.lead("__r").over(Window.partitionBy("__b").orderBy("__r"))
+    blocks = heads.groupBy(block).agg(F.min("__r").alias("__low"))  # splitters.BLOCKS rows at most
+    over = Window.orderBy("__b")
+    blocks = blocks.select("__b", F.coalesce(F.lead("__low").over(over), F.min("__low").over(over)).alias("__next"))
+    heads = heads.select("*", block).withColumn("__up", up).join(F.broadcast(blocks), "__b")
+    heads = heads.select(F.col("top.__doc").alias("__doc"), F.bitwise_not("top.h").alias("__h"), F.bitwise_not("top.s").alias("__s"), F.coalesce("__up", "__next").alias("__to"))
+    copies = rows.drop("__r").join(found.small(cut_lineage(heads)), ["__doc", "__h", "__s"]).withColumnRenamed("__to", "__r").withColumn("__copy", F.lit(1))
     both = rows.withColumn("__copy", F.lit(0)).unionByName(copies)
-    order = Window.partitionBy("__r").orderBy("__copy", F.desc("__doc"), "__h")
-    found = {"next_text": F.lead(F.coalesce(text_col, F.lit(""))).over(order)} | {f"next_{c}": F.lead(c).over(order) for c in also}
-    return both.withColumns(found).where("__copy = 0").drop("__doc", "__h", "__r", "__copy")
+    order = Window.partitionBy("__r").orderBy("__copy", F.desc("__doc"), "__h", "__s")
+    named = {"next_text": F.lead(F.coalesce(text_col, F.lit(""))).over(order)} | {f"next_{c}": F.lead(c).over(order) for c in also}
+    return both.withColumns(named).where("__copy = 0").drop("__doc", "__h", "__s", "__r", "__copy")
 
 
 def op3_fingerprint(spark, sf_dir: str) -> DataFrame:
