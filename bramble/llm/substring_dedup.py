@@ -6,11 +6,12 @@ sketch, one anchor for each window: the smallest hash among the shorter runs ins
 equal windows have equal anchors). An anchor's count is at least that of each window it
 stands for, so the merged sketch overestimates window counts. Pass 2 emits only windows
 whose estimate is two or more, and Spark groups them by a 96-bit hash. No repeated window
-can be lost: a sketch too small for the data lets more windows through, never fewer.
+can be lost: a crowded sketch lets more windows through, never fewer.
 
-Only the bit "counted twice" of each cell is sent to the tasks: at most MOST_CELLS / 8
-bytes, however large the corpus is. A window with very many copies is combined in each
-task before the shuffle, so it is a few rows wherever it goes.
+The sketch grows with the corpus, so it never fills. Up to MOST_CELLS its bits "counted twice" are sent to all tasks (16 MB).
+A larger one is cut into slices by anchor: each reduce task merges what the partitions counted for its
+slice and returns the anchors estimated repeated, which documents look up by a join; none of it passes the driver. A window with
+very many copies is combined in each task before the shuffle, so it is a few rows wherever it goes.
 """
 
 from __future__ import annotations
@@ -20,13 +21,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from bramble.llm import textvec as tv
-from bramble.llm.common import batch_with, key, with_fields, without
+from bramble.llm.common import LAST, batch_with, cut_lineage, with_fields, without
 
-#: Bound on the sketch, in cells of both rows together.
-MOST_CELLS = 1 << 27
+#: Bound on a sketch that is sent to all tasks, in cells of both rows together; cells of a slice of a larger one.
+MOST_CELLS, SLICE_CELLS = 1 << 27, 1 << 23
 ROWS = 2
 #: Cells in a block, the unit in which partition sketches are merged.
 BLOCK = 1 << 17
@@ -119,6 +120,83 @@ def _estimated_twice(values: np.ndarray, sketch: np.ndarray, cells: int) -> np.n
     return found
 
 
+def _sliced(window: int, slices: int) -> Callable[[Batches], Batches]:
+    """A partition's anchors with their slice, each once for what the task has just read, and whether it was there again."""
+
+    def out(parts: list[np.ndarray]) -> pa.RecordBatch:
+        anchors, n = np.unique(np.concatenate(parts), return_counts=True)
+        at = (tv.mix(anchors ^ tv.U(0x51CE)) % tv.U(slices)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(at), pa.array(anchors.view(np.int64)), pa.array(n > 1)], names=["slice", "anchor", "again"])
+
+    def find(batches: Batches) -> Batches:
+        parts, held = [], 0
+        for batch in tv.slices(batches):
+            w = _Windows(batch.column(0), window)
+            if len(w.anchors):
+                parts.append(w.anchors[np.r_[True, w.anchor_at[1:] != w.anchor_at[:-1]]])
+                held += len(parts[-1])
+            if held > COMBINE:
+                yield out(parts)
+                parts, held = [], 0
+        if parts:
+            yield out(parts)
+
+    return find
+
+
+def _slice_estimates(cells: int) -> Callable[[tuple, Batches], Batches]:
+    """Merges the partitions' counts of one slice of the sketch; what is left is its anchors estimated twice or more."""
+
+    def run(keys: tuple, batches: Batches) -> Batches:
+        once, twice, seen = np.zeros(cells, dtype=bool), np.zeros(cells, dtype=bool), []
+        for batch in batches:
+            anchors, again = batch.column(1).to_numpy().view(tv.U), batch.column(2).to_numpy(zero_copy_only=False)
+            for at in _cells(anchors, cells):
+                hit, n = np.unique(at, return_counts=True)
+                twice[hit[(n > 1) | once[hit]]] = True
+                twice[at[again]] = True
+                once[hit] = True
+            seen.append(np.unique(anchors))
+        own = np.unique(np.concatenate(seen))
+        found = np.ones(len(own), dtype=bool)
+        for at in _cells(own, cells):
+            found &= twice[at]
+        yield pa.RecordBatch.from_arrays([pa.array(own[found].view(np.int64))], names=["anchor"])
+
+    return run
+
+
+def _anchors_of(window: int) -> Callable[[Batches], Batches]:
+    """(doc, anchor) for the distinct anchors of each text."""
+
+    def run(batches: Batches) -> Batches:
+        for batch in tv.slices(batches):
+            w = _Windows(batch.column(0), window)
+            text = np.repeat(np.arange(batch.num_rows), np.diff(w.first))
+            if len(text):
+                new = np.r_[True, (w.anchor_at[1:] != w.anchor_at[:-1]) | (text[1:] != text[:-1])]
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(text[new])), pa.array(w.anchors[new].view(np.int64))], names=["doc", "anchor"])
+
+    return run
+
+
+Estimate = Callable[[pa.RecordBatch, _Windows], np.ndarray]
+
+
+def _by_sketch(cells: int, shared) -> Estimate:
+    return lambda batch, w: _estimated_twice(w.anchors, np.frombuffer(shared.value, dtype=np.uint8), cells)
+
+
+def _by_list(batch: pa.RecordBatch, w: _Windows) -> np.ndarray:
+    """Windows whose anchors the column __hot has, a list for each text."""
+    found, lists = np.zeros(len(w.anchors), dtype=bool), batch.column(batch.schema.get_field_index("__hot"))
+    for t in range(batch.num_rows):
+        if (own := lists[t].values) is not None:
+            some = slice(w.first[t], w.first[t + 1])
+            found[some] = np.isin(w.anchors[some], own.to_numpy().view(tv.U))
+    return found
+
+
 def _first_of_each(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One row for each window: its smallest document."""
     order = np.argsort(doc, kind="stable")
@@ -128,7 +206,7 @@ def _first_of_each(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> tuple[np.
     return h1[new], h2[new], doc[new]
 
 
-def _candidates(window: int, cells: int, shared) -> Callable[[Batches], Batches]:
+def _candidates(window: int, estimated: Estimate) -> Callable[[Batches], Batches]:
     """Windows estimated repeated, each once for its smallest document in what the task has just read."""
 
     def out(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
@@ -136,11 +214,10 @@ def _candidates(window: int, cells: int, shared) -> Callable[[Batches], Batches]
         return pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array((h2 >> tv.U(32)).astype(np.uint32).view(np.int32)), pa.array(doc)], names=["h1", "h2", "doc"])
 
     def find(batches: Batches) -> Batches:
-        sketch = np.frombuffer(shared.value, dtype=np.uint8)
         parts, held = [], 0
         for batch in tv.slices(batches):
             w = _Windows(batch.column(0), window)
-            hit = np.flatnonzero(_estimated_twice(w.anchors, sketch, cells))
+            hit = np.flatnonzero(estimated(batch, w))
             if not len(hit):
                 continue
             doc = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), np.diff(w.first))[hit]
@@ -164,17 +241,27 @@ def _covered(starts: np.ndarray, window: int, n: int) -> np.ndarray:
     return np.cumsum(change[:n]) > 0
 
 
-def _apply(window: int, cells: int, shared, drop: tuple[str, ...]) -> Callable[[Batches], Batches]:
+def _cut_out(raw: np.ndarray, begin: int, end: int, starts: np.ndarray, gone: np.ndarray) -> bytes:
+    """The text of bytes begin to end less each run of words that goes, with the white space after it."""
+    edges = np.flatnonzero(np.diff(np.r_[False, gone, False]))
+    at, parts = begin, []
+    for low, high in edges.reshape(-1, 2).tolist():
+        parts.append(raw[at : starts[low]].tobytes())
+        at = int(starts[high]) if high < len(starts) else end
+    return b"".join([*parts, raw[at:end].tobytes()])
+
+
+def _apply(window: int, estimated: Estimate, drop: tuple[str, ...], layout: bool) -> Callable[[Batches], Batches]:
     """Removes from each text what windows cover that start earlier elsewhere."""
 
     def remove(batches: Batches) -> Batches:
-        sketch = np.frombuffer(shared.value, dtype=np.uint8)
         for batch in tv.slices(batches, "__text"):
             texts, firsts = (batch.column(batch.schema.get_field_index(c)) for c in ("__text", "__firsts"))
             w = _Windows(texts, window)
-            hit = _estimated_twice(w.anchors, sketch, cells)
+            hit = estimated(batch, w)
             h1 = tv.grams(w.hashes, w.words.first, window, seed=5)[0].view(np.int64) if hit.any() else np.zeros(0, dtype=np.int64)
             counts, removed, kept = w.words.counts, [], []
+            _, offsets = tv.buffers(texts)
             for t in range(batch.num_rows):
                 low, high = w.first[t], w.first[t + 1]
                 at = np.flatnonzero(hit[low:high])
@@ -186,51 +273,73 @@ def _apply(window: int, cells: int, shared, drop: tuple[str, ...]) -> Callable[[
                     mine = firsts[t].values
                     first = first_here & np.isin(own, mine.to_numpy() if mine is not None else np.zeros(0, dtype=np.int64))
                     at = at[~first]
-                if len(at):
-                    gone = _covered(at, window, n)
-                    removed.append(int(gone.sum()))
-                    kept.append(w.words.kept(t, ~gone).decode())
+                gone = _covered(at, window, n) if len(at) else np.zeros(n, dtype=bool)
+                removed.append(int(gone.sum()))
+                if layout:
+                    kept.append(_cut_out(w.words.data, offsets[t], offsets[t + 1], w.words.starts[w.words.first[t] : w.words.first[t + 1]], gone).decode())
                 else:
-                    removed.append(0)
-                    kept.append(b" ".join((texts[t].as_py() or "").encode().split()).decode())
+                    kept.append(w.words.kept(t, ~gone).decode() if len(at) else b" ".join((texts[t].as_py() or "").encode().split()).decode())
             columns = {"n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(kept, pa.string())}
             yield batch_with(batch, columns, drop)
 
     return remove
 
 
-def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", most_cells: int = MOST_CELLS) -> DataFrame:
+def _doc_key(id_col: str, text_col: str) -> Column:
+    """The id; without one, a number after most ids by the text, so that rows without an id are documents of their own."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(LAST) - F.pmod(F.xxhash64(text_col), F.lit(1 << 60)))
+
+
+def _hot_anchors(texts: DataFrame, window: int, slices: int, cells: int) -> DataFrame:
+    """(doc, __hot): the anchors of each document that a sketch of so many slices estimates repeated."""
+    counted = texts.select("text").mapInArrow(_sliced(window, slices), "slice long, anchor long, again boolean")
+    repeated = counted.groupBy("slice").applyInArrow(_slice_estimates(cells), "anchor long")
+    own = texts.mapInArrow(_anchors_of(window), "doc long, anchor long")
+    return cut_lineage(own.join(repeated, "anchor", "left_semi").groupBy("doc").agg(F.collect_set("anchor").alias("__hot")))
+
+
+def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", most_cells: int = MOST_CELLS, slice_cells: int = SLICE_CELLS, layout: bool = False) -> DataFrame:
     """docs with n_words, n_removed and kept_text: each word goes that a window covers which also starts earlier.
 
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged. Earlier is a smaller id, or an earlier start in the
-    same document. Windows are judged on the input. kept_text has the kept words joined by one space.
+    same document. Windows are judged on the input. kept_text has the kept words joined by one space, or, with layout,
+    is the text as it was, less each run of removed words with the white space after it.
 
-    Null texts have no words. Rows without an id come after all others. Rows with an equal id count
+    Null texts have no words. Rows without an id come after the others, each as a document of its own, in the order of a hash of their
+    texts. Rows with an equal id, or without one and with an equal text, count
     as one document given several times: a window that is first in one is first in each that has it.
     Texts of fewer words than a window lose none; an empty table gives an empty table. All columns
     of docs stay, but for those named like the new ones, which are replaced.
     """
-    spark = docs.sparkSession
     docs = without(docs, ("n_words", "n_removed", "kept_text"))
-    texts = docs.select(F.col(text_col).alias("text"), key(id_col).alias("doc")).where("length(text) > 1")
+    texts = docs.select(F.col(text_col).alias("text"), _doc_key(id_col, text_col).alias("doc")).where("length(text) > 1")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    anchors = max(1, size // 18)  # words of three bytes at least, an anchor for six of them
-    cells = min(most_cells, max(BLOCK * ROWS, 1 << (3 * anchors).bit_length()))
+    wanted = 3 * max(1, size // 18)  # words of three bytes at least, an anchor for six of them, three cells for each
+    joined = docs.withColumns({"__text": F.col(text_col), "__doc": _doc_key(id_col, text_col)})
+    if wanted <= most_cells:
+        cells = max(BLOCK * ROWS, 1 << wanted.bit_length())
+        estimated, mine = _by_sketch(cells, docs.sparkSession.sparkContext.broadcast(_merged(texts, window, cells))), ("__doc", "__text", "__firsts")
+    else:
+        hot = _hot_anchors(texts, window, -(-wanted // slice_cells), 2 * slice_cells)
+        estimated, mine = _by_list, ("__doc", "__text", "__firsts", "__hot")
+        texts = texts.join(hot, "doc").select("text", "doc", "__hot")
+        joined = joined.join(hot.withColumnRenamed("doc", "__doc"), "__doc", "left")
+
+    found = texts.mapInArrow(_candidates(window, estimated), "h1 long, h2 int, doc long")
+    firsts = found.groupBy("h1", "h2").agg(F.min("doc").alias("doc")).groupBy("doc").agg(F.collect_list("h1").alias("__firsts"))
+    joined = joined.join(firsts.withColumnRenamed("doc", "__doc"), "__doc", "left")
+    schema = with_fields(joined, ("n_words", "long"), ("n_removed", "long"), ("kept_text", "string"), drop=mine)
+    return joined.mapInArrow(_apply(window, estimated, mine, layout), schema)
+
 
+def _merged(texts: DataFrame, window: int, cells: int) -> bytes:
+    """The bits "counted twice" of the whole sketch: cells / 8 bytes, at most 16 MB."""
     blocks = texts.select("text").mapInArrow(_sketch(window, cells), "block long, bits binary").groupBy("block").applyInArrow(_merge, "block long, bits binary")
     merged = bytearray(cells // 8)
-    for row in blocks.toLocalIterator():  # at most most_cells / 8 bytes
+    for row in blocks.toLocalIterator():
         bits = zlib.decompress(row.bits)
         merged[row.block * BLOCK // 8 : row.block * BLOCK // 8 + len(bits)] = bits
-    shared = spark.sparkContext.broadcast(bytes(merged))
-    del merged
-
-    found = texts.mapInArrow(_candidates(window, cells, shared), "h1 long, h2 int, doc long")
-    firsts = found.groupBy("h1", "h2").agg(F.min("doc").alias("doc")).groupBy("doc").agg(F.collect_list("h1").alias("__firsts"))
-    joined = docs.withColumns({"__text": F.col(text_col), "__doc": key(id_col)}).join(firsts.withColumnRenamed("doc", "__doc"), "__doc", "left")
-    mine = ("__doc", "__text", "__firsts")
-    schema = with_fields(joined, ("n_words", "long"), ("n_removed", "long"), ("kept_text", "string"), drop=mine)
-    return joined.mapInArrow(_apply(window, cells, shared, mine), schema)
+    return bytes(merged)
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
