@@ -10,7 +10,7 @@ their Jaccard similarity, and the estimate concentrates as with independent coor
 Bands of four coordinates are the bucket keys; at a similarity of 0.8 a pair misses all 32
 bands with probability (1 - 0.8 ** 4) ** 32, under 1e-7. Equal sets are one class before any
 banding, so groups of copies never meet in a bucket. In a bucket, members are first compared with
-one of them, not with each other. Buckets that still hold different components are then
+one of them, not with each other: in large buckets in blocks, each of which has that one's set once. Buckets that still hold different components are then
 compared completely: small ones pair by pair, large ones in blocks, where one matrix product counts all intersections and only a spanning forest
 of the links comes out. Every comparison is exact on the full sets, so no candidate is dropped and
 none is trusted.
@@ -34,6 +34,8 @@ FULL = np.iinfo(np.uint64).max
 FEW_IDS = 1_000_000
 #: Members of a bucket that is compared pair by pair; members and set elements of a block of a larger one.
 FEW_MEMBERS, BLOCK_MEMBERS, BLOCK_ELEMENTS = 32, 1024, 1_000_000
+#: Members that are compared with one set at once.
+RAY_MEMBERS = 64
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,6 +138,33 @@ def _forest(link: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _compare_rays(percent: int):
+    """Links between one set, the hub, and the others of a block."""
+
+    def run(keys: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub_id, hub, wait, found = keys[0].as_py(), None, [], []
+
+        def links(doc: int, own: np.ndarray) -> bool:
+            at = np.minimum(np.searchsorted(hub, own), max(len(hub) - 1, 0))
+            both = int((hub[at] == own).sum())  # sets have each element once, in order
+            return 100 * both >= percent * (len(hub) + len(own) - both)
+
+        for batch in batches:
+            for doc, own in zip(batch.column(3).to_pylist(), (x.values.to_numpy() for x in batch.column(4)), strict=True):
+                own = np.sort(own)
+                if doc == hub_id:
+                    hub = own
+                elif hub is None:
+                    wait.append((doc, own))
+                elif links(doc, own):
+                    found.append(doc)
+        found += [doc for doc, own in wait if links(doc, own)]
+        ends = np.array(found, dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ends, hub_id)), pa.array(np.maximum(ends, hub_id))], names=["u", "v"])
+
+    return run
+
+
 def _compare_blocks(percent: int):
     """Links between two blocks of a bucket (or within one), as a spanning forest."""
 
@@ -196,7 +225,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         fit = pairs.where(_sizes_fit("n", "n2", percent)).select(F.least("rep", "r2").alias("u"), F.greatest("rep", "r2").alias("v"))
         return _linked(fit.where("u != v").distinct(), sets, percent)
 
-    links = cut_lineage(linked(rows))
+    rays = rows.where(F.col("m") > RAY_MEMBERS).where(_sizes_fit("n", "n2", percent)).where("rep != r2").groupBy(F.col("r2").alias("hub"), F.col("rep").alias("doc")).agg(F.max("m").alias("m"))
+    blocks = F.ceil(F.col("m") / RAY_MEMBERS).cast("int")
+    rays = rays.select("hub", blocks.alias("blocks"), F.pmod(F.xxhash64("doc"), blocks).cast("int").alias("block"), "doc")
+    hubs = rays.select("hub", "blocks", "block", F.col("hub").alias("doc")).distinct()
+    rays = rays.unionByName(hubs).join(sets, "doc").select("hub", "blocks", "block", "doc", "elements")
+    rays = rays.groupBy("hub", "blocks", "block").applyInArrow(_compare_rays(percent), "u long, v long")
+    links = cut_lineage(linked(rows.where(F.col("m") <= RAY_MEMBERS)).unionByName(rays))
     label = connected_components(links, cut_lineage).withColumnRenamed("node", "rep")
     rows = rows.drop("r2", "n2").join(label, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
     rows = cut_lineage(rows)
