@@ -1,7 +1,7 @@
 """Packing: first-fit decreasing with a tournament tree of bin capacities, in randomised groups of documents.
 
-A hash deals documents into groups of about GROUP documents, so a group is a fair sample and
-fits in a task however large the corpus is. In a group, documents longer than a sequence give
+A hash deals documents into groups of about GROUP bytes of text, so a group is a fair sample and
+fits in a task however large the corpus is; repeated rows are dealt by their place too. In a group, documents longer than a sequence give
 full sequences first; what is left of each, and all shorter documents, are placed longest
 first into the first sequence with room. The tournament tree holds the most room below each
 of its nodes, so the first fit is found by one walk down. A sequence that stays far from full
@@ -11,26 +11,24 @@ is cut at powers of two, lengths at which no padding is due.
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from bramble.llm.common import key
 from bramble.llm.textvec import slices
 
-GROUP = 2048
+#: Bytes of text in a group.
+GROUP = 6_000_000
 #: Chunks of text whose ids a task remembers.
-KEPT_CHUNKS = 800_000
+KEPT_CHUNKS = 400_000
 #: Room that a sequence may have left before it is cut at powers of two.
 ROOM = 32
 
-_ODD = re.compile(r"\s[ \n]|\x00")
-_EDGE = re.compile(r"(?<=\S)(?=[ \n])")
-
 
 def _ranks(path: str) -> dict[bytes, int] | None:
     """The ranks of a byte-level BPE whose ids follow the order of its merges, and that splits by the usual pattern; else None."""
@@ -50,11 +48,12 @@ def _ranks(path: str) -> dict[bytes, int] | None:
 
 
 class Encoder:
-    """Ids of texts, with a memory for chunks that recur.
+    """Ids of texts as the tokenizer gives them (its special strings included), with a memory for chunks that recur.
 
     The tokenizer never joins a space or line feed to what stands before it, unless that is white space too, so a text may be cut
-    there; the ids of the chunks, one after another, are the ids of the text. Chunks of characters
-    below U+0250, whose classes no Unicode version changes, are encoded by a faster library with the same vocabulary, if it has the form for that.
+    there; the ids of the chunks, one after another, are the ids of the text. Chunks of characters below U+0250, whose classes no
+    Unicode version changes, are encoded by a faster library with the same vocabulary, if it has the form for that. Texts
+    that can't be cut so, and those that hold a special string, are encoded whole.
     """
 
     #: The split pattern of byte-level BPE.
@@ -64,54 +63,89 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as file:
+            self.special = [x["content"] for x in json.load(file).get("added_tokens", [])]
         self.fast = None
         if ranks := _ranks(path):
             import tiktoken
 
             self.fast = tiktoken.Encoding("bytes", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self.bytes_of = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+            self.bytes_of[list(ranks.values())] = [len(t) for t in ranks]
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.ends, self.used = np.zeros(1 << 20, dtype=np.uint32), np.zeros(1 << 16, dtype=np.int64), 0
 
-    def _learn(self, chunks: list[str]) -> None:
-        first = len(self.known)
-        plain = [self.fast is not None and (c.isascii() or max(c) < "\u0250") for c in chunks]
-        rest = iter(self.tokenizer.encode_batch_fast([c for c, p in zip(chunks, plain, strict=True) if not p], add_special_tokens=False))
-        ids = [self.fast(c) if p else next(rest).ids for c, p in zip(chunks, plain, strict=True)]
-        new = np.fromiter(chain.from_iterable(ids), dtype=np.uint32)
-        ends = self.used + np.cumsum(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))
-        while self.used + len(new) > len(self.flat):
+    def _plain(self, text: str) -> bool:
+        return self.fast is not None and (text.isascii() or max(text) < "\u0250")
+
+    def _add(self, chunks: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        first, n = len(self.known), len(chunks)
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while first + len(ids) >= len(self.ends):
+        while first + n >= len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.flat[self.used : self.used + len(new)] = new
-        self.ends[first + 1 : first + 1 + len(ids)] = ends
-        self.used += len(new)
-        self.known.update(zip(chunks, range(first, first + len(ids)), strict=True))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.ends[first + 1 : first + n + 1] = self.used + np.cumsum(lengths)
+        self.used += len(ids)
+        self.known.update(zip(chunks, range(first, first + n), strict=True))
 
-    def encode(self, texts: list[str], last: int | None) -> list[np.ndarray]:
-        """The ids of each text, with `last` after them."""
+    def _learn(self, chunks: list[str]) -> None:
+        # Chunks that begin with a space or line feed, and don't end with white space, are encoded as one text: its ids part where they do.
+        plain, each = [], []
+        for c in chunks:
+            (plain if c[:1] in (" ", "\n") and not c[-1].isspace() and self._plain(c) else each).append(c)
+        if plain:
+            ids = np.array(self.fast("".join(plain)), dtype=np.uint32)
+            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(c.encode()) for c in plain])) + 1
+            self._add(plain, ids, np.diff(ends, prepend=0))
+        if each:
+            rest = iter(self.tokenizer.encode_batch_fast([c for c in each if not self._plain(c)], add_special_tokens=False))
+            ids = [self.fast(c) if self._plain(c) else next(rest).ids for c in each]
+            self._add(each, np.fromiter(chain.from_iterable(ids), dtype=np.uint32), np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))
+
+    def encode(self, texts: pa.Array, last: int | None) -> list[np.ndarray]:
+        """The ids of each text (null: none), with `last` after them."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        special = pc.match_substring(texts, "\0")
+        for x in self.special:
+            special = pc.or_(special, pc.match_substring(texts, x))
+        cut = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n")
+        lists = pc.split_pattern(cut, "\0")
+        found = lists.flatten().dictionary_encode()
+        at, chunks, bounds = found.indices.to_numpy(), found.dictionary.to_pylist(), lists.offsets.to_numpy()
+        bounds = bounds - bounds[0]
+        # White space at the end of a chunk that isn't a text's last one belongs together with what follows.
+        loose = np.array([c[-1:].isspace() for c in chunks], dtype=bool)[at]
+        loose[bounds[1:] - 1] = False
+        whole = special.to_numpy(zero_copy_only=False) | (np.add.reduceat(loose, bounds[:-1]) > 0 if len(texts) else np.zeros(0, dtype=bool))
+        used = np.zeros(len(chunks), dtype=bool)
+        used[at[np.repeat(~whole, np.diff(bounds))]] = True
         if len(self.known) > KEPT_CHUNKS:
             self._forget()
-        chunks, counts = [], []
-        for text in texts:
-            own = _EDGE.split(text) if _ODD.search(text) else text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-            counts.append(len(own))
-            chunks += own
-        known = self.known
-        if new := set(chunks).difference(known):
-            self._learn(list(new))
-        at = np.fromiter(map(known.__getitem__, chunks), dtype=np.int64, count=len(chunks))
-        starts = self.ends[at]
-        lengths = self.ends[at + 1] - starts
+        place = np.fromiter(map(self.known.get, chunks, repeat(-1)), dtype=np.int64, count=len(chunks))
+        new = np.flatnonzero((place < 0) & used)
+        if len(new):
+            names = [chunks[i] for i in new.tolist()]
+            self._learn(names)
+            place[new] = np.fromiter(map(self.known.__getitem__, names), dtype=np.int64, count=len(names))
+        place = np.maximum(place, 0)[at]
+        starts = self.ends[place]
+        lengths = np.where(np.repeat(whole, np.diff(bounds)), 0, self.ends[place + 1] - starts)
         before = np.r_[0, np.cumsum(lengths)]
         ids = self.flat[np.repeat(starts - before[:-1], lengths) + np.arange(before[-1])]
-        bounds = before[np.r_[0, np.cumsum(counts)]]
+        parts = before[bounds]
         tail = np.array([] if last is None else [last], dtype=np.uint32)
-        return [np.concatenate([ids[a:b], tail]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        out = []
+        for i, odd in enumerate(whole.tolist()):
+            own = ids[parts[i] : parts[i + 1]]
+            if odd:
+                text = texts[i].as_py()
+                own = np.array(self.fast(text) if self._plain(text) and not any(x in text for x in self.special) else self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+            out.append(np.concatenate([own, tail]))
+        return out
 
 
 class Tournament:
@@ -182,9 +216,9 @@ def _group(path: str, size: int, last: int | None) -> Callable[[tuple, Iterator[
         if _encoder is None or _encoder[0] != path:
             _encoder = (path, Encoder(path))
         docs: list[tuple] = []
-        for batch in slices(batches, "__text"):
+        for batch in slices(batches, "__text", 2_000_000):
             at = batch.schema.get_field_index
-            ids = _encoder[1].encode([x or "" for x in batch.column(at("__text")).to_pylist()], last)
+            ids = _encoder[1].encode(batch.column(at("__text")), last)
             docs += zip(batch.column(at("__doc")).to_pylist(), batch.column(at("__id")).to_pylist(), ids, strict=True)
         docs.sort(key=lambda d: (d[0], len(d[2]), d[2].tobytes()))
         base = keys[0].as_py() << 32
@@ -214,9 +248,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = 2048, last: int
     `tokenizer` is a path that executors can read. Null texts are empty: they are `last` alone. Rows without an id or with an equal one are
     documents like any other. An empty table gives an empty table; other columns are not looked at.
     """
-    groups = max(1, -(-docs.count() // group))
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    groups = max(1, -(-total // group))
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), key(id_col).alias("__doc"), F.col(text_col).alias("__text"))
-    rows = rows.withColumn("__group", F.pmod(F.xxhash64(F.lit("pack"), "__doc", "__text"), F.lit(groups)))
+    # The place tells repeated rows apart; a group's number is drawn once, before rows move.
+    rows = rows.withColumn("__group", F.pmod(F.xxhash64(F.lit("pack"), "__doc", F.monotonically_increasing_id()), F.lit(groups)))
     out = rows.groupBy("__group").applyInArrow(_group(tokenizer, size, last), "__id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("__id", id_col)
 
