@@ -3,7 +3,9 @@
 Rolling k-gram hashes of a document's words are joined to the places that templates have them.
 A match votes for its diagonal, the document's place less the template's. Votes are counted for
 each diagonal; neighbouring diagonals, between which words were put in or left out, are merged,
-and a span counts if enough of the template stands in it. A short phrase counts where all its
+and a span with enough of the template's grams is aligned with it word by word: it counts if enough of the
+template's words stand there in order, its telling words (a version, a restriction) among them. Where templates of one
+family claim the same stretch, the one with most words there wins. A short phrase counts where all its
 grams stand on one diagonal.
 """
 
@@ -24,21 +26,28 @@ PHRASES = {
     "general public license": "gpl",
     "all rights reserved": "reserved",
 }
-#: Openings of licence texts and notices, which may be edited, and their labels.
-NOTICES = {
-    "licensed under the apache license version 2 0": "apache-2.0",
-    "released under the mit license": "mit",
-    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files": "mit",
-    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd",
-    "this work is licensed under the gnu general public license version 3": "gpl-3.0",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license": "gpl",
-    "this work is licensed under a creative commons attribution 4 0 international license": "cc-by",
-    "licensed under cc by nc 4 0": "cc-by-nc",
-    "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl-2.0",
-    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
-}
-#: Words of a gram; how far merged diagonals may lie apart; share of a notice's grams that must stand in a span.
-GRAM, NEAR, ENOUGH = 2, 2, 0.6
+_CC = "this work is licensed under a creative commons attribution {}4 0 international license"
+_GPL = "licensed under the {}gnu {}general public license version {}"
+#: Licence notices and openings of licence texts, which may be edited: (family, label, words, telling words).
+NOTICES = [
+    ("apache", "apache-2.0", "licensed under the apache license version 2 0", "apache 2"),
+    ("mit", "mit", "released under the mit license", "mit"),
+    ("mit", "mit", "licensed under the mit license", "mit"),
+    ("mit", "mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ""),
+    ("bsd", "bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ""),
+    *[("gpl", f"{name}-{v}.0", _GPL.format("", less, v), f"{less}{v}") for name, less, versions in (("gpl", "", (2, 3)), ("lgpl", "lesser ", (2, 3)), ("agpl", "affero ", (3,))) for v in versions],
+    ("gpl", "gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", ""),
+    ("gpl", "lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", "lesser"),
+    *[("cc", f"cc-by{label}", _CC.format(words), words.replace("non commercial", "commercial")) for label, words in (("", ""), ("-sa", "sharealike "), ("-sa", "share alike "), ("-nc", "noncommercial "), ("-nc", "non commercial "), ("-nd", "noderivatives "), ("-nc-sa", "noncommercial sharealike "), ("-nc-nd", "noncommercial noderivatives "))],
+    *[("cc", f"cc-by{label}", f"licensed under cc by{label.replace('-', ' ')} 4 0", f"by{label.replace('-', ' ')}") for label in ("", "-sa", "-nc", "-nd", "-nc-sa", "-nc-nd")],
+    ("cc", "cc0", "released into the public domain under cc0 1 0", "cc0"),
+    ("mpl", "mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla"),
+    ("isc", "isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ""),
+]
+#: Words of a gram; how far merged diagonals may lie apart; share of a notice's grams, then of its words, that must stand in a span.
+GRAM, NEAR, VOTES, ENOUGH = 2, 3, 0.4, 0.6
+#: Words between matches that still belong to one passage, and before and after it.
+GAP, EDGE = 8, 6
 
 
 def _gram_hashes(texts: list[str]) -> tuple[tv.Words, np.ndarray, np.ndarray]:
@@ -46,18 +55,21 @@ def _gram_hashes(texts: list[str]) -> tuple[tv.Words, np.ndarray, np.ndarray]:
     return words, *tv.grams(words.hashes(), words.first, GRAM)
 
 
-def _templates(phrases: dict[str, str], notices: dict[str, str]) -> list[tuple]:
+def _templates(phrases: dict[str, str], notices: list[tuple[str, str, str, str]]) -> list[tuple]:
+    """A row for each gram of each template."""
     rows = []
-    for t, (text, label) in enumerate([*phrases.items(), *notices.items()]):
+    for t, (family, label, text, telling) in enumerate([*(("", label, text, "") for text, label in phrases.items()), *notices]):
         _, hashes, _ = _gram_hashes([text])
         own = text.split()
-        if len(own) < GRAM or len(hashes) != len(own) - GRAM + 1:
-            raise ValueError(f"a template needs {GRAM} lower-case words at least: {text!r}")
-        rows += [(t, label, t < len(phrases), len(hashes), p, int(h.view(np.int64)), " ".join(own[p : p + GRAM])) for p, h in enumerate(hashes)]
+        if len(own) < GRAM or len(hashes) != len(own) - GRAM + 1 or not set(telling.split()) <= set(own):
+            raise ValueError(f"a template needs {GRAM} lower-case words at least, its telling words among them: {text!r}")
+        rows += [(t, family, label, t < len(phrases), len(hashes), p, int(h.view(np.int64)), " ".join(own[p : p + GRAM])) for p, h in enumerate(hashes)]
     return rows
 
 
 def _hits(known: np.ndarray, text_col: str):
+    """Each text's words counted, the places of known grams, and the passages round them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tv.slices(batches, text_col):
             words = tv.cut(batch.column(batch.schema.get_field_index(text_col)), tv.ALNUM, lower=True)
@@ -65,11 +77,58 @@ def _hits(known: np.ndarray, text_col: str):
             at = np.flatnonzero(known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes)
             text = np.searchsorted(first, at, side="right") - 1
             place = at - first[text]
-            starts, ends, word = words.starts, words.ends, words.first[text] + place
-            grams = [b" ".join(words.data[starts[i + j] : ends[i + j]].tobytes() for j in range(GRAM)).decode(errors="replace") for i in word.tolist()]
-            hits = pa.StructArray.from_arrays([pa.array(place, pa.int64()), pa.array(hashes[at].view(np.int64)), pa.array(grams, pa.string())], names=["place", "hash", "gram"])
-            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32)), hits)
-            yield batch_with(batch, {"n_words": pa.array(words.counts, pa.int64()), "__hits": lists}, drop=(text_col,))
+            say = lambda i: words.data[words.starts[i] : words.ends[i]].tobytes().decode(errors="replace")
+            grams = [" ".join(say(i + j) for j in range(GRAM)) for i in (words.first[text] + place).tolist()]
+            begins = np.r_[True, (text[1:] != text[:-1]) | (np.diff(place) > GAP)][: len(at)]
+            new = np.flatnonzero(begins)
+            passage = np.cumsum(begins) - 1
+            passage -= np.searchsorted(text[new], text)  # counted in each text
+            hits = pa.StructArray.from_arrays([pa.array(place, pa.int64()), pa.array(passage, pa.int32()), pa.array(hashes[at].view(np.int64)), pa.array(grams, pa.string())], names=["place", "passage", "hash", "gram"])
+            low = np.maximum(place[new] - EDGE, 0)
+            high = np.minimum(place[np.r_[new[1:], len(at)] - 1] + GRAM + EDGE, words.counts[text[new]]) if len(at) else low
+            said = [[say(i) for i in range(a, b)] for a, b in zip((words.first[text[new]] + low).tolist(), (words.first[text[new]] + high).tolist(), strict=True)]
+            passages = pa.StructArray.from_arrays([pa.array(low, pa.int64()), pa.array(said, pa.list_(pa.string()))], names=["low", "words"])
+            lists = [pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(batch.num_rows + 1)).astype(np.int32)), x) for of, x in ((text, hits), (text[new], passages))]
+            yield batch_with(batch, {"n_words": pa.array(words.counts, pa.int64()), "__hits": lists[0], "__passages": lists[1]}, drop=(text_col,))
+
+    return run
+
+
+def in_order(template: list[str], words: list[str]) -> list[tuple[int, int]]:
+    """The places (in the template, in the words) of a longest common subsequence."""
+    best = np.zeros((len(template) + 1, len(words) + 1), dtype=np.int32)
+    same = np.array(template, dtype=object)[:, None] == np.array(words, dtype=object)[None, :]
+    for i in range(len(template) - 1, -1, -1):
+        take = np.where(same[i], best[i + 1, 1:] + 1, best[i + 1, :-1])
+        best[i, :-1] = np.maximum.accumulate(take[::-1])[::-1]
+    i = j = 0
+    out = []
+    while i < len(template) and j < len(words):
+        if same[i, j] and best[i, j] == best[i + 1, j + 1] + 1:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i, j] == best[i, j + 1]:
+            j += 1
+        else:
+            i += 1
+    return out
+
+
+def _verified(notices: list[tuple[str, str, str, str]], phrases: int):
+    """Of each span, how many of its template's words stand there in order, and where; none if a telling word isn't among them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row, template, begin, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                family, label, text, telling = notices[template - phrases]
+                own = text.split()
+                places = in_order(own, words)
+                if len(places) >= ENOUGH * len(own) and set(telling.split()) <= {own[i] for i, _ in places}:
+                    rows.append((row, family, label, begin + places[0][1], begin + places[-1][1], len(places), len(places) / len(own)))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["row", "family", "label", "start", "stop", "n", "share"])
 
     return run
 
@@ -77,12 +136,12 @@ def _hits(known: np.ndarray, text_col: str):
 NEW = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
-def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES, text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: list[tuple[str, str, str, str]] = NOTICES, text_col: str = "text") -> DataFrame:
     """docs, without the text, with n_words, n_base, first_word, last_word, base_labels, labels and score.
 
     Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z are lower-cased. n_base counts the places where a phrase's words
     stand one after another; first_word and last_word are the smallest and largest start (null if there are none). labels has the
-    phrases' labels and those of notices of which a span holds enough; both lists are distinct, sorted and joined by commas.
+    phrases' labels and those of notices of which a span holds ENOUGH words; both lists are distinct, sorted and joined by commas.
     score is the largest share of a template found, 1 for a phrase, 0 if no label.
 
     Null and empty texts have no words and no labels. Repeated rows are judged each by itself; ids are not looked at. An
@@ -91,24 +150,34 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: d
     spark = docs.sparkSession
     docs = without(docs, NEW)
     rows = _templates(phrases, notices)
-    templates = F.broadcast(spark.createDataFrame(rows, "template int, label string, base boolean, need int, at int, hash long, gram string"))  # the fixed values above
-    known = np.unique(np.array([r[5] for r in rows], dtype=np.int64).view(tv.U))
-    schema = with_fields(docs, ("n_words", "long"), ("__hits", "array<struct<place: long, hash: long, gram: string>>"), drop=(text_col,))
+    templates = F.broadcast(spark.createDataFrame(rows, "template int, family string, label string, base boolean, need int, at int, hash long, gram string"))  # the fixed values above
+    known = np.unique(np.array([r[6] for r in rows], dtype=np.int64).view(tv.U))
+    schema = with_fields(docs, ("n_words", "long"), ("__hits", "array<struct<place: long, passage: int, hash: long, gram: string>>"), ("__passages", "array<struct<low: long, words: array<string>>>"), drop=(text_col,))
     found = cut_lineage(docs.mapInArrow(_hits(known, text_col), schema)).withColumn("__row", F.monotonically_increasing_id())
 
     votes = found.select(F.col("__row").alias("row"), F.explode("__hits").alias("h")).select("row", "h.*").join(templates, ["hash", "gram"])
-    diagonals = votes.groupBy("row", "template", "label", "base", "need", (F.col("place") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("places"))
+    diagonals = votes.groupBy("row", "passage", "template", "label", "base", "need", (F.col("place") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("places"))
     exact = diagonals.where("base and size(places) = need").select("row", "label", "base", F.col("diagonal").alias("start"), F.lit(1.0).alias("share"))
-    line = Window.partitionBy("row", "template").orderBy("diagonal")
+    line = Window.partitionBy("row", "passage", "template").orderBy("diagonal")
     step = F.when(F.col("diagonal") - F.lag("diagonal").over(line) <= NEAR, 0).otherwise(1)
     runs = diagonals.where("not base").withColumn("step", step).withColumn("run", F.sum("step").over(line))
-    spans = runs.groupBy("row", "template", "label", "base", "need", "run").agg(F.min("diagonal").alias("start"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n"))
-    spans = spans.withColumn("share", F.col("n") / F.col("need")).where(F.col("share") >= ENOUGH).select("row", "label", "base", "start", "share")
+    spans = runs.groupBy("row", "passage", "template", "need", "run").agg(F.min("diagonal").alias("low"), F.max("diagonal").alias("high"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n"))
+    spans = spans.where(F.col("n") >= VOTES * F.col("need")).select("row", "passage", "template", (F.col("low") - 1).alias("low"), (F.col("high") + F.col("need") + GRAM).alias("high"))
+    passages = found.select(F.col("__row").alias("row"), F.posexplode("__passages").alias("passage", "p")).select("row", "passage", F.col("p.low").alias("begin"), "p.words")
+    first = F.greatest(F.col("low"), F.col("begin"))
+    words = F.slice("words", (first - F.col("begin") + 1).cast("int"), F.greatest(F.col("high") - first, F.lit(0)).cast("int"))
+    pairs = spans.join(passages, ["row", "passage"]).select("row", "template", first.alias("begin"), words.alias("words"))
+    spans = pairs.mapInArrow(_verified(notices, len(phrases)), "row long, family string, label string, start long, stop long, n long, share double")
+    line = Window.partitionBy("row", "family").orderBy("start", "stop")
+    apart = F.coalesce((F.col("start") > F.max("stop").over(line.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1))
+    spans = spans.withColumn("apart", apart).withColumn("stretch", F.sum("apart").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    best = spans.groupBy("row", "family", "stretch").agg(F.max(F.struct("n", "share", "label")).alias("b"), F.min("start").alias("start"))
+    best = best.select("row", "b.label", F.lit(False).alias("base"), "start", "b.share")
     text_of = lambda labels: F.array_join(F.sort_array(labels), ",")
-    marks = exact.unionByName(spans).groupBy("row").agg(
+    marks = exact.unionByName(best).groupBy("row").agg(
         F.count_if("base").alias("n_base"), F.min(F.when(F.col("base"), F.col("start"))).alias("first_word"), F.max(F.when(F.col("base"), F.col("start"))).alias("last_word"),
         text_of(F.collect_set(F.when(F.col("base"), F.col("label")))).alias("base_labels"), text_of(F.collect_set("label")).alias("labels"), F.max("share").alias("score"))
-    out = found.drop("__hits").join(marks.withColumnRenamed("row", "__row"), "__row", "left").drop("__row")
+    out = found.drop("__hits", "__passages").join(marks.withColumnRenamed("row", "__row"), "__row", "left").drop("__row")
     empty = {"n_base": F.lit(0).cast("long"), "base_labels": F.lit(""), "labels": F.lit(""), "score": F.lit(0.0)}
     return out.withColumns({c: F.coalesce(c, v) for c, v in empty.items()})
 
