@@ -4,7 +4,11 @@ Seeds are all word n-grams of test items, however common. One pass finds their p
 the passages around them, and Spark joins the seeds to the items that have them. Around each shared seed lies a stretch that
 holds any leak with this seed in it; stretches that overlap are one. Each is aligned with the item word by word, which scores
 copies with words put in, left out or replaced. Only stretches with fewer of the item's words than a leak needs are not aligned.
-A copy of which no run of n words is left has no seed and isn't found.
+A copy of which no run of n words is left has no seed and isn't found. An item of fewer than n words says nothing inside a longer
+text: it is leaked by documents that are that item and nothing else, which an exact join on all their words finds.
+
+Rarity is not used to leave seeds out, as edited copies may hold on to the common ones only; the words of a stretch travel to
+an item once for all seeds in it, and no join gathers a group, so that Spark can split a seed or item that very many passages share.
 
 What tasks need to know of the seeds is a bit for each hash cell, at most MOST_CELLS / 8 bytes; the
 joins are exact, so a full filter costs time only.
@@ -20,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from bramble.llm import textvec as tv
-from bramble.llm.common import cut_lineage, key
+from bramble.llm.common import LAST, cut_lineage, key
 
 SEED, MOST_CELLS, BLOCK = 3, 1 << 27, 1 << 17
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -102,6 +106,21 @@ def _passages(n: int, shared, cells: int, reach: int):
     return run
 
 
+def _short(n: int):
+    """The words of texts of fewer than n words."""
+
+    def run(batches: Batches) -> Batches:
+        for batch in tv.slices(batches):
+            words = tv.cut(batch.column(0), tv.ALNUM, lower=True)
+            some = np.flatnonzero((words.counts > 0) & (words.counts < n))
+            if len(some):
+                hashes = words.hashes()
+                own = [hashes[words.first[t] : words.first[t + 1]].view(np.int64) for t in some.tolist()]
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(some)), pa.array(own, pa.list_(pa.int64()))], names=["id", "words"])
+
+    return run
+
+
 def align(passages: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The best local alignment of each passage with its item: score, first and last word in the passage.
 
@@ -156,7 +175,7 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = SEED, share: float = SHARE
     Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z are lower-cased. score is the alignment's share of what the whole
     item would score; a leak has `share` of it, or what `words` words in a row would score. The words are the passage's first and last, counted from 0.
 
-    Null or empty texts and items, and items of fewer than n words, match nothing. Rows without an id or with an equal id are one
+    An item of fewer than n words is leaked only by documents of exactly its words. Null or empty texts and items match nothing. Rows without an id or with an equal id are one
     document each id; repeated items are one. Either table may be empty: then so is the result. Other columns are not looked at.
     """
     context = docs.sparkSession.sparkContext
@@ -184,8 +203,12 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = SEED, share: float = SHARE
     done = pairs.mapInArrow(_aligned, "id long, item long, need long, points long, first_word long, last_word long")
     done = done.where((F.col("points") >= share * MATCH * F.col("need")) | (F.col("points") >= MATCH * words))
     best = done.groupBy("id", "item").agg(F.max(F.struct("points", (-F.col("first_word")).alias("f"), "last_word", "need")).alias("b"))
-    id_ = F.when(F.col("id") != (1 << 63) - 1, F.col("id"))
-    return best.select(id_.alias(id_col), F.col("item").alias(item_col), (F.col("b.points") / (MATCH * F.col("b.need"))).alias("score"), (-F.col("b.f")).alias("first_word"), F.col("b.last_word").alias("last_word"))
+    best = best.select("id", "item", (F.col("b.points") / (MATCH * F.col("b.need"))).alias("score"), (-F.col("b.f")).alias("first_word"), F.col("b.last_word").alias("last_word"))
+    short = tests.where(F.size("words").between(1, n - 1)).select("item", "words")
+    if not short.isEmpty():
+        same = texts.where(F.length("text") > 0).mapInArrow(_short(n), "id long, words array<long>").join(short, "words").distinct()
+        best = best.unionByName(same.select("id", "item", F.lit(1.0).alias("score"), F.lit(0).cast("long").alias("first_word"), (F.size("words") - 1).cast("long").alias("last_word")))
+    return best.select(F.when(F.col("id") != LAST, F.col("id")).alias(id_col), F.col("item").alias(item_col), "score", "first_word", "last_word")
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:
