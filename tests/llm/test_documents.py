@@ -10,11 +10,13 @@ import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from bramble.llm import decontamination, fingerprint, license_scan, near_dup, packing, quality, sharding, substring_dedup, textvec, toxicity
+from bramble.llm import decontamination, fingerprint, license_scan, near_dup, packing, quality, sharding, splitters, substring_dedup, textvec, toxicity
 from bramble.llm.substring_dedup import dedup_substrings
+from bramble.operators import graph
 
 SCHEMA = "doc_id long, text string, lang string, score double, n_words int, kept boolean, size int"
 
@@ -58,18 +60,45 @@ def test_substrings(docs, texts):
                 gone.update(range(at, at + 20))
             seen.add(window)
         want[i] = (len(w), len(gone), " ".join(x for n, x in enumerate(w) if n not in gone))
-    for cells in (substring_dedup.MOST_CELLS, 1 << 18):
-        got = dedup_substrings(docs, most_cells=cells)
+    for cells in (substring_dedup.MOST_CELLS, 0):  # one sketch for all tasks; slices
+        got = dedup_substrings(docs, most_cells=cells, slice_cells=1 << 12)
         assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in got.collect()} == want
     assert set(docs.columns) < set(got.columns)
-    assert dedup_substrings(docs.limit(0)).count() == 0
+    assert dedup_substrings(docs.limit(0)).count() == 0 and dedup_substrings(docs.limit(0), most_cells=0).count() == 0
 
 
 def test_substrings_odd_rows(spark):
-    text = " ".join(f"t{i}" for i in range(25))
-    rows = spark.createDataFrame([(None, text), (7, text), (7, text), (9, text)], "doc_id long, text string")
-    got = collections.Counter((r.doc_id, r.n_removed) for r in dedup_substrings(rows).collect())
-    assert got == {(None, 25): 1, (7, 0): 2, (9, 25): 1}
+    text, other = (" ".join(f"{c}{i}" for i in range(25)) for c in "to")
+    rows = spark.createDataFrame([(None, text), (7, text), (7, text), (9, text), (None, other), (None, other), (None, other + " and more"), (None, None)], "doc_id long, text string")
+    for cells in (substring_dedup.MOST_CELLS, 0):
+        got = collections.Counter((r.doc_id, r.n_removed) for r in dedup_substrings(rows, most_cells=cells, slice_cells=1 << 12).where("text not like 'o%'").collect())
+        assert got == {(None, 25): 1, (7, 0): 2, (9, 25): 1}
+    # Of the texts without an id, the one whose key is smaller keeps the passage; equal ones are one document.
+    odd = sorted(r.n_removed for r in dedup_substrings(rows).where("text like 'o%'").collect())
+    assert odd in ([0, 0, 25], [0, 25, 25])
+
+
+def test_substrings_layout(spark):
+    text = "\n".join(" ".join(f"a{i}" for i in range(n, n + 10)) for n in range(0, 30, 10))
+    rows = spark.createDataFrame([(1, text), (2, f"Head\n\n {text}\nmiddle \t {text}"), (3, f"{text} tail\n"), (4, " as\tit  is ")], "doc_id long, text string")
+    got = {r.doc_id: r.kept_text for r in dedup_substrings(rows, layout=True).collect()}
+    assert got == {1: text, 2: "Head\n\n middle \t ", 3: "tail\n", 4: " as\tit  is "}
+
+
+def test_sliced_sketch_stays_sparse():
+    """The share of distinct windows that pass a slice doesn't grow with the number of slices."""
+    rng, shares = np.random.default_rng(4), []
+    for slices in (2, 20):
+        passed = total = 0
+        anchors = np.unique(rng.integers(0, 1 << 63, slices * (1 << 12) // 3).astype(np.uint64))
+        at = textvec.mix(anchors ^ np.uint64(0x51CE)) % np.uint64(slices)
+        for s in range(slices):
+            own = anchors[at == s]
+            batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(own), dtype=np.int64)), pa.array(own.view(np.int64)), pa.array(np.zeros(len(own), dtype=bool))], names=["slice", "anchor", "again"])
+            passed += next(substring_dedup._slice_estimates(1 << 13)((), iter([batch]))).num_rows
+            total += len(own)
+        shares.append(passed / total)
+    assert max(shares) < 0.12 and abs(shares[0] - shares[1]) < 0.02
 
 
 def test_near_dup(docs, texts):
@@ -116,8 +145,6 @@ def test_near_dup_hard_bucket(spark, monkeypatch):
 
 def test_near_dup_at_the_limit():
     """Two sets right at the limit, with so many elements in common that float32 rounds a hundred times their number."""
-    import pyarrow as pa
-
     n = 671_089
     elements = np.arange(2 * n)
     for missing, want in ((0, [(1, 2)]), (1, [])):
@@ -148,7 +175,7 @@ def test_canonical(spark):
     pairs += [("a" + acute + dot, "a" + dot + acute), (chr(0x212B), "A" + chr(0x30A)), (wide, "ab"), ("Stra" + chr(0xDF) + "e", "STRASSE"), ("a" + chr(0xA0) + " b", " A B "), ("q" + acute, "Q" + acute)]
     rows = spark.createDataFrame(pairs, "a string, b string").select(fingerprint.canonical(F.col("a")).alias("a"), fingerprint.canonical(F.col("b")).alias("b")).collect()
     assert [ascii(r.a) for r in rows] == [ascii(r.b) for r in rows]
-    assert rows[9].a == "q" + acute and rows[4].a == chr(0x1EA1) + acute
+    assert rows[9].a == "q" + acute and rows[4].a == "a" + dot + acute
 
 
 def test_clash(spark):
@@ -164,10 +191,33 @@ def test_next(docs, texts):
 
 
 def test_next_over_ranges(spark, monkeypatch):
-    monkeypatch.setattr(fingerprint, "ROWS", 5)
-    rows = spark.range(0, 300, 3).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
-    got = {r.doc_id: r.next_text for r in fingerprint.with_next(rows).collect()}
-    assert got == {i: str(i - 3 if i else 297) for i in range(0, 300, 3)}
+    """Ranges by bytes, in two levels of splitters; an id and a row that are repeated very often make several ranges."""
+    monkeypatch.setattr(fingerprint, "BYTES", 40)
+    monkeypatch.setattr(splitters, "BLOCKS", 5)
+    for least in (1, 60):
+        monkeypatch.setattr(fingerprint, "LEAST", least)
+        rows = spark.range(0, 900, 3, 4).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+        got = {r.doc_id: r.next_text for r in fingerprint.with_next(rows).collect()}
+        assert got == {i: str(i - 3 if i else 897) for i in range(0, 900, 3)}
+    many = spark.createDataFrame([*((5, f"x{i % 7}") for i in range(200)), *((None, "none") for _ in range(100)), (3, "three"), (9, "nine")], "doc_id long, text string").repartition(3)
+    many = graph.cut_lineage(many)
+    got = collections.Counter((r.doc_id, r.text, r.next_text) for r in fingerprint.with_next(many).collect())
+    assert sum(got.values()) == 302 and got[None, "none", "none"] == 99 and got[None, "none", "nine"] == 1 and got[3, "three", "none"] == 1
+    steps = collections.Counter((a, b) for (i, a, b), n in got.items() if i == 5 and a != b)
+    assert len(steps) == 7 and sum(n for (i, a, b), n in got.items() if i == 5 and a == b) == 200 - 7
+
+
+def test_ranges_follow_bytes(spark, monkeypatch):
+    monkeypatch.setattr(splitters, "BLOCKS", 8)
+    seen = []
+    for n in (2000, 20_000):
+        rows = graph.cut_lineage(spark.range(n).select(F.xxhash64("id").alias("h"), F.lit(100).alias("size")))
+        found = splitters.ranges(rows, "h", F.struct("h"), "size", 100 * n, n // 50)
+        each = found.with_range(rows, F.col("h"), F.struct("h")).groupBy("__r").agg(F.count("*").alias("n"), F.min("h").alias("a"), F.max("h").alias("z")).orderBy("__r").collect()
+        assert all(a.z < b.a for a, b in zip(each, each[1:]))
+        assert max(r.n for r in each) < 50 * 8
+        seen.append(len(each))
+    assert seen[1] > 7 * seen[0]
 
 
 def test_shards(docs, texts):
@@ -179,6 +229,7 @@ def test_shards(docs, texts):
         slots[r.shard].append(r.slot)
         shard_of[texts[r.doc_id]].add(r.shard)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert all(len(s) == 1 for s in shard_of.values())
     assert sharding.shard_by_bytes(docs.limit(0)).count() == 0
 
 
@@ -188,11 +239,29 @@ def test_shards_hot_text(spark):
     assert len(got) == 16 and max(r.b for r in got) < 1.05 * min(r.b for r in got) and all(r.s == r.n - 1 for r in got)
 
 
+def test_shards_keep_copies_together(spark, monkeypatch):
+    """Only a text whose copies exceed a shard's share is split; large groups, repeated rows and rows without an id are not."""
+    monkeypatch.setattr(splitters, "BLOCKS", 8)
+    text = F.when(F.col("id") < 400, "a" * 90).when(F.col("id") < 600, "b" * 90).when(F.col("id") < 700, "c" * 90).otherwise(F.concat(F.lit("t"), F.floor(F.col("id") / 3), F.lit("y" * 60)))
+    rows = spark.range(6000).select(F.when(F.col("id") % 5 > 0, F.floor(F.col("id") / 2)).alias("doc_id"), text.alias("text"), F.lit(1).alias("shard"))
+    got = sharding.shard_by_bytes(graph.cut_lineage(rows), shards=4).collect()
+    assert len(got) == 6000
+    total, at = collections.Counter(), collections.defaultdict(set)
+    for r in got:
+        total[r.shard] += r["size"]
+        at[r.text].add(r.shard)
+    assert all(len(s) == 1 for s in at.values()) and max(total.values()) < 1.06 * min(total.values())
+    assert sharding.filled_up([0, 10, 4], 3) == [0, 3, 3] and sharding.filled_up([1, 1], 4) == [0, 2]
+
+
 def test_licenses(docs, spark):
     assert license_scan.scan_licenses(docs).where("n_base > 0").count() == 0
     cases = [
         (1, "ALL Rights-Reserved. cc by, cc  BY", "cc-by,reserved"), (2, "all rights not reserved", ""), (3, None, ""), (4, "GNU General Public License", "gpl"), (5, "Released under the very MIT License", "mit"),
         (6, "permission is hereby granted free of charge to some person who gets a copy of this software and associated documentation files", "mit"), (7, "all rights all rights reserved", "reserved"),
+        (8, "Licensed under CC BY 4.0", "cc-by"), (9, "Licensed under CC BY-SA 4.0.", "cc-by,cc-by-sa"), (10, "This work is licensed under the GNU General Public License, version 2", "gpl,gpl-2.0"),
+        (11, "Licensed under the GNU Lesser General Public License version 3", "gpl,lgpl-3.0"), (12, "licensed under a creative commons attribution noncommercial 4.0 international license; released under the MIT license", "cc-by-nc,mit"),
+        (13, "of this and the terms of the copy of this or without any of the conditions " * 50, ""), (14, "This work is licensed under CC BY 4.0. This work is licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc"), (8, "Licensed under CC BY 4.0", "cc-by"),
     ]
     got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame([c[:2] for c in cases], "doc_id long, text string")).collect()}
     assert {i: got[i].labels for i, _, _ in cases} == {i: x for i, _, x in cases}
@@ -205,9 +274,8 @@ def test_packing(docs, texts):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     pieces, sequences = collections.defaultdict(dict), collections.defaultdict(dict)
-    for r in packing.pack_documents(docs, path, group=20).collect():
+    for r in packing.pack_documents(docs, path, group=50_000).collect():
         ids = np.frombuffer(r.ids, dtype="<u4").tolist()
         assert len(ids) == r.length
         pieces[r.doc_id][r.start] = ids
@@ -229,10 +297,23 @@ def test_encoder_edges():
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    odd = ["a  b", "x \n y", " lead", "trail ", "\n\n a\n b", "\x1c a", "é　 b", "don't  stop", "<|endoftext|> x", "", "\x00 a b", "    a", "你好 世界\n", "a  b", "...,, !! a1b2", "퟿ x"]
-    got = packing.Encoder(path).encode(odd, None)
-    assert [x.tolist() for x in got] == [plain.encode(x, add_special_tokens=False).ids for x in odd]
+    bits = [" ", "  ", "\n", "\t", "a", "b", "\u00e9", "\u4e16", "'s", "1", "<|", "<|endoftext|>", "\x1c", "\u3000", ".", "\x00", "\xa0", "\u01c6", "\ud7ff"]
+    rng = random.Random(9)
+    odd = ["", None, " ", "\n", "trail ", "don't  stop", "x<|endoftext|>", *("".join(rng.choice(bits) for _ in range(rng.randrange(12))) for _ in range(3000))]
+    encoder = packing.Encoder(path)
+    for texts in (odd, odd[::-1]):
+        got = encoder.encode(pa.array(texts), None)
+        assert [x.tolist() for x in got] == [plain.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def test_packing_repeated_rows(spark):
+    """Rows that are equal in everything are dealt over the groups, and each gets its own pieces."""
+    import public_tokenizers
+
+    rows = spark.range(4000).select(F.when(F.col("id") % 2 == 0, 7).cast("long").alias("doc_id"), F.lit("the same words again and again").alias("text"), F.lit(1).alias("start"))
+    got = packing.pack_documents(rows, public_tokenizers.path("byte_bpe_50k.json"), group=20_000).select("doc_id", "sequence_id", "offset", "length").collect()
+    assert len({r.sequence_id >> 32 for r in got}) == 6 and len({(r.sequence_id, r.offset) for r in got}) == len(got)
+    assert sum(r.length for r in got) == 4000 * 7
 
 
 def test_first_fit_decreasing():
@@ -374,8 +455,6 @@ def test_gradients():
 
 
 def test_words():
-    import pyarrow as pa
-
     texts = ["a b", None, "", "ab", "x\x0by z", " a  b ", "Ab"]
     found = textvec.cut(pa.array(texts), textvec.NOT_SPACE)
     assert found.counts.tolist() == [2, 0, 0, 1, 2, 2, 1]
