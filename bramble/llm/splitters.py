@@ -65,9 +65,11 @@ def ranges(records: DataFrame, first: str, key: Column, weight: str, total: int,
     draw = F.pmod(F.xxhash64(F.lit("draw"), "__key"), F.lit(1 << 40)) / float(1 << 40)
     drawn = cut_lineage(drawn.where(draw < F.col("__chance")).drop("__chance"))
     found = Ranges(boundaries(drawn, "__first", min(BLOCKS, count // SAMPLES)), drawn, count)
-    drawn = drawn.withColumn("__block", found.block_of(F.col("__first")))
-    place = F.row_number().over(Window.partitionBy("__block").orderBy("__key"))
-    bounds = drawn.withColumn("__n", place).where(F.col("__n") % SAMPLES == 0).groupBy("__block").agg(F.sort_array(F.collect_set("__key")).alias("all"))
+    # A key that is drawn very often is one row with its number.
+    keys = drawn.groupBy("__first", "__key").agg(F.count("*").alias("n")).withColumn("__block", found.block_of(F.col("__first")))
+    upto = F.sum("n").over(Window.partitionBy("__block").orderBy("__key"))
+    full = F.floor(F.col("__upto") / SAMPLES) > F.floor((F.col("__upto") - F.col("n")) / SAMPLES)
+    bounds = keys.withColumn("__upto", upto).where(full).groupBy("__block").agg(F.sort_array(F.collect_list("__key")).alias("all"))
     chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / CHUNK).cast("int")), lambda i: F.slice("all", i * CHUNK + 1, F.lit(CHUNK)))
     found.inner = cut_lineage(bounds.select("__block", chunks.alias("__bounds")))
     return found
