@@ -58,12 +58,11 @@ class Ranges:
 def ranges(records: DataFrame, first: str, key: Column, weight: str, total: int, count: int) -> Ranges:
     """About `count` ranges of equal weight; records have a long `first`, which the key begins with, and a weight.
 
-    Each record is drawn with a chance in proportion to its weight, by a hash of its key.
+    Each record is drawn by itself, with a chance in proportion to its weight; the sample is written out once.
     """
     chance = F.col(weight) * F.lit(SAMPLES * count / max(total, 1))
     drawn = records.select(F.col(first).alias("__first"), key.alias("__key"), chance.alias("__chance"))
-    draw = F.pmod(F.xxhash64(F.lit("draw"), "__key"), F.lit(1 << 40)) / float(1 << 40)
-    drawn = cut_lineage(drawn.where(draw < F.col("__chance")).drop("__chance"))
+    drawn = cut_lineage(drawn.where(F.rand(1) < F.col("__chance")).drop("__chance"))
     found = Ranges(boundaries(drawn, "__first", min(BLOCKS, count // SAMPLES)), drawn, count)
     # A key that is drawn very often is one row with its number.
     keys = drawn.groupBy("__first", "__key").agg(F.count("*").alias("n")).withColumn("__block", found.block_of(F.col("__first")))
