@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -22,8 +23,9 @@ FEW_BUCKETS = 200_000
 #: Ranges of ids at least, and bytes of text in a range.
 LEAST, BYTES = 1024, 1 << 26
 
-_SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_SPACES = [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _HANGUL = range(0xAC00, 0xD7A4)
+_IOTA = chr(0x345)  # a mark that folds to a letter; it stays a mark, so that marks in another order are the same
 _BETWEEN = chr(0x1F)
 
 
@@ -31,67 +33,88 @@ def _characters() -> list[str]:
     return [chr(c) for c in range(0x80, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and c not in _HANGUL]
 
 
+def _form(c: str) -> str:
+    """A character decomposed (compatibility forms too) with its case folded, or a space for white space."""
+    if ord(c) in _SPACES:
+        return " "
+    apart = unicodedata.normalize("NFKD", c)
+    return "".join(x if x == _IOTA else unicodedata.normalize("NFKD", x.casefold()) for x in apart)
+
+
 @lru_cache
-def _decompositions() -> tuple[str, str]:
-    """The characters with a decomposition, but for Hangul syllables, in order; and those decompositions, set apart."""
-    pairs = [(c, d) for c in _characters() if (d := unicodedata.normalize("NFKD", c)) != c]
-    return "".join(c for c, _ in pairs), _BETWEEN.join(d for _, d in pairs)
+def _forms() -> tuple[str, str, str]:
+    """The characters that have another form, but for Hangul syllables, in order; those forms, set apart; and characters that may bring marks out of order."""
+    pairs = [(c, _form(c)) for c in _characters()]
+    other = [(c, f) for c, f in pairs if f != c]
+    marked = "".join(c for c, f in pairs if unicodedata.combining(c) or sum(unicodedata.combining(x) > 0 for x in f) > 1)
+    return "".join(c for c, _ in other), _BETWEEN.join(f for _, f in other), marked
 
 
 @lru_cache
-def _mark_classes() -> tuple[str, str]:
-    """All combining marks, and for each a character that ascends with its class."""
+def _mark_classes() -> tuple[str, str, str]:
+    """All combining marks (those of class 0 are letters in this respect), for each a character that ascends with its class, and a pattern's class of them."""
     marks = [c for c in _characters() if unicodedata.combining(c)]
-    return "".join(marks), "".join(chr(0x100 + unicodedata.combining(c)) for c in marks)
+    starts = [c for c in marks if chr(ord(c) - 1) not in marks]
+    ends = [c for c in marks if chr(ord(c) + 1) not in marks]
+    ranges = "".join(f"\\x{{{ord(a):X}}}-\\x{{{ord(z):X}}}" for a, z in zip(starts, ends, strict=True))
+    return "".join(marks), "".join(chr(0x100 + unicodedata.combining(c)) for c in marks), ranges
 
 
 @lru_cache
-def _folds() -> tuple[str, str, list[tuple[str, str]]]:
-    """Where folding the case of a decomposed character is not lower case: one to one as two strings, and the others."""
-    pairs = [(low, c.casefold()) for c in _characters() if unicodedata.normalize("NFKD", c) == c and (low := c.lower()) != c.casefold()]
-    pairs = sorted(dict(pairs).items())
-    return "".join(a for a, b in pairs if len(b) == 1), "".join(b for _, b in pairs if len(b) == 1), [(a, b) for a, b in pairs if len(b) > 1]
-
-
-def _decomposed(text: Column) -> Column:
-    """Each of the text's distinct characters that has a decomposition is replaced by it, all over the text."""
-    known, parts = _decompositions()
-    parts = F.split(F.lit(parts), _BETWEEN)
-    syllables = [chr(c) for c in _HANGUL]
-    # Syllables without a third letter come last: translate deletes what it has no letter for.
-    order = sorted(syllables, key=lambda c: len(unicodedata.normalize("NFD", c)), reverse=True)
-    letters = ["".join(n[i] for c in order if len(n := unicodedata.normalize("NFD", c)) > i) for i in range(3)]
-    hangul = lambda c: F.concat(*[F.translate(c, "".join(order), x) for x in letters])
-    other = F.array_distinct(F.split(F.regexp_replace(text, r"[\x00-\x7F]+", ""), ""))
-    special = F.filter(other, lambda c: (c != "") & ((F.translate(c, known, "") == "") | c.between(syllables[0], syllables[-1])))
-    return F.aggregate(special, text, lambda t, c: F.replace(t, c, F.when(c.between(syllables[0], syllables[-1]), hangul(c)).otherwise(F.get(parts, F.instr(F.lit(known), c) - 1))))
+def _syllables() -> tuple[str, list[str]]:
+    """All Hangul syllables, those without a third letter last (translate deletes what it has no letter for), and their first, second and third letters."""
+    apart = {c: unicodedata.normalize("NFD", c) for c in map(chr, _HANGUL)}
+    order = sorted(apart, key=lambda c: -len(apart[c]))
+    return "".join(order), ["".join(apart[c][i] for c in order if len(apart[c]) > i) for i in range(3)]
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _replaced(text: Column, distinct: Column) -> Column:
+    """Each of the text's distinct characters that has another form is replaced by it, all over the text."""
+    known, forms, _ = _forms()
+    forms = F.split(F.lit(forms), _BETWEEN)
+    order, letters = _syllables()
+    is_syllable = lambda c: c.between(chr(_HANGUL[0]), chr(_HANGUL[-1]))
+    hangul = lambda c: F.concat(*[F.translate(c, order, x) for x in letters])
+    special = F.filter(distinct, lambda c: (F.translate(c, known, "") == "") | is_syllable(c))
+    return F.aggregate(special, text, lambda t, c: F.replace(t, c, F.when(is_syllable(c), hangul(c)).otherwise(F.get(forms, F.instr(F.lit(known), c) - 1))))
 
 
 def _in_order(text: Column) -> Column:
     """Runs of marks sorted by class, in their own order within one."""
-    runs = F.regexp_extract_all(text, F.lit(r"(\p{M}+|\P{M}+)"), F.lit(1))
-    marks, classes = _mark_classes()
+    marks, classes, ranges = _mark_classes()
+    runs = F.regexp_extract_all(text, F.lit(f"([{ranges}]+|[^{ranges}]+)"), F.lit(1))
 
     def sorted_run(run: Column) -> Column:
         each = F.transform(F.split(run, ""), lambda c, i: F.struct(F.translate(c, marks, classes).alias("class"), i.alias("at"), c.alias("mark")))
         return F.array_join(F.transform(F.array_sort(each), lambda x: x["mark"]), "")
 
-    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^\p{M}{2}"), sorted_run(r)).otherwise(r)), "")
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(f"^[{ranges}]{{2}}"), sorted_run(r)).otherwise(r)), "")
 
 
-def normalized(text: Column) -> Column:
-    """Unicode's compatibility decomposition. Texts of ASCII alone only pass the first check; few others have two marks in a row."""
-    ordered = lambda t: F.when(t.rlike(r"\p{M}{2}"), _in_order(t)).otherwise(t)
-    return F.when(text.rlike(r"[^\x00-\x7F]"), F.get(F.transform(F.array(_decomposed(text)), ordered), 0)).otherwise(text)
+def _plain(text: Column) -> Column:
+    """A text that isn't ASCII alone with all its other characters decomposed, folded and, if there may be two marks in a row, in order."""
+    marked = _forms()[2]
+    distinct = F.filter(F.array_distinct(F.split(F.regexp_replace(text, r"[\x00-\x7F]+", ""), "")), lambda c: c != "")
+
+    def formed(chars: Column) -> Column:
+        odd = F.exists(chars, lambda c: F.translate(c, marked, "") == "")
+        return _let(_replaced(text, chars), lambda t: F.when(odd, _in_order(t)).otherwise(t))
+
+    return _let(distinct, formed)
 
 
 def canonical(text: Column) -> Column:
-    """Normalised, case-folded, white space as single spaces; null is empty."""
-    one, to, more = _folds()
-    low = F.translate(F.lower(normalized(F.coalesce(text, F.lit("")))), one, to)
-    for a, b in more:
-        low = F.replace(low, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(low, _SPACE, " "))
+    """Decomposed, case-folded, white space as single spaces; null is empty. ASCII texts, most by far, only change case and white space."""
+    text = F.coalesce(text, F.lit(""))
+    low = F.lower(F.when(text.rlike(r"[^\x00-\x7F]"), _plain(text)).otherwise(text))
+    for space in "\t\n\x0b\x0c\r":
+        low = F.replace(low, F.lit(space), F.lit(" "))
+    return _let(low, lambda t: F.trim(F.when(F.contains(t, F.lit("  ")), F.regexp_replace(t, " {2,}", " ")).otherwise(t)))
 
 
 def digest(canon: Column) -> Column:
@@ -104,11 +127,16 @@ def fingerprints(docs: DataFrame, text_col: str = "text", out_col: str = "finger
     Null texts count as empty, and all empty or blank texts share one fingerprint. Repeated rows and
     other columns stay; a column of the new one's name is replaced. An empty table gives an empty table.
     """
-    found = docs.withColumn(out_col, digest(canonical(F.col(text_col))))
-    return lengthened(found, clashes(found.select(F.col(out_col).alias("fp"), F.col(text_col).alias("text"))), text_col, out_col)
+    return fingerprinting(docs, text_col, out_col)(docs)
+
 
+def fingerprinting(docs: DataFrame, text_col: str = "text", out_col: str = "fingerprint") -> Callable[[DataFrame], DataFrame]:
+    """What adds fingerprints to docs, or to rows of it: they are lengthened where two of all texts of docs clash."""
+    clashing = clashes(docs.select(digest(canonical(F.col(text_col))).alias("fp"), F.col(text_col).alias("text")))
+    return lambda rows: _lengthened(rows.withColumn(out_col, digest(canonical(F.col(text_col)))), clashing, text_col, out_col)
 
-def lengthened(found: DataFrame, clashing: DataFrame | None, text_col: str, out_col: str) -> DataFrame:
+
+def _lengthened(found: DataFrame, clashing: DataFrame | None, text_col: str, out_col: str) -> DataFrame:
     if clashing is None:
         return found
     longer = F.concat(F.col(out_col), F.lit("-"), F.sha2(canonical(F.col(text_col)), 256))
@@ -130,9 +158,11 @@ def clashes(texts: DataFrame) -> DataFrame | None:
     return None if found.isEmpty() else found
 
 
-def with_next(docs: DataFrame, also: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def with_next(docs: DataFrame, also: tuple[str, ...] = (), derived: Callable[[DataFrame], DataFrame] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with next_text, the text of the document with the next smaller id (after the last: the first), and next_c of each column c in `also`.
 
+    derived adds columns to docs that `also` may name; they are made for each row once, after the few rows that two ranges need are picked.
+
     Ids are cut into ranges of about BYTES at sampled splitters; each range gets a copy of the row that follows
     its last one, so that the order is never sorted in one task. Rows of an equal id follow by a hash of their texts, equal rows
     by their place, so that one id or one row that is repeated very often still makes several ranges. Rows without an id
@@ -154,15 +184,16 @@ def with_next(docs: DataFrame, also: tuple[str, ...] = (), id_col: str = "doc_id
     heads = heads.select("*", block).withColumn("__up", up).join(F.broadcast(blocks), "__b")
     heads = heads.select(F.col("top.__doc").alias("__doc"), F.bitwise_not("top.h").alias("__h"), F.bitwise_not("top.s").alias("__s"), F.coalesce("__up", "__next").alias("__to"))
     copies = rows.drop("__r").join(found.small(cut_lineage(heads)), ["__doc", "__h", "__s"]).withColumnRenamed("__to", "__r").withColumn("__copy", F.lit(1))
-    both = rows.withColumn("__copy", F.lit(0)).unionByName(copies)
+    derived = derived or (lambda df: df)
+    both = derived(rows.withColumn("__copy", F.lit(0))).unionByName(derived(copies))
     order = Window.partitionBy("__r").orderBy("__copy", F.desc("__doc"), "__h", "__s")
     named = {"next_text": F.lead(F.coalesce(text_col, F.lit(""))).over(order)} | {f"next_{c}": F.lead(c).over(order) for c in also}
     return both.withColumns(named).where("__copy = 0").drop("__doc", "__h", "__s", "__r", "__copy")
 
 
 def op3_fingerprint(spark, sf_dir: str) -> DataFrame:
-    docs = fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    docs = with_next(docs, also=("fingerprint",)).withColumn("text", F.coalesce("text", F.lit("")))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = with_next(docs, also=("fingerprint",), derived=fingerprinting(docs)).withColumn("text", F.coalesce("text", F.lit("")))
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     docs = docs.withColumns({"n_chars": n.cast("long"), "edited": F.concat(F.left("text", n - cut), F.left("next_text", cut))})
