@@ -1,9 +1,9 @@
 """Chat formatting of reply trees, built of DataFrame operations only.
 
-Iterative self-joins double the reach of each node's pointer to its ancestors, so that the paths
-from all leaves to their roots are enumerated in as many joins as the depth has binary digits,
-one row for each node of a path. Branches are ranked by the sum of their scores, and each chosen
-path becomes one conversation. Control strings inside texts are escaped reversibly, so a
+Iterative self-joins double the reach of each node's pointer to its ancestors, and add up the scores on the way, in as many rounds as the
+depth has binary digits. So every leaf's branch has its score before any path is written out; branches are
+ranked by it, and only the chosen ones are enumerated from leaf to root, by the same pointers, one row for each node of a path.
+Each chosen path becomes one conversation. Control strings inside texts are escaped reversibly, so a
 formatted conversation can be read back exactly.
 """
 
@@ -27,26 +27,45 @@ def unescaped(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("<\\|"), F.lit("<|")), F.lit("\\\\"), F.lit("\\"))
 
 
-def branches(nodes: DataFrame) -> DataFrame:
-    """(tree, leaf, node, up) for each node of each root-to-leaf path of nodes (tree, node, parent); up counts from the leaf.
+def _pointers(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(tree, leaf, score) of each root-to-leaf branch of nodes (tree, node, parent, score), and the pointers (tree, node, above) over 1, 2, 4, ... steps.
 
     A node whose parent is null, missing or itself is a root. A ring has no leaf, but if other
     nodes hang from one, their paths never end: that raises ValueError.
     """
-    known = nodes.select("tree", "node").distinct()
-    links = nodes.where("parent is not null and parent != node").select("tree", "node", "parent").distinct()
-    links = cut_lineage(links.join(known.select("tree", F.col("node").alias("parent")), ["tree", "parent"], "left_semi"))
-    leaves = known.join(links.select("tree", F.col("parent").alias("node")).distinct(), ["tree", "node"], "left_anti")
-    paths = cut_lineage(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")))
-    jump = links.select("tree", "node", F.col("parent").alias("above"))
-    for k in range(DOUBLINGS):
+    totals = cut_lineage(nodes.groupBy("tree", "node").agg(F.sum(F.coalesce("score", F.lit(0.0))).alias("score")))
+    links = nodes.where("parent is not null and parent != node").select("tree", "node", F.col("parent").alias("above")).distinct()
+    links = cut_lineage(links.join(totals.select("tree", F.col("node").alias("above")), ["tree", "above"], "left_semi"))
+    leaves = totals.join(links.select("tree", F.col("above").alias("node")).distinct(), ["tree", "node"], "left_anti").select("tree", "node")
+    jumps = [links]
+    while not jumps[-1].isEmpty():
+        if len(jumps) > DOUBLINGS:
+            raise ValueError("replies form a ring")
+        jump = jumps[-1]
+        above = jump.join(totals.select("tree", F.col("node").alias("above"), F.col("score").alias("more")), ["tree", "above"]).select("tree", "node", "more")
+        totals = cut_lineage(totals.join(above, ["tree", "node"], "left").select("tree", "node", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score")))
+        after = jump.select("tree", F.col("node").alias("above"), F.col("above").alias("next"))
+        jumps.append(cut_lineage(jump.join(after, ["tree", "above"]).select("tree", "node", F.col("next").alias("above"))))
+    return leaves.join(totals, ["tree", "node"]).select("tree", F.col("node").alias("leaf"), "score"), jumps[:-1]
+
+
+def ranked(branches: DataFrame) -> DataFrame:
+    """(tree, leaf, score, rank): by falling score, then leaf. Rows are sorted over all tasks, so that a tree of very many leaves is ranked in several."""
+    rows = branches.repartitionByRange(F.col("tree"), F.desc("score"), F.col("leaf")).withColumn("__task", F.spark_partition_id())
+    rows = cut_lineage(rows)
+    each = Window.partitionBy("tree", "__task").orderBy(F.desc("score"), "leaf")
+    before = Window.partitionBy("tree").orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("tree", "__task").agg(F.count("*").alias("n")).withColumn("__before", F.coalesce(F.sum("n").over(before), F.lit(0)))  # a row a task at most for each tree
+    return rows.withColumn("rank", F.row_number().over(each)).join(counts, ["tree", "__task"]).select("tree", "leaf", "score", (F.col("rank") + F.col("__before")).alias("rank"))
+
+
+def _paths(leaves: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """(tree, leaf, node, up) for each node of the path from each of the leaves to its root; up counts from the leaf."""
+    paths = leaves.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up"))
+    for k, jump in enumerate(jumps):
         higher = paths.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node"), (F.col("up") + (1 << k)).alias("up"))
         paths = cut_lineage(paths.unionByName(higher))
-        after = jump.select("tree", F.col("node").alias("above"), F.col("above").alias("next"))
-        jump = cut_lineage(jump.join(after, ["tree", "above"]).select("tree", "node", F.col("next").alias("above")))
-        if jump.isEmpty():
-            return paths
-    raise ValueError("replies form a ring")
+    return paths
 
 
 def format_branches(nodes: DataFrame, top: int | None = None, loss_role: str = "assistant") -> DataFrame:
@@ -58,12 +77,10 @@ def format_branches(nodes: DataFrame, top: int | None = None, loss_role: str = "
     can be told from them; nodes with an equal id are the same place, one after another by role and text. An empty table gives an empty table. Other columns are not looked at.
     """
     nodes = nodes.where("tree is not null and node is not null")
-    paths = branches(nodes)
-    marks = nodes.groupBy("tree", "node").agg(F.sum(F.coalesce("score", F.lit(0.0))).alias("score"))
-    scores = paths.join(marks, ["tree", "node"]).groupBy("tree", "leaf").agg(F.sum("score").alias("score"))
-    ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
-    if top is not None:
-        ranked = ranked.where(F.col("rank") <= top)
+    branches, jumps = _pointers(nodes)
+    best = ranked(branches)
+    best = cut_lineage(best if top is None else best.where(F.col("rank") <= top))
+    paths = _paths(best, jumps)
     turns = paths.join(nodes.select("tree", "node", "role", "text"), ["tree", "node"])
     role, text = escaped(F.col("role")), escaped(F.col("text"))
     head = F.concat(F.lit(START), role, F.lit("\n"))
@@ -73,7 +90,7 @@ def format_branches(nodes: DataFrame, top: int | None = None, loss_role: str = "
     turns = turns.select("tree", "leaf", F.struct("at", "piece", F.when(F.col("loss"), F.struct((F.col("at") + F.col("from")).alias("start"), (F.col("at") + F.col("from") + F.col("chars")).alias("end"))).alias("span")).alias("t"))
     done = turns.groupBy("tree", "leaf").agg(F.sort_array(F.collect_list("t")).alias("t"))
     done = done.select("tree", "leaf", F.size("t").cast("long").alias("n_turns"), F.array_join("t.piece", "").alias("formatted"), F.filter("t.span", lambda s: s.isNotNull()).alias("loss_spans"))
-    return ranked.join(done, ["tree", "leaf"]).select("tree", "leaf", "score", "rank", "n_turns", "formatted", "loss_spans")
+    return best.join(done, ["tree", "leaf"]).select("tree", "leaf", "score", "rank", "n_turns", "formatted", "loss_spans")
 
 
 def turns_of(formatted: Column) -> Column:
