@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import collections
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,3 +41,34 @@ def test_long_and_ring(spark, monkeypatch):
     ring = spark.createDataFrame([(1, 1, 2, "u", "a", 1.0, 0), (1, 2, 1, "u", "b", 1.0, 0), (1, 3, 1, "u", "c", 1.0, 0)], SCHEMA)
     with pytest.raises(ValueError):
         chat.format_branches(ring)
+
+
+def test_ranks_of_large_trees(spark):
+    """Random trees, one with most of all leaves, with ties and repeated nodes: every branch's score and rank, and the text of the best."""
+    rng, rows = random.Random(3), []
+    for tree, n in ((1, 400), (2, 30), (3, 1)):
+        for node in range(n):
+            rows.append((tree, node, rng.randrange(node) if node and rng.random() < 0.97 else None, rng.choice(["user", "assistant"]), f"{tree}-{node}", rng.choice([0.0, 0.5, 1.0, None]), 0))
+    rows += [(2, 7, next(r[2] for r in rows if r[:2] == (2, 7)), "user", "again", 0.25, 0)]
+    parent, score, said = {}, collections.Counter(), collections.defaultdict(list)
+    for tree, node, up, role, text, s, _ in rows:
+        parent[tree, node] = up
+        score[tree, node] += s or 0.0
+        said[tree, node].append((role, text))
+    leaves = {}
+    for tree, node in set(parent) - {(t, p) for (t, _), p in parent.items()}:
+        path, at = [], node
+        while at is not None:
+            path.append(at)
+            at = parent[tree, at]
+        leaves[tree, node] = (sum(score[tree, x] for x in path), [t for x in reversed(path) for t in sorted(said[tree, x])])
+    order = collections.defaultdict(list)
+    for (tree, leaf), (total, _) in leaves.items():
+        order[tree].append((-total, leaf))
+    want = {(t, leaf): n + 1 for t, x in order.items() for n, (_, leaf) in enumerate(sorted(x))}
+    nodes = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = chat.format_branches(nodes).withColumn("turns", chat.turns_of(F.col("formatted"))).collect()
+    assert {(r.tree, r.leaf): r["rank"] for r in got} == want
+    for r in got:
+        assert abs(r.score - leaves[r.tree, r.leaf][0]) < 1e-9 and [(t.role, t.text) for t in r.turns] == leaves[r.tree, r.leaf][1]
+    assert {(r.tree, r.leaf): r["rank"] for r in chat.format_branches(nodes, top=3).collect()} == {k: n for k, n in want.items() if n <= 3}
