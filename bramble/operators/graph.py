@@ -6,9 +6,10 @@ Every table carries graph_id, so one job works on a whole fleet of graphs.
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 NODES = "graph_id string, node_seq long, id string, type string, name string, namespace string, risk_score double, is_source boolean, is_sink boolean, cves array<string>"
 EDGES = "graph_id string, edge_seq long, source string, target string, relationship string, weight double, cve string, cvss double"
@@ -44,11 +45,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _one_each(rows: DataFrame, keys: list[str], by: str, pick: Callable[[Column, Column], Column], at_first: bool = False) -> DataFrame:
+    """One row of rows for each of the keys: the one with the least or greatest `by`, at the least position if so asked.
+
+    Tasks keep a row a key before any is moved, so a key with very many rows is no more than a row a task.
+    """
+    rest = [c for c in rows.columns if c not in keys]
+    found = rows.groupBy(*keys).agg(pick(F.struct(*rest), F.col(by)).alias("__row"), F.min(by).alias("__at"))
+    value = lambda c: F.col("__at") if at_first and c == by else F.col(f"__row.{c}")
+    return found.select(*[F.col(c) if c in keys else value(c).alias(c) for c in rows.columns])
+
+
 def upsert_nodes(nodes: DataFrame) -> DataFrame:
     """One row for each (graph, id): the last attributes, at the first position."""
-    by_id = Window.partitionBy("graph_id", "id")
-    last = F.row_number().over(by_id.orderBy(F.desc("node_seq")))
-    return nodes.withColumns({"__last": last, "__at": F.min("node_seq").over(by_id)}).where("__last = 1").withColumn("node_seq", F.col("__at")).drop("__last", "__at")
+    return _one_each(nodes, ["graph_id", "id"], "node_seq", F.max_by, at_first=True)
 
 
 def _ends(edges: DataFrame, nodes: DataFrame, how: str) -> DataFrame:
@@ -73,20 +83,12 @@ def dangling_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def first_of_relationship(edges: DataFrame) -> DataFrame:
     """The first edge of each (source, target, relationship)."""
-    order = Window.partitionBy("graph_id", "source", "target", "relationship").orderBy("edge_seq")
-    return edges.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    return _one_each(edges, ["graph_id", "source", "target", "relationship"], "edge_seq", F.min_by)
 
 
 def collapse(edges: DataFrame) -> DataFrame:
-    """One edge for each (source, target): the first of each relationship, then the last of those, at the position of the first.
-
-    Rows are dealt by (graph_id, source, target) once; both windows use that.
-    """
-    pair = ["graph_id", "source", "target"]
-    first = first_of_relationship(edges.repartition(*pair))
-    order = Window.partitionBy(*pair).orderBy(F.desc("edge_seq"))
-    at = F.min("edge_seq").over(Window.partitionBy(*pair))
-    return first.withColumns({"__n": F.row_number().over(order), "__at": at}).where("__n = 1").withColumn("edge_seq", F.col("__at")).drop("__n", "__at")
+    """One edge for each (source, target): the first of each relationship, then the last of those, at the position of the first."""
+    return _one_each(first_of_relationship(edges), ["graph_id", "source", "target"], "edge_seq", F.max_by, at_first=True)
 
 
 def build(raw: Graph, collapsed: bool = True) -> Graph:
