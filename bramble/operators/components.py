@@ -15,11 +15,10 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def _with_least(edges: DataFrame, least: DataFrame, most: int) -> DataFrame:
-    """edges (u, v) with m of least (u, m, n), a row for each u. The few u with over `most` edges are sent to all tasks, so no key is hot in the join of the rest."""
+    """edges (u, v) with m of least (u, m, n), a row for each u. The few u with over `most` edges are looked up in all tasks, and their edges are dealt by v, so no key is hot."""
     hubs = least.where(F.col("n") > most).select("u", F.col("m").alias("hub"))
-    edges = edges.join(F.broadcast(hubs), "u", "left")  # 2 / HUB rows at most
-    rest = edges.where("hub is null").drop("hub").join(least.where(F.col("n") <= most).select("u", "m"), "u")
-    return rest.unionByName(edges.where("hub is not null").withColumnRenamed("hub", "m"))
+    edges = edges.join(F.broadcast(hubs), "u", "left").withColumn("key", F.when(F.col("hub").isNull(), F.col("u")).otherwise(F.col("v")))  # 2 / HUB rows at most
+    return edges.join(least.select(F.col("u").alias("key"), "m"), "key", "left").select("u", "v", F.coalesce("hub", "m").alias("m"))
 
 
 def _large_star(edges: DataFrame, most: int) -> DataFrame:

@@ -228,22 +228,37 @@ def weak_components(graph: Graph) -> DataFrame:
     return nodes.groupBy("graph_id").agg(F.count_distinct(F.coalesce("component", "node")).alias("components"))
 
 
+def _ways_back(steps: DataFrame) -> DataFrame:
+    """(graph_id, start, node): nodes greater than start from which start is reached over such nodes alone."""
+    back = steps.select("graph_id", F.col("next").alias("node"), F.col("node").alias("before"))
+    front = cut_lineage(steps.where("node > next").select("graph_id", F.col("next").alias("start"), "node").distinct())
+    found = front
+    while not front.isEmpty():
+        new = front.join(back, ["graph_id", "node"]).where("before > start").select("graph_id", "start", F.col("before").alias("node")).distinct()
+        front = cut_lineage(new.join(found, ["graph_id", "start", "node"], "left_anti"))
+        found = found.unionByName(front)
+    return found
+
+
 def cycles(graph: Graph, max_len: int | None = None, max_cycles: int | None = None) -> DataFrame:
     """(graph_id, cycle, risk, length): every elementary circuit once, from its smallest id on.
 
-    Paths grow from each node over greater ids only, and end when they come back, so no circuit is found twice.
-    More than max_cycles open paths in a round raise RuntimeError.
+    Paths grow from each node over greater ids only, and only to nodes that have a way back to it, and end when they come back, so no
+    circuit is found twice and no path leaves its knot. More than max_cycles open paths in a round raise RuntimeError.
     """
     core = cyclic_core(graph.edges)
     steps = cut_lineage(core.select("graph_id", F.col("source").alias("node"), F.col("target").alias("next"), "weight"))
+    ways, key = _ways_back(steps), ["graph_id", "start", "node"]
     loops = steps.where("node = next").select("graph_id", F.array("node").alias("cycle"), F.col("weight").alias("risk"))
-    done, front, length = loops, cut_lineage(steps.where("node < next").select("graph_id", F.col("node").alias("start"), F.col("next").alias("node"), F.array("node", "next").alias("cycle"), F.col("weight").alias("risk"))), 2
+    begin = steps.where("node < next").select("graph_id", F.col("node").alias("start"), F.col("next").alias("node"), F.array("node", "next").alias("cycle"), F.col("weight").alias("risk"))
+    done, front, length = loops, cut_lineage(begin.join(ways, key, "left_semi")), 2
     while not front.isEmpty() and (max_len is None or length <= max_len):
         if max_cycles is not None and front.count() > max_cycles:
             raise RuntimeError(f"more than {max_cycles} open paths of {length} nodes")
         more = cut_lineage(front.join(steps, ["graph_id", "node"]).where("next >= start").select("graph_id", "start", "next", "cycle", (F.col("risk") + F.col("weight")).alias("risk")))
         done = done.unionByName(more.where("next = start").select("graph_id", "cycle", "risk"))
-        front = cut_lineage(more.where((F.col("next") > F.col("start")) & ~F.array_contains("cycle", F.col("next"))).select("graph_id", "start", F.col("next").alias("node"), F.concat("cycle", F.array("next")).alias("cycle"), "risk"))
+        open_ = more.where((F.col("next") > F.col("start")) & ~F.array_contains("cycle", F.col("next"))).select("graph_id", "start", F.col("next").alias("node"), F.concat("cycle", F.array("next")).alias("cycle"), "risk")
+        front = cut_lineage(open_.join(ways, key, "left_semi"))
         length += 1
     return done.select("graph_id", "cycle", "risk", F.size("cycle").alias("length"))
 
