@@ -142,24 +142,17 @@ def _compare_rays(percent: int):
     """Links between one set, the hub, and the others of a block."""
 
     def run(keys: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub_id, hub, wait, found = keys[0].as_py(), None, [], []
+        hub_id, hubs, others = keys[0].as_py(), [], []  # RAY_MEMBERS documents or so; one that is given several times has several sets
+        for batch in batches:
+            for doc, own in zip(batch.column(3).to_pylist(), (x.values.to_numpy() for x in batch.column(4)), strict=True):
+                (hubs if doc == hub_id else others).append((doc, np.sort(own)))
 
-        def links(doc: int, own: np.ndarray) -> bool:
+        def links(hub: np.ndarray, own: np.ndarray) -> bool:
             at = np.minimum(np.searchsorted(hub, own), max(len(hub) - 1, 0))
             both = int((hub[at] == own).sum())  # sets have each element once, in order
             return 100 * both >= percent * (len(hub) + len(own) - both)
 
-        for batch in batches:
-            for doc, own in zip(batch.column(3).to_pylist(), (x.values.to_numpy() for x in batch.column(4)), strict=True):
-                own = np.sort(own)
-                if doc == hub_id:
-                    hub = own
-                elif hub is None:
-                    wait.append((doc, own))
-                elif links(doc, own):
-                    found.append(doc)
-        found += [doc for doc, own in wait if links(doc, own)]
-        ends = np.array(found, dtype=np.int64)
+        ends = np.array([doc for doc, own in others if any(links(hub, own) for _, hub in hubs)], dtype=np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ends, hub_id)), pa.array(np.maximum(ends, hub_id))], names=["u", "v"])
 
     return run
@@ -245,11 +238,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     large = large.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "rep", F.least("own", "j").alias("a"), F.greatest("own", "j").alias("b"), (F.col("own") > F.col("j")).cast("int").alias("side"))
     large = large.join(sets.select(F.col("doc").alias("rep"), "elements"), "rep").groupBy("key", "a", "b").applyInArrow(_compare_blocks(percent), "u long, v long")
     more = cut_lineage(linked(small.join(other, "key").where("rep < r2 and comp != c2")).unionByName(large))
+    placed = placed.select("doc", "rep").join(label, "rep", "left").select("doc", F.coalesce("component", "rep").alias("component"))
     if not more.isEmpty():
-        links = links.unionByName(more)
-        label = connected_components(links, cut_lineage).withColumnRenamed("node", "rep")
+        # What the first links joined is one node from here on.
+        for end in ("u", "v"):
+            more = more.join(label.select(F.col("rep").alias(end), "component"), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+        last = connected_components(more, cut_lineage).select(F.col("node").alias("component"), F.col("component").alias("last"))
+        placed = placed.join(small_or_not(cut_lineage(last), FEW_IDS), "component", "left").select("doc", F.coalesce("last", "component").alias("component"))
 
-    found = placed.select("doc", "rep").join(label, "rep", "left").groupBy("doc").agg(F.min(F.coalesce("component", "rep")).alias("component"))
+    found = placed.groupBy("doc").agg(F.min("component").alias("component"))
     out = base.select("id", "doc", "n").join(found, "doc", "left")
     component = F.coalesce("component", "doc")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(component == LAST, None).otherwise(component).alias("component_id"), (component == F.col("doc")).alias("kept"))
