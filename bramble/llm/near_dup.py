@@ -212,7 +212,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     first = rows.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("e"), F.min(F.struct("rep", "n")).alias("c")).where("m > 1")
     rows = cut_lineage(rows.join(first, "key").select("key", "rep", "n", "m", "e", F.col("c.rep").alias("r2"), F.col("c.n").alias("n2")))
     wanted = small_or_not(cut_lineage(rows.select(F.col("rep").alias("doc")).distinct()), FEW_IDS)
-    sets = cut_lineage(texts.select("text", "doc").join(wanted, "doc", "left_semi").select("text", "doc").mapInArrow(_sets(k), "doc long, elements array<long>"))
+    sets = texts.select("text", "doc").join(wanted, "doc", "left_semi").select("text", "doc").mapInArrow(_sets(k), "doc long, elements array<long>")
+    if not base.groupBy("doc").count().where("count > 1").isEmpty():
+        sets = sets.distinct()  # a document that is given very often has each of its sets once
+    sets = cut_lineage(sets)
 
     def linked(pairs: DataFrame) -> DataFrame:
         fit = pairs.where(_sizes_fit("n", "n2", percent)).select(F.least("rep", "r2").alias("u"), F.greatest("rep", "r2").alias("v"))

@@ -246,7 +246,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = 2048, last: int
     that has over ROOM tokens of room left. sequence_id is unique over all groups; offsets are gapless in a sequence.
 
     `tokenizer` is a path that executors can read. Null texts are empty: they are `last` alone. Rows without an id or with an equal one are
-    documents like any other. An empty table gives an empty table; other columns are not looked at.
+    documents like any other. An empty table gives an empty table; other columns are not looked at. Rows are dealt by their place too, so docs
+    must be a stored table or a checkpoint, which gives them in the same order when a lost task is run again.
     """
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     groups = max(1, -(-total // group))

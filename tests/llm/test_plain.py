@@ -212,6 +212,15 @@ def test_rays(spark, monkeypatch):
     assert sum(r.kept for r in got if r.n_shingles) == 1
 
 
+def test_near_dup_repeated_ids(spark):
+    """Rows of one id, equal or not, are one document that shares its links; two ids that are given very often don't multiply."""
+    rng = random.Random(4)
+    a, b, c = (" ".join(f"{x}{rng.randrange(900)}" for _ in range(60)) for x in "abc")
+    rows = [(5, a + " x")] * 300 + [(4, a + " y")] * 300 + [(5, b)] * 3 + [(9, b), (10, c), (11, c + " z")]
+    got = collections.Counter((r.doc_id, r.component_id, r.kept) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), k=2).collect())
+    assert got == {(5, 4, False): 303, (4, 4, True): 300, (9, 4, False): 1, (10, 10, True): 1, (11, 10, False): 1}
+
+
 def test_short_items(spark):
     docs = spark.createDataFrame([(1, "Yes"), (2, "yes it is"), (3, "yes!"), (None, "yes"), (4, "it is"), (5, None), (1, "yes")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "yes"), (2, "It is."), (3, ""), (4, "no"), (1, "yes")], "item_id long, text string")
