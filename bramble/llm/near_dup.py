@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from bramble.llm import textvec as tv
 from bramble.llm.common import LAST, cut_lineage, key, small_or_not
-from bramble.operators.components import connected_components
+from bramble.operators.components import FEW, HUB, connected_components
 
 BINS, BAND = 128, 4
 FULL = np.iinfo(np.uint64).max
@@ -204,8 +204,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     """
     texts = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id"), key(id_col).alias("doc"))
     base = cut_lineage(texts.mapInArrow(_sketch(k), "id long, doc long, n long, f1 long, f2 long, bands array<long>"))
-    classes = base.where("n > 0").groupBy("f1", "f2").agg(F.min("doc").alias("rep"))
-    placed = base.where("n > 0").join(classes, ["f1", "f2"])
+    # Sets with very many copies, at most 1 / HUB of them, are looked up in all tasks and their copies dealt by document, so no set is a hot key.
+    some = base.where("n > 0")
+    most = max(FEW, int(HUB * some.count()))
+    classes = some.groupBy("f1", "f2").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"))
+    placed = some.join(F.broadcast(classes.where(F.col("copies") > most).select("f1", "f2", F.col("rep").alias("hub"))), ["f1", "f2"], "left")
+    placed = placed.withColumn("f1", F.when(F.col("hub").isNull(), F.col("f1")).otherwise(F.xxhash64("doc"))).join(classes.drop("copies"), ["f1", "f2"], "left").withColumn("rep", F.coalesce("hub", "rep"))
     placed = cut_lineage(placed.select("doc", "rep", "n", F.when(F.col("doc") == F.col("rep"), F.col("bands")).alias("bands")))
 
     rows = placed.where("doc = rep").select("rep", "n", F.explode("bands").alias("key"))

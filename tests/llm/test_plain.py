@@ -212,8 +212,10 @@ def test_rays(spark, monkeypatch):
     assert sum(r.kept for r in got if r.n_shingles) == 1
 
 
-def test_near_dup_repeated_ids(spark):
-    """Rows of one id, equal or not, are one document that shares its links; two ids that are given very often don't multiply."""
+@pytest.mark.parametrize("few", [near_dup.FEW, 2])
+def test_near_dup_repeated_ids(spark, monkeypatch, few):
+    """Rows of one id, equal or not, are one document that shares its links; two ids that are given very often don't multiply; sets with many copies or few."""
+    monkeypatch.setattr(near_dup, "FEW", few)
     rng = random.Random(4)
     a, b, c = (" ".join(f"{x}{rng.randrange(900)}" for _ in range(60)) for x in "abc")
     rows = [(5, a + " x")] * 300 + [(4, a + " y")] * 300 + [(5, b)] * 3 + [(9, b), (10, c), (11, c + " z")]
