@@ -314,7 +314,7 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     docs = without(docs, ("n_words", "n_removed", "kept_text"))
     texts = docs.select(F.col(text_col).alias("text"), _doc_key(id_col, text_col).alias("doc")).where("length(text) > 1")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    wanted = 3 * max(1, size // 36)  # words of six bytes, an anchor for six of them, three cells for each
+    wanted = 4 * max(1, size // 36)  # words of six bytes, an anchor for six of them, four cells for each
     joined = docs.withColumns({"__text": F.col(text_col), "__doc": _doc_key(id_col, text_col)})
     if wanted <= most_cells:
         cells = max(BLOCK * ROWS, 1 << wanted.bit_length())
