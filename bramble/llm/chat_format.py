@@ -33,20 +33,24 @@ def _pointers(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     A node whose parent is null, missing or itself is a root. A ring has no leaf, but if other
     nodes hang from one, their paths never end: that raises ValueError.
     """
-    totals = cut_lineage(nodes.groupBy("tree", "node").agg(F.sum(F.coalesce("score", F.lit(0.0))).alias("score")))
-    links = nodes.where("parent is not null and parent != node").select("tree", "node", F.col("parent").alias("above")).distinct()
-    links = cut_lineage(links.join(totals.select("tree", F.col("node").alias("above")), ["tree", "above"], "left_semi"))
-    leaves = totals.join(links.select("tree", F.col("above").alias("node")).distinct(), ["tree", "node"], "left_anti").select("tree", "node")
-    jumps = [links]
+    own = cut_lineage(nodes.groupBy("tree", "node").agg(F.sum(F.coalesce("score", F.lit(0.0))).alias("score")))
+    links = nodes.where("parent is not null and parent != node").groupBy("tree", "node").agg(F.min("parent").alias("above"))
+    links = links.join(own.select("tree", F.col("node").alias("above")), ["tree", "above"], "left_semi")
+    # A pointer has the sum of the scores that it leaps over, its own node's first.
+    jumps = [cut_lineage(links.join(own, ["tree", "node"]).select("tree", "node", "above", "score"))]
+    leaves = own.join(jumps[0].select("tree", F.col("above").alias("node")).distinct(), ["tree", "node"], "left_anti").select("tree", "node")
+    done = own.join(jumps[0].select("tree", "node").distinct(), ["tree", "node"], "left_anti")
     while not jumps[-1].isEmpty():
         if len(jumps) > DOUBLINGS:
             raise ValueError("replies form a ring")
         jump = jumps[-1]
-        above = jump.join(totals.select("tree", F.col("node").alias("above"), F.col("score").alias("more")), ["tree", "above"]).select("tree", "node", "more")
-        totals = cut_lineage(totals.join(above, ["tree", "node"], "left").select("tree", "node", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score")))
-        after = jump.select("tree", F.col("node").alias("above"), F.col("above").alias("next"))
-        jumps.append(cut_lineage(jump.join(after, ["tree", "above"]).select("tree", "node", F.col("next").alias("above"))))
-    return leaves.join(totals, ["tree", "node"]).select("tree", F.col("node").alias("leaf"), "score"), jumps[:-1]
+        # Where the pointer's end has no such pointer, the end's own branch is summed up already: each node gets its sum once.
+        last = jump.join(jump.select("tree", F.col("node").alias("above")).distinct(), ["tree", "above"], "left_anti")
+        last = last.join(done.select("tree", F.col("node").alias("above"), F.col("score").alias("more")), ["tree", "above"])
+        done = done.unionByName(cut_lineage(last.select("tree", "node", (F.col("score") + F.col("more")).alias("score"))))
+        after = jump.select("tree", F.col("node").alias("above"), F.col("above").alias("next"), F.col("score").alias("more"))
+        jumps.append(cut_lineage(jump.join(after, ["tree", "above"]).select("tree", "node", F.col("next").alias("above"), (F.col("score") + F.col("more")).alias("score"))))
+    return leaves.join(done, ["tree", "node"]).select("tree", F.col("node").alias("leaf"), "score"), [j.drop("score") for j in jumps[:-1]]
 
 
 def ranked(branches: DataFrame) -> DataFrame:
@@ -74,7 +78,7 @@ def format_branches(nodes: DataFrame, top: int | None = None, loss_role: str = "
     nodes has tree, node, parent, role, text, score; a branch's score is the sum over its nodes (null: 0), ties go to the
     smaller leaf. loss_spans are the code points [start, end) of the loss role's texts in the formatted
     conversation. Null roles and texts are empty; nodes without a tree or an id are left out, for no branch
-    can be told from them; nodes with an equal id are the same place, one after another by role and text. An empty table gives an empty table. Other columns are not looked at.
+    can be told from them; nodes with an equal id are the same place, one after another by role and text, below the smallest of their parents. An empty table gives an empty table. Other columns are not looked at.
     """
     nodes = nodes.where("tree is not null and node is not null")
     branches, jumps = _pointers(nodes)
