@@ -5,6 +5,7 @@ from __future__ import annotations
 from bramble.llm.chat_format import op2_chat_format
 from bramble.llm.decontamination import op8_decontamination
 from bramble.llm.fingerprint import op3_fingerprint
+from bramble.llm.importance import op13_importance_resample
 from bramble.llm.license_scan import op5_license_scan
 from bramble.llm.near_dup import op4_near_dup
 from bramble.llm.packing import op7_packing
@@ -15,7 +16,7 @@ from bramble.llm.toxicity import op9_toxicity
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_chat_format, op3_fingerprint, op4_near_dup, op5_license_scan, op6_quality, op7_packing, op8_decontamination, op9_toxicity, op10_sharding)
+    for f in (op1_substring_dedup, op2_chat_format, op3_fingerprint, op4_near_dup, op5_license_scan, op6_quality, op7_packing, op8_decontamination, op9_toxicity, op10_sharding, op13_importance_resample)
 }
 
 _WORDS = r"w AS (SELECT doc_id, regexp_extract_all({}, '[^\x20\x09-\x0D]+') AS ws FROM documents)"
