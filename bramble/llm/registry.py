@@ -12,11 +12,12 @@ from bramble.llm.packing import op7_packing
 from bramble.llm.quality import op6_quality
 from bramble.llm.sharding import op10_sharding
 from bramble.llm.substring_dedup import op1_substring_dedup
+from bramble.llm.token_align import op12_token_align
 from bramble.llm.toxicity import op9_toxicity
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_chat_format, op3_fingerprint, op4_near_dup, op5_license_scan, op6_quality, op7_packing, op8_decontamination, op9_toxicity, op10_sharding, op13_importance_resample)
+    for f in (op1_substring_dedup, op2_chat_format, op3_fingerprint, op4_near_dup, op5_license_scan, op6_quality, op7_packing, op8_decontamination, op9_toxicity, op10_sharding, op12_token_align, op13_importance_resample)
 }
 
 _WORDS = r"w AS (SELECT doc_id, regexp_extract_all({}, '[^\x20\x09-\x0D]+') AS ws FROM documents)"
