@@ -6,6 +6,7 @@ from bramble.llm.chat_format import op2_chat_format
 from bramble.llm.decontamination import op8_decontamination
 from bramble.llm.fingerprint import op3_fingerprint
 from bramble.llm.importance import op13_importance_resample
+from bramble.llm.jaccard_join import op11_jaccard_join
 from bramble.llm.license_scan import op5_license_scan
 from bramble.llm.near_dup import op4_near_dup
 from bramble.llm.packing import op7_packing
@@ -17,13 +18,26 @@ from bramble.llm.toxicity import op9_toxicity
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_chat_format, op3_fingerprint, op4_near_dup, op5_license_scan, op6_quality, op7_packing, op8_decontamination, op9_toxicity, op10_sharding, op12_token_align, op13_importance_resample)
+    for f in (op1_substring_dedup, op2_chat_format, op3_fingerprint, op4_near_dup, op5_license_scan, op6_quality, op7_packing, op8_decontamination, op9_toxicity, op10_sharding, op11_jaccard_join, op12_token_align, op13_importance_resample)
 }
 
 _WORDS = r"w AS (SELECT doc_id, regexp_extract_all({}, '[^\x20\x09-\x0D]+') AS ws FROM documents)"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ESCAPED = r"replace(replace(coalesce({}, ''), '\', '\\'), '<|', '<\|')"
 
+
+def _linked_sets(k: int, last: str) -> str:
+    """Components of documents whose sets of k-word shingles are alike in 80 percent."""
+    return f"""WITH RECURSIVE {_WORDS.format(_LOWER)},
+shingles AS (SELECT DISTINCT doc_id, array_to_string(ws[p:p + {k - 1}], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {k - 1}, least(len(ws), 1)) + 1)) AS p FROM w)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN sizes i ON i.doc_id = x JOIN sizes j ON j.doc_id = y WHERE 100 * c >= 80 * (i.n + j.n - c)),
+both_ AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, e.y FROM reach r JOIN both_ e ON e.x = r.b)
+SELECT w.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(b) AS component_id{last} FROM w JOIN reach ON a = w.doc_id LEFT JOIN sizes USING (doc_id) GROUP BY w.doc_id"""
+
+
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": f"""WITH {_WORDS.format("coalesce(text, '')")},
 windows AS (SELECT doc_id, p, array_to_string(ws[p:p + 19], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS p FROM w)),
@@ -36,12 +50,6 @@ SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha2
 done AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || coalesce(text, '') || chr(10), '' ORDER BY turn, role, text) AS all_, coalesce(string_agg(coalesce(text, ''), '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
   sum(length('<|im_start|>' || {_ESCAPED.format("role")} || chr(10) || {_ESCAPED.format("text")} || '<|im_end|>' || chr(10))) AS n FROM turns GROUP BY 1)
 SELECT conv_id, n_turns, sha256(all_) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(n AS BIGINT) AS formatted_chars FROM done""",
-    "op4_near_dup": f"""WITH RECURSIVE {_WORDS.format(_LOWER)},
-shingles AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) = 1 THEN ws[1] ELSE ws[p] || ' ' || ws[p + 1] END AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws), least(len(ws), 1) + 1))) AS p FROM w WHERE len(ws) > 0)),
-sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
-pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
-links AS (SELECT x, y FROM pairs JOIN sizes i ON i.doc_id = x JOIN sizes j ON j.doc_id = y WHERE 100 * c >= 80 * (i.n + j.n - c)),
-both_ AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
-reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, e.y FROM reach r JOIN both_ e ON e.x = r.b)
-SELECT w.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(b) AS component_id, w.doc_id = min(b) AS kept FROM w JOIN reach ON a = w.doc_id LEFT JOIN sizes USING (doc_id) GROUP BY w.doc_id""",
+    "op4_near_dup": _linked_sets(2, ", w.doc_id = min(b) AS kept"),
+    "op11_jaccard_join": _linked_sets(5, ""),
 }
