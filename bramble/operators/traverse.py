@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bramble.functions.scoring import severity
+from bramble.operators import bitsets
 from bramble.operators.components import connected_components
 from bramble.operators.graph import Graph, cut_lineage, sinks, sources
 
@@ -20,31 +21,36 @@ def require_nodes(graph: Graph, wanted: DataFrame) -> None:
         raise ValueError(f"no node {missing[0]['id']!r} in graph {missing[0]['graph_id']!r}")
 
 
+def _search(edges: DataFrame, starts: DataFrame, max_hops: int | None = None) -> bitsets.Search:
+    steps = cut_lineage(edges.select("graph_id", F.col("source").alias("node"), F.col("target").alias("next")).where("node != next").distinct())
+    return bitsets.search(steps, cut_lineage(bitsets.numbered(starts)), max_hops)
+
+
 def reach(edges: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
     """(graph_id, start, node, hop): what each start (graph_id, start) reaches, itself at hop 0, with the least hops."""
-    found = cut_lineage(starts.distinct().select("graph_id", "start", F.col("start").alias("node"), F.lit(0).alias("hop")))
-    steps = edges.select("graph_id", F.col("source").alias("node"), F.col("target").alias("next")).where("node != next").distinct()
-    front, hop = found, 0
-    while max_hops is None or hop < max_hops:
-        hop += 1
-        new = front.join(steps, ["graph_id", "node"]).select("graph_id", "start", F.col("next").alias("node")).distinct()
-        front = cut_lineage(new.join(found, ["graph_id", "start", "node"], "left_anti").withColumn("hop", F.lit(hop)))
-        if front.isEmpty():
-            break
-        found = found.unionByName(front)
-    return found
+    return _search(edges, starts, max_hops).reached()
 
 
-def blast_radius(graph: Graph, starts: DataFrame | None = None, max_depth: int = 3) -> DataFrame:
-    """(graph_id, source, hop, node) for hops 1 to max_depth. starts (graph_id, id) default to all sources; unknown ones raise ValueError."""
+def _blast_starts(graph: Graph, starts: DataFrame | None) -> DataFrame:
     if starts is None:
         starts = sources(graph)
     else:
         require_nodes(graph, starts)
-    found = reach(graph.edges, starts.select("graph_id", F.col("id").alias("start")), max_depth)
+    return starts.select("graph_id", F.col("id").alias("start"))
+
+
+def blast_radius(graph: Graph, starts: DataFrame | None = None, max_depth: int = 3) -> DataFrame:
+    """(graph_id, source, hop, node) for hops 1 to max_depth. starts (graph_id, id) default to all sources; unknown ones raise ValueError."""
+    found = reach(graph.edges, _blast_starts(graph, starts), max_depth)
     return found.where("hop > 0").select("graph_id", F.col("start").alias("source"), "hop", "node")
 
 
+def blast_sizes(graph: Graph, starts: DataFrame | None = None, max_depth: int = 3) -> DataFrame:
+    """(graph_id, source, hop, nodes): the sizes of the layers of blast_radius, without a row for each node."""
+    found = _search(graph.edges, _blast_starts(graph, starts), max_depth).counts()
+    return found.where("hop > 0").select("graph_id", F.col("start").alias("source"), "hop", "nodes")
+
+
 def blast_counts(layers: DataFrame) -> DataFrame:
     return layers.groupBy("graph_id", "source", "hop").agg(F.count("*").alias("nodes"))
 
@@ -97,16 +103,83 @@ def cheapest_paths(graph: Graph, starts: DataFrame, towards: DataFrame | None =
     return known.select(*keys, "label.*")
 
 
-def with_details(graph: Graph, found: DataFrame) -> DataFrame:
-    """Paths (graph_id, start, node, cost, hops, path) with path_names and each hop's relationships, cves and cvss."""
-    place = F.posexplode(F.arrays_zip(F.col("path").alias("source"), F.concat(F.slice("path", 2, F.size("path")), F.array(F.lit(None).cast("string"))).alias("target"))).alias("at", "e")
-    each = found.select("graph_id", "start", "node", "cost", "hops", place).select("*", "e.*").drop("e")
-    each = each.join(graph.edges.select("graph_id", "source", "target", "relationship", "cve", "cvss"), ["graph_id", "source", "target"], "left")
+def _spread(steps: DataFrame, starts: DataFrame) -> DataFrame:
+    """(graph_id, node): what the nodes (graph_id, node) reach along steps (graph_id, node, next), all together."""
+    front = cut_lineage(starts.select("graph_id", "node").distinct())
+    found = front
+    while not front.isEmpty():
+        new = front.join(steps, ["graph_id", "node"]).select("graph_id", F.col("next").alias("node")).distinct()
+        front = cut_lineage(new.join(found, ["graph_id", "node"], "left_anti"))
+        found = found.unionByName(front)
+    return found
+
+
+def pointers_to(graph: Graph, ends: DataFrame, starts: DataFrame) -> DataFrame:
+    """(graph_id, end, node, cost, hops, next): the cheapest way from each node to each end (graph_id, end) that it reaches, as a pointer to the next node (null at the end itself).
+
+    The search goes backwards from the ends, over nodes that the starts (graph_id, node) reach. Label correcting, as in cheapest_paths, but a label holds a pointer and no path: of equal
+    cost and hops the smaller next node wins, and so, node by node, the smaller path. Negative weights raise ValueError.
+    """
+    if not graph.edges.where("weight < 0").isEmpty():
+        raise ValueError("weights must not be negative")
+    steps = cut_lineage(graph.edges.select("graph_id", F.col("source").alias("node"), F.col("target").alias("next"), "weight").where("node != next"))
+    steps = cut_lineage(steps.join(_spread(steps, starts), ["graph_id", "node"], "left_semi"))
+    keys = ["graph_id", "end", "node"]
+    label = F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("next"))
+    front = cut_lineage(ends.distinct().select("graph_id", "end", F.col("end").alias("node"), label.alias("label")))
+    known, rounds = front, 0
+    while True:
+        longer = F.struct((F.col("label.cost") + F.col("weight")).alias("cost"), (F.col("label.hops") + 1).alias("hops"), F.col("next").alias("next"))
+        new = front.withColumnRenamed("node", "next").join(steps, ["graph_id", "next"]).select("graph_id", "end", "node", longer.alias("label"))
+        new = new.groupBy(*keys).agg(F.min("label").alias("label")).alias("new")
+        better = F.col("old.label") <= F.col("new.label")
+        front = cut_lineage(new.join(known.alias("old"), [F.col(f"new.{k}") == F.col(f"old.{k}") for k in keys] + [better], "left_anti"))
+        if front.isEmpty():
+            break
+        known, rounds = known.unionByName(front), rounds + 1
+    if rounds > 1:
+        known = known.groupBy(*keys).agg(F.min("label").alias("label"))
+    return known.select(*keys, "label.*")
+
+
+def walked(pointers: DataFrame, starts: DataFrame) -> DataFrame:
+    """(graph_id, end, start, at, node): the nodes in order of the path from each start (graph_id, node) to each end, by pointer doubling.
+
+    In round k a pointer spans 2 ** k hops; the spans are kept, and then, from the longest down, each node found so far gives the one that is a span after it.
+    So a path of n hops takes log2(n) rounds both ways, and only the starts' paths are written out.
+    """
+    keys = ["graph_id", "end", "node"]
+    jump = cut_lineage(pointers.where("next is not null").select(*keys, "next"))
+    most = pointers.join(starts.select("graph_id", "node").distinct(), ["graph_id", "node"], "left_semi").agg(F.max("hops")).first()[0] or 0
+    jumps = []
+    for _ in range(most.bit_length()):
+        jumps.append(jump)
+        after = jump.select("graph_id", "end", F.col("node").alias("next"), F.col("next").alias("far"))
+        jump = cut_lineage(jump.join(after, ["graph_id", "end", "next"]).select(*keys, F.col("far").alias("next")))
+    found = pointers.join(starts.select("graph_id", "node").distinct(), ["graph_id", "node"], "left_semi").select("graph_id", "end", F.col("node").alias("start"), F.lit(0).alias("at"), "node")
+    for k in reversed(range(len(jumps))):
+        found = cut_lineage(found)
+        ahead = found.join(jumps[k], keys).select("graph_id", "end", "start", (F.col("at") + (1 << k)).alias("at"), F.col("next").alias("node"))
+        found = found.unionByName(ahead)
+    return found
+
+
+def _detailed(graph: Graph, each: DataFrame, ends: list[str]) -> DataFrame:
+    """Paths from rows of their nodes (graph_id, *ends, at, source, target); target is null at the end. cost adds up the weights in order."""
+    edges = graph.edges.select("graph_id", "source", "target", "weight", "relationship", "cve", "cvss")
+    each = each.join(edges, ["graph_id", "source", "target"], "left")
     each = each.join(graph.nodes.select("graph_id", F.col("id").alias("source"), F.coalesce("name", "id").alias("name")), ["graph_id", "source"], "left")
-    rows = F.sort_array(F.collect_list(F.struct("at", "source", "name", "relationship", "cve", "cvss"))).alias("rows")
-    out = each.groupBy("graph_id", "start", "node", "cost", "hops").agg(rows)
+    rows = F.sort_array(F.collect_list(F.struct("at", "source", "name", "weight", "relationship", "cve", "cvss"))).alias("rows")
+    out = each.groupBy("graph_id", *ends).agg(rows)
     hops = F.slice("rows", 1, F.greatest(F.size("rows") - 1, F.lit(0)))
-    return out.select("graph_id", "start", "node", "cost", "hops", F.col("rows.source").alias("path"), F.col("rows.name").alias("path_names"), hops["relationship"].alias("relationships"), hops["cve"].alias("cves"), hops["cvss"].alias("cvss"))
+    cost = F.aggregate(hops, F.lit(0.0), lambda a, h: a + h["weight"])
+    return out.select("graph_id", *ends, cost.alias("cost"), (F.size("rows") - 1).alias("hops"), F.col("rows.source").alias("path"), F.col("rows.name").alias("path_names"), hops["relationship"].alias("relationships"), hops["cve"].alias("cves"), hops["cvss"].alias("cvss"))
+
+
+def with_details(graph: Graph, found: DataFrame) -> DataFrame:
+    """Paths (graph_id, start, node, path) with cost, hops, path_names and each hop's relationships, cves and cvss."""
+    place = F.posexplode(F.arrays_zip(F.col("path").alias("source"), F.concat(F.slice("path", 2, F.size("path")), F.array(F.lit(None).cast("string"))).alias("target"))).alias("at", "e")
+    return _detailed(graph, found.select("graph_id", "start", "node", place).select("*", "e.*").drop("e"), ["start", "node"])
 
 
 def _shown() -> list[Column]:
@@ -114,11 +187,21 @@ def _shown() -> list[Column]:
 
 
 def attack_paths(graph: Graph) -> DataFrame:
-    """The cheapest path for each source and sink that it reaches, with names, details and severity; total_risk 0 where they are one node."""
+    """The cheapest path for each source and sink that it reaches, with names, details and severity; total_risk 0 where they are one node.
+
+    The search starts from whichever is fewer in all graphs together, sources or sinks. Backwards, costs are compared as they add up from the sink; total_risk always adds up from the source.
+    """
     ends = sinks(graph).select("graph_id", F.col("id").alias("node"), F.col("node_seq").alias("sink_seq"))
     from_ = sources(graph).select("graph_id", F.col("id").alias("start"), F.col("node_seq").alias("source_seq"))
-    found = cheapest_paths(graph, from_.select("graph_id", "start"), hops_to_sinks(graph))
-    found = with_details(graph, found.join(ends.select("graph_id", "node"), ["graph_id", "node"], "left_semi"))
+    if ends.count() < from_.count():
+        starts = from_.select("graph_id", F.col("start").alias("node"))
+        found = walked(pointers_to(graph, ends.select("graph_id", F.col("node").alias("end")), starts), starts)
+        then = found.select("graph_id", "end", "start", (F.col("at") - 1).alias("at"), F.col("node").alias("target"))
+        each = found.withColumnRenamed("node", "source").join(then, ["graph_id", "end", "start", "at"], "left")
+        found = _detailed(graph, each.withColumnRenamed("end", "node"), ["start", "node"])
+    else:
+        found = cheapest_paths(graph, from_.select("graph_id", "start"), hops_to_sinks(graph))
+        found = with_details(graph, found.join(ends.select("graph_id", "node"), ["graph_id", "node"], "left_semi"))
     found = found.join(ends, ["graph_id", "node"]).join(from_, ["graph_id", "start"])
     return found.select("graph_id", F.col("start").alias("source"), F.col("node").alias("sink"), *_shown(), "source_seq", "sink_seq")
 

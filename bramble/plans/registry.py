@@ -171,7 +171,7 @@ def blast_radius_counts(spark, sf_dir):
 
 @query
 def blast_radius_supply(spark, sf_dir):
-    return t.blast_counts(t.blast_radius(_supply(spark, sf_dir))).select("source", "hop", "nodes")
+    return t.blast_sizes(_supply(spark, sf_dir)).select("source", "hop", "nodes")
 
 
 @query
