@@ -146,11 +146,11 @@ def _links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
 
 def _candidates(classes: DataFrame, percent: int) -> DataFrame:
     """The classes that share enough of their first shingles, in the order of hashes, to have a link."""
-    rows = cut_lineage(classes.where("n > 0").select("node", F.explode("first").alias("token")))
+    rows = classes.select("node", F.explode("first").alias("token"))  # a checkpoint of these would take several times the lists' room
     shared = rows.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     own = looked_up(rows, shared, ["token"]).groupBy("node").agg(F.count("*").alias("shared"))
     least = F.expr(f"1 + ((n * {percent} + 99) div 100) div {MORE}")
-    return classes.join(own, "node").where(F.col("shared") >= least).select("node", "doc", "n", "f1", "f2")
+    return classes.select("node", "doc", "n", "f1", "f2").join(own, "node").where(F.col("shared") >= least).select("node", "doc", "n", "f1", "f2")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, fragments: int = FRAGMENTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,12 +166,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, fragments
     texts = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id"), key(id_col).alias("doc"))
     base = cut_lineage(texts.mapInArrow(_profile(k, percent), "id long, doc long, n long, f1 long, f2 long, first array<long>"))
     rows = base.select("id", "doc", "n", "f1", "f2")
-    own = rows.where("n > 0").groupBy("f1", "f2").agg(F.count("*").alias("copies"), F.min("doc").alias("doc"), F.min("n").alias("n"))
-    own = cut_lineage(own).withColumn("node", F.monotonically_increasing_id())
-    # Of each class one row's first shingles; classes of very many rows are picked apart.
-    one = looked_up(base.where("n > 0").select("doc", "f1", "f2", "first"), own.select("f1", "f2", "node", F.col("doc").alias("least"), F.col("copies").alias("n")), ["f1", "f2"])
-    firsts = one.where("doc = least").select("node", "first").dropDuplicates(["node"])
-    wanted = cut_lineage(_candidates(own.join(firsts, "node"), percent))
+    base = base.withColumn("row", F.monotonically_increasing_id())
+    own = base.where("n > 0").groupBy("f1", "f2").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "row")).alias("one"))
+    own = cut_lineage(own.select("f1", "f2", "copies", "one.doc", "one.row").withColumn("node", F.monotonically_increasing_id()))
+    firsts = base.join(small_or_not(own.select("row", "node"), FEW_IDS), "row").select("node", "doc", "n", "f1", "f2", "first")
+    wanted = cut_lineage(_candidates(firsts, percent))
 
     some = small_or_not(cut_lineage(wanted.select("doc").distinct()), FEW_IDS)
     sets = texts.select("text", "doc").join(some, "doc", "left_semi").select("text").mapInArrow(_sets(k), "f1 long, f2 long, elements array<long>")
