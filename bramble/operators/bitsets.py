@@ -7,12 +7,11 @@ a row for each pair of start and node would be 64 times as many, and starts that
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from bramble.operators.graph import cut_lineage
+from bramble.operators.graph import stored
 from bramble.operators.ranks import ranked
 
 BITS = 64
@@ -53,23 +52,29 @@ def numbered(starts: DataFrame) -> DataFrame:
     return ranked(starts.select("graph_id", "start").distinct(), ["graph_id"], [F.col("start")], "place").withColumn("place", F.col("place") - 1)
 
 
-def search(steps: DataFrame, starts: DataFrame, max_hops: int | None = None, passing: Callable[[DataFrame], Column] | None = None) -> Search:
+def below(word: Column, place: Column) -> Column:
+    """The bits of a word that stand for starts numbered below a place."""
+    own = word_of(place)
+    return F.when(word < own, F.lit(-1).cast("long")).when(word > own, F.lit(0).cast("long")).otherwise(bit_of(place) - 1)
+
+
+def search(steps: DataFrame, starts: DataFrame, max_hops: int | None = None, mask: Column | None = None) -> Search:
     """From starts (graph_id, start, place) along steps (graph_id, node, next), without repeats; the starts themselves are at hop 0.
 
-    passing may clear bits that must not arrive at a node: it gets the arrivals (graph_id, node, word, bits) and gives the bits that stay.
+    mask, over word and columns that steps may have besides, has the bits that may take a step.
     """
     first = starts.select("graph_id", F.col("start").alias("node"), word_of(F.col("place")).alias("word"), bit_of(F.col("place")).alias("bits"))
     first = first.groupBy(*KEYS).agg(F.bit_or("bits").alias("bits"))
-    front = cut_lineage(first.withColumn("hop", F.lit(0)))
+    front = stored(first.withColumn("hop", F.lit(0)))
     layers, hop = front, 0
     while max_hops is None or hop < max_hops:
         hop += 1
-        arrived = front.join(steps, ["graph_id", "node"]).select("graph_id", F.col("next").alias("node"), "word", "bits").groupBy(*KEYS).agg(F.bit_or("bits").alias("bits"))
-        if passing is not None:
-            arrived = arrived.withColumn("bits", passing(arrived))
+        bits = F.col("bits") if mask is None else F.col("bits").bitwiseAND(mask)
+        moved = front.join(steps, ["graph_id", "node"]).select("graph_id", F.col("next").alias("node"), "word", bits.alias("bits")).where("bits != 0")
+        arrived = moved.groupBy(*KEYS).agg(F.bit_or("bits").alias("bits"))
         seen = layers.groupBy(*KEYS).agg(F.bit_or("bits").alias("seen"))
         fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0).cast("long"))))
-        front = cut_lineage(arrived.join(seen, KEYS, "left").select(*KEYS, fresh.alias("bits")).where("bits != 0").withColumn("hop", F.lit(hop)))
+        front = stored(arrived.join(seen, KEYS, "left").select(*KEYS, fresh.alias("bits")).where("bits != 0").withColumn("hop", F.lit(hop)))
         if front.isEmpty():
             break
         layers = layers.unionByName(front)

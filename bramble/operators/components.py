@@ -6,10 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
+from bramble.operators.graph import cut_lineage
+
 #: A node with more than this share of all edges is a hub, so there are at most 2 / HUB hubs; and with fewer edges than FEW none is.
 HUB, FEW = 1e-4, 256
 
 
+def looked_up(rows: DataFrame, found: DataFrame, keys: list[str], cut: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
+    """rows joined with found, which has a row for each value of the keys, n being the rows that have it.
+
+    Values of more than HUB of the rows, of which there are at most 1 / HUB, are sent to all tasks; so no key is hot.
+    """
+    found = cut(found)
+    most = max(FEW, int(HUB * (found.agg(F.sum("n")).first()[0] or 0)))
+    hot, rest = found.where(F.col("n") > most).drop("n"), found.where(F.col("n") <= most).drop("n")
+    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys))
+
+
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 

@@ -6,6 +6,7 @@ Every table carries graph_id, so one job works on a whole fleet of graphs.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -45,6 +46,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _rounds(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/rounds-{spark.sparkContext.applicationId}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as a table in the shared folder and read back, for loops.
+
+    Unlike a checkpoint, which keeps its plan's estimates, it starts anew from the size of its files. Estimates of joins multiply, so over the rounds of a loop they would
+    grow to numbers of millions of digits; and a small table is known to be small, so that Spark may broadcast it.
+    """
+    spark = df.sparkSession
+    path = f"{_rounds(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_rounds(spark: SparkSession) -> None:
+    """Removes all that `stored` has written in this application; results that aren't written yet can't be read after that."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_rounds(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _one_each(rows: DataFrame, keys: list[str], by: str, pick: Callable[[Column, Column], Column], at_first: bool = False) -> DataFrame:
     """One row of rows for each of the keys: the one with the least or greatest `by`, at the least position if so asked.
 
@@ -100,7 +123,7 @@ def build(raw: Graph, collapsed: bool = True) -> Graph:
 
 def kept(graph: Graph) -> Graph:
     """The graph with its tables written once; loops read them in every round."""
-    return Graph(cut_lineage(graph.nodes), cut_lineage(graph.edges))
+    return Graph(stored(graph.nodes), stored(graph.edges))
 
 
 def sources(graph: Graph) -> DataFrame:
@@ -122,7 +145,7 @@ def resolve(identifiers: DataFrame, nodes: DataFrame) -> DataFrame:
     rest = wanted.join(exact, ["graph_id", "identifier"], "left_anti")
     named = rest.withColumn("low", F.lower("identifier")).join(nodes.select("graph_id", F.lower("name").alias("low"), "node_seq", "id"), ["graph_id", "low"])
     named = named.groupBy("graph_id", "identifier").agg(F.min_by("id", "node_seq").alias("node"))
-    rest = cut_lineage(rest.join(named, ["graph_id", "identifier"], "left_anti"))
+    rest = stored(rest.join(named, ["graph_id", "identifier"], "left_anti"))
     part = (F.broadcast(rest) if rest.count() <= FEW_IDENTIFIERS else rest).join(nodes.select("graph_id", "id"), "graph_id").where(F.instr(F.lower("id"), F.lower("identifier")) > 0)
     part = part.groupBy("graph_id", "identifier").agg(F.count("*").alias("n"), F.min("id").alias("node")).where("n = 1").drop("n")
     found = exact.unionByName(named).unionByName(part)

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from bramble.functions.scoring import severity
 from bramble.operators import bitsets
 from bramble.operators.components import connected_components
-from bramble.operators.graph import Graph, cut_lineage, sinks, sources
+from bramble.operators.graph import Graph, stored, sinks, sources
+from bramble.operators.strong import strong_components
 
 
 def require_nodes(graph: Graph, wanted: DataFrame) -> None:
@@ -22,8 +23,8 @@ def require_nodes(graph: Graph, wanted: DataFrame) -> None:
 
 
 def _search(edges: DataFrame, starts: DataFrame, max_hops: int | None = None) -> bitsets.Search:
-    steps = cut_lineage(edges.select("graph_id", F.col("source").alias("node"), F.col("target").alias("next")).where("node != next").distinct())
-    return bitsets.search(steps, cut_lineage(bitsets.numbered(starts)), max_hops)
+    steps = stored(edges.select("graph_id", F.col("source").alias("node"), F.col("target").alias("next")).where("node != next").distinct())
+    return bitsets.search(steps, stored(bitsets.numbered(starts)), max_hops)
 
 
 def reach(edges: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
@@ -60,16 +61,16 @@ def hops_to_sinks(graph: Graph, cutoff: int | None = None) -> DataFrame:
     back = graph.edges.select("graph_id", F.col("target").alias("source"), F.col("source").alias("target"))
     # All sinks of a graph start as one: a node keeps its least hops.
     found = sinks(graph).select("graph_id", F.col("id").alias("node"), F.lit(0).alias("left"))
-    found = cut_lineage(found)
+    found = stored(found)
     front, hop = found, 0
     while cutoff is None or hop < cutoff:
         hop += 1
         new = front.join(back, (front.graph_id == back.graph_id) & (front.node == back.source)).select(front.graph_id, back.target.alias("node")).distinct()
-        front = cut_lineage(new.join(found, ["graph_id", "node"], "left_anti").withColumn("left", F.lit(hop)))
+        front = stored(new.join(found, ["graph_id", "node"], "left_anti").withColumn("left", F.lit(hop)))
         if front.isEmpty():
             break
         found = found.unionByName(front)
-    return cut_lineage(found)
+    return stored(found)
 
 
 def cheapest_paths(graph: Graph, starts: DataFrame, towards: DataFrame | None = None) -> DataFrame:
@@ -84,17 +85,17 @@ def cheapest_paths(graph: Graph, starts: DataFrame, towards: DataFrame | None =
     steps = graph.edges.select("graph_id", F.col("source").alias("node"), F.col("target").alias("next"), "weight").where("node != next")
     if towards is not None:
         steps = steps.join(towards.select("graph_id", F.col("node").alias("next")), ["graph_id", "next"], "left_semi")
-    steps = cut_lineage(steps)
+    steps = stored(steps)
     keys = ["graph_id", "start", "node"]
     label = F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.array("start").alias("path"))
-    front = cut_lineage(starts.distinct().select("graph_id", "start", F.col("start").alias("node"), label.alias("label")))
+    front = stored(starts.distinct().select("graph_id", "start", F.col("start").alias("node"), label.alias("label")))
     known, rounds = front, 0
     while True:
         longer = F.struct((F.col("label.cost") + F.col("weight")).alias("cost"), (F.col("label.hops") + 1).alias("hops"), F.concat("label.path", F.array("next")).alias("path"))
         new = front.join(steps, ["graph_id", "node"]).select("graph_id", "start", F.col("next").alias("node"), longer.alias("label"))
         new = new.groupBy(*keys).agg(F.min("label").alias("label")).alias("new")
         better = F.col("old.label") <= F.col("new.label")
-        front = cut_lineage(new.join(known.alias("old"), [F.col(f"new.{k}") == F.col(f"old.{k}") for k in keys] + [better], "left_anti"))
+        front = stored(new.join(known.alias("old"), [F.col(f"new.{k}") == F.col(f"old.{k}") for k in keys] + [better], "left_anti"))
         if front.isEmpty():
             break
         known, rounds = known.unionByName(front), rounds + 1
@@ -105,11 +106,11 @@ def cheapest_paths(graph: Graph, starts: DataFrame, towards: DataFrame | None =
 
 def _spread(steps: DataFrame, starts: DataFrame) -> DataFrame:
     """(graph_id, node): what the nodes (graph_id, node) reach along steps (graph_id, node, next), all together."""
-    front = cut_lineage(starts.select("graph_id", "node").distinct())
+    front = stored(starts.select("graph_id", "node").distinct())
     found = front
     while not front.isEmpty():
         new = front.join(steps, ["graph_id", "node"]).select("graph_id", F.col("next").alias("node")).distinct()
-        front = cut_lineage(new.join(found, ["graph_id", "node"], "left_anti"))
+        front = stored(new.join(found, ["graph_id", "node"], "left_anti"))
         found = found.unionByName(front)
     return found
 
@@ -122,18 +123,18 @@ def pointers_to(graph: Graph, ends: DataFrame, starts: DataFrame) -> DataFrame:
     """
     if not graph.edges.where("weight < 0").isEmpty():
         raise ValueError("weights must not be negative")
-    steps = cut_lineage(graph.edges.select("graph_id", F.col("source").alias("node"), F.col("target").alias("next"), "weight").where("node != next"))
-    steps = cut_lineage(steps.join(_spread(steps, starts), ["graph_id", "node"], "left_semi"))
+    steps = stored(graph.edges.select("graph_id", F.col("source").alias("node"), F.col("target").alias("next"), "weight").where("node != next"))
+    steps = stored(steps.join(_spread(steps, starts), ["graph_id", "node"], "left_semi"))
     keys = ["graph_id", "end", "node"]
     label = F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("next"))
-    front = cut_lineage(ends.distinct().select("graph_id", "end", F.col("end").alias("node"), label.alias("label")))
+    front = stored(ends.distinct().select("graph_id", "end", F.col("end").alias("node"), label.alias("label")))
     known, rounds = front, 0
     while True:
         longer = F.struct((F.col("label.cost") + F.col("weight")).alias("cost"), (F.col("label.hops") + 1).alias("hops"), F.col("next").alias("next"))
         new = front.withColumnRenamed("node", "next").join(steps, ["graph_id", "next"]).select("graph_id", "end", "node", longer.alias("label"))
         new = new.groupBy(*keys).agg(F.min("label").alias("label")).alias("new")
         better = F.col("old.label") <= F.col("new.label")
-        front = cut_lineage(new.join(known.alias("old"), [F.col(f"new.{k}") == F.col(f"old.{k}") for k in keys] + [better], "left_anti"))
+        front = stored(new.join(known.alias("old"), [F.col(f"new.{k}") == F.col(f"old.{k}") for k in keys] + [better], "left_anti"))
         if front.isEmpty():
             break
         known, rounds = known.unionByName(front), rounds + 1
@@ -149,16 +150,16 @@ def walked(pointers: DataFrame, starts: DataFrame) -> DataFrame:
     So a path of n hops takes log2(n) rounds both ways, and only the starts' paths are written out.
     """
     keys = ["graph_id", "end", "node"]
-    jump = cut_lineage(pointers.where("next is not null").select(*keys, "next"))
+    jump = stored(pointers.where("next is not null").select(*keys, "next"))
     most = pointers.join(starts.select("graph_id", "node").distinct(), ["graph_id", "node"], "left_semi").agg(F.max("hops")).first()[0] or 0
     jumps = []
     for _ in range(most.bit_length()):
         jumps.append(jump)
         after = jump.select("graph_id", "end", F.col("node").alias("next"), F.col("next").alias("far"))
-        jump = cut_lineage(jump.join(after, ["graph_id", "end", "next"]).select(*keys, F.col("far").alias("next")))
+        jump = stored(jump.join(after, ["graph_id", "end", "next"]).select(*keys, F.col("far").alias("next")))
     found = pointers.join(starts.select("graph_id", "node").distinct(), ["graph_id", "node"], "left_semi").select("graph_id", "end", F.col("node").alias("start"), F.lit(0).alias("at"), "node")
     for k in reversed(range(len(jumps))):
-        found = cut_lineage(found)
+        found = stored(found)
         ahead = found.join(jumps[k], keys).select("graph_id", "end", "start", (F.col("at") + (1 << k)).alias("at"), F.col("next").alias("node"))
         found = found.unionByName(ahead)
     return found
@@ -234,12 +235,12 @@ def simple_paths(graph: Graph, cutoff: int = 15, include_trivial: bool = True, m
     """
     left = hops_to_sinks(graph, cutoff)
     steps = graph.edges.select("graph_id", F.col("source").alias("node"), F.col("target").alias("next"))
-    steps = cut_lineage(steps.where("node != next").join(left.select("graph_id", F.col("node").alias("next"), "left"), ["graph_id", "next"]))
-    front = cut_lineage(sources(graph).select("graph_id", F.col("id").alias("node")).join(left, ["graph_id", "node"]).select("graph_id", F.col("node").alias("source"), "node", F.array("node").alias("path_nodes"), (F.col("left") == 0).alias("ends")))
+    steps = stored(steps.where("node != next").join(left.select("graph_id", F.col("node").alias("next"), "left"), ["graph_id", "next"]))
+    front = stored(sources(graph).select("graph_id", F.col("id").alias("node")).join(left, ["graph_id", "node"]).select("graph_id", F.col("node").alias("source"), "node", F.array("node").alias("path_nodes"), (F.col("left") == 0).alias("ends")))
     done = front.where("ends") if include_trivial else front.where("false")
     for hop in range(1, cutoff + 1):
         new = front.join(steps.where(F.col("left") + hop <= cutoff), ["graph_id", "node"]).where(~F.array_contains("path_nodes", F.col("next")))
-        front = cut_lineage(new.select("graph_id", "source", F.col("next").alias("node"), F.concat("path_nodes", F.array("next")).alias("path_nodes"), (F.col("left") == 0).alias("ends")))
+        front = stored(new.select("graph_id", "source", F.col("next").alias("node"), F.concat("path_nodes", F.array("next")).alias("path_nodes"), (F.col("left") == 0).alias("ends")))
         if front.isEmpty():
             break
         if max_paths is not None and front.count() > max_paths:
@@ -276,25 +277,9 @@ def node_risk(graph: Graph, paths: DataFrame, top_n: int | None = None) -> DataF
     return out if top_n is None else out.where(F.col("rank") <= top_n)
 
 
-def cyclic_core(edges: DataFrame) -> DataFrame:
-    """Edges that may lie on a cycle: ends without edges in or out are peeled off until none is left."""
-    core = cut_lineage(edges)
-    before = core.count()
-    while before:
-        ends = core.select("graph_id", F.col("source").alias("n")).intersect(core.select("graph_id", F.col("target").alias("n")))
-        for end in ("source", "target"):
-            core = core.join(ends.select("graph_id", F.col("n").alias(end)), ["graph_id", end], "left_semi")
-        core = cut_lineage(core.select(edges.columns))
-        now = core.count()
-        if now == before:
-            break
-        before = now
-    return core
-
-
 def is_dag(graph: Graph) -> DataFrame:
     """(graph_id, is_dag); a self-loop is a cycle."""
-    bad = cyclic_core(graph.edges).select("graph_id").distinct().withColumn("is_dag", F.lit(False))
+    bad = strong_components(graph.edges).select("graph_id").distinct().withColumn("is_dag", F.lit(False))
     return graph.nodes.select("graph_id").distinct().join(bad, "graph_id", "left").withColumn("is_dag", F.coalesce("is_dag", F.lit(True)))
 
 
@@ -306,42 +291,53 @@ def weak_components(graph: Graph) -> DataFrame:
     short, long = (lambda end: F.xxhash64("graph_id", end)), (lambda end: F.struct("graph_id", F.col(end).alias("id")))
     total = graph.nodes.select(F.count("*"), F.count_distinct(short("id"))).first()
     mark = short if total[0] == total[1] else long
-    found = connected_components(graph.edges.select(mark("source").alias("u"), mark("target").alias("v")), cut_lineage)
+    found = connected_components(graph.edges.select(mark("source").alias("u"), mark("target").alias("v")), stored)
     nodes = graph.nodes.withColumn("node", mark("id")).join(found, "node", "left")
     return nodes.groupBy("graph_id").agg(F.count_distinct(F.coalesce("component", "node")).alias("components"))
 
 
+def _inside(edges: DataFrame) -> DataFrame:
+    """(graph_id, node, next, weight, place, next_place): edges whose ends are in one strongly connected component; places number the ids of a graph's nodes on cycles, in order."""
+    found = strong_components(edges)
+    places = bitsets.numbered(found.select("graph_id", F.col("node").alias("start")))
+    known = stored(found.join(places.withColumnRenamed("start", "node"), ["graph_id", "node"]))
+    ends = [known.select("graph_id", F.col("node").alias(end), F.col("component").alias(f"of_{end}"), F.col("place").alias(place)) for end, place in (("source", "place"), ("target", "next_place"))]
+    both = edges.join(ends[0], ["graph_id", "source"]).join(ends[1], ["graph_id", "target"]).where("of_source = of_target")
+    return stored(both.select("graph_id", F.col("source").alias("node"), F.col("target").alias("next"), "weight", "place", "next_place"))
+
+
 def _ways_back(steps: DataFrame) -> DataFrame:
-    """(graph_id, start, node): nodes greater than start from which start is reached over such nodes alone."""
-    back = steps.select("graph_id", F.col("next").alias("node"), F.col("node").alias("before"))
-    front = cut_lineage(steps.where("node > next").select("graph_id", F.col("next").alias("start"), "node").distinct())
-    found = front
-    while not front.isEmpty():
-        new = front.join(back, ["graph_id", "node"]).where("before > start").select("graph_id", "start", F.col("before").alias("node")).distinct()
-        front = cut_lineage(new.join(found, ["graph_id", "start", "node"], "left_anti"))
-        found = found.unionByName(front)
-    return found
+    """(graph_id, node, word, bits): the starts to which each node has a way over nodes that come after the start, as bits by their places."""
+    starts = stored(steps.where("place < next_place").select("graph_id", F.col("node").alias("start"), "place").distinct())
+    back = stored(steps.select("graph_id", F.col("next").alias("node"), F.col("node").alias("next"), F.col("place").alias("to")))
+    found = bitsets.search(back, starts, mask=bitsets.below(F.col("word"), F.col("to")))
+    return stored(found.layers.where("hop > 0").groupBy(*bitsets.KEYS).agg(F.bit_or("bits").alias("back")))
 
 
 def cycles(graph: Graph, max_len: int | None = None, max_cycles: int | None = None) -> DataFrame:
     """(graph_id, cycle, risk, length): every elementary circuit once, from its smallest id on.
 
-    Paths grow from each node over greater ids only, and only to nodes that have a way back to it, and end when they come back, so no
-    circuit is found twice and no path leaves its knot. More than max_cycles open paths in a round raise RuntimeError.
+    Paths grow inside strongly connected components, from each node over greater ids only, and only to nodes that have a way back to it, and end when they come back, so no
+    circuit is found twice. Ways back are bit sets, a bit for each start. More than max_cycles open paths in a round raise RuntimeError.
     """
-    core = cyclic_core(graph.edges)
-    steps = cut_lineage(core.select("graph_id", F.col("source").alias("node"), F.col("target").alias("next"), "weight"))
-    ways, key = _ways_back(steps), ["graph_id", "start", "node"]
-    loops = steps.where("node = next").select("graph_id", F.array("node").alias("cycle"), F.col("weight").alias("risk"))
-    begin = steps.where("node < next").select("graph_id", F.col("node").alias("start"), F.col("next").alias("node"), F.array("node", "next").alias("cycle"), F.col("weight").alias("risk"))
-    done, front, length = loops, cut_lineage(begin.join(ways, key, "left_semi")), 2
+    steps = _inside(graph.edges)
+    ways = _ways_back(steps)
+
+    def returning(open_: DataFrame) -> DataFrame:
+        held = open_.withColumn("word", bitsets.word_of(F.col("at"))).join(ways, bitsets.KEYS)
+        return stored(held.where(F.col("back").bitwiseAND(bitsets.bit_of(F.col("at"))) != 0).select(open_.columns))
+
+    loops = steps.where("place = next_place").select("graph_id", F.array("node").alias("cycle"), F.col("weight").alias("risk"))
+    begin = steps.where("place < next_place").select("graph_id", F.col("place").alias("at"), F.col("next").alias("node"), F.array("node", "next").alias("cycle"), F.col("weight").alias("risk"))
+    done, front, length = loops, returning(begin), 2
+    grows = steps.select("graph_id", "node", "next", "weight", "next_place")
     while not front.isEmpty() and (max_len is None or length <= max_len):
         if max_cycles is not None and front.count() > max_cycles:
             raise RuntimeError(f"more than {max_cycles} open paths of {length} nodes")
-        more = cut_lineage(front.join(steps, ["graph_id", "node"]).where("next >= start").select("graph_id", "start", "next", "cycle", (F.col("risk") + F.col("weight")).alias("risk")))
-        done = done.unionByName(more.where("next = start").select("graph_id", "cycle", "risk"))
-        open_ = more.where((F.col("next") > F.col("start")) & ~F.array_contains("cycle", F.col("next"))).select("graph_id", "start", F.col("next").alias("node"), F.concat("cycle", F.array("next")).alias("cycle"), "risk")
-        front = cut_lineage(open_.join(ways, key, "left_semi"))
+        more = stored(front.join(grows, ["graph_id", "node"]).where("next_place >= at").select("graph_id", "at", "next", "next_place", "cycle", (F.col("risk") + F.col("weight")).alias("risk")))
+        done = done.unionByName(more.where("next_place = at").select("graph_id", "cycle", "risk"))
+        open_ = more.where(~F.array_contains("cycle", F.col("next"))).select("graph_id", "at", F.col("next").alias("node"), F.concat("cycle", F.array("next")).alias("cycle"), "risk")
+        front = returning(open_)
         length += 1
     return done.select("graph_id", "cycle", "risk", F.size("cycle").alias("length"))
 

@@ -8,14 +8,14 @@ from bramble.sources.views import EVENT_TYPES
 _TYPES = ", ".join(f"('{n}', {s}, '{t}', {r}, {a}, {b})" for n, s, t, r, a, b in EVENT_TYPES)
 
 
-def _events(snapshots: bool = False, least: float | None = None) -> str:
+def _events(snapshots: bool = False) -> str:
     graph = "CAST(user_id AS VARCHAR)" + (" || '/' || lpad(CAST((day(ts) - 1) // 3 AS VARCHAR), 2, '0')" if snapshots else "")
     return f"""
 types(id, node_seq, type, risk_score, is_source, is_sink) AS (VALUES {_TYPES}),
 rows_ AS (SELECT {graph} AS graph_id, event_id, ts, event_type, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
 nodes AS (SELECT DISTINCT r.graph_id, CAST(t.node_seq AS BIGINT) AS node_seq, t.id, t.type, {_name("t.id")} AS name, CAST(t.risk_score AS DOUBLE) AS risk_score, t.is_source, t.is_sink FROM rows_ r JOIN types t ON r.event_type = t.id),
 raw AS (SELECT * FROM (SELECT graph_id, event_id AS edge_seq, event_type AS source, lead(event_type) OVER (PARTITION BY graph_id ORDER BY ts, event_id) AS target,
-  CASE WHEN value < 5 THEN 'uses' WHEN value < 20 THEN 'grants' ELSE 'mounts' END AS relationship, value AS weight, 'CVE-' || k AS cve, CASE WHEN k >= 50 THEN CAST(k AS DOUBLE) / 10 END AS cvss FROM rows_) WHERE target IS NOT NULL{f" AND weight > {least}" if least else ""}),
+  CASE WHEN value < 5 THEN 'uses' WHEN value < 20 THEN 'grants' ELSE 'mounts' END AS relationship, value AS weight, 'CVE-' || k AS cve, CASE WHEN k >= 50 THEN CAST(k AS DOUBLE) / 10 END AS cvss FROM rows_) WHERE target IS NOT NULL),
 firsts AS (SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY graph_id, source, target, relationship ORDER BY edge_seq) = 1),
 edges AS (SELECT * EXCLUDE (edge_seq, first_seq), first_seq AS edge_seq FROM (SELECT *, min(edge_seq) OVER (PARTITION BY graph_id, source, target) AS first_seq FROM firsts QUALIFY row_number() OVER (PARTITION BY graph_id, source, target ORDER BY edge_seq DESC) = 1))"""
 
@@ -35,7 +35,6 @@ def _values(name: str, table: dict[str, str]) -> str:
 
 E = _events()
 H = _events(snapshots=True)
-HEAVY = _events(least=150.0)
 WALK = """
 walk AS (SELECT graph_id, id AS start, id AS node, [id] AS path, CAST([] AS VARCHAR[]) AS rels, CAST([] AS VARCHAR[]) AS cves, CAST([] AS DOUBLE[]) AS cvss, 0 AS hops, CAST(0 AS DOUBLE) AS cost FROM nodes WHERE is_source
   UNION ALL SELECT w.graph_id, w.start, e.target, list_append(w.path, e.target), list_append(w.rels, e.relationship), list_append(w.cves, e.cve), list_append(w.cvss, e.cvss), w.hops + 1, w.cost + e.weight
@@ -127,13 +126,15 @@ SELECT w.identifier, CASE WHEN b.class = 3 AND count(h.id) > 1 THEN NULL ELSE mi
     "graph_summary": _e("SELECT n.graph_id, count(*) AS nodes, coalesce(any_value(e.n), 0) AS edges, count(*) FILTER (is_source) AS sources, count(*) FILTER (is_sink) AS sinks FROM nodes n LEFT JOIN (SELECT graph_id, count(*) AS n FROM edges GROUP BY 1) e USING (graph_id) GROUP BY 1"),
     "node_type_counts": _e("SELECT graph_id, type, count(*) AS n FROM nodes GROUP BY 1, 2"),
     "relationship_counts": _e("SELECT graph_id, relationship, count(*) AS n FROM edges GROUP BY 1, 2"),
-    "is_dag": _e("SELECT DISTINCT n.graph_id, c.graph_id IS NULL AS is_dag FROM nodes n LEFT JOIN (SELECT DISTINCT graph_id FROM cycles) c USING (graph_id)", RINGS, base=HEAVY),
+    "is_dag": _e("SELECT DISTINCT n.graph_id, c.graph_id IS NULL AS is_dag FROM nodes n LEFT JOIN (SELECT DISTINCT graph_id FROM cycles) c USING (graph_id)", RINGS, base=H),
     "weak_components": _e(
         "SELECT graph_id, count(DISTINCT least_) AS components FROM (SELECT graph_id, a, min(b) AS least_ FROM joined GROUP BY 1, 2) GROUP BY 1",
         """
 joined AS (SELECT graph_id, id AS a, id AS b FROM nodes UNION SELECT j.graph_id, j.a, CASE WHEN e.source = j.b THEN e.target ELSE e.source END FROM joined j JOIN edges e ON e.graph_id = j.graph_id AND (e.source = j.b OR e.target = j.b))""",
-        base=HEAVY,
+        base=H,
     ),
+    "strong_components": _e("""SELECT graph_id, a AS node, min(b) AS component FROM (SELECT f.graph_id, f.a, f.b FROM ways f JOIN ways r ON r.graph_id = f.graph_id AND r.a = f.b AND r.b = f.a) GROUP BY 1, 2""", """
+ways AS (SELECT graph_id, source AS a, target AS b FROM edges UNION SELECT w.graph_id, w.a, e.target FROM ways w JOIN edges e ON e.graph_id = w.graph_id AND e.source = w.b)""", base=H),
     "node_listing": _e("SELECT graph_id, row_number() OVER (PARTITION BY graph_id ORDER BY type, node_seq) AS place, id, type, is_source, is_sink FROM nodes"),
     "node_connections": _e("SELECT graph_id, source AS node, 'out' AS direction, target AS other, " + _name("target") + " AS other_name, relationship, weight FROM edges UNION ALL SELECT graph_id, target, 'in', source, " + _name("source") + ", relationship, weight FROM edges"),
     "node_degrees": _e("SELECT n.graph_id, n.id, (SELECT count(*) FROM edges e WHERE e.graph_id = n.graph_id AND e.source = n.id) AS out_degree, (SELECT count(*) FROM edges e WHERE e.graph_id = n.graph_id AND e.target = n.id) AS in_degree FROM nodes n"),

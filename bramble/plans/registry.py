@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from bramble.operators import advise, assess, bundles, diff, graph as g, rbac, traverse as t
+from bramble.operators import advise, assess, bundles, diff, graph as g, rbac, strong, traverse as t
 from bramble.plans.oracles import ORACLES  # noqa: F401
 from bramble.sources import graph_json, k8s, views
 
@@ -22,14 +22,6 @@ def _events(spark: SparkSession, sf_dir: str) -> g.Graph:
     return g.kept(g.build(views.event_graphs(spark, sf_dir)))
 
 
-#: Steps above this weight are rare enough that some users' graphs have no cycle, and fall apart.
-HEAVY = 150.0
-
-
-def _heavy(spark: SparkSession, sf_dir: str) -> g.Graph:
-    return g.kept(g.build(views.event_graphs(spark, sf_dir, least=HEAVY)))
-
-
 def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[g.Graph, DataFrame]:
     """Graphs of three days each, and the pairs of a user's consecutive ones."""
     graph = g.kept(g.build(views.event_graphs(spark, sf_dir, snapshots=True)))
@@ -126,12 +118,17 @@ def relationship_counts(spark, sf_dir):
 
 @query
 def is_dag(spark, sf_dir):
-    return t.is_dag(_heavy(spark, sf_dir))
+    return t.is_dag(_snapshots(spark, sf_dir)[0])
+
+
+@query
+def strong_components(spark, sf_dir):
+    return strong.strong_components(_snapshots(spark, sf_dir)[0].edges)
 
 
 @query
 def weak_components(spark, sf_dir):
-    return t.weak_components(_heavy(spark, sf_dir))
+    return t.weak_components(_snapshots(spark, sf_dir)[0])
 
 
 @query
@@ -432,13 +429,13 @@ def graph_document(spark, sf_dir):
 @query
 def report_bundle(spark, sf_dir):
     graph, simple = _simple(spark, sf_dir)
-    simple = g.cut_lineage(simple)
-    paths, rings, critical = g.cut_lineage(t.attack_paths(graph)), g.cut_lineage(t.cycles(graph)), g.cut_lineage(t.critical_nodes(graph, simple))
+    simple = g.stored(simple)
+    paths, rings, critical = g.stored(t.attack_paths(graph)), g.stored(t.cycles(graph)), g.stored(t.critical_nodes(graph, simple))
     return bundles.report_bundle(graph, paths, t.blast_radius(graph), rings, critical, t.path_counts(simple), advise.path_remediation(graph, paths), advise.critical_remediation(graph, critical), advise.cycle_remediation(graph, rings), "2024-01-31T00:00:00")
 
 
 @query
 def display_bundle(spark, sf_dir):
     graph, simple = _simple(spark, sf_dir)
-    simple = g.cut_lineage(simple)
+    simple = g.stored(simple)
     return bundles.display_bundle(graph, assess.classified(graph, t.attack_paths(graph)), t.blast_radius(graph), t.cycles(graph), t.critical_nodes(graph, simple), t.path_counts(simple), "2024-01-31T00:00:00")

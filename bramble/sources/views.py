@@ -26,8 +26,8 @@ def snapshot(ts: str = "ts") -> Column:
     return F.lpad(F.floor((F.dayofmonth(ts) - 1) / 3).cast("string"), 2, "0")
 
 
-def event_graphs(spark: SparkSession, sf_dir: str, snapshots: bool = False, least: float | None = None) -> Graph:
-    """A raw graph for each user: event types as nodes, each event's step to the next as an edge. snapshots: one for each three days; least: only steps of more weight."""
+def event_graphs(spark: SparkSession, sf_dir: str, snapshots: bool = False) -> Graph:
+    """A raw graph for each user: event types as nodes, each event's step to the next as an edge. snapshots: one for each three days."""
     events = _table(spark, sf_dir, "events")
     graph_id = F.col("user_id").cast("string")
     if snapshots:
@@ -39,8 +39,6 @@ def event_graphs(spark: SparkSession, sf_dir: str, snapshots: bool = False, leas
     then = Window.partitionBy("graph_id").orderBy("ts", "event_id")
     k = F.get_json_object("props", "$.k").cast("int")
     edges = rows.withColumns({"target": F.lead("event_type").over(then), "k": k}).where("target is not null")
-    if least is not None:
-        edges = edges.where(F.col("value") > least)
     relationship = F.when(F.col("value") < 5, "uses").when(F.col("value") < 20, "grants").otherwise("mounts")
     edges = edges.select("graph_id", F.col("event_id").alias("edge_seq"), F.col("event_type").alias("source"), "target", relationship.alias("relationship"), F.col("value").alias("weight"), F.concat(F.lit("CVE-"), F.col("k").cast("string")).alias("cve"), F.when(F.col("k") >= 50, F.col("k") / 10).alias("cvss"))
     return Graph(nodes, edges)
