@@ -8,9 +8,9 @@ Any order gives the same links. This one sorts shingles by how many stand in the
 rare, and what is frequent has a bucket with many. So the order is a table of a fixed size that all tasks have, and sets are put in order where they are read.
 
 Sets that are alike in `percent` share one of the first shingles of each, as many as a set may have for itself and one more (the prefix).
-Frequent lines and passages stand last, so they bring no pairs together. Equal sets are one class from the start. Of the sets with one prefix shingle, all are first
-compared with one of them, in a few rounds by different draws; what still holds sets that no link joins is compared completely, small groups pair by pair, large ones in
-blocks inside tasks. Keys that very many rows have are looked up in all tasks; by arithmetic there are at most 1 / HUB of them.
+Frequent lines and passages stand last, so they bring no pairs together. Equal sets are one class from the start, and shingles that stand in the prefixes of the same sets are one group.
+In a few rounds, each set is compared with the one that most of its groups have drawn; groups that still hold sets that no link joins are compared completely, small ones pair by pair if enough of
+the prefixes is shared, large ones in blocks inside tasks. Keys that very many rows have are looked up in all tasks; by arithmetic there are at most 1 / HUB of them.
 """
 
 from __future__ import annotations
@@ -205,7 +205,7 @@ def _links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     placed = placed.withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
     members = placed.select("u", "block", F.col("v").alias("node"), F.col("nv").alias("n"))
     hubs = placed.select("u", "block", F.col("u").alias("node"), F.col("nu").alias("n")).distinct()
-    met = members.unionByName(hubs).join(segments, "node").select("u", "block", "node", "n", "fragment", "tokens")
+    met = segments.join(small_or_not(stored(members.unionByName(hubs)), FEW_IDS), "node").select("u", "block", "node", "n", "fragment", "tokens")
     counted = met.groupBy("u", "block", "fragment").applyInArrow(_partial(percent), "u long, v long, nu long, nv long, both long")
     sums = counted.groupBy("u", "v", "nu", "nv").agg(F.sum("both").alias("both"))
     return stored(sums.where(100 * F.col("both") >= percent * (F.col("nu") + F.col("nv") - F.col("both"))).select("u", "v"))
@@ -233,6 +233,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, fragments
     first = stored(one_each(own.select("row", "node", "f1")).mapInArrow(_in_order(shared, k, _prefixes(percent)), "node long, n long, prefix array<long>"))
     groups = first.select("node", F.col("n").alias("size"), F.explode("prefix").alias("token"))
     groups = stored(looked_up(groups, groups.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), ["token"]))
+    # Of the shingles that the same sets have, one stands for all, with their number as its weight.
+    same = groups.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
+    same = same.groupBy("n", "x", "y").agg(F.min("token").alias("token"), F.count("*").alias("weight")).select("token", "n", "weight")
+    groups = stored(looked_up(groups, same, ["token"]))
     wanted = stored(own.join(groups.select("node").distinct(), "node").select("row", "node", "f1"))
     segments = stored(one_each(wanted).mapInArrow(_in_order(shared, k, _segments), "node long, fragment int, tokens array<long>"))
 
@@ -241,8 +245,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, fragments
         at = groups.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
         hub = F.min_by(F.struct("node", "size", "component"), F.xxhash64(F.lit(r), "node")).alias("hub")
         mixed = at.groupBy("token").agg(F.count("*").alias("n"), hub, F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token", "n", "hub")
-        met = looked_up(at, mixed, ["token"]).where("component != hub.component").select(F.col("hub.node").alias("u"), F.col("node").alias("v"), F.col("hub.size").alias("nu"), F.col("size").alias("nv"))
-        links = _links(met.where(_fit("nu", "nv", percent)).distinct(), segments, percent)
+        met = looked_up(at, mixed, ["token"]).where("component != hub.component").select(F.col("hub.node").alias("u"), F.col("node").alias("v"), F.col("hub.size").alias("nu"), F.col("size").alias("nv"), "weight")
+        met = met.where(_fit("nu", "nv", percent)).groupBy("v", "nv", "u", "nu").agg(F.sum("weight").alias("weight"))
+        met = met.groupBy("v", "nv").agg(F.max_by(F.struct("u", "nu"), F.struct("weight", F.xxhash64(F.lit(r), "u"))).alias("one")).select("one.*", "v", "nv")
+        links = _links(met, segments, percent)
         if links.isEmpty():
             break
         label = stored(connected_components(links.unionByName(label.select(F.col("node").alias("u"), F.col("component").alias("v"))), stored))
@@ -252,8 +258,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, fragments
     at = stored(looked_up(at, mixed.select("token", "n", "e", F.col("n").alias("m")), ["token"]))
     few = at.where(F.col("m") <= FEW_MEMBERS)
     other = few.select("token", F.col("node").alias("v"), F.col("size").alias("nv"), F.col("component").alias("c2"))
-    met = few.join(other, "token").where("node < v and component != c2").select(F.col("node").alias("u"), "v", F.col("size").alias("nu"), "nv")
-    more = _links(met.where(_fit("nu", "nv", percent)).distinct(), segments, percent)
+    met = few.join(other, "token").where("node < v and component != c2").select(F.col("node").alias("u"), "v", F.col("size").alias("nu"), "nv", "weight")
+    met = met.where(_fit("nu", "nv", percent)).groupBy("u", "v", "nu", "nv").agg(F.sum("weight").alias("shared"))
+    # Up to where the first of both prefixes ends, what isn't shared is missing for good.
+    need = f"(({percent} * (nu + nv) + {99 + percent}) div {100 + percent})"
+    least = [F.expr(f"least({n} - ({n} * {percent} + 99) div 100 + 1, {n}) - ({n} - {need})") for n in ("nu", "nv")]
+    more = _links(met.where(F.col("shared") >= F.least(*least)).drop("shared"), segments, percent)
     parts = F.greatest(F.ceil(F.col("e") / BLOCK_ELEMENTS), F.ceil(F.col("m") / BLOCK_MEMBERS)).cast("int")
     large = at.where(F.col("m") > FEW_MEMBERS).select("token", "node", "size", parts.alias("parts")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     large = large.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("token", "node", "size", F.least("own", "j").alias("a"), F.greatest("own", "j").alias("b"), (F.col("own") > F.col("j")).cast("int").alias("side"))
