@@ -27,25 +27,50 @@ PHRASES = {
     "all rights reserved": "reserved",
 }
 _CC = "this work is licensed under a creative commons attribution {}4 0 international license"
-_GPL = "licensed under the {}gnu {}general public license version {}"
-#: Licence notices and openings of licence texts, which may be edited: (family, label, words, telling words).
+_GPL = "licensed under the {}general public license version {}"
+_GNU = [(f"{name}-{v.replace(' ', '.')}" + (".0" if " " not in v else ""), kind, v) for name, kind, versions in (("gpl", "gnu ", ("2", "3")), ("lgpl", "gnu lesser ", ("2", "2 1", "3")), ("agpl", "gnu affero ", ("3",))) for v in versions]
+_CC_KINDS = (("", ""), ("-sa", "sharealike "), ("-sa", "share alike "), ("-nc", "noncommercial "), ("-nc", "non commercial "), ("-nd", "noderivatives "), ("-nc-sa", "noncommercial sharealike "), ("-nc-nd", "noncommercial noderivatives "))
+#: Licence notices and openings of licence texts, which may be edited: (family, label, words, telling words). The telling words hold the family's own name.
 NOTICES = [
     ("apache", "apache-2.0", "licensed under the apache license version 2 0", "apache 2"),
     ("mit", "mit", "released under the mit license", "mit"),
     ("mit", "mit", "licensed under the mit license", "mit"),
     ("mit", "mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ""),
     ("bsd", "bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ""),
-    *[("gpl", f"{name}-{v}.0", _GPL.format("", less, v), f"{less}{v}") for name, less, versions in (("gpl", "", (2, 3)), ("lgpl", "lesser ", (2, 3)), ("agpl", "affero ", (3,))) for v in versions],
-    ("gpl", "gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", ""),
-    ("gpl", "lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", "lesser"),
-    *[("cc", f"cc-by{label}", _CC.format(words), words.replace("non commercial", "commercial")) for label, words in (("", ""), ("-sa", "sharealike "), ("-sa", "share alike "), ("-nc", "noncommercial "), ("-nc", "non commercial "), ("-nd", "noderivatives "), ("-nc-sa", "noncommercial sharealike "), ("-nc-nd", "noncommercial noderivatives "))],
-    *[("cc", f"cc-by{label}", f"licensed under cc by{label.replace('-', ' ')} 4 0", f"by{label.replace('-', ' ')}") for label in ("", "-sa", "-nc", "-nd", "-nc-sa", "-nc-nd")],
+    *[("gpl", label, _GPL.format(kind, v), f"{kind.removeprefix('gnu ')}general public {v}") for label, kind, v in _GNU],
+    ("gpl", "gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "general public"),
+    ("gpl", "lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", "lesser general public"),
+    *[("cc", f"cc-by{label}", _CC.format(words), f"creative commons {words.replace('non commercial', 'commercial')}") for label, words in _CC_KINDS],
+    *[("cc", f"cc-by{label}", f"licensed under cc by{label.replace('-', ' ')} 4 0", f"cc by{label.replace('-', ' ')}") for label in ("", "-sa", "-nc", "-nd", "-nc-sa", "-nc-nd")],
     ("cc", "cc0", "released into the public domain under cc0 1 0", "cc0"),
-    ("mpl", "mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla"),
+    ("mpl", "mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla 2"),
     ("isc", "isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ""),
 ]
+#: Names of licences, all of whose words must stand there in order.
+NAMES = [
+    ("mit", "mit", "mit license"), ("apache", "apache-2.0", "apache license 2 0"), ("apache", "apache-2.0", "apache license version 2 0"), ("isc", "isc", "isc license"),
+    ("mpl", "mpl-2.0", "mozilla public license 2 0"), ("mpl", "mpl-2.0", "mozilla public license version 2 0"),
+    *[("bsd", f"bsd-{n}-clause", f"bsd {n} clause license") for n in (2, 3)],
+    *[("gpl", label, f"{kind}general public license version {v}") for label, kind, v in _GNU],
+    *[("gpl", label, f"{kind}general public license v{v}") for label, kind, v in _GNU],
+]
+#: Licences' tags, which stand after "SPDX-License-Identifier:", and the families of their labels; tags and labels are the same but for cc-by-4.0 and cc0-1.0.
+TAGS = {
+    "apache": ["apache-2.0"], "mit": ["mit"], "bsd": ["bsd-2-clause", "bsd-3-clause"], "isc": ["isc"], "mpl": ["mpl-2.0"],
+    "gpl": ["gpl-2.0", "gpl-3.0", "lgpl-2.0", "lgpl-2.1", "lgpl-3.0", "agpl-3.0"], "cc": ["cc-by-4.0", "cc-by-sa-4.0", "cc-by-nc-4.0", "cc-by-nd-4.0", "cc-by-nc-sa-4.0", "cc-by-nc-nd-4.0", "cc0-1.0"],
+}
+
+
+def _named() -> list[tuple[str, str, str, str]]:
+    tags = [(family, tag.removesuffix("-4.0").removesuffix("-1.0"), f"spdx license identifier {tag.replace('-', ' ').replace('.', ' ')}") for family, own in TAGS.items() for tag in own]
+    return [(family, label, text, text) for family, label, text in [*NAMES, *tags]]
+
+
+NOTICES += _named()
 #: Words of a gram; how far merged diagonals may lie apart; share of a notice's grams, then of its words, that must stand in a span.
 GRAM, NEAR, VOTES, ENOUGH = 2, 3, 0.4, 0.6
+#: Other words inside a span, as a share of the template's, and so many more.
+OTHERS, FEW_OTHERS = 0.5, 3
 #: Words between matches that still belong to one passage, and before and after it.
 GAP, EDGE = 8, 6
 
@@ -115,24 +140,43 @@ def in_order(template: list[str], words: list[str]) -> list[tuple[int, int]]:
 
 
 def _verified(notices: list[tuple[str, str, str, str]], phrases: int):
-    """Of each span, how many of its template's words stand there in order, and where; none if a telling word isn't among them."""
+    """Of each span, how many of its template's words stand there in order, and where, and where its telling words are; none if one of these isn't among them, or too many other words are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for row, template, begin, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 family, label, text, telling = notices[template - phrases]
-                own = text.split()
+                own, needed = text.split(), set(telling.split())
                 places = in_order(own, words)
-                if len(places) >= ENOUGH * len(own) and set(telling.split()) <= {own[i] for i, _ in places}:
-                    rows.append((row, family, label, begin + places[0][1], begin + places[-1][1], len(places), len(places) / len(own)))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["row", "family", "label", "start", "stop", "n", "share"])
+                told = [j for i, j in places if own[i] in needed]
+                if len(places) < ENOUGH * len(own) or not needed <= {own[i] for i, _ in places}:
+                    continue
+                start, stop = places[0][1], places[-1][1]
+                if needed == set(own) and len(places) < len(own) or stop - start + 1 - len(places) > OTHERS * len(own) + FEW_OTHERS:
+                    continue
+                told = told or [start, stop]
+                rows.append((row, family, label, begin + start, begin + stop, begin + min(told), begin + max(told), len(places), len(places) / len(own)))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 9
+            types = [pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 5, pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["row", "family", "label", "start", "stop", "from", "to", "n", "share"])
 
     return run
 
 
+def _settled(spans: DataFrame, group: list[str]) -> DataFrame:
+    """Spans less those that give way on their stretch, a chain of spans that overlap: to the one with most words there, all whose telling words lie inside that one.
+
+    So of rivals in one family the fuller stays, and a name that belongs to another family's notice goes, but two licences that are named side by side both stay.
+    """
+    line = Window.partitionBy("row", *group).orderBy("start", "stop", "label")
+    apart = F.coalesce((F.col("start") > F.max("stop").over(line.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1))
+    spans = spans.withColumn("__apart", apart).withColumn("__stretch", F.sum("__apart").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = spans.withColumn("__best", F.max(F.struct("n", "share", "label", "start", "stop")).over(Window.partitionBy("row", *group, "__stretch")))
+    inside = (F.col("from") >= F.col("__best.start")) & (F.col("to") <= F.col("__best.stop")) & (F.col("label") != F.col("__best.label"))
+    return spans.where(~inside).drop("__apart", "__stretch", "__best")
+
+
 NEW = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
@@ -167,12 +211,9 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: l
     first = F.greatest(F.col("low"), F.col("begin"))
     words = F.slice("words", (first - F.col("begin") + 1).cast("int"), F.greatest(F.col("high") - first, F.lit(0)).cast("int"))
     pairs = spans.join(passages, ["row", "passage"]).select("row", "template", first.alias("begin"), words.alias("words"))
-    spans = pairs.mapInArrow(_verified(notices, len(phrases)), "row long, family string, label string, start long, stop long, n long, share double")
-    line = Window.partitionBy("row", "family").orderBy("start", "stop")
-    apart = F.coalesce((F.col("start") > F.max("stop").over(line.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1))
-    spans = spans.withColumn("apart", apart).withColumn("stretch", F.sum("apart").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    best = spans.groupBy("row", "family", "stretch").agg(F.max(F.struct("n", "share", "label")).alias("b"), F.min("start").alias("start"))
-    best = best.select("row", "b.label", F.lit(False).alias("base"), "start", "b.share")
+    spans = pairs.mapInArrow(_verified(notices, len(phrases)), "row long, family string, label string, start long, stop long, from long, to long, n long, share double")
+    best = _settled(_settled(spans, ["family"]), [])
+    best = best.select("row", "label", F.lit(False).alias("base"), "start", "share")
     text_of = lambda labels: F.array_join(F.sort_array(labels), ",")
     marks = exact.unionByName(best).groupBy("row").agg(
         F.count_if("base").alias("n_base"), F.min(F.when(F.col("base"), F.col("start"))).alias("first_word"), F.max(F.when(F.col("base"), F.col("start"))).alias("last_word"),
