@@ -28,7 +28,7 @@ from bramble.operators.components import connected_components, looked_up as _loo
 from bramble.operators.graph import stored
 
 #: Fragments of the global order; rounds of comparing each group with one of its sets.
-FRAGMENTS, ROUNDS = 8, 3
+FRAGMENTS, ROUNDS = 8, 2
 #: Buckets of shingles, whose counts give the order; in how many blocks tasks give their counts.
 BUCKETS, BLOCKS = 1 << 18, 16
 #: Sets, and shingles in them, that meet one set at once; columns of a matrix.
@@ -211,6 +211,13 @@ def _links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     return stored(sums.where(100 * F.col("both") >= percent * (F.col("nu") + F.col("nv") - F.col("both"))).select("u", "v"))
 
 
+def _promising(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v, nu, nv, shared) less those that can't be linked: up to where the first of both prefixes ends, what isn't shared is missing for good."""
+    need = f"(({percent} * (nu + nv) + {99 + percent}) div {100 + percent})"
+    least = [F.expr(f"least({n} - ({n} * {percent} + 99) div 100 + 1, {n}) - ({n} - {need})") for n in ("nu", "nv")]
+    return pairs.where(F.col("shared") >= F.least(*least)).select("u", "v", "nu", "nv")
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, fragments: int = FRAGMENTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for each row of docs.
 
@@ -248,7 +255,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, fragments
         met = looked_up(at, mixed, ["token"]).where("component != hub.component").select(F.col("hub.node").alias("u"), F.col("node").alias("v"), F.col("hub.size").alias("nu"), F.col("size").alias("nv"), "weight")
         met = met.where(_fit("nu", "nv", percent)).groupBy("v", "nv", "u", "nu").agg(F.sum("weight").alias("weight"))
         met = met.groupBy("v", "nv").agg(F.max_by(F.struct("u", "nu"), F.struct("weight", F.xxhash64(F.lit(r), "u"))).alias("one")).select("one.*", "v", "nv")
-        links = _links(met, segments, percent)
+        theirs = met.join(groups.select(F.col("node").alias("v"), "token", "weight"), "v").join(groups.select(F.col("node").alias("u"), "token"), ["u", "token"])
+        met = theirs.groupBy("u", "v", "nu", "nv").agg(F.sum("weight").alias("shared"))
+        links = _links(_promising(met, percent), segments, percent)
         if links.isEmpty():
             break
         label = stored(connected_components(links.unionByName(label.select(F.col("node").alias("u"), F.col("component").alias("v"))), stored))
@@ -260,10 +269,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, fragments
     other = few.select("token", F.col("node").alias("v"), F.col("size").alias("nv"), F.col("component").alias("c2"))
     met = few.join(other, "token").where("node < v and component != c2").select(F.col("node").alias("u"), "v", F.col("size").alias("nu"), "nv", "weight")
     met = met.where(_fit("nu", "nv", percent)).groupBy("u", "v", "nu", "nv").agg(F.sum("weight").alias("shared"))
-    # Up to where the first of both prefixes ends, what isn't shared is missing for good.
-    need = f"(({percent} * (nu + nv) + {99 + percent}) div {100 + percent})"
-    least = [F.expr(f"least({n} - ({n} * {percent} + 99) div 100 + 1, {n}) - ({n} - {need})") for n in ("nu", "nv")]
-    more = _links(met.where(F.col("shared") >= F.least(*least)).drop("shared"), segments, percent)
+    more = _links(_promising(met, percent), segments, percent)
     parts = F.greatest(F.ceil(F.col("e") / BLOCK_ELEMENTS), F.ceil(F.col("m") / BLOCK_MEMBERS)).cast("int")
     large = at.where(F.col("m") > FEW_MEMBERS).select("token", "node", "size", parts.alias("parts")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     large = large.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("token", "node", "size", F.least("own", "j").alias("a"), F.greatest("own", "j").alias("b"), (F.col("own") > F.col("j")).cast("int").alias("side"))
