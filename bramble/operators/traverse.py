@@ -6,12 +6,14 @@ starts advance together, so the count of rounds is that of the longest traversal
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bramble.functions.scoring import severity
-from bramble.operators import bitsets
+from bramble.operators import bitsets, ranks
 from bramble.operators.components import connected_components
-from bramble.operators.graph import Graph, stored, sinks, sources
+from bramble.operators.graph import Graph, sinks, sources, stored
 from bramble.operators.strong import strong_components
 
 
@@ -217,8 +219,8 @@ def shortest_path(graph: Graph, pairs: DataFrame) -> DataFrame:
 
 
 def ranked(paths: DataFrame) -> DataFrame:
-    """Attack paths with their rank in the graph: ascending risk, then the order of sources and sinks."""
-    return paths.withColumn("rank", F.row_number().over(Window.partitionBy("graph_id").orderBy("total_risk", "source_seq", "sink_seq")))
+    """Attack paths with their rank in the graph, by ranges over many tasks: ascending risk, then the order of sources and sinks."""
+    return ranks.ranked(paths, ["graph_id"], [F.col("total_risk"), F.col("source_seq"), F.col("sink_seq")])
 
 
 def path_hops(paths: DataFrame) -> DataFrame:
@@ -257,24 +259,87 @@ def _through(paths: DataFrame) -> DataFrame:
     return paths.select("graph_id", F.explode("path_nodes").alias("id")).groupBy("graph_id", "id").agg(F.count("*").alias("paths_through"))
 
 
-def critical_nodes(graph: Graph, paths: DataFrame, top_n: int = 5) -> DataFrame:
+@dataclass(frozen=True)
+class PathTotals:
+    """through (graph_id, id, paths_through): the simple paths on which each node lies; counts (graph_id, paths): those of each graph. Both without zeros."""
+
+    through: DataFrame
+    counts: DataFrame
+
+    @staticmethod
+    def of(paths: DataFrame) -> PathTotals:
+        return PathTotals(_through(paths), path_counts(paths))
+
+
+def _walks(steps: DataFrame, first: DataFrame, most: int) -> DataFrame:
+    """(graph_id, node, hops, n): the walks of so many hops, `most` at most, from the nodes of first to each node, along steps (graph_id, node, next)."""
+    front = stored(first.select("graph_id", "node", F.lit(0).alias("hops"), F.lit(1).cast("long").alias("n")))
+    found = front
+    for hop in range(1, most + 1):
+        front = stored(front.join(steps, ["graph_id", "node"]).groupBy("graph_id", F.col("next").alias("node")).agg(F.sum("n").alias("n")).select("graph_id", "node", F.lit(hop).alias("hops"), "n"))
+        if front.isEmpty():
+            break
+        found = found.unionByName(front)
+    return found
+
+
+def path_totals(graph: Graph, cutoff: int = 15) -> PathTotals:
+    """What PathTotals.of(simple_paths(graph, cutoff)) gives, with no path enumerated in graphs without a cycle on the way from sources to sinks.
+
+    There every walk is a simple path, so the walks from sources to a node, by hops, times those from it to sinks, are the paths through it. A number that
+    doesn't fit in a long raises (in ANSI mode). Only graphs with a cycle on the way are enumerated.
+    """
+    left = hops_to_sinks(graph, cutoff)
+    steps = graph.edges.where("source != target").join(left.select("graph_id", F.col("node").alias("target")), ["graph_id", "target"], "left_semi")
+    steps = stored(steps.select("graph_id", F.col("source").alias("node"), F.col("target").alias("next")))
+    starts = stored(sources(graph).select("graph_id", F.col("id").alias("node")).join(left.select("graph_id", "node"), ["graph_id", "node"], "left_semi"))
+    on_way = _spread(steps, starts)
+    steps = stored(steps.join(on_way, ["graph_id", "node"], "left_semi").select("graph_id", "node", "next"))
+    cyclic = stored(strong_components(steps.select("graph_id", F.col("node").alias("source"), F.col("next").alias("target"))).select("graph_id").distinct())
+    plain = lambda df: df.join(cyclic, "graph_id", "left_anti")
+    ends = sinks(graph).select("graph_id", F.col("id").alias("node"))
+    forth = _walks(plain(steps), plain(starts), cutoff)
+    back = _walks(plain(steps).select("graph_id", F.col("next").alias("node"), F.col("node").alias("next")), plain(ends.join(on_way, ["graph_id", "node"], "left_semi")), cutoff)
+    rest = back.select("graph_id", "node", F.col("hops").alias("more"), F.col("n").alias("m"))  # a row for each hop of a node at most
+    through = forth.join(rest, ["graph_id", "node"]).where(F.col("hops") + F.col("more") <= cutoff).groupBy("graph_id", F.col("node").alias("id")).agg(F.sum(F.col("n") * F.col("m")).alias("paths_through"))
+    counts = forth.join(ends, ["graph_id", "node"], "left_semi").groupBy("graph_id").agg(F.sum("n").alias("paths"))
+    if cyclic.isEmpty():
+        return PathTotals(through, counts)
+    only = lambda df: df.join(cyclic, "graph_id", "left_semi").select(df.columns)
+    others = PathTotals.of(simple_paths(Graph(only(graph.nodes), only(graph.edges)), cutoff))
+    return PathTotals(through.unionByName(others.through), counts.unionByName(others.counts))
+
+
+def critical_nodes(graph: Graph, paths: DataFrame | PathTotals, top_n: int = 5) -> DataFrame:
     """The top_n nodes of each graph, neither source nor sink, whose removal breaks most simple paths; ties in node order.
 
-    Removing a node breaks the simple paths that contain it, so counting those replaces any work on altered graphs.
+    Removing a node breaks the simple paths that contain it, so counting those replaces any work on altered graphs. paths are simple paths or their totals.
     """
+    totals = paths if isinstance(paths, PathTotals) else PathTotals.of(paths)
     inner = graph.nodes.where("not is_source and not is_sink").select("graph_id", "id", "name", "node_seq")
-    hit = _through(paths).join(inner, ["graph_id", "id"]).join(path_counts(paths), "graph_id")
+    hit = totals.through.join(inner, ["graph_id", "id"])
+    # Tasks keep top_n rows a graph before any is moved.
     hit = hit.withColumn("rank", F.row_number().over(Window.partitionBy("graph_id").orderBy(F.desc("paths_through"), "node_seq"))).where(F.col("rank") <= top_n)
+    hit = hit.join(totals.counts, "graph_id")
     return hit.select("graph_id", "rank", "id", "name", F.col("paths_through").alias("eliminated"), F.col("paths").alias("baseline"), (F.col("paths_through") / F.greatest("paths", F.lit(1)) * 100).alias("percent"))
 
 
-def node_risk(graph: Graph, paths: DataFrame, top_n: int | None = None) -> DataFrame:
-    """Each node's risk, amplified by the logarithm of the simple paths through it, and its rank; ties in node order."""
-    all_ = graph.nodes.join(_through(paths), ["graph_id", "id"], "left").withColumn("paths_through", F.coalesce("paths_through", F.lit(0)))
-    all_ = all_.withColumn("amplified_risk", F.col("risk_score") * (1 + F.log2(1 + F.col("paths_through"))))
-    all_ = all_.withColumn("rank", F.row_number().over(Window.partitionBy("graph_id").orderBy(F.desc("amplified_risk"), "node_seq")))
-    out = all_.select("graph_id", "rank", F.col("id").alias("node_id"), "name", "type", F.col("risk_score").alias("base_risk"), "paths_through", "amplified_risk")
-    return out if top_n is None else out.where(F.col("rank") <= top_n)
+def amplified(graph: Graph, paths: DataFrame | PathTotals) -> DataFrame:
+    """Each node's risk, amplified by the logarithm of the simple paths (or their totals) through it; not ranked."""
+    totals = paths if isinstance(paths, PathTotals) else PathTotals.of(paths)
+    all_ = graph.nodes.join(totals.through, ["graph_id", "id"], "left").withColumn("paths_through", F.coalesce("paths_through", F.lit(0)))
+    risk = F.col("risk_score") * (1 + F.log2(1 + F.col("paths_through")))
+    return all_.select("graph_id", "node_seq", F.col("id").alias("node_id"), "name", "type", F.col("risk_score").alias("base_risk"), "paths_through", risk.alias("amplified_risk"))
+
+
+def node_risk(graph: Graph, paths: DataFrame | PathTotals, top_n: int | None = None) -> DataFrame:
+    """amplified with each node's rank in its graph, ties in node order. A short list is cut off in the tasks; all ranks are found by ranges, so no task holds a graph."""
+    all_, order = amplified(graph, paths), [F.desc("amplified_risk"), F.col("node_seq")]
+    if top_n is None:
+        out = ranks.ranked(all_, ["graph_id"], order)
+    else:
+        out = all_.withColumn("rank", F.row_number().over(Window.partitionBy("graph_id").orderBy(*order))).where(F.col("rank") <= top_n)
+    return out.select("graph_id", "rank", *[c for c in all_.columns if c not in ("graph_id", "node_seq")])
 
 
 def is_dag(graph: Graph) -> DataFrame:

@@ -109,6 +109,12 @@ def _e(select: str, *more: str, base: str = E) -> str:
 
 
 _STAGES = "".join(f", h{n} AS (SELECT h.source, e.target AS node, min(h.cost + e.weight) AS cost FROM h{n - 1} h JOIN edges e ON e.source = h.node GROUP BY 1, 2)" for n in range(2, 6))
+# Walks of the supply graph by stage: w0 from its sources, v0 to its sinks; each node has one stage.
+_WALKS = (
+    ", w0 AS (SELECT id AS node, CAST(1 AS BIGINT) AS n FROM nodes WHERE is_source)" + "".join(f", w{k} AS (SELECT e.target AS node, CAST(sum(w.n) AS BIGINT) AS n FROM w{k - 1} w JOIN edges e ON e.source = w.node GROUP BY 1)" for k in range(1, 6))
+    + ", v0 AS (SELECT id AS node, CAST(1 AS BIGINT) AS n FROM nodes WHERE is_sink)" + "".join(f", v{k} AS (SELECT e.source AS node, CAST(sum(v.n) AS BIGINT) AS n FROM v{k - 1} v JOIN edges e ON e.target = v.node GROUP BY 1)" for k in range(1, 6))
+    + ", through AS (" + " UNION ALL ".join(f"SELECT w.node AS id, w.n * v.n AS n FROM w{k} w JOIN v{5 - k} v ON v.node = w.node" for k in range(6)) + "), total AS (SELECT CAST(sum(n) AS BIGINT) AS baseline FROM w5)"
+)
 _path = "array_to_string(path, '>')"
 ORACLES = {
     "first_edges": _e("SELECT graph_id, edge_seq, source, target, relationship, weight FROM firsts"),
@@ -157,7 +163,10 @@ SELECT source, node AS sink, 5 AS hop_count, cost AS total_risk, CASE WHEN cost
     "simple_paths": _e(f"SELECT graph_id, start AS source, node AS sink, {_path} AS path_nodes FROM simple", WALK),
     "simple_path_counts": _e("SELECT graph_id, count(*) AS paths FROM simple GROUP BY 1", WALK),
     "critical_nodes": _e("SELECT graph_id, rank, id, eliminated, baseline, round(eliminated / greatest(baseline, 1) * 100, 6) AS percent FROM critical", WALK, THROUGH),
-    "node_risk": _e("SELECT n.graph_id, n.id AS node_id, n.risk_score AS base_risk, coalesce(t.n, 0) AS paths_through, round(n.risk_score * (1 + log2(1 + coalesce(t.n, 0))), 6) AS amplified_risk FROM nodes n LEFT JOIN through t USING (graph_id, id)", WALK, THROUGH),
+    "node_risk": _e("SELECT n.graph_id, row_number() OVER (PARTITION BY n.graph_id ORDER BY n.risk_score * (1 + log2(1 + coalesce(t.n, 0))) DESC, n.node_seq) AS rank, n.id AS node_id, n.risk_score AS base_risk, coalesce(t.n, 0) AS paths_through, round(n.risk_score * (1 + log2(1 + coalesce(t.n, 0))), 6) AS amplified_risk FROM nodes n LEFT JOIN through t USING (graph_id, id)", WALK, THROUGH),
+    "simple_path_counts_supply": f"WITH {S}{_WALKS} SELECT 'supply' AS graph_id, baseline AS paths FROM total",
+    "critical_nodes_supply": f"WITH {S}{_WALKS} SELECT row_number() OVER (ORDER BY t.n DESC, m.node_seq) AS rank, m.id, t.n AS eliminated, baseline, round(t.n / greatest(baseline, 1) * 100, 6) AS percent FROM through t JOIN nodes m USING (id), total WHERE NOT m.is_source AND NOT m.is_sink QUALIFY rank <= 5",
+    "node_risk_supply": f"WITH {S}{_WALKS} SELECT m.id AS node_id, m.risk_score AS base_risk, coalesce(t.n, 0) AS paths_through, round(m.risk_score * (1 + log2(1 + coalesce(t.n, 0))), 6) AS amplified_risk FROM nodes m LEFT JOIN through t USING (id)",
     "top_node_risk": _e("SELECT graph_id, rank, node_id, round(risk, 2) AS amplified_risk FROM (SELECT n.graph_id, n.id AS node_id, n.risk_score * (1 + log2(1 + coalesce(t.n, 0))) AS risk, row_number() OVER (PARTITION BY n.graph_id ORDER BY n.risk_score * (1 + log2(1 + coalesce(t.n, 0))) DESC, n.node_seq) AS rank FROM nodes n LEFT JOIN through t USING (graph_id, id)) WHERE rank <= 2", WALK, THROUGH),
     "cycles": _e(f"SELECT graph_id, array_to_string(cycle, '>') AS cycle, {_names('cycle')} AS cycle_names, length FROM cycles", RINGS),
     "cycle_risk": _e("SELECT graph_id, array_to_string(cycle, '>') AS cycle, round(risk, 6) AS risk FROM cycles", RINGS),

@@ -222,7 +222,27 @@ def critical_nodes(spark, sf_dir):
 
 @query
 def node_risk(spark, sf_dir):
-    return t.node_risk(*_simple(spark, sf_dir)).select("graph_id", "node_id", "base_risk", "paths_through", F.round("amplified_risk", 6).alias("amplified_risk"))
+    return t.node_risk(*_simple(spark, sf_dir)).select("graph_id", "rank", "node_id", "base_risk", "paths_through", F.round("amplified_risk", 6).alias("amplified_risk"))
+
+
+def _supply_totals(spark, sf_dir: str):
+    graph = _supply(spark, sf_dir)
+    return graph, t.path_totals(graph)
+
+
+@query
+def simple_path_counts_supply(spark, sf_dir):
+    return _supply_totals(spark, sf_dir)[1].counts
+
+
+@query
+def critical_nodes_supply(spark, sf_dir):
+    return t.critical_nodes(*_supply_totals(spark, sf_dir)).select("rank", "id", "eliminated", "baseline", F.round("percent", 6).alias("percent"))
+
+
+@query
+def node_risk_supply(spark, sf_dir):
+    return t.amplified(*_supply_totals(spark, sf_dir)).select("node_id", "base_risk", "paths_through", F.round("amplified_risk", 6).alias("amplified_risk"))
 
 
 @query
