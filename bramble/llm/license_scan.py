@@ -46,7 +46,7 @@ NOTICES = [
     ("mpl", "mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla 2"),
     ("isc", "isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ""),
 ]
-#: Names of licences, all of whose words must stand there in order.
+#: Names of licences, which must stand word for word: (family, label, words).
 NAMES = [
     ("mit", "mit", "mit license"), ("apache", "apache-2.0", "apache license 2 0"), ("apache", "apache-2.0", "apache license version 2 0"), ("isc", "isc", "isc license"),
     ("mpl", "mpl-2.0", "mozilla public license 2 0"), ("mpl", "mpl-2.0", "mozilla public license version 2 0"),
@@ -61,12 +61,12 @@ TAGS = {
 }
 
 
-def _named() -> list[tuple[str, str, str, str]]:
+def _named() -> list[tuple[str, str, str]]:
     tags = [(family, tag.removesuffix("-4.0").removesuffix("-1.0"), f"spdx license identifier {tag.replace('-', ' ').replace('.', ' ')}") for family, own in TAGS.items() for tag in own]
-    return [(family, label, text, text) for family, label, text in [*NAMES, *tags]]
+    return [*NAMES, *tags]
 
 
-NOTICES += _named()
+NAMES = _named()
 #: Words of a gram; how far merged diagonals may lie apart; share of a notice's grams, then of its words, that must stand in a span.
 GRAM, NEAR, VOTES, ENOUGH = 2, 3, 0.4, 0.6
 #: Other words inside a span, as a share of the template's, and so many more.
@@ -80,15 +80,16 @@ def _gram_hashes(texts: list[str]) -> tuple[tv.Words, np.ndarray, np.ndarray]:
     return words, *tv.grams(words.hashes(), words.first, GRAM)
 
 
-def _templates(phrases: dict[str, str], notices: list[tuple[str, str, str, str]]) -> list[tuple]:
-    """A row for each gram of each template."""
+def _templates(phrases: dict[str, str], notices: list[tuple[str, str, str, str]], names: list[tuple[str, str, str]]) -> list[tuple]:
+    """A row for each gram of each template, which is of a phrase, a notice or a name."""
     rows = []
-    for t, (family, label, text, telling) in enumerate([*(("", label, text, "") for text, label in phrases.items()), *notices]):
+    kinds = [*(("phrase", "", label, text, "") for text, label in phrases.items()), *(("notice", *n) for n in notices), *(("name", *n, "") for n in names)]
+    for t, (kind, family, label, text, telling) in enumerate(kinds):
         _, hashes, _ = _gram_hashes([text])
         own = text.split()
         if len(own) < GRAM or len(hashes) != len(own) - GRAM + 1 or not set(telling.split()) <= set(own):
             raise ValueError(f"a template needs {GRAM} lower-case words at least, its telling words among them: {text!r}")
-        rows += [(t, family, label, t < len(phrases), len(hashes), p, int(h.view(np.int64)), " ".join(own[p : p + GRAM])) for p, h in enumerate(hashes)]
+        rows += [(t, family, label, kind, len(hashes), p, int(h.view(np.int64)), " ".join(own[p : p + GRAM])) for p, h in enumerate(hashes)]
     return rows
 
 
@@ -153,7 +154,7 @@ def _verified(notices: list[tuple[str, str, str, str]], phrases: int):
                 if len(places) < ENOUGH * len(own) or not needed <= {own[i] for i, _ in places}:
                     continue
                 start, stop = places[0][1], places[-1][1]
-                if needed == set(own) and len(places) < len(own) or stop - start + 1 - len(places) > OTHERS * len(own) + FEW_OTHERS:
+                if stop - start + 1 - len(places) > OTHERS * len(own) + FEW_OTHERS:
                     continue
                 told = told or [start, stop]
                 rows.append((row, family, label, begin + start, begin + stop, begin + min(told), begin + max(told), len(places), len(places) / len(own)))
@@ -180,7 +181,7 @@ def _settled(spans: DataFrame, group: list[str]) -> DataFrame:
 NEW = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
-def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: list[tuple[str, str, str, str]] = NOTICES, text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: list[tuple[str, str, str, str]] = NOTICES, names: list[tuple[str, str, str]] = NAMES, text_col: str = "text") -> DataFrame:
     """docs, without the text, with n_words, n_base, first_word, last_word, base_labels, labels and score.
 
     Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z are lower-cased. n_base counts the places where a phrase's words
@@ -193,18 +194,21 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: l
     """
     spark = docs.sparkSession
     docs = without(docs, NEW)
-    rows = _templates(phrases, notices)
-    templates = F.broadcast(spark.createDataFrame(rows, "template int, family string, label string, base boolean, need int, at int, hash long, gram string"))  # the fixed values above
+    rows = _templates(phrases, notices, names)
+    templates = F.broadcast(spark.createDataFrame(rows, "template int, family string, label string, kind string, need int, at int, hash long, gram string"))  # the fixed values above
     known = np.unique(np.array([r[6] for r in rows], dtype=np.int64).view(tv.U))
     schema = with_fields(docs, ("n_words", "long"), ("__hits", "array<struct<place: long, passage: int, hash: long, gram: string>>"), ("__passages", "array<struct<low: long, words: array<string>>>"), drop=(text_col,))
     found = cut_lineage(docs.mapInArrow(_hits(known, text_col), schema)).withColumn("__row", F.monotonically_increasing_id())
 
     votes = found.select(F.col("__row").alias("row"), F.explode("__hits").alias("h")).select("row", "h.*").join(templates, ["hash", "gram"])
-    diagonals = votes.groupBy("row", "passage", "template", "label", "base", "need", (F.col("place") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("places"))
-    exact = diagonals.where("base and size(places) = need").select("row", "label", "base", F.col("diagonal").alias("start"), F.lit(1.0).alias("share"))
+    diagonals = votes.groupBy("row", "passage", "template", "family", "label", "kind", "need", (F.col("place") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("places"))
+    whole = diagonals.where("kind != 'notice' and size(places) = need").withColumn("start", F.col("diagonal"))
+    exact = whole.where("kind = 'phrase'").select("row", "label", F.lit(True).alias("base"), "start", F.lit(1.0).alias("share"))
+    stop, n = (F.col("start") + F.col("need")).alias("stop"), (F.col("need") + GRAM - 1).cast("long").alias("n")
+    named = whole.where("kind = 'name'").select("row", "family", "label", "start", stop, F.col("start").alias("from"), (F.col("start") + F.col("need")).alias("to"), n, F.lit(1.0).alias("share"))
     line = Window.partitionBy("row", "passage", "template").orderBy("diagonal")
     step = F.when(F.col("diagonal") - F.lag("diagonal").over(line) <= NEAR, 0).otherwise(1)
-    runs = diagonals.where("not base").withColumn("step", step).withColumn("run", F.sum("step").over(line))
+    runs = diagonals.where("kind = 'notice'").withColumn("step", step).withColumn("run", F.sum("step").over(line))
     spans = runs.groupBy("row", "passage", "template", "need", "run").agg(F.min("diagonal").alias("low"), F.max("diagonal").alias("high"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n"))
     spans = spans.where(F.col("n") >= VOTES * F.col("need")).select("row", "passage", "template", (F.col("low") - 1).alias("low"), (F.col("high") + F.col("need") + GRAM).alias("high"))
     passages = found.select(F.col("__row").alias("row"), F.posexplode("__passages").alias("passage", "p")).select("row", "passage", F.col("p.low").alias("begin"), "p.words")
@@ -212,7 +216,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: l
     words = F.slice("words", (first - F.col("begin") + 1).cast("int"), F.greatest(F.col("high") - first, F.lit(0)).cast("int"))
     pairs = spans.join(passages, ["row", "passage"]).select("row", "template", first.alias("begin"), words.alias("words"))
     spans = pairs.mapInArrow(_verified(notices, len(phrases)), "row long, family string, label string, start long, stop long, from long, to long, n long, share double")
-    best = _settled(_settled(spans, ["family"]), [])
+    best = _settled(_settled(spans.unionByName(named), ["family"]), [])
     best = best.select("row", "label", F.lit(False).alias("base"), "start", "share")
     text_of = lambda labels: F.array_join(F.sort_array(labels), ",")
     marks = exact.unionByName(best).groupBy("row").agg(

@@ -30,11 +30,14 @@ def plain(words: list[str]) -> tuple[set[str], float]:
         if any(words[i : i + len(own)] == own for i in range(len(words))):
             labels.add(label)
             score = 1.0
+    for family, label, text in ls.NAMES:
+        own = text.split()
+        spans += [(len(own), 1.0, label, family, i, i + len(own) - 1, i, i + len(own) - 1) for i in range(len(words)) if words[i : i + len(own)] == own]
     for family, label, text, telling in ls.NOTICES:
         own, needed = text.split(), set(telling.split())
         places = ls.in_order(own, words)
         told = [j for i, j in places if own[i] in needed] or [j for _, j in places]
-        if len(places) < ls.ENOUGH * len(own) or not needed <= {own[i] for i, _ in places} or (needed == set(own) and len(places) < len(own)):
+        if len(places) < ls.ENOUGH * len(own) or not needed <= {own[i] for i, _ in places}:
             continue
         if places[-1][1] - places[0][1] + 1 - len(places) > ls.OTHERS * len(own) + ls.FEW_OTHERS:
             continue
@@ -52,7 +55,7 @@ def plain(words: list[str]) -> tuple[set[str], float]:
 def test_planted_notices(spark):
     """Notices with some words replaced, far apart in other words: labels and scores are those of the plain alignment, and an untouched telling word always tells."""
     rng, rows, want = random.Random(6), [], {}
-    long = [n for n in ls.NOTICES if len(n[2].split()) >= 8 and n[3] != n[2]]
+    long = [n for n in ls.NOTICES if len(n[2].split()) >= 8]
     other = lambda n: [f"zz{rng.randrange(10**6)}" for _ in range(n)]
     for i in range(150):
         words, labels, score = other(rng.randint(0, 30)), set(), 0.0
