@@ -67,7 +67,7 @@ def report_bundle(graph: Graph, paths: DataFrame, blast: DataFrame, cycles: Data
         _critical(graph, critical, simple_counts),
         _listed(fixes, ["path_index"], F.struct("path_index", "fixes"), "path_fixes"),
         _listed(critical_fixes, ["rank", "part"], F.col("text"), "critical_fixes"),
-        _listed(cycle_fixes, ["ring"], F.col("text"), "cycle_fixes"),
+        _listed(cycle_fixes, ["ring"], F.when(F.col("ring").isNull(), F.col("text")).otherwise(F.concat("ring", F.lit(" | cut "), "break_edge", F.lit(" | "), "text")), "cycle_fixes"),
     ]
     fields = {
         "graph_summary": "graph_summary", "attack_paths": "attack_paths", "blast_radius": "blast",

@@ -16,8 +16,8 @@ NODES = "graph_id string, node_seq long, id string, type string, name string, na
 EDGES = "graph_id string, edge_seq long, source string, target string, relationship string, weight double, cve string, cvss double"
 
 
-#: Identifiers that may be broadcast (some 10 MB).
-FEW_IDENTIFIERS = 100_000
+#: Parts of identifiers that may be broadcast (some 10 MB); characters in one.
+FEW_IDENTIFIERS, GRAM = 100_000, 3
 
 
 @dataclass(frozen=True)
@@ -134,11 +134,34 @@ def sinks(graph: Graph) -> DataFrame:
     return graph.nodes.where("is_sink")
 
 
+def _grams(text: Column, n: int) -> Column:
+    """The distinct runs of n characters."""
+    at = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(at, lambda i: F.substr(text, i, F.lit(n))))
+
+
+def _containing(identifiers: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(graph_id, identifier, id): the ids that contain an identifier, in any case, by an index of runs of GRAM characters.
+
+    Of an identifier's runs the rarest one in its graph is looked up, and only ids that have it are searched; a shorter identifier is a run of its own. Only
+    runs that some identifier has are indexed.
+    """
+    low = F.lower("identifier")
+    own = F.when(F.length(low) < GRAM, F.array(low)).otherwise(_grams(low, GRAM))
+    wanted = stored(identifiers.select("graph_id", "identifier", F.explode(own).alias("gram")))
+    grams = stored(wanted.select("graph_id", "gram").distinct())
+    ids = nodes.select("graph_id", "id").distinct()
+    every = F.concat(F.array(F.lit("")), *[_grams(F.lower("id"), n) for n in range(1, GRAM + 1)])
+    index = stored(ids.select("graph_id", "id", F.explode(every).alias("gram")).join(F.broadcast(grams) if grams.count() <= FEW_IDENTIFIERS else grams, ["graph_id", "gram"], "left_semi"))
+    counts = wanted.join(index.groupBy("graph_id", "gram").agg(F.count("*").alias("n")), ["graph_id", "gram"], "left")
+    rarest = counts.groupBy("graph_id", "identifier").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).where("r.n > 0").select("graph_id", "identifier", "r.gram")
+    return rarest.join(index, ["graph_id", "gram"]).where(F.instr(F.lower("id"), low) > 0).select("graph_id", "identifier", "id")
+
+
 def resolve(identifiers: DataFrame, nodes: DataFrame) -> DataFrame:
     """identifiers (graph_id, identifier) with node: an exact id, else the first node so named (in any case), else the only id that contains it (in any case), else null.
 
-    The exact and named matches are equi-joins; only identifiers that those leave are compared with all ids of their graph. While they
-    are few, they are sent to where the nodes are, so that a graph of very many nodes is no hot key.
+    The exact and named matches are equi-joins, and so is the last by an index of parts of ids; it takes only identifiers that the others leave.
     """
     wanted = identifiers.select("graph_id", "identifier").distinct()
     exact = wanted.join(nodes.select("graph_id", F.col("id").alias("identifier")).distinct(), ["graph_id", "identifier"]).withColumn("node", F.col("identifier"))
@@ -146,8 +169,7 @@ def resolve(identifiers: DataFrame, nodes: DataFrame) -> DataFrame:
     named = rest.withColumn("low", F.lower("identifier")).join(nodes.select("graph_id", F.lower("name").alias("low"), "node_seq", "id"), ["graph_id", "low"])
     named = named.groupBy("graph_id", "identifier").agg(F.min_by("id", "node_seq").alias("node"))
     rest = stored(rest.join(named, ["graph_id", "identifier"], "left_anti"))
-    part = (F.broadcast(rest) if rest.count() <= FEW_IDENTIFIERS else rest).join(nodes.select("graph_id", "id"), "graph_id").where(F.instr(F.lower("id"), F.lower("identifier")) > 0)
-    part = part.groupBy("graph_id", "identifier").agg(F.count("*").alias("n"), F.min("id").alias("node")).where("n = 1").drop("n")
+    part = _containing(rest, nodes).groupBy("graph_id", "identifier").agg(F.count("*").alias("n"), F.min("id").alias("node")).where("n = 1").drop("n")
     found = exact.unionByName(named).unionByName(part)
     return wanted.join(found, ["graph_id", "identifier"], "left")
 

@@ -23,11 +23,11 @@ def _events(spark: SparkSession, sf_dir: str) -> g.Graph:
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[g.Graph, DataFrame]:
-    """Graphs of three days each, and the pairs of a user's consecutive ones."""
+    """Graphs of three days each, and each user's timeline."""
     graph = g.kept(g.build(views.event_graphs(spark, sf_dir, snapshots=True)))
     user = F.col("user_id").cast("string")
     seen = spark.read.parquet(f"{sf_dir}/events.parquet").select(user.alias("cluster"), views.snapshot().alias("snapshot")).distinct()
-    return graph, diff.consecutive(seen.withColumn("graph_id", F.concat("cluster", F.lit("/"), "snapshot")))
+    return graph, g.stored(diff.timeline(seen.withColumn("graph_id", F.concat("cluster", F.lit("/"), "snapshot"))))
 
 
 def _supply(spark: SparkSession, sf_dir: str) -> g.Graph:

@@ -146,7 +146,7 @@ def test_report_document(unit, unit_paths, unit_simple):
     assert doc["critical_nodes"]["total_paths_baseline"] == 3 and doc["critical_nodes"]["top_nodes"][0] == {"id": "B", "name": "test-sa", "paths_eliminated": 2}
     remediation = doc["remediation"]
     assert [(x["path_index"], len(x["fixes"])) for x in remediation["path_fixes"]] == [(0, 4), (1, 6)]
-    assert len(remediation["critical_node_fixes"]) == 12 and len(remediation["cycle_fixes"]) == 2
+    assert len(remediation["critical_node_fixes"]) == 12 and remediation["cycle_fixes"] == ["Cycles to break: 1.", f"test-sa > test-role > test-sa | cut B > C | {rules.FIXES['binds_to']}"]
 
 
 def test_display_document(unit, unit_paths, unit_simple):
@@ -249,6 +249,19 @@ def test_resolve(spark, unit):
     assert got == {"A": "A", "TEST-SA": "node-B", "a": "A", "zzz": None}
 
 
+def test_resolve_parts(spark):
+    """Parts of ids of any length and case, against a plain search; only a part that one id has is found."""
+    rng = random.Random(11)
+    ids = {k: sorted({"".join(rng.choice("abÄ:x-") for _ in range(rng.randint(1, 9))) for _ in range(12)}) for k in ("g", "h", "one")}
+    ids["one"] = ["Only"]
+    nodes = [(k, n, x) for k, own in ids.items() for n, x in enumerate(own)]
+    asked = {(k, "".join(rng.choice("abÄä:x-") for _ in range(rng.randint(0, 5)))) for k in ids for _ in range(60)} | {("one", "NL"), ("one", ""), ("g", ""), ("g", "absent")}
+    table = spark.createDataFrame(nodes, "graph_id string, node_seq long, id string").withColumn("name", F.lit(None).cast("string"))
+    got = {(r.graph_id, r.identifier): r.node for r in g.resolve(spark.createDataFrame(sorted(asked), "graph_id string, identifier string"), table).collect()}
+    hits = lambda k, x: [x] if x in ids[k] else [i for i in ids[k] if x.lower() in i.lower()]
+    assert got == {(k, x): h[0] if len(h := hits(k, x)) == 1 else None for k, x in asked}
+
+
 def test_admin_chain(spark):
     graph = g.build(make(spark, [("sa", "serviceaccount", "default", 4, 0, 0), ("b", "clusterrolebinding", "b", 3, 0, 0), ("r", "clusterrole", "Cluster-Admin", 9, 0, 0), ("b2", "rolebinding", "b2", 3, 0, 0), ("p", "pod", "p", 3, 0, 0)], [("sa", "b", "binds_to", 1), ("b", "r", "grants", 1), ("b2", "r", "grants", 1), ("p", "sa", "runs_as", 1)]))
     got = sorted((r.severity, r.category, tuple(r.affected_nodes)) for r in rbac.rbac_findings(graph).collect())
@@ -266,6 +279,21 @@ def test_diff(spark):
     assert diff.first_edges(diff.edge_diff(graph, pairs), 1).count() == 2
 
 
+def test_timeline(spark):
+    """Keys that come, go and come back, over clusters of several lengths: a timeline gives what its pairs do."""
+    rng, parts, snapshots = random.Random(2), [], []
+    for c in range(4):
+        for n in range(rng.randint(1, 6)):
+            names = [f"n{i}" for i in range(5) if rng.random() < 0.6]
+            parts.append(make(spark, [(x, rng.choice(("pod", "secret")), x, 1, 0, 0) for x in names], [(a, b, rng.choice(("uses", "mounts")), 1) for a in names for b in names if rng.random() < 0.4], f"c{c}/{n}"))
+            snapshots.append((f"c{c}", n, f"c{c}/{n}"))
+    graph = g.kept(g.build(g.Graph(_union([p.nodes for p in parts]), _union([p.edges for p in parts]))))
+    seen = spark.createDataFrame(snapshots, "cluster string, snapshot int, graph_id string")
+    for f in (diff.node_diff, diff.edge_diff):
+        along, pairs = (sorted(map(tuple, f(graph, x).collect())) for x in (diff.timeline(seen), diff.consecutive(seen)))
+        assert along == pairs and along
+
+
 def _brute(nodes, edges):
     out = {}
     for a, b, w in edges:
