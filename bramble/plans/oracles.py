@@ -109,6 +109,9 @@ def _e(select: str, *more: str, base: str = E) -> str:
 
 
 _STAGES = "".join(f", h{n} AS (SELECT h.source, e.target AS node, min(h.cost + e.weight) AS cost FROM h{n - 1} h JOIN edges e ON e.source = h.node GROUP BY 1, 2)" for n in range(2, 6))
+# A node and an edge of a graph document.
+_NODE = "{'id': id, 'type': type, 'name': name, 'namespace': 'events', 'risk_score': risk_score, 'is_source': is_source, 'is_sink': is_sink, 'cves': CAST([] AS VARCHAR[])}"
+_EDGE = "{'source': source, 'target': target, 'relationship': relationship, 'weight': weight, 'cve': cve, 'cvss': cvss}"
 # Walks of the supply graph by stage: w0 from its sources, v0 to its sinks; each node has one stage.
 _WALKS = (
     ", w0 AS (SELECT id AS node, CAST(1 AS BIGINT) AS n FROM nodes WHERE is_source)" + "".join(f", w{k} AS (SELECT e.target AS node, CAST(sum(w.n) AS BIGINT) AS n FROM w{k - 1} w JOIN edges e ON e.source = w.node GROUP BY 1)" for k in range(1, 6))
@@ -223,6 +226,10 @@ FROM (SELECT DISTINCT graph_id FROM nodes) g LEFT JOIN critical USING (graph_id)
         WALK, THROUGH, _values("nouns", rules.NOUNS),
     ),
     "highest_risk_path": _e(f"SELECT graph_id, {_path} AS path_nodes, cost AS total_risk FROM cheapest QUALIFY row_number() OVER (PARTITION BY graph_id ORDER BY cost DESC, source_seq DESC, sink_seq DESC) = 1", WALK),
+    "graph_document": _e(f"SELECT graph_id, CAST(to_json({{'nodes': n.rows, 'edges': coalesce(e.rows, [])}}) AS VARCHAR) AS document FROM (SELECT graph_id, list({_NODE} ORDER BY node_seq) AS rows FROM nodes GROUP BY 1) n LEFT JOIN (SELECT graph_id, list({_EDGE} ORDER BY edge_seq) AS rows FROM raw GROUP BY 1) e USING (graph_id)"),
+    "graph_document_parts": _e(f"""SELECT graph_id, 1 AS section, place, CASE WHEN place > 1 THEN ',' ELSE '' END || CAST(to_json({_NODE}) AS VARCHAR) AS text FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY node_seq) AS place FROM nodes)
+UNION ALL SELECT graph_id, 3, place, CASE WHEN place > 1 THEN ',' ELSE '' END || CAST(to_json({_EDGE}) AS VARCHAR) FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY edge_seq) AS place FROM raw)
+UNION ALL SELECT graph_id, section, CAST(0 AS BIGINT), text FROM (SELECT DISTINCT graph_id FROM nodes), (VALUES (0, '{{"nodes":['), (2, '],"edges":['), (4, ']}}')) v(section, text)"""),
     "pod_nodes": f"WITH {K} SELECT id, name, namespace, risk_score, is_source, is_sink FROM n_pods",
     "service_nodes": f"WITH {K} SELECT 'service:' || namespace || '/' || name AS id, name, namespace, CASE WHEN out_ THEN 4.0 ELSE 2.0 END::DOUBLE AS risk_score, out_ AS is_source, false AS is_sink FROM (SELECT CASE WHEN s_suppkey % 10 <> 0 THEN 'svc-' || s_suppkey ELSE 'unknown' END AS name, CASE WHEN s_nationkey > 2 THEN 'ns-' || s_nationkey ELSE 'default' END AS namespace, s_suppkey % 3 < 2 AS out_ FROM supplier)",
     "serviceaccount_nodes": f"WITH {K} SELECT id, name, namespace, risk_score, is_source, is_sink FROM a_accounts",

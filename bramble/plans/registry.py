@@ -446,6 +446,11 @@ def graph_document(spark, sf_dir):
     return graph_json.documents(views.event_graphs(spark, sf_dir))
 
 
+@query
+def graph_document_parts(spark, sf_dir):
+    return graph_json.document_parts(views.event_graphs(spark, sf_dir))
+
+
 @query
 def report_bundle(spark, sf_dir):
     graph, simple = _simple(spark, sf_dir)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from bramble.operators.graph import Graph
+from bramble.operators.ranks import ranked
 
 NODE = "struct<id: string, type: string, name: string, namespace: string, risk_score: double, is_source: boolean, is_sink: boolean, cves: array<string>>"
 EDGE = "struct<source: string, target: string, relationship: string, weight: double, cve: string, cvss: double>"
@@ -56,10 +57,14 @@ def read_graphs(spark: SparkSession, paths: str | list[str], root: str | None =
     return tables(found.withColumn("graph_id", graph_of_file(root)))
 
 
+def _rows() -> tuple[Column, Column]:
+    """A node and an edge as they stand in a document."""
+    return F.struct("id", "type", "name", "namespace", "risk_score", "is_source", "is_sink", "cves"), F.struct("source", "target", "relationship", "weight", "cve", "cvss")
+
+
 def documents(graph: Graph) -> DataFrame:
     """(graph_id, document): each graph as one JSON object, as it is, before any cleaning."""
-    node = F.struct("id", "type", "name", "namespace", "risk_score", "is_source", "is_sink", "cves")
-    edge = F.struct("source", "target", "relationship", "weight", "cve", "cvss")
+    node, edge = _rows()
     in_order = lambda seq, row: F.transform(F.sort_array(F.collect_list(F.struct(F.col(seq).alias("seq"), row.alias("row")))), lambda x: x["row"])
     nodes = graph.nodes.groupBy("graph_id").agg(in_order("node_seq", node).alias("nodes"))
     edges = graph.edges.groupBy("graph_id").agg(in_order("edge_seq", edge).alias("edges"))
@@ -68,6 +73,29 @@ def documents(graph: Graph) -> DataFrame:
     return both.select("graph_id", F.to_json(F.struct(empty("nodes", NODE), empty("edges", EDGE)), {"ignoreNullFields": "false"}).alias("document"))
 
 
+def document_parts(graph: Graph) -> DataFrame:
+    """(graph_id, section, place, text): the documents of `documents` in parts, a row for each node, edge and bracket. In the order of section and place
+    the texts of a graph are its document, line by line, so that no row holds a graph, however large it is."""
+    parts = []
+    for section, (table, seq, row) in enumerate(zip((graph.nodes, graph.edges), ("node_seq", "edge_seq"), _rows(), strict=True)):
+        each = ranked(table.select("graph_id", F.col(seq).alias("seq"), F.to_json(row, {"ignoreNullFields": "false"}).alias("text")), ["graph_id"], [F.col("seq"), F.col("text")], "place")
+        comma = F.when(F.col("place") > 1, ",").otherwise("")
+        parts.append(each.select("graph_id", F.lit(2 * section + 1).alias("section"), "place", F.concat(comma, "text").alias("text")))
+    ids = graph.nodes.select("graph_id").union(graph.edges.select("graph_id")).distinct()
+    for section, text in ((0, '{"nodes":['), (2, '],"edges":['), (4, "]}")):
+        parts.append(ids.select("graph_id", F.lit(section).alias("section"), F.lit(0).cast("long").alias("place"), F.lit(text).alias("text")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def write_parts(graph: Graph, path: str) -> None:
+    """document_parts under a folder for each graph's id, over many tasks; its files, in the order of their names, are its document."""
+    order = ["graph_id", "section", "place"]
+    document_parts(graph).repartitionByRange(*order).sortWithinPartitions(*order).select("graph_id", "text").write.partitionBy("graph_id").text(path)
+
+
 def write_graphs(graph: Graph, path: str) -> None:
     """One line of JSON for each graph, under a folder for its id."""
     documents(graph).write.partitionBy("graph_id").text(path)

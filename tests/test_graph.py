@@ -367,6 +367,26 @@ def test_documents(spark, tmp_path):
         graph_json.read_graphs(spark, str(tmp_path / "bad.json")).nodes.collect()
 
 
+def test_document_parts(spark, tmp_path):
+    """A graph of many edges in rows of bounded size, over several files, beside small ones; joined they are the whole documents."""
+    large = g.Graph(spark.range(1).selectExpr("'big' as graph_id", "id as node_seq", "'a' as id", "'pod' as type", "cast(null as string) as name", "'n' as namespace", "1.5D as risk_score", "true as is_source", "false as is_sink", "array('CVE-1') as cves"),
+                    spark.range(30_000).selectExpr("'big' as graph_id", "29999 - id as edge_seq", "'a' as source", "concat('b', id) as target", "'uses' as relationship", "id / 2 as weight", "cast(null as string) as cve", "cast(null as double) as cvss"))
+    small = make(spark, UNIT_NODES, UNIT_EDGES)
+    bare = g.Graph(make(spark, UNIT_NODES[:1], [], "bare").nodes, small.edges)
+    graph = g.stored(_union([large.nodes, small.nodes, bare.nodes])), g.stored(_union([large.edges, small.edges]))
+    graph = g.Graph(*graph)
+    parts = g.stored(graph_json.document_parts(graph))
+    assert parts.agg(F.max(F.length("text"))).first()[0] < 300
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    graph_json.write_parts(graph, str(tmp_path / "parts"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {r.graph_id: json.loads(r.document) for r in graph_json.documents(graph).collect()}
+    for k, document in want.items():
+        files = sorted((tmp_path / "parts" / f"graph_id={k}").glob("part-*"))
+        assert json.loads("".join(f.read_text() for f in files)) == document
+        assert k != "big" or len(files) > 1
+
+
 def test_dumps(spark, tmp_path):
     root = {"securityContext": {"privileged": True, "runAsUser": 0}}
     lists = {
