@@ -62,6 +62,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Removes a table that `stored` gave, when nothing reads it any more."""
+    spark, folder = table.sparkSession, _rounds(table.sparkSession).rstrip("/").rpartition("/")[2]
+    for path in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        if path.rpartition("/")[0].endswith(folder):
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def remove_rounds(spark: SparkSession) -> None:
     """Removes all that `stored` has written in this application; results that aren't written yet can't be read after that."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_rounds(spark))

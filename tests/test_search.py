@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import os
 import random
 
 import pytest
@@ -130,3 +131,14 @@ def test_ranked(spark):
     want = {i: n + 1 for k in ("a", "b", "hot", None) for n, (_, _, i) in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: (-r[1], r[2])))}
     assert got == want
     assert sorted(r.n for r in ranks.ranked(df, [], [F.col("i")], "n").collect()) == list(range(1, 1002)) and ranks.ranked(df.limit(0), ["k"], [F.col("i")]).count() == 0
+
+
+def test_discard(spark, tmp_path):
+    """Only tables that loops have stored are removed, one by one or all."""
+    spark.range(3).write.parquet(str(tmp_path / "own"))
+    one, two = g.stored(spark.range(5)), g.stored(spark.range(6))
+    folders = [f.rpartition("/")[0].removeprefix("file:").replace("//", "/") for f in (one.inputFiles()[0], two.inputFiles()[0])]
+    assert all(map(os.path.isdir, folders))
+    g.discard(one)
+    g.discard(spark.read.parquet(str(tmp_path / "own")))
+    assert [os.path.isdir(f) for f in folders] == [False, True] and two.count() == 6 and spark.read.parquet(str(tmp_path / "own")).count() == 3
