@@ -25,7 +25,7 @@ from bramble.llm import textvec as tv
 from bramble.llm.common import LAST, key, small_or_not, table
 from bramble.llm.near_dup import BLOCK_ELEMENTS, BLOCK_MEMBERS, FEW_IDS, FEW_MEMBERS, _forest, shingle_sets
 from bramble.operators.components import connected_components, looked_up as _looked_up
-from bramble.operators.graph import stored
+from bramble.operators.graph import discard, stored
 
 #: Fragments of the global order; rounds of comparing each group with one of its sets.
 FRAGMENTS, ROUNDS = 8, 2
@@ -208,7 +208,9 @@ def _links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     met = segments.join(small_or_not(stored(members.unionByName(hubs)), FEW_IDS), "node").select("u", "block", "node", "n", "fragment", "tokens")
     counted = met.groupBy("u", "block", "fragment").applyInArrow(_partial(percent), "u long, v long, nu long, nv long, both long")
     sums = counted.groupBy("u", "v", "nu", "nv").agg(F.sum("both").alias("both"))
-    return stored(sums.where(100 * F.col("both") >= percent * (F.col("nu") + F.col("nv") - F.col("both"))).select("u", "v"))
+    out = stored(sums.where(100 * F.col("both") >= percent * (F.col("nu") + F.col("nv") - F.col("both"))).select("u", "v"))
+    discard(pairs)
+    return out
 
 
 def _promising(pairs: DataFrame, percent: int) -> DataFrame:
@@ -238,12 +240,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, fragments
 
     one_each = lambda some: texts.select("text", "row").join(small_or_not(some, FEW_IDS), "row").select("text", "node", "f1")
     first = stored(one_each(own.select("row", "node", "f1")).mapInArrow(_in_order(shared, k, _prefixes(percent)), "node long, n long, prefix array<long>"))
-    groups = first.select("node", F.col("n").alias("size"), F.explode("prefix").alias("token"))
-    groups = stored(looked_up(groups, groups.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), ["token"]))
+    tokens = first.select("node", F.col("n").alias("size"), F.explode("prefix").alias("token"))
+    tokens = stored(looked_up(tokens, tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), ["token"]))
+    discard(first)
     # Of the shingles that the same sets have, one stands for all, with their number as its weight.
-    same = groups.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
+    same = tokens.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
     same = same.groupBy("n", "x", "y").agg(F.min("token").alias("token"), F.count("*").alias("weight")).select("token", "n", "weight")
-    groups = stored(looked_up(groups, same, ["token"]))
+    groups = stored(looked_up(tokens, same, ["token"]))
+    discard(tokens)
     wanted = stored(own.join(groups.select("node").distinct(), "node").select("row", "node", "f1"))
     segments = stored(one_each(wanted).mapInArrow(_in_order(shared, k, _segments), "node long, fragment int, tokens array<long>"))
 
