@@ -58,16 +58,14 @@ def blast_counts(layers: DataFrame) -> DataFrame:
     return layers.groupBy("graph_id", "source", "hop").agg(F.count("*").alias("nodes"))
 
 
-def hops_to_sinks(graph: Graph, cutoff: int | None = None) -> DataFrame:
-    """(graph_id, node, left): the hops from each node to its nearest sink."""
-    back = graph.edges.select("graph_id", F.col("target").alias("source"), F.col("source").alias("target"))
-    # All sinks of a graph start as one: a node keeps its least hops.
-    found = sinks(graph).select("graph_id", F.col("id").alias("node"), F.lit(0).alias("left"))
-    found = stored(found)
+def _hops(steps: DataFrame, starts: DataFrame, cutoff: int | None = None) -> DataFrame:
+    """(graph_id, node, left): the hops along steps (graph_id, node, next) to each node from its nearest start (graph_id, node)."""
+    # All starts of a graph go as one: a node keeps its least hops.
+    found = stored(starts.select("graph_id", "node").distinct().withColumn("left", F.lit(0)))
     front, hop = found, 0
     while cutoff is None or hop < cutoff:
         hop += 1
-        new = front.join(back, (front.graph_id == back.graph_id) & (front.node == back.source)).select(front.graph_id, back.target.alias("node")).distinct()
+        new = front.join(steps, ["graph_id", "node"]).select("graph_id", F.col("next").alias("node")).distinct()
         front = stored(new.join(found, ["graph_id", "node"], "left_anti").withColumn("left", F.lit(hop)))
         if front.isEmpty():
             break
@@ -75,6 +73,12 @@ def hops_to_sinks(graph: Graph, cutoff: int | None = None) -> DataFrame:
     return stored(found)
 
 
+def hops_to_sinks(graph: Graph, cutoff: int | None = None) -> DataFrame:
+    """(graph_id, node, left): the hops from each node to its nearest sink."""
+    back = graph.edges.select("graph_id", F.col("target").alias("node"), F.col("source").alias("next"))
+    return _hops(back, sinks(graph).select("graph_id", F.col("id").alias("node")), cutoff)
+
+
 def cheapest_paths(graph: Graph, starts: DataFrame, towards: DataFrame | None = None) -> DataFrame:
     """(graph_id, start, node, cost, hops, path): the cheapest path from each start (graph_id, start) to each node it reaches, itself included.
 
@@ -229,26 +233,54 @@ def path_hops(paths: DataFrame) -> DataFrame:
     return paths.select("graph_id", "source", "sink", each.alias("hop", "h")).select("graph_id", "source", "sink", (F.col("hop") + 1).alias("hop"), F.col("h.a").alias("from_node"), F.col("h.b").alias("to_node"), F.col("h.r").alias("relationship"), F.col("h.c").alias("cve"), F.col("h.s").alias("cvss"))
 
 
+def _guarded(front: DataFrame, max_paths: int | None, hop: int) -> DataFrame:
+    if max_paths is not None and front.count() > max_paths:
+        raise RuntimeError(f"more than {max_paths} paths of {hop} edges")
+    return front
+
+
+def _endings(steps: DataFrame, front: DataFrame, ends: DataFrame, longest: int, max_paths: int | None) -> DataFrame:
+    """(graph_id, node, sink, rest): the simple ways of 1 to `longest` edges from the nodes of front to ends (graph_id, node); rest is what follows the node.
+
+    They grow backwards from the ends, over nodes that the front reaches in time.
+    """
+    away = _hops(steps, front, longest)
+    back = stored(steps.select("graph_id", F.col("next").alias("node"), F.col("node").alias("prev")).join(away.select("graph_id", F.col("node").alias("prev"), F.col("left").alias("away")), ["graph_id", "prev"]))
+    tails = ends.join(away, ["graph_id", "node"]).select("graph_id", "node", F.col("node").alias("sink"), F.array().cast("array<string>").alias("rest"))
+    found = None
+    for hop in range(1, longest + 1):
+        new = tails.join(back.where(F.col("away") + hop <= longest), ["graph_id", "node"]).where(~F.array_contains("rest", F.col("prev")))
+        tails = stored(new.select("graph_id", F.col("prev").alias("node"), "sink", F.concat(F.array("node"), "rest").alias("rest"), (F.col("away") == 0).alias("meets")))
+        found = tails if found is None else found.unionByName(tails)
+        if _guarded(tails, max_paths, hop).isEmpty():
+            break
+    return found.where("meets").drop("meets")
+
+
 def simple_paths(graph: Graph, cutoff: int = 15, include_trivial: bool = True, max_paths: int | None = None) -> DataFrame:
     """(graph_id, source, sink, path_nodes): all paths from a source to a sink of at most `cutoff` edges that repeat no node.
 
-    A path ends at its sink but may pass others on the way. Only prefixes that can still reach a sink in time
-    are kept. More than max_paths prefixes in a round raise RuntimeError; nothing is ever cut off silently.
+    A path ends at its sink but may pass others on the way. Only prefixes that can still reach a sink in time are kept, and they grow to half the cutoff only: longer paths are prefixes of
+    just that many edges that meet, on their last node, ways to a sink that share no other node with them. So a path of 15 edges has rows for its first 8 and its last 7, each shared
+    with all paths that begin or end alike. More than max_paths prefixes or endings in a round raise RuntimeError; nothing is ever cut off silently.
     """
     left = hops_to_sinks(graph, cutoff)
     steps = graph.edges.select("graph_id", F.col("source").alias("node"), F.col("target").alias("next"))
     steps = stored(steps.where("node != next").join(left.select("graph_id", F.col("node").alias("next"), "left"), ["graph_id", "next"]))
     front = stored(sources(graph).select("graph_id", F.col("id").alias("node")).join(left, ["graph_id", "node"]).select("graph_id", F.col("node").alias("source"), "node", F.array("node").alias("path_nodes"), (F.col("left") == 0).alias("ends")))
-    done = front.where("ends") if include_trivial else front.where("false")
-    for hop in range(1, cutoff + 1):
+    done, half = front.where("ends") if include_trivial else front.where("false"), (cutoff + 1) // 2
+    for hop in range(1, half + 1):
         new = front.join(steps.where(F.col("left") + hop <= cutoff), ["graph_id", "node"]).where(~F.array_contains("path_nodes", F.col("next")))
         front = stored(new.select("graph_id", "source", F.col("next").alias("node"), F.concat("path_nodes", F.array("next")).alias("path_nodes"), (F.col("left") == 0).alias("ends")))
-        if front.isEmpty():
+        if _guarded(front, max_paths, hop).isEmpty():
             break
-        if max_paths is not None and front.count() > max_paths:
-            raise RuntimeError(f"more than {max_paths} paths of {hop} edges")
         done = done.unionByName(front.where("ends"))
-    return done.select("graph_id", "source", F.col("node").alias("sink"), "path_nodes")
+    done = done.select("graph_id", "source", F.col("node").alias("sink"), "path_nodes")
+    if half == cutoff or front.isEmpty():
+        return done
+    endings = _endings(steps, front, left.where("left = 0").select("graph_id", "node"), cutoff - half, max_paths)
+    met = front.join(endings, ["graph_id", "node"]).where(~F.arrays_overlap("path_nodes", "rest"))
+    return done.unionByName(met.select("graph_id", "source", "sink", F.concat("path_nodes", "rest").alias("path_nodes")))
 
 
 def path_counts(paths: DataFrame) -> DataFrame:

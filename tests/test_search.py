@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import os
 import random
 
@@ -103,6 +104,43 @@ def test_long_path(spark):
     assert got["n000"].path_nodes == [f"n{i:03d}" for i in range(101)] and got["n001"].hop_count == 99 and got["n000"].total_risk == 100.0
 
 
+def _plain_paths(names, arcs, sources, sinks, cutoff):
+    out, open_ = [], [(s,) for s in names if s in sources]
+    while open_:
+        path = open_.pop()
+        if path[-1] in sinks:
+            out.append(path)
+        if len(path) <= cutoff:
+            open_ += [(*path, b) for b in {b for a, b, *_ in arcs if a == path[-1]} if b not in path]
+    return out
+
+
+@pytest.mark.parametrize("cutoff", [15, 5, 4, 1, 0])
+def test_simple_paths(many, cutoff):
+    """Prefixes and endings that meet give each path once, whatever its length against the cutoff."""
+    graph, plain = many
+    want = [(k, p[0], p[-1], list(p)) for k, v in plain.items() for p in _plain_paths(*v, cutoff)]
+    assert sorted((r.graph_id, r.source, r.sink, r.path_nodes) for r in t.simple_paths(graph, cutoff).collect()) == sorted(want)
+    apart = t.simple_paths(graph, cutoff, include_trivial=False).collect()
+    assert sorted((r.graph_id, r.path_nodes) for r in apart) == sorted((k, p) for k, _, _, p in want if len(p) > 1)
+
+
+def test_paths_meet(spark, monkeypatch):
+    """All ways over 7 inner nodes that are joined both ways: prefixes end at half of the cutoff, so fewer rows are kept than there are prefixes or paths."""
+    inner = [f"m{i}" for i in range(7)]
+    arcs = [("s", m, "uses", 1) for m in inner] + [(a, b, "uses", 1) for a, b in itertools.permutations(inner, 2)] + [(m, "t", "uses", 1) for m in inner]
+    graph = g.kept(g.build(make(spark, [("s", "pod", "s", 1, 1, 0), *[(m, "pod", m, 1, 0, 0) for m in inner], ("t", "secret", "t", 1, 0, 1)], arcs)))
+    kept, stored = [], t.stored
+    monkeypatch.setattr(t, "stored", lambda df: (kept.append(out := stored(df)), out)[1])
+    found = t.simple_paths(graph, 8)
+    arranged = [math.perm(7, k) for k in range(8)]
+    assert found.count() == sum(arranged[1:]) and found.select("path_nodes").distinct().count() == sum(arranged[1:])
+    rows = sum(df.count() for df in kept if {"path_nodes", "rest"} & set(df.columns))
+    assert rows < 2 * sum(arranged[:5]) + sum(arranged[:5]) < sum(arranged[1:]) / 3
+    with pytest.raises(RuntimeError):
+        t.simple_paths(graph, 8, max_paths=800)
+
+
 @pytest.mark.parametrize("cutoff", [15, 2])
 def test_path_totals(many, cutoff):
     graph, _ = many
