@@ -420,21 +420,24 @@ def cycles(graph: Graph, max_len: int | None = None, max_cycles: int | None = No
     steps = _inside(graph.edges)
     ways = _ways_back(steps)
 
-    def returning(open_: DataFrame) -> DataFrame:
-        held = open_.withColumn("word", bitsets.word_of(F.col("at"))).join(ways, bitsets.KEYS)
-        return stored(held.where(F.col("back").bitwiseAND(bitsets.bit_of(F.col("at"))) != 0).select(open_.columns))
+    def kept(grown: DataFrame) -> DataFrame:
+        """What has come back to its start, and what still has a way back."""
+        held = grown.withColumn("word", bitsets.word_of(F.col("at"))).join(ways, bitsets.KEYS, "left")
+        return stored(held.where(F.col("closed") | (F.col("back").bitwiseAND(bitsets.bit_of(F.col("at"))) != 0)).select(grown.columns))
 
     loops = steps.where("place = next_place").select("graph_id", F.array("node").alias("cycle"), F.col("weight").alias("risk"))
-    begin = steps.where("place < next_place").select("graph_id", F.col("place").alias("at"), F.col("next").alias("node"), F.array("node", "next").alias("cycle"), F.col("weight").alias("risk"))
-    done, front, length = loops, returning(begin), 2
+    begin = steps.where("place < next_place").select("graph_id", F.col("place").alias("at"), F.col("next").alias("node"), F.array("node", "next").alias("cycle"), F.col("weight").alias("risk"), F.lit(False).alias("closed"))
+    done, front, length = loops, kept(begin), 2
     grows = steps.select("graph_id", "node", "next", "weight", "next_place")
     while not front.isEmpty() and (max_len is None or length <= max_len):
         if max_cycles is not None and front.count() > max_cycles:
             raise RuntimeError(f"more than {max_cycles} open paths of {length} nodes")
-        more = stored(front.join(grows, ["graph_id", "node"]).where("next_place >= at").select("graph_id", "at", "next", "next_place", "cycle", (F.col("risk") + F.col("weight")).alias("risk")))
-        done = done.unionByName(more.where("next_place = at").select("graph_id", "cycle", "risk"))
-        open_ = more.where(~F.array_contains("cycle", F.col("next"))).select("graph_id", "at", F.col("next").alias("node"), F.concat("cycle", F.array("next")).alias("cycle"), "risk")
-        front = returning(open_)
+        more = front.drop("closed").join(grows, ["graph_id", "node"]).where("next_place >= at").withColumn("closed", F.col("next_place") == F.col("at"))
+        more = more.where(F.col("closed") | ~F.array_contains("cycle", F.col("next")))
+        longer = F.when(F.col("closed"), F.col("cycle")).otherwise(F.concat("cycle", F.array("next")))
+        found = kept(more.select("graph_id", "at", F.col("next").alias("node"), longer.alias("cycle"), (F.col("risk") + F.col("weight")).alias("risk"), "closed"))
+        done = done.unionByName(found.where("closed").select("graph_id", "cycle", "risk"))
+        front = found.where("not closed")
         length += 1
     return done.select("graph_id", "cycle", "risk", F.size("cycle").alias("length"))
 

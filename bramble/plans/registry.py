@@ -451,16 +451,34 @@ def graph_document_parts(spark, sf_dir):
     return graph_json.document_parts(views.event_graphs(spark, sf_dir))
 
 
-@query
-def report_bundle(spark, sf_dir):
+def _report(spark, sf_dir) -> tuple:
     graph, simple = _simple(spark, sf_dir)
     simple = g.stored(simple)
     paths, rings, critical = g.stored(t.attack_paths(graph)), g.stored(t.cycles(graph)), g.stored(t.critical_nodes(graph, simple))
-    return bundles.report_bundle(graph, paths, t.blast_radius(graph), rings, critical, t.path_counts(simple), advise.path_remediation(graph, paths), advise.critical_remediation(graph, critical), advise.cycle_remediation(graph, rings), "2024-01-31T00:00:00")
+    return graph, paths, t.blast_radius(graph), rings, critical, t.path_counts(simple), advise.path_remediation(graph, paths), advise.critical_remediation(graph, critical), advise.cycle_remediation(graph, rings), "2024-01-31T00:00:00"
 
 
-@query
-def display_bundle(spark, sf_dir):
+def _display(spark, sf_dir) -> tuple:
     graph, simple = _simple(spark, sf_dir)
     simple = g.stored(simple)
-    return bundles.display_bundle(graph, assess.classified(graph, t.attack_paths(graph)), t.blast_radius(graph), t.cycles(graph), t.critical_nodes(graph, simple), t.path_counts(simple), "2024-01-31T00:00:00")
+    return graph, assess.classified(graph, t.attack_paths(graph)), t.blast_radius(graph), t.cycles(graph), t.critical_nodes(graph, simple), t.path_counts(simple), "2024-01-31T00:00:00"
+
+
+@query
+def report_bundle(spark, sf_dir):
+    return bundles.report_bundle(*_report(spark, sf_dir))
+
+
+@query
+def report_parts(spark, sf_dir):
+    return bundles.report_parts(*_report(spark, sf_dir))
+
+
+@query
+def display_bundle(spark, sf_dir):
+    return bundles.display_bundle(*_display(spark, sf_dir))
+
+
+@query
+def display_parts(spark, sf_dir):
+    return bundles.display_parts(*_display(spark, sf_dir))

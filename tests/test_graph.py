@@ -171,6 +171,35 @@ def test_bare_documents(spark):
     assert doc["remediation"]["critical_node_fixes"] == ["No single node breaks a path."] and doc["remediation"]["cycle_fixes"] == ["There is no cycle."]
 
 
+def _joined(parts) -> dict:
+    rows = sorted(parts.collect(), key=lambda r: (r.graph_id, r.section, r.place))
+    assert len({r[:3] for r in rows}) == len(rows)
+    return {k: json.loads("".join(r.text for r in rows if r.graph_id == k)) for k in {r.graph_id for r in rows}}
+
+
+def test_bundle_parts(spark, unit):
+    """Report and display in parts are the documents of one row; a graph without edges has its brackets, and text that JSON escapes stays whole."""
+    bare = make(spark, [("a", "pod", "a", 1, 1, 0)], [], "bare")
+    odd = make(spark, [('q"\\', "pod", "", 1, 1, 0), ("\n", "secret", "t", 1, 0, 1)], [('q"\\', "\n", "uses", 1, "CVE-1", 9.8)], "odd")
+    graph = g.kept(g.build(g.Graph(_union([unit.nodes, bare.nodes, odd.nodes]), _union([unit.edges, bare.edges, odd.edges]))))
+    simple, paths, rings = g.stored(t.simple_paths(graph)), g.stored(t.attack_paths(graph)), g.stored(t.cycles(graph))
+    critical, blast, counts = g.stored(t.critical_nodes(graph, simple)), g.stored(t.blast_radius(graph)), t.path_counts(simple)
+    report = graph, paths, blast, rings, critical, counts, advise.path_remediation(graph, paths), advise.critical_remediation(graph, critical), advise.cycle_remediation(graph, rings), "now"
+    whole = {r.graph_id: json.loads(r.document) for r in bundles.report_bundle(*report).collect()}
+    assert set(whole) == {"u", "bare", "odd"} and _joined(bundles.report_parts(*report)) == whole
+    display = graph, assess.classified(graph, paths), blast, rings, critical, counts, "now"
+    whole = {r.graph_id: json.loads(r.document) for r in bundles.display_bundle(*display).collect()}
+    assert _joined(bundles.display_parts(*display)) == whole
+
+
+def test_wide_blast_parts(spark):
+    """A source that reaches 3,000 nodes in one hop: each stands in a row of its own."""
+    graph = g.kept(g.build(make(spark, [("s", "pod", "s", 1, 1, 0), *[(f"n{i}", "pod", "n", 1, 0, 0) for i in range(3000)]], [("s", f"n{i}", "uses", 1) for i in range(3000)])))
+    lines = bundles._blast_lines(graph, g.stored(t.blast_radius(graph)), 3, named=True).orderBy("place").collect()
+    assert len(lines) == 3004 and max(len(r.text) for r in lines) < 120
+    assert json.loads("".join(r.text for r in lines)) == {"source": "s", "source_name": "s", "max_depth": 3, "total_affected": 3000, "layers": {"1": sorted(f"n{i}" for i in range(3000))}}
+
+
 def test_names_of_files(spark, tmp_path):
     for folder in ("east", "west"):
         (tmp_path / folder).mkdir()
