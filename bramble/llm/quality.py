@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from bramble.llm import textvec as tv
 from bramble.llm.common import batch_with, cut_lineage, key, small_or_not, with_fields, without
+from bramble.operators.ranks import ranked
 
 BUCKETS, GRAMS, ALPHA = 1 << 16, (1, 2), 1.0
 #: Good ids that may be broadcast, so that texts need no shuffle (some 30 MB).
@@ -113,9 +114,10 @@ def resample(docs: DataFrame, ratio: np.ndarray, rate: float, seed: int = 1, id_
     tied = rows.where(F.col("__order") == least)
     if tied.count() == of_ties:
         return rows.withColumn("kept", F.col("__order") >= least).drop("__order")
-    marked = rows.withColumn("__row", F.monotonically_increasing_id())
-    first = marked.where(F.col("__order") == least).select("__row").orderBy(key(id_col), "__row").limit(of_ties).withColumn("__in", F.lit(True))
-    return marked.join(first, "__row", "left").withColumn("kept", (F.col("__order") > least) | F.coalesce("__in", F.lit(False))).drop("__order", "__row", "__in")
+    ties = tied.withColumn("__row", F.monotonically_increasing_id())
+    ties = ranked(ties, [], [key(id_col), F.col("__row")], "__place").withColumn("kept", F.col("__place") <= of_ties)  # by ranges: all rows may be ties
+    others = rows.where(F.col("__order") != least).withColumn("kept", F.col("__order") > least)
+    return others.unionByName(ties.drop("__row", "__place")).drop("__order")
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
