@@ -5,9 +5,11 @@ Every table carries graph_id, so one job works on a whole fleet of graphs.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -18,6 +20,8 @@ EDGES = "graph_id string, edge_seq long, source string, target string, relations
 
 #: Parts of identifiers that may be broadcast (some 10 MB); characters in one.
 FEW_IDENTIFIERS, GRAM = 100_000, 3
+#: Bytes of files or of a shuffle up to which a side of a join is broadcast while a table is stored; rows up to which a front is, which loops join with all edges.
+SMALL, FEW_ROWS = 1 << 18, 100_000
 
 
 @dataclass(frozen=True)
@@ -40,10 +44,33 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _bytes(text: str) -> int:
+    """The bytes of a size as Spark's settings give it; of one that isn't plain, SMALL."""
+    found = re.fullmatch(r"(-?\d+)\s*([kmgt]?)i?b?", text.strip().lower())
+    return int(found[1]) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[found[2]] if found else SMALL
+
+
+@contextmanager
+def _small_broadcasts(spark: SparkSession) -> Iterator[None]:
+    """Inside, joins broadcast sides of SMALL bytes at most: loops join in dozens of rounds, and all that they broadcast goes through the driver. Sides that are marked for it are broadcast still."""
+    held = {}
+    for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        set_, default = spark.conf.get(name, None), "10m" if name == "spark.sql.autoBroadcastJoinThreshold" else "0"  # the other one follows it
+        if _bytes(set_ or default) > SMALL:
+            held[name] = set_
+            spark.conf.set(name, str(SMALL))
+    try:
+        yield
+    finally:
+        for name, value in held.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    with _small_broadcasts(df.sparkSession):
+        return df.checkpoint()
 
 
 def _rounds(spark: SparkSession) -> str:
@@ -58,10 +85,16 @@ def stored(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{_rounds(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _small_broadcasts(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_side(front: DataFrame) -> DataFrame:
+    """A stored table as it takes part in a join with a large one: sent to all tasks if it has FEW_ROWS rows at most, so that the large one need not move."""
+    return F.broadcast(front) if front.count() <= FEW_ROWS else front
+
+
 def discard(table: DataFrame) -> None:
     """Removes a table that `stored` gave, when nothing reads it any more."""
     spark, folder = table.sparkSession, _rounds(table.sparkSession).rstrip("/").rpartition("/")[2]
@@ -130,6 +163,13 @@ def build(raw: Graph, collapsed: bool = True) -> Graph:
     return Graph(nodes, collapse(edges) if collapsed else first_of_relationship(edges))
 
 
+def outline(raw: Graph) -> Graph:
+    """What build gives, but of edges only graph_id, edge_seq, source and target, for work that reads no more: their rows are aggregated by hash and not sorted."""
+    nodes = upsert_nodes(raw.nodes)
+    edges = attached_edges(raw.edges.select("graph_id", "edge_seq", "source", "target"), nodes)
+    return Graph(nodes, edges.groupBy("graph_id", "source", "target").agg(F.min("edge_seq").alias("edge_seq")))
+
+
 def kept(graph: Graph) -> Graph:
     """The graph with its tables written once; loops read them in every round."""
     return Graph(stored(graph.nodes), stored(graph.edges))
