@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from bramble.functions.scoring import severity
 from bramble.operators import bitsets, ranks
 from bramble.operators.components import connected_components
-from bramble.operators.graph import Graph, sinks, sources, stored
+from bramble.operators.graph import Graph, sinks, small_side, sources, stored
 from bramble.operators.strong import strong_components
 
 
@@ -65,7 +65,7 @@ def _hops(steps: DataFrame, starts: DataFrame, cutoff: int | None = None) -> Dat
     front, hop = found, 0
     while cutoff is None or hop < cutoff:
         hop += 1
-        new = front.join(steps, ["graph_id", "node"]).select("graph_id", F.col("next").alias("node")).distinct()
+        new = small_side(front).join(steps, ["graph_id", "node"]).select("graph_id", F.col("next").alias("node")).distinct()
         front = stored(new.join(found, ["graph_id", "node"], "left_anti").withColumn("left", F.lit(hop)))
         if front.isEmpty():
             break
@@ -303,12 +303,24 @@ class PathTotals:
         return PathTotals(_through(paths), path_counts(paths))
 
 
-def _walks(steps: DataFrame, first: DataFrame, most: int) -> DataFrame:
-    """(graph_id, node, hops, n): the walks of so many hops, `most` at most, from the nodes of first to each node, along steps (graph_id, node, next)."""
+def _counted(n: str) -> Column:
+    """A count of walks; one that is null, as it didn't fit in a long, raises."""
+    return F.coalesce(n, F.raise_error(F.lit("more paths than a long can count")).cast("long"))
+
+
+def _walks(steps: DataFrame, first: DataFrame, most: int, within: DataFrame | None = None) -> DataFrame:
+    """(graph_id, node, hops, n): the walks of so many hops, `most` at most, from the nodes of first to each node, along steps (graph_id, node, next).
+
+    n is null if it doesn't fit in a long. Walks stay within nodes (graph_id, node), if given.
+    """
     front = stored(first.select("graph_id", "node", F.lit(0).alias("hops"), F.lit(1).cast("long").alias("n")))
     found = front
     for hop in range(1, most + 1):
-        front = stored(front.join(steps, ["graph_id", "node"]).groupBy("graph_id", F.col("next").alias("node")).agg(F.sum("n").alias("n")).select("graph_id", "node", F.lit(hop).alias("hops"), "n"))
+        # try_sum skips nulls, so what doesn't fit is carried on apart.
+        new = small_side(front).join(steps, ["graph_id", "node"]).groupBy("graph_id", F.col("next").alias("node")).agg(F.when(F.count("*") == F.count("n"), F.try_sum("n")).alias("n"))
+        if within is not None:
+            new = new.join(within, ["graph_id", "node"], "left_semi")
+        front = stored(new.select("graph_id", "node", F.lit(hop).alias("hops"), "n"))
         if front.isEmpty():
             break
         found = found.unionByName(front)
@@ -321,17 +333,21 @@ def path_totals(graph: Graph, cutoff: int = 15) -> PathTotals:
     There every walk is a simple path, so the walks from sources to a node, by hops, times those from it to sinks, are the paths through it. A number that
     doesn't fit in a long raises (in ANSI mode). Only graphs with a cycle on the way are enumerated.
     """
-    left = hops_to_sinks(graph, cutoff)
-    steps = graph.edges.where("source != target").join(left.select("graph_id", F.col("node").alias("target")), ["graph_id", "target"], "left_semi")
-    steps = stored(steps.select("graph_id", F.col("source").alias("node"), F.col("target").alias("next")))
-    starts = stored(sources(graph).select("graph_id", F.col("id").alias("node")).join(left.select("graph_id", "node"), ["graph_id", "node"], "left_semi"))
-    on_way = _spread(steps, starts)
-    steps = stored(steps.join(on_way, ["graph_id", "node"], "left_semi").select("graph_id", "node", "next"))
-    cyclic = stored(strong_components(steps.select("graph_id", F.col("node").alias("source"), F.col("next").alias("target"))).select("graph_id").distinct())
-    plain = lambda df: df.join(cyclic, "graph_id", "left_anti")
+    every = graph.edges.where("source != target").select("graph_id", F.col("source").alias("node"), F.col("target").alias("next"))
     ends = sinks(graph).select("graph_id", F.col("id").alias("node"))
-    forth = _walks(plain(steps), plain(starts), cutoff)
-    back = _walks(plain(steps).select("graph_id", F.col("next").alias("node"), F.col("node").alias("next")), plain(ends.join(on_way, ["graph_id", "node"], "left_semi")), cutoff)
+    back = _walks(every.select("graph_id", F.col("next").alias("node"), F.col("node").alias("next")), ends, cutoff)
+    left = stored(back.select("graph_id", "node").distinct())
+    starts = sources(graph).select("graph_id", F.col("id").alias("node")).join(left, ["graph_id", "node"], "left_semi")
+    forth = _walks(every, starts, cutoff + 1, within=left)
+    # A cycle on the way makes walks of any length; graphs with walks of over cutoff edges are looked at closer, and in all others no walk repeats a node.
+    long = stored(forth.where(F.col("hops") > cutoff).select("graph_id").distinct())
+    cyclic = long
+    if not long.isEmpty():
+        on_way = stored(forth.join(long, "graph_id", "left_semi").select("graph_id", "node").distinct())
+        steps = every.join(on_way, ["graph_id", "node"], "left_semi").join(on_way.withColumnRenamed("node", "next"), ["graph_id", "next"], "left_semi")
+        cyclic = stored(strong_components(steps.select("graph_id", F.col("node").alias("source"), F.col("next").alias("target"))).select("graph_id").distinct())
+    known = lambda df: df.join(cyclic, "graph_id", "left_anti").where(F.col("hops") <= cutoff).withColumn("n", _counted("n"))
+    forth, back = known(forth), known(back)
     rest = back.select("graph_id", "node", F.col("hops").alias("more"), F.col("n").alias("m"))  # a row for each hop of a node at most
     through = forth.join(rest, ["graph_id", "node"]).where(F.col("hops") + F.col("more") <= cutoff).groupBy("graph_id", F.col("node").alias("id")).agg(F.sum(F.col("n") * F.col("m")).alias("paths_through"))
     counts = forth.join(ends, ["graph_id", "node"], "left_semi").groupBy("graph_id").agg(F.sum("n").alias("paths"))
