@@ -150,9 +150,12 @@ def implicit_nodes(dumps: dict[str, DataFrame], known: DataFrame, risks: Table =
     subject = _subjects(bindings).select("graph_id", place(5, F.col("dump"), F.col("seq"), F.col("at")).alias("place"), F.col("subject").alias("id"), F.col("kind").alias("type"), "name", "namespace", risk(F.col("kind"), 3.0).alias("risk_score"), F.lit(False).alias("is_sink"))
     other = lambda rows, stage, kind, sink: rows.select("graph_id", place(stage, F.col("dump"), F.col("seq"), F.col("at")).alias("place"), F.col("target").alias("id"), F.lit(kind).alias("type"), "name", "namespace", F.lit(risks[kind]).alias("risk_score"), F.lit(sink).alias("is_sink"))
     all_ = reduce(DataFrame.unionByName, [role, subject, other(_accounts(dumps["pods"]), 6, "serviceaccount", False), other(_mounted(dumps["pods"]), 7, "secret", True)])
-    new = all_.join(known.select("graph_id", "id").distinct(), ["graph_id", "id"], "left_anti")
-    first = new.groupBy("graph_id", "id").agg(F.min_by(F.struct("place", "type", "name", "namespace", "risk_score", "is_sink"), "place").alias("n"))
-    return first.select("graph_id", "id", "n.*")
+    # An id may be named by very many rows (a group in every binding), so tasks keep the least seq of equal ones, by hash, before any is moved, and only then known ids go.
+    values, parts = ["type", "name", "namespace", "risk_score", "is_sink"], ["stage", "dump", "at"]
+    least = all_.select("graph_id", "id", *values, "place.*").groupBy("graph_id", "id", *values, *parts).agg(F.min("seq").alias("seq"))
+    place_ = F.struct("stage", "dump", "seq", "at").alias("place")
+    first = least.select("graph_id", "id", place_, *values).groupBy("graph_id", "id").agg(F.min_by(F.struct("place", *values), "place").alias("n"))
+    return first.join(known.select("graph_id", "id").distinct(), ["graph_id", "id"], "left_anti").select("graph_id", "id", "n.*")
 
 
 def _number(stage: Column, dump: Column, seq: Column, at: Column) -> Column:

@@ -181,3 +181,56 @@ def test_discard(spark, tmp_path):
     g.discard(one)
     g.discard(spark.read.parquet(str(tmp_path / "own")))
     assert [os.path.isdir(f) for f in folders] == [False, True] and two.count() == 6 and spark.read.parquet(str(tmp_path / "own")).count() == 3
+
+
+def test_totals_without_components(spark, monkeypatch):
+    """Where no walk is longer than the cutoff, no components are looked for; a count beyond a long raises."""
+    monkeypatch.setattr(t, "strong_components", lambda edges: pytest.fail("components"))
+    graph = lambda wide: g.kept(g.build(make(spark, [("s", "pod", "s", 1, 1, 0)] + [(f"{i:02d}-{c}", "pod", "x", 1, 0, 0) for i in range(14) for c in range(wide)] + [("t", "secret", "t", 1, 0, 1)], [(a, b, "uses", 1) for x, y in itertools.pairwise([["s"], *[[f"{i:02d}-{c}" for c in range(wide)] for i in range(14)], ["t"]]) for a in x for b in y])))
+    totals = t.path_totals(graph(2))
+    assert totals.counts.first().paths == 2**14 and {r.id: r.paths_through for r in totals.through.collect()}["05-1"] == 2**13
+    with pytest.raises(Exception, match="long"):
+        t.path_totals(graph(24)).counts.collect()
+
+
+def test_outline(spark, sf_dir):
+    """The ends and places of the edges that build gives."""
+    from bramble.sources import views
+
+    columns = ["graph_id", "edge_seq", "source", "target"]
+    for raw in (views.event_graphs(spark, sf_dir), views.supply_graph(spark, sf_dir)):
+        assert sorted(map(tuple, g.outline(raw).edges.select(columns).collect())) == sorted(map(tuple, g.build(raw).edges.select(columns).collect()))
+
+
+def test_small_broadcasts(spark, tmp_path):
+    """While a table is stored, sides of over SMALL bytes are not broadcast, whatever the session allows; its settings come back."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    for i in "ab":
+        spark.range(200_000).selectExpr("id", "hash(id) as x").write.parquet(str(tmp_path / i))
+    both = lambda: spark.read.parquet(str(tmp_path / "a")).join(spark.read.parquet(str(tmp_path / "b")), "id")._jdf.queryExecution().executedPlan().toString()
+    before = spark.conf.get(name)
+    assert "BroadcastHashJoin" in both()
+    with g._small_broadcasts(spark):
+        assert "BroadcastHashJoin" not in both()
+    assert spark.conf.get(name) == before and spark.conf.get(name, None) is None
+    try:
+        for value in ("-1", "64k"):
+            spark.conf.set(name, value)
+            with g._small_broadcasts(spark):
+                assert spark.conf.get(name) == value
+            assert spark.conf.get(name) == value
+    finally:
+        spark.conf.unset(name)
+
+
+def test_implicit_before_join(spark, sf_dir):
+    """Rows that name an id are aggregated before they meet the known ids, so that no task sorts all rows of a group that every binding names."""
+    from bramble.sources import k8s, views
+
+    dumps = views.list_dumps(spark, sf_dir)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = k8s.implicit_nodes(dumps, k8s.extracted_nodes(dumps))._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert 0 <= plan.index("Join LeftAnti") < plan.index("Aggregate")
