@@ -25,7 +25,9 @@ from bramble.llm.textvec import slices
 #: Bytes of text in a group.
 GROUP = 6_000_000
 #: Chunks of text whose ids a task remembers.
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS = 100_000
+#: Pieces in a batch that a task gives back (2 MB of ids at most).
+PIECES = 256
 #: Room that a sequence may have left before it is cut at powers of two.
 ROOM = 32
 
@@ -216,20 +218,21 @@ def _group(path: str, size: int, last: int | None) -> Callable[[tuple, Iterator[
         if _encoder is None or _encoder[0] != path:
             _encoder = (path, Encoder(path))
         docs: list[tuple] = []
-        for batch in slices(batches, "__text", 2_000_000):
+        for batch in slices(batches, "__text", 1_000_000):
             at = batch.schema.get_field_index
             ids = _encoder[1].encode(batch.column(at("__text")), last)
             docs += zip(batch.column(at("__doc")).to_pylist(), batch.column(at("__id")).to_pylist(), ids, strict=True)
         docs.sort(key=lambda d: (d[0], len(d[2]), d[2].tobytes()))
         base = keys[0].as_py() << 32
         pieces = pack([len(d[2]) for d in docs], size)
-        for low in range(0, len(pieces), 2048):
-            d, start, length, sequence, offset = (list(x) for x in zip(*pieces[low : low + 2048], strict=True))
+        for low in range(0, len(pieces), PIECES):
+            d, start, length, sequence, offset = (list(x) for x in zip(*pieces[low : low + PIECES], strict=True))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([docs[i][1] for i in d], pa.int64()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array([docs[i][2][a : a + n].astype("<u4").tobytes() for i, a, n in zip(d, start, length, strict=True)], pa.binary()),
                  pa.array([len(docs[i][2]) for i in d], pa.int64()), pa.array([base + s for s in sequence], pa.int64()), pa.array(offset, pa.int64())],
                 names=["__id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
             )
+        pa.default_memory_pool().release_unused()  # workers live on between groups and stages
 
     return run
 
