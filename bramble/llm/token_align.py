@@ -5,7 +5,7 @@ the documents, corpus-wide, that hold it linked.
 
 Most groups hold one token of each, with equal bytes. For these an array computed once gives the id in B of the same bytes for each id of A, so
 their documents are counted in a vector as long as A's vocabulary. Only what other groups link is counted as pairs, which a task combines before
-Spark shuffles them. A second pass looks the counts up: of the identity map in that vector; of frequent pairs in a table of at most FEW_PAIRS that
+Spark shuffles them. What is linked in each document is written out, so that each text is encoded once; a second pass over that looks the counts up: of the identity map in that vector; of frequent pairs in a table of at most FEW_PAIRS that
 is sent to all tasks; all other pairs by a join, in which a pair has fewer rows than the frequent ones, so no key is hot.
 
 Both tokenizers part at a single space between other characters, so texts are cut there, and a task remembers the alignment of the pieces that recur.
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from bramble.llm import textvec as tv
 from bramble.llm.common import batch_with, cut_lineage, table, with_fields, without
 from bramble.llm.packing import Encoder
+from bramble.operators.graph import discard, stored
 
 #: Pairs whose counts are sent to all tasks (some 10 MB).
 FEW_PAIRS = 500_000
@@ -218,28 +219,48 @@ def _distinct(of: np.ndarray, value: np.ndarray, values: int) -> tuple[np.ndarra
     return both // values, both % values, n
 
 
-def _count(paths: tuple[str, str]) -> Callable[[Batches], Batches]:
-    """A partition's documents of each identical id (in a vector) and of each other pair."""
+def _align(paths: tuple[str, str]) -> Callable[[Batches], Batches]:
+    """Each document's sizes, groups, and what is linked in it: identical ids and other pairs, each once with how often it is there, and which pairs count as such."""
 
-    def out(own: bool, codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), own)), pa.array(codes, pa.int64()), pa.array(n, pa.int64())], names=["own", "code", "n"])
+    def lists(doc: np.ndarray, n: int, values: np.ndarray, type_: pa.DataType) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n + 1)).astype(np.int32)), pa.array(values, type_))
 
     def run(batches: Batches) -> Batches:
         know = aligner(paths)
-        vector, held = np.zeros(len(know.bytes_a), dtype=np.int64), (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
-        for batch in tv.slices(batches):
-            _, _, own, pairs = know.align(batch.column(0))
-            doc, id_, _ = _distinct(*own, len(vector))
-            vector += np.bincount(id_, minlength=len(vector))
-            other, pair, _ = _distinct(*pairs, len(vector) * know.step)
+        vocabulary = len(know.bytes_a)
+        for batch in tv.slices(batches, "__text"):
+            n = batch.num_rows
+            sizes, groups, own, pairs = know.align(batch.column(batch.schema.get_field_index("__text")))
+            doc, id_, times = _distinct(*own, vocabulary)
+            other, pair, often = _distinct(*pairs, vocabulary * know.step)
             a = pair // know.step
             twice = know.same[a] == pair % know.step  # what the map has too counts there, if the document is counted there
-            seen = np.isin(other[twice] * len(vector) + a[twice], doc * len(vector) + id_)
-            twice[twice] = seen
-            codes, place = np.unique(np.concatenate([held[0], pair[~twice]]), return_inverse=True)
-            n = np.bincount(place, weights=np.concatenate([held[1], np.ones(int((~twice).sum()))]), minlength=len(codes)).astype(np.int64)
-            held = (codes, n)
-            if len(codes) > COMBINE:
+            twice[twice] = np.isin(other[twice] * vocabulary + a[twice], doc * vocabulary + id_)
+            said = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in groups]
+            new = dict(zip(("n_a", "n_b", "n_groups", "n_links"), (pa.array(c, pa.int64()) for c in sizes.T), strict=True)) | {"groups_sha256": pa.array(said, pa.string())}
+            new |= {"__ids": lists(doc, n, id_, pa.int32()), "__times": lists(doc, n, times, pa.int32())}
+            new |= {"__codes": lists(other, n, pair, pa.int64()), "__often": lists(other, n, often, pa.int32()), "__counts": lists(other, n, ~twice, pa.bool_())}
+            yield batch_with(batch, new, drop=("__text",))
+
+    return run
+
+
+def _count(vocabulary: int) -> Callable[[Batches], Batches]:
+    """A partition's documents of each identical id (in a vector) and of each other pair."""
+
+    def out(own: bool, codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), own)), pa.array(codes, pa.int64()), pa.array(n, pa.int64())], names=["own", "code", "n"])
+
+    def run(batches: Batches) -> Batches:
+        vector, held = np.zeros(vocabulary, dtype=np.int64), (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+        for batch in batches:
+            ids, codes, counts = (c.flatten().to_numpy(zero_copy_only=False) for c in batch.columns)
+            vector += np.bincount(ids, minlength=vocabulary)
+            codes = codes[counts]
+            both, place = np.unique(np.concatenate([held[0], codes]), return_inverse=True)
+            n = np.bincount(place, weights=np.concatenate([held[1], np.ones(len(codes))]), minlength=len(both)).astype(np.int64)
+            held = (both, n)
+            if len(both) > COMBINE:
                 yield out(False, *held)
                 held = (held[0][:0], held[1][:0])
         yield out(False, *held)
@@ -249,32 +270,29 @@ def _count(paths: tuple[str, str]) -> Callable[[Batches], Batches]:
     return run
 
 
-def _look_up(paths: tuple[str, str], shared) -> Callable[[Batches], Batches]:
-    """Each document's sizes, groups, and what the vectors and the frequent pairs add; the other pairs as a list."""
+def _look_up(step: int, shared) -> Callable[[Batches], Batches]:
+    """What the vectors and the frequent pairs add to each document; the other pairs as a list."""
 
     def run(batches: Batches) -> Batches:
-        know = aligner(paths)
-        total, best, codes, counts = shared.value
-        for batch in tv.slices(batches, "__text"):
+        total, best, same, codes, counts = shared.value
+        for batch in batches:
             n = batch.num_rows
-            sizes, groups, own, pairs = know.align(batch.column(batch.schema.get_field_index("__text")))
-            a = pairs[1] // know.step
-            at = np.minimum(np.searchsorted(codes, pairs[1]), max(len(codes) - 1, 0))
-            frequent = codes[at] == pairs[1] if len(codes) else np.zeros(len(a), dtype=bool)
-            mapped = know.same[a] == pairs[1] % know.step
+            ids, times, pairs, often = (batch.column(batch.schema.get_field_index(c)) for c in ("__ids", "__times", "__codes", "__often"))
+            of_id, of_pair = (np.repeat(np.arange(n), pc.list_value_length(c).to_numpy()) for c in (ids, pairs))
+            ids, times, pairs, often = (c.flatten().to_numpy().astype(np.int64) for c in (ids, times, pairs, often))
+            a = pairs // step
+            at = np.minimum(np.searchsorted(codes, pairs), max(len(codes) - 1, 0))
+            frequent = codes[at] == pairs if len(codes) else np.zeros(len(a), dtype=bool)
+            mapped = same[a] == pairs % step
             known = mapped | frequent
-            count = np.where(mapped, total[a], counts[at] if len(codes) else 0)[known]
-            doc, id_ = np.concatenate([own[0], pairs[0][known]]), np.concatenate([own[1], a[known]])
-            count = np.concatenate([total[own[1]], count])
+            count = np.concatenate([total[ids], np.where(mapped, total[a], counts[at] if len(codes) else 0)[known]])
+            doc, id_, times = np.concatenate([of_id, of_pair[known]]), np.concatenate([ids, a[known]]), np.concatenate([times, often[known]])
             n_best, count_sum = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-            np.add.at(count_sum, doc, count)
-            np.add.at(n_best, doc, count == best[id_])
-            rest = _distinct(pairs[0][~known], pairs[1][~known], len(total) * know.step)
-            offsets = pa.array(np.searchsorted(rest[0], np.arange(n + 1)).astype(np.int32))
-            lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(rest[1], pa.int64()), pa.array(rest[2], pa.int64())], names=["code", "times"]))
-            said = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in groups]
-            new = dict(zip(("n_a", "n_b", "n_groups", "n_links"), (pa.array(c, pa.int64()) for c in sizes.T), strict=True))
-            yield batch_with(batch, new | {"n_best": pa.array(n_best), "count_sum": pa.array(count_sum), "groups_sha256": pa.array(said, pa.string()), "__rest": lists}, drop=("__text",))
+            np.add.at(count_sum, doc, times * count)
+            np.add.at(n_best, doc, np.where(count == best[id_], times, 0))
+            offsets = pa.array(np.searchsorted(of_pair[~known], np.arange(n + 1)).astype(np.int32))
+            lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(pairs[~known], pa.int64()), pa.array(often[~known], pa.int64())], names=["code", "times"]))
+            yield batch_with(batch, {"n_best": pa.array(n_best), "count_sum": pa.array(count_sum), "__rest": lists}, drop=LINKED)
 
     return run
 
@@ -282,11 +300,29 @@ def _look_up(paths: tuple[str, str], shared) -> Callable[[Batches], Batches]:
 NEW = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+#: What is linked in each document, in a table between the passes.
+LINKED = {"__ids": "array<int>", "__times": "array<int>", "__codes": "array<long>", "__often": "array<int>", "__counts": "array<boolean>"}
+
+
+def _aligned(docs: DataFrame, paths: tuple[str, str], text_col: str) -> DataFrame:
+    """docs, without the text, with sizes, groups and LINKED: written out, so that each text is encoded once."""
+    rows = docs.withColumn("__text", F.col(text_col)).drop(text_col)
+    fields = [("n_a", "long"), ("n_b", "long"), ("n_groups", "long"), ("n_links", "long"), ("groups_sha256", "string"), *LINKED.items()]
+    return stored(rows.mapInArrow(_align(paths), with_fields(rows, *fields, drop=("__text",))))
+
+
+def _pair_counts(aligned: DataFrame, vocabulary: int) -> DataFrame:
+    counted = aligned.select("__ids", "__codes", "__counts").mapInArrow(_count(vocabulary), "own boolean, code long, n long")
+    return cut_lineage(counted.groupBy("own", "code").agg(F.sum("n").alias("n")))
+
+
 def pair_counts(docs: DataFrame, path_a: str, path_b: str, text_col: str = "text") -> DataFrame:
     """(own, code, n): the documents that hold a pair linked. own rows are of ids in A that stand for their identical token in B, code being that id;
     the others' code is A's id times B's number of ids plus B's id, and leaves out documents that an own row counts for the same pair."""
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_count((path_a, path_b)), "own boolean, code long, n long")
-    return cut_lineage(counted.groupBy("own", "code").agg(F.sum("n").alias("n")))
+    aligned = _aligned(docs.select(text_col), (path_a, path_b), text_col)
+    counts = _pair_counts(aligned, len(aligner((path_a, path_b)).same))
+    discard(aligned)
+    return counts
 
 
 def align_tokens(docs: DataFrame, path_a: str, path_b: str, few_pairs: int = FEW_PAIRS, text_col: str = "text") -> DataFrame:
@@ -302,8 +338,9 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, few_pairs: int = FEW
     """
     spark, paths = docs.sparkSession, (path_a, path_b)
     docs = without(docs, NEW)
-    counts = pair_counts(docs, path_a, path_b, text_col)
     same, step = aligner(paths).same, aligner(paths).step
+    aligned = _aligned(docs, paths, text_col)
+    counts = _pair_counts(aligned, len(same))
     split = counts.where("not own").select("code", F.expr(f"code div {step}").alias("a"), "n")
     vector = {r.code: r.n for r in counts.where("own").collect()}  # A's vocabulary at most
     mapped = dict(enumerate(same.tolist()))
@@ -324,10 +361,10 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, few_pairs: int = FEW
     found = split.where(frequent).select("code", "n").toArrow() if bits else split.select("code", "n").toArrow()  # few_pairs rows at most
     codes, n = (found.column(c).to_numpy() for c in ("code", "n"))
     order = np.argsort(codes)
-    shared = spark.sparkContext.broadcast((total, best, codes[order], n[order]))
-    rows = docs.withColumn("__text", F.col(text_col)).drop(text_col)
-    fields = [*((c, "string" if c == "groups_sha256" else "long") for c in NEW), ("__rest", "array<struct<code: long, times: long>>")]
-    out = cut_lineage(rows.mapInArrow(_look_up(paths, shared), with_fields(rows, *fields, drop=("__text",)))).withColumn("__row", F.monotonically_increasing_id())
+    shared = spark.sparkContext.broadcast((total, best, same, codes[order], n[order]))
+    fields = [("n_best", "long"), ("count_sum", "long"), ("__rest", "array<struct<code: long, times: long>>")]
+    out = cut_lineage(aligned.mapInArrow(_look_up(step, shared), with_fields(aligned, *fields, drop=LINKED))).withColumn("__row", F.monotonically_increasing_id())
+    discard(aligned)
     if not bits:
         return out.drop("__rest", "__row")
     highest = spark.createDataFrame([(a, int(x)) for a, x in enumerate(best)], "a long, best long")

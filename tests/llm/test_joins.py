@@ -152,6 +152,23 @@ def test_alignment(docs, rows, few):
     assert token_align.align_tokens(docs.limit(0), P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")).count() == 0
 
 
+def test_alignment_encodes_once(docs, rows, tmp_path):
+    """Each text is read, and so encoded, in one pass alone."""
+    import public_tokenizers as P
+
+    at = str(tmp_path / "read")
+
+    def note(batches):
+        for b in batches:
+            with open(at, "a") as f:
+                f.write("x" * b.num_rows)
+            yield b
+
+    some = docs.select("doc_id", "text").mapInArrow(note, "doc_id long, text string")
+    token_align.align_tokens(some, P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")).collect()
+    assert len(open(at).read()) == len(rows)
+
+
 def test_alignment_pieces():
     """Texts that are cut and remembered piece by piece give what whole texts do, however the pieces come."""
     import public_tokenizers as P
