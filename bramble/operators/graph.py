@@ -50,6 +50,18 @@ def _bytes(text: str) -> int:
     return int(found[1]) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[found[2]] if found else SMALL
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Inside, a job's shuffle files go when it ends; without that they stay until the driver's next full garbage collection, and loops leave dozens behind."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if held is None else spark.conf.set(name, held)
+
+
 @contextmanager
 def _small_broadcasts(spark: SparkSession) -> Iterator[None]:
     """Inside, joins broadcast sides of SMALL bytes at most: loops join in dozens of rounds, and all that they broadcast goes through the driver. Sides that are marked for it are broadcast still."""
@@ -85,7 +97,7 @@ def stored(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{_rounds(spark)}/{uuid.uuid4().hex}"
-    with _small_broadcasts(spark):
+    with _small_broadcasts(spark), _shuffles_removed(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -4,6 +4,8 @@ import itertools
 import json
 import math
 import random
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -438,3 +440,17 @@ def test_dumps(spark, tmp_path):
     }
     edges = [(r.source, r.target, r.relationship) for r in raw.edges.orderBy("edge_seq").collect()]
     assert edges == [("user:cluster/u", "role:x/r", "binds_to"), ("serviceaccount:x/sa", "role:x/r", "binds_to"), ("pod:x/p", "serviceaccount:x/default", "runs_as"), ("pod:default/unknown", "serviceaccount:default/sa", "runs_as"), ("pod:x/p", "secret:x/s", "mounts")]
+
+
+def test_stored_removes_its_shuffle(spark):
+    """A stored table's shuffle files go with the job that wrote it."""
+    folder = Path(spark.sparkContext.getConf().get("spark.local.dir"))
+    files = lambda: {p for p in folder.rglob("shuffle_*.data")}
+    table = spark.range(0, 1000, 1, 4).withColumn("k", F.col("id") % 7)
+    before = files()
+    got = g.stored(table.groupBy("k").count())
+    for _ in range(50):  # they go in the background
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert got.count() == 7 and not left
