@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -41,3 +42,20 @@ def batch_with(batch: pa.RecordBatch, columns: dict[str, pa.Array], drop: Iterab
     """The batch less `drop` with more columns."""
     kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in set(drop)]
     return pa.RecordBatch.from_arrays([*(c for _, c in kept), *columns.values()], names=[*(n for n, _ in kept), *columns])
+
+
+def give_back() -> None:
+    """Gives free memory of this worker back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's function that gives free memory back when it ends: workers live on, idle ones too, beside those of the next stage."""
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return mapped

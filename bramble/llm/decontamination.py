@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from bramble.llm import textvec as tv
-from bramble.llm.common import LAST, cut_lineage, key
+from bramble.llm.common import LAST, cut_lineage, key, released
 
 SEED, MOST_CELLS, BLOCK = 3, 1 << 27, 1 << 17
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -186,7 +186,7 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = SEED, share: float = SHARE
     texts = docs.select(F.col(text_col).alias("text"), key(id_col).alias("id"))
     bits, cells = _filter(seeds, total)
     # The most that lies to one side of a seed: an item's words, and two more put in for each that matches.
-    passages = cut_lineage(texts.mapInArrow(_passages(n, context.broadcast(bits), cells, 3 * longest), "id long, low long, words array<long>, seeds array<struct<place: long, hash: long>>"))
+    passages = cut_lineage(texts.mapInArrow(released(_passages(n, context.broadcast(bits), cells, 3 * longest)), "id long, low long, words array<long>, seeds array<struct<place: long, hash: long>>"))
     passages = passages.withColumn("passage", F.monotonically_increasing_id())
     votes = passages.select("passage", F.explode("seeds").alias("s")).select("passage", "s.*").join(seeds.join(tests.select("item", F.size("words").cast("long").alias("need")), "item"), "hash")
     least = F.least(share * MATCH * F.col("need"), F.lit(float(MATCH * words)))
@@ -200,7 +200,7 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = SEED, share: float = SHARE
     pairs = pairs.join(tests.select("item", F.col("words").alias("item_words")), "item").join(passages.select("passage", "id", F.col("low").alias("begin"), "words"), "passage")
     low = F.greatest("low", "begin")
     pairs = pairs.select("id", "item", F.slice("words", (low - F.col("begin") + 1).cast("int"), (F.col("high") - low).cast("int")).alias("words"), "item_words", low.alias("low"), "need", "least")
-    done = pairs.mapInArrow(_aligned, "id long, item long, need long, points long, first_word long, last_word long")
+    done = pairs.mapInArrow(released(_aligned), "id long, item long, need long, points long, first_word long, last_word long")
     done = done.where((F.col("points") >= share * MATCH * F.col("need")) | (F.col("points") >= MATCH * words))
     best = done.groupBy("id", "item").agg(F.max(F.struct("points", (-F.col("first_word")).alias("f"), "last_word", "need")).alias("b"))
     best = best.select("id", "item", (F.col("b.points") / (MATCH * F.col("b.need"))).alias("score"), (-F.col("b.f")).alias("first_word"), F.col("b.last_word").alias("last_word"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from bramble.llm import textvec as tv
-from bramble.llm.common import LAST, cut_lineage, key, small_or_not
+from bramble.llm.common import LAST, cut_lineage, key, released, small_or_not
 from bramble.operators.components import FEW, HUB, connected_components
 
 BINS, BAND = 128, 4
@@ -203,7 +203,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     are not looked at.
     """
     texts = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id"), key(id_col).alias("doc"))
-    base = cut_lineage(texts.mapInArrow(_sketch(k), "id long, doc long, n long, f1 long, f2 long, bands array<long>"))
+    base = cut_lineage(texts.mapInArrow(released(_sketch(k)), "id long, doc long, n long, f1 long, f2 long, bands array<long>"))
     # Sets with very many copies, at most 1 / HUB of them, are looked up in all tasks and their copies dealt by document, so no set is a hot key.
     some = base.where("n > 0")
     most = max(FEW, int(HUB * some.count()))
@@ -216,7 +216,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     first = rows.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("e"), F.min(F.struct("rep", "n")).alias("c")).where("m > 1")
     rows = cut_lineage(rows.join(first, "key").select("key", "rep", "n", "m", "e", F.col("c.rep").alias("r2"), F.col("c.n").alias("n2")))
     wanted = small_or_not(cut_lineage(rows.select(F.col("rep").alias("doc")).distinct()), FEW_IDS)
-    sets = texts.select("text", "doc").join(wanted, "doc", "left_semi").select("text", "doc").mapInArrow(_sets(k), "doc long, elements array<long>")
+    sets = texts.select("text", "doc").join(wanted, "doc", "left_semi").select("text", "doc").mapInArrow(released(_sets(k)), "doc long, elements array<long>")
     if not base.groupBy("doc").count().where("count > 1").isEmpty():
         sets = sets.distinct()  # a document that is given very often has each of its sets once
     sets = cut_lineage(sets)

@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from bramble.llm.common import key
+from bramble.llm.common import give_back, key
 from bramble.llm.textvec import slices
 
 #: Bytes of text in a group.
@@ -232,7 +232,8 @@ def _group(path: str, size: int, last: int | None) -> Callable[[tuple, Iterator[
                  pa.array([len(docs[i][2]) for i in d], pa.int64()), pa.array([base + s for s in sequence], pa.int64()), pa.array(offset, pa.int64())],
                 names=["__id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
             )
-        pa.default_memory_pool().release_unused()  # workers live on between groups and stages
+        del docs, pieces
+        give_back()  # workers live on between groups and stages
 
     return run
 

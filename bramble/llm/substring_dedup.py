@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bramble.llm import textvec as tv
-from bramble.llm.common import LAST, batch_with, cut_lineage, with_fields, without
+from bramble.llm.common import LAST, batch_with, cut_lineage, released, with_fields, without
 
 #: Bound on a sketch that is sent to all tasks, in cells of both rows together; cells of a slice of a larger one.
 MOST_CELLS, SLICE_CELLS = 1 << 27, 1 << 23
@@ -292,9 +292,9 @@ def _doc_key(id_col: str, text_col: str) -> Column:
 
 def _hot_anchors(texts: DataFrame, window: int, slices: int, cells: int) -> DataFrame:
     """(doc, __hot): the anchors of each document that a sketch of so many slices estimates repeated."""
-    counted = texts.select("text").mapInArrow(_sliced(window, slices), "slice long, anchor long, again boolean")
+    counted = texts.select("text").mapInArrow(released(_sliced(window, slices)), "slice long, anchor long, again boolean")
     repeated = counted.groupBy("slice").applyInArrow(_slice_estimates(cells), "anchor long")
-    own = texts.mapInArrow(_anchors_of(window), "doc long, anchor long")
+    own = texts.mapInArrow(released(_anchors_of(window)), "doc long, anchor long")
     return cut_lineage(own.join(repeated, "anchor", "left_semi").groupBy("doc").agg(F.collect_set("anchor").alias("__hot")))
 
 
@@ -325,16 +325,16 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
         texts = texts.join(hot, "doc").select("text", "doc", "__hot")
         joined = joined.join(hot.withColumnRenamed("doc", "__doc"), "__doc", "left")
 
-    found = texts.mapInArrow(_candidates(window, estimated), "h1 long, h2 int, doc long")
+    found = texts.mapInArrow(released(_candidates(window, estimated)), "h1 long, h2 int, doc long")
     firsts = found.groupBy("h1", "h2").agg(F.min("doc").alias("doc")).groupBy("doc").agg(F.collect_list("h1").alias("__firsts"))
     joined = joined.join(firsts.withColumnRenamed("doc", "__doc"), "__doc", "left")
     schema = with_fields(joined, ("n_words", "long"), ("n_removed", "long"), ("kept_text", "string"), drop=mine)
-    return joined.mapInArrow(_apply(window, estimated, mine, layout), schema)
+    return joined.mapInArrow(released(_apply(window, estimated, mine, layout)), schema)
 
 
 def _merged(texts: DataFrame, window: int, cells: int) -> bytes:
     """The bits "counted twice" of the whole sketch: cells / 8 bytes, at most 16 MB."""
-    blocks = texts.select("text").mapInArrow(_sketch(window, cells), "block long, bits binary").groupBy("block").applyInArrow(_merge, "block long, bits binary")
+    blocks = texts.select("text").mapInArrow(released(_sketch(window, cells)), "block long, bits binary").groupBy("block").applyInArrow(_merge, "block long, bits binary")
     merged = bytearray(cells // 8)
     for row in blocks.toLocalIterator():
         bits = zlib.decompress(row.bits)

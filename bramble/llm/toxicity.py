@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bramble.llm import textvec as tv
-from bramble.llm.common import batch_with, with_fields, without
+from bramble.llm.common import batch_with, released, with_fields, without
 
 WINDOW, STRIDE = 32, 16
 TRAIN, TRAIN_WORDS = (4000, 2000), 2048
@@ -344,8 +344,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     draw = [known.where(F.col("y") == y).orderBy(F.xxhash64("__id"), "__id").limit(n) for y, n in enumerate(TRAIN)]
     ids = draw[0].unionByName(draw[1])
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).where(F.length("text") > 0).join(F.broadcast(ids), "__id")  # sum(TRAIN) ids at most
-    rows = rows.groupBy("__id", "y").agg(F.min("text").alias("text")).mapInArrow(_excerpts, "__id long, y int, text string")
-    found = rows.repartition(1).mapInArrow(_trained, "network binary").collect()  # one row
+    rows = rows.groupBy("__id", "y").agg(F.min("text").alias("text")).mapInArrow(released(_excerpts), "__id long, y int, text string")
+    found = rows.repartition(1).mapInArrow(released(_trained), "network binary").collect()  # one row
     return pickle.loads(found[0].network) if found else train([], [])
 
 
@@ -358,7 +358,7 @@ def score_toxicity(docs: DataFrame, network: Network, text_col: str = "text") ->
     """
     docs = without(docs, ("score",))
     shared = docs.sparkSession.sparkContext.broadcast(network)
-    return docs.mapInArrow(_score(shared, text_col), with_fields(docs, ("score", "double")))
+    return docs.mapInArrow(released(_score(shared, text_col)), with_fields(docs, ("score", "double")))
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
