@@ -22,6 +22,8 @@ EDGES = "graph_id string, edge_seq long, source string, target string, relations
 FEW_IDENTIFIERS, GRAM = 100_000, 3
 #: Bytes of files or of a shuffle up to which a side of a join is broadcast while a table is stored; rows up to which a front is, which loops join with all edges.
 SMALL, FEW_ROWS = 1 << 18, 100_000
+#: Bytes of each of a side's shuffled parts up to which it is joined by hash while a table of graphs is stored, so that the other side need not be sorted.
+HASHED = 1 << 24
 
 
 @dataclass(frozen=True)
@@ -78,6 +80,20 @@ def _small_broadcasts(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
+@contextmanager
+def _hash_joins(spark: SparkSession) -> Iterator[None]:
+    """Inside, Spark joins by hash where every part of a shuffled side has HASHED bytes at most, which it knows when the shuffle is done; larger sides are sorted and merged, as without it."""
+    names = ("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "spark.sql.adaptive.advisoryPartitionSizeInBytes")  # the first counts only if it is no smaller than the second
+    held = {name: spark.conf.get(name, None) for name in names}
+    for name in names:
+        spark.conf.set(name, str(HASHED))
+    try:
+        yield
+    finally:
+        for name, value in held.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
@@ -97,7 +113,7 @@ def stored(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{_rounds(spark)}/{uuid.uuid4().hex}"
-    with _small_broadcasts(spark), _shuffles_removed(spark):
+    with _small_broadcasts(spark), _hash_joins(spark), _shuffles_removed(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -182,11 +198,45 @@ def outline(raw: Graph) -> Graph:
     return Graph(nodes, edges.groupBy("graph_id", "source", "target").agg(F.min("edge_seq").alias("edge_seq")))
 
 
+def priced(raw: Graph) -> Graph:
+    """What the search for ways from sources to sinks reads of build's graph: of nodes graph_id, node_seq, id and whether they are sources or sinks, of edges graph_id, edge_seq, source, target and weight.
+
+    No value is a text, so rows are aggregated by hash and not sorted. Only sources of edges are looked up in the nodes, which are written once for that: edges
+    to a missing node stay, but as no edge leaves it, it lies on no way to a sink.
+    """
+    last = lambda c: F.max_by(c, "node_seq").alias(c)
+    nodes = stored(raw.nodes.groupBy("graph_id", "id").agg(F.min("node_seq").alias("first"), last("is_source"), last("is_sink")).withColumnRenamed("first", "node_seq"))
+    edges = raw.edges.select("graph_id", "edge_seq", "source", "target", "relationship", "weight").where("target is not null")
+    edges = edges.join(nodes.select("graph_id", F.col("id").alias("source")), ["graph_id", "source"], "left_semi")
+    seq = F.min("edge_seq").alias("seq")
+    edges = edges.groupBy("graph_id", "source", "target", "relationship").agg(F.min_by("weight", "edge_seq").alias("price"), seq).withColumnRenamed("seq", "edge_seq")
+    edges = edges.groupBy("graph_id", "source", "target").agg(F.max_by("price", "edge_seq").alias("weight"), seq).withColumnRenamed("seq", "edge_seq")
+    return Graph(nodes, edges)
+
+
 def kept(graph: Graph) -> Graph:
     """The graph with its tables written once; loops read them in every round."""
     return Graph(stored(graph.nodes), stored(graph.edges))
 
 
+def kept_build(raw: Graph) -> Graph:
+    """kept(build(raw)), but edges look their ends up in the nodes that are written, so these are not made anew for either end."""
+    nodes = stored(upsert_nodes(raw.nodes))
+    return Graph(nodes, stored(collapse(attached_edges(raw.edges, nodes))))
+
+
+@contextmanager
+def dealt(df: DataFrame, *keys: str) -> Iterator[DataFrame]:
+    """Inside, df dealt by the keys and held by the executors, for loops that join it on just these keys in each round: it is shuffled once and not in every one."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = df.repartition(parts, *keys).persist()
+    held.count()
+    try:
+        yield held
+    finally:
+        held.unpersist()
+
+
 def sources(graph: Graph) -> DataFrame:
     return graph.nodes.where("is_source")
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from bramble.functions.scoring import severity
 from bramble.operators import bitsets, ranks
 from bramble.operators.components import connected_components
-from bramble.operators.graph import Graph, sinks, small_side, sources, stored
+from bramble.operators.graph import Graph, dealt, sinks, small_side, sources, stored
 from bramble.operators.strong import strong_components
 
 
@@ -115,29 +115,30 @@ def _spread(steps: DataFrame, starts: DataFrame) -> DataFrame:
     front = stored(starts.select("graph_id", "node").distinct())
     found = front
     while not front.isEmpty():
-        new = front.join(steps, ["graph_id", "node"]).select("graph_id", F.col("next").alias("node")).distinct()
+        new = small_side(front).join(steps, ["graph_id", "node"]).select("graph_id", F.col("next").alias("node")).distinct()
         front = stored(new.join(found, ["graph_id", "node"], "left_anti"))
         found = found.unionByName(front)
     return found
 
 
 def pointers_to(graph: Graph, ends: DataFrame, starts: DataFrame) -> DataFrame:
-    """(graph_id, end, node, cost, hops, next): the cheapest way from each node to each end (graph_id, end) that it reaches, as a pointer to the next node (null at the end itself).
+    """(graph_id, end, node, cost, hops, next, weight): the cheapest way from each node to each end (graph_id, end) that it reaches, as a pointer to the next node, with the weight of the edge (both null at the end itself).
 
     The search goes backwards from the ends, over nodes that the starts (graph_id, node) reach. Label correcting, as in cheapest_paths, but a label holds a pointer and no path: of equal
     cost and hops the smaller next node wins, and so, node by node, the smaller path. Negative weights raise ValueError.
     """
     if not graph.edges.where("weight < 0").isEmpty():
         raise ValueError("weights must not be negative")
-    steps = stored(graph.edges.select("graph_id", F.col("source").alias("node"), F.col("target").alias("next"), "weight").where("node != next"))
-    steps = stored(steps.join(_spread(steps, starts), ["graph_id", "node"], "left_semi"))
+    steps = graph.edges.select("graph_id", F.col("source").alias("node"), F.col("target").alias("next"), "weight").where("node != next")
+    with dealt(steps, "graph_id", "node") as steps:
+        steps = stored(steps.join(_spread(steps, starts), ["graph_id", "node"], "left_semi"))
     keys = ["graph_id", "end", "node"]
-    label = F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("next"))
+    label = F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("next"), F.lit(None).cast("double").alias("weight"))
     front = stored(ends.distinct().select("graph_id", "end", F.col("end").alias("node"), label.alias("label")))
     known, rounds = front, 0
     while True:
-        longer = F.struct((F.col("label.cost") + F.col("weight")).alias("cost"), (F.col("label.hops") + 1).alias("hops"), F.col("next").alias("next"))
-        new = front.withColumnRenamed("node", "next").join(steps, ["graph_id", "next"]).select("graph_id", "end", "node", longer.alias("label"))
+        longer = F.struct((F.col("label.cost") + F.col("weight")).alias("cost"), (F.col("label.hops") + 1).alias("hops"), F.col("next").alias("next"), F.col("weight").alias("weight"))
+        new = small_side(front).withColumnRenamed("node", "next").join(steps, ["graph_id", "next"]).select("graph_id", "end", "node", longer.alias("label"))
         new = new.groupBy(*keys).agg(F.min("label").alias("label")).alias("new")
         better = F.col("old.label") <= F.col("new.label")
         front = stored(new.join(known.alias("old"), [F.col(f"new.{k}") == F.col(f"old.{k}") for k in keys] + [better], "left_anti"))
@@ -213,6 +214,23 @@ def attack_paths(graph: Graph) -> DataFrame:
     return found.select("graph_id", F.col("start").alias("source"), F.col("node").alias("sink"), *_shown(), "source_seq", "sink_seq")
 
 
+def attack_costs(graph: Graph) -> DataFrame:
+    """(graph_id, source, sink, hop_count, total_risk, severity) of attack_paths, with no path written out: nodes need no names and edges no details (graph.priced has all that this reads)."""
+    ends = sinks(graph).select("graph_id", F.col("id").alias("node"))
+    from_ = sources(graph).select("graph_id", F.col("id").alias("start"))
+    if ends.count() < from_.count():
+        starts = from_.withColumnRenamed("start", "node")
+        pointers = stored(pointers_to(graph, ends.withColumnRenamed("node", "end"), starts))
+        each = walked(pointers, starts).join(pointers.select("graph_id", "end", "node", "weight"), ["graph_id", "end", "node"])
+        rows = F.sort_array(F.collect_list(F.struct("at", "weight")))  # the end's weight is null and comes last
+        hops = F.slice("rows", 1, F.size("rows") - 1)
+        found = each.groupBy("graph_id", "start", F.col("end").alias("node")).agg(rows.alias("rows"))
+        found = found.select("graph_id", "start", "node", F.aggregate(hops, F.lit(0.0), lambda a, h: a + h["weight"]).alias("cost"), (F.size("rows") - 1).alias("hops"))
+    else:
+        found = cheapest_paths(graph, from_, hops_to_sinks(graph)).join(ends, ["graph_id", "node"], "left_semi")
+    return found.select("graph_id", F.col("start").alias("source"), F.col("node").alias("sink"), F.col("hops").alias("hop_count"), F.col("cost").alias("total_risk"), severity(F.col("cost")).alias("severity"))
+
+
 def shortest_path(graph: Graph, pairs: DataFrame) -> DataFrame:
     """The cheapest path of each pair (graph_id, source, target) that has one; unknown nodes raise ValueError."""
     for end in ("source", "target"):

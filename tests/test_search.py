@@ -234,3 +234,16 @@ def test_implicit_before_join(spark, sf_dir):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert 0 <= plan.index("Join LeftAnti") < plan.index("Aggregate")
+
+
+def test_attack_costs(spark, monkeypatch):
+    """Costs without paths are those of the attack paths, from priced tables with a repeated node, parallel edges and edges to and from missing nodes; steps are shuffled once for all rounds."""
+    nodes = [("s", "pod", "s", 1, 1, 0), ("r", "pod", "r", 1, 1, 0), ("m", "pod", "m", 1, 0, 1), ("e", "pod", "e", 1, 0, 1), ("m", "pod", "m", 1, 0, 0)]
+    edges = [("s", "m", "uses", 3), ("s", "m", "uses", 1), ("s", "m", "grants", 4), ("m", "e", "uses", 0.1), ("r", "gone", "uses", 0), ("gone", "e", "uses", 0), ("r", "s", "uses", 0.2), ("e", "e", "uses", 0)]
+    raw = make(spark, nodes, edges)
+    columns = ["graph_id", "source", "sink", "hop_count", "total_risk", "severity"]
+    calls, real = [], t.dealt
+    monkeypatch.setattr(t, "dealt", lambda df, *keys: calls.append(keys) or real(df, *keys))
+    want = {("u", "s", "e", 2, 0.0 + 4 + 0.1, "LOW"), ("u", "r", "e", 3, 0.0 + 0.2 + 4 + 0.1, "LOW")}
+    assert {tuple(r) for r in t.attack_costs(g.priced(raw)).collect()} == want and calls == [("graph_id", "node")]
+    assert {tuple(r) for r in t.attack_paths(g.build(raw)).select(columns).collect()} == want
