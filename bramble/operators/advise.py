@@ -48,7 +48,10 @@ def critical_remediation(graph: Graph, critical: DataFrame, type_fixes: dict[str
 
 def cycle_remediation(graph: Graph, found: DataFrame, fixes: dict[str, str] = rules.FIXES) -> DataFrame:
     """A row for each cycle: the ring of names, the edge to break, and the fix for its relationship; and one for each graph, without a ring, that says how many cycles there are."""
-    edges = break_edges(graph, found).join(with_cycle_names(graph, found.select("graph_id", "cycle")), ["graph_id", "cycle"])
+    if "top" in found.columns:  # detailed cycles have both
+        edges = found.where("top is not null").select("graph_id", "cycle_names", "top.source", "top.target", "top.relationship")
+    else:
+        edges = break_edges(graph, found).join(with_cycle_names(graph, found.select("graph_id", "cycle")), ["graph_id", "cycle"])
     ring = F.concat(F.array_join("cycle_names", " > "), F.lit(" > "), F.element_at("cycle_names", 1))
     rows = edges.select("graph_id", ring.alias("ring"), F.concat("source", F.lit(" > "), "target").alias("break_edge"), rules.lookup(fixes, F.col("relationship"), F.concat(F.lit("Review "), "relationship", F.lit("."))).alias("text"))
     counts = graph.nodes.select("graph_id").distinct().join(found.groupBy("graph_id").agg(F.count("*").alias("n")), "graph_id", "left")

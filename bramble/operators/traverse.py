@@ -408,9 +408,14 @@ def node_risk(graph: Graph, paths: DataFrame | PathTotals, top_n: int | None = N
     return out.select("graph_id", "rank", *[c for c in all_.columns if c not in ("graph_id", "node_seq")])
 
 
-def is_dag(graph: Graph) -> DataFrame:
-    """(graph_id, is_dag); a self-loop is a cycle."""
-    bad = strong_components(graph.edges).select("graph_id").distinct().withColumn("is_dag", F.lit(False))
+def is_dag(graph: Graph, known: DataFrame | None = None) -> DataFrame:
+    """(graph_id, is_dag); a self-loop is a cycle. Graphs with known cycles (graph_id, ...) are not searched again."""
+    if known is None:
+        bad = strong_components(graph.edges).select("graph_id").distinct().withColumn("is_dag", F.lit(False))
+    else:
+        known = stored(known.select("graph_id").distinct())
+        others = strong_components(graph.edges.join(known, "graph_id", "left_anti")).select("graph_id").distinct()
+        bad = known.unionByName(others).withColumn("is_dag", F.lit(False))
     return graph.nodes.select("graph_id").distinct().join(bad, "graph_id", "left").withColumn("is_dag", F.coalesce("is_dag", F.lit(True)))
 
 
@@ -427,14 +432,21 @@ def weak_components(graph: Graph) -> DataFrame:
     return nodes.groupBy("graph_id").agg(F.count_distinct(F.coalesce("component", "node")).alias("components"))
 
 
+def _with_names(graph: Graph, steps: DataFrame) -> DataFrame:
+    """steps of _inside with name and next_name, those of their ends."""
+    names = graph.nodes.select("graph_id", F.col("id").alias("node"), F.coalesce("name", "id").alias("name"))
+    steps = steps.join(names, ["graph_id", "node"]).join(names.withColumnsRenamed({"node": "next", "name": "next_name"}), ["graph_id", "next"])
+    return stored(steps)
+
+
 def _inside(edges: DataFrame) -> DataFrame:
-    """(graph_id, node, next, weight, place, next_place): edges whose ends are in one strongly connected component; places number the ids of a graph's nodes on cycles, in order."""
+    """(graph_id, node, next, weight, relationship, place, next_place): edges whose ends are in one strongly connected component; places number the ids of a graph's nodes on cycles, in order."""
     found = strong_components(edges)
     places = bitsets.numbered(found.select("graph_id", F.col("node").alias("start")))
     known = stored(found.join(places.withColumnRenamed("start", "node"), ["graph_id", "node"]))
     ends = [known.select("graph_id", F.col("node").alias(end), F.col("component").alias(f"of_{end}"), F.col("place").alias(place)) for end, place in (("source", "place"), ("target", "next_place"))]
     both = edges.join(ends[0], ["graph_id", "source"]).join(ends[1], ["graph_id", "target"]).where("of_source = of_target")
-    return stored(both.select("graph_id", F.col("source").alias("node"), F.col("target").alias("next"), "weight", "place", "next_place"))
+    return stored(both.select("graph_id", F.col("source").alias("node"), F.col("target").alias("next"), "weight", "relationship", "place", "next_place"))
 
 
 def _ways_back(steps: DataFrame) -> DataFrame:
@@ -445,39 +457,53 @@ def _ways_back(steps: DataFrame) -> DataFrame:
     return stored(found.layers.where("hop > 0").groupBy(*bitsets.KEYS).agg(F.bit_or("bits").alias("back")))
 
 
-def cycles(graph: Graph, max_len: int | None = None, max_cycles: int | None = None) -> DataFrame:
-    """(graph_id, cycle, risk, length): every elementary circuit once, from its smallest id on.
+def cycles(graph: Graph, max_len: int | None = None, max_cycles: int | None = None, detailed: bool = False) -> DataFrame:
+    """(graph_id, cycle, risk, length): every elementary circuit once, from its smallest id on. detailed: besides cycle_names and top, the edge of break_edges (null if no weight counts).
 
     Paths grow inside strongly connected components, from each node over greater ids only, and only to nodes that have a way back to it, and end when they come back, so no
-    circuit is found twice. Ways back are bit sets, a bit for each start. More than max_cycles open paths in a round raise RuntimeError.
+    circuit is found twice. Ways back are bit sets, a bit for each start. More than max_cycles open paths in a round raise RuntimeError. Details grow with the paths, edge by edge, so that
+    no cycle is taken apart and looked up again; edges are detailed once. Where edges are parallel, break_edges merges their circuits, and these details don't.
     """
     steps = _inside(graph.edges)
     ways = _ways_back(steps)
+    if detailed:
+        steps = _with_names(graph, steps)
+    at = F.lit(0)  # the place of the next edge
+
+    def edge() -> Column:
+        """The next edge, so that the heaviest is the greatest, and of equals the first; null if its weight doesn't count."""
+        return F.when(F.col("weight") > -1, F.struct("weight", (-at).alias("at"), F.col("node").alias("source"), F.col("next").alias("target"), "relationship"))
+
+    named = [F.array("name", "next_name").alias("cycle_names"), edge().alias("top")] if detailed else []
 
     def kept(grown: DataFrame) -> DataFrame:
         """What has come back to its start, and what still has a way back."""
         held = grown.withColumn("word", bitsets.word_of(F.col("at"))).join(ways, bitsets.KEYS, "left")
         return stored(held.where(F.col("closed") | (F.col("back").bitwiseAND(bitsets.bit_of(F.col("at"))) != 0)).select(grown.columns))
 
-    loops = steps.where("place = next_place").select("graph_id", F.array("node").alias("cycle"), F.col("weight").alias("risk"))
-    begin = steps.where("place < next_place").select("graph_id", F.col("place").alias("at"), F.col("next").alias("node"), F.array("node", "next").alias("cycle"), F.col("weight").alias("risk"), F.lit(False).alias("closed"))
+    loops = steps.where("place = next_place").select("graph_id", F.array("node").alias("cycle"), F.col("weight").alias("risk"), *([F.array("name").alias("cycle_names"), named[1]] if detailed else []))
+    begin = steps.where("place < next_place").select("graph_id", F.col("place").alias("at"), F.col("next").alias("node"), F.array("node", "next").alias("cycle"), F.col("weight").alias("risk"), F.lit(False).alias("closed"), *named)
     done, front, length = loops, kept(begin), 2
-    grows = steps.select("graph_id", "node", "next", "weight", "next_place")
+    grows = steps.select("graph_id", "node", "next", "weight", "next_place", *(["next_name", "relationship"] if detailed else []))
     while not front.isEmpty() and (max_len is None or length <= max_len):
         if max_cycles is not None and front.count() > max_cycles:
             raise RuntimeError(f"more than {max_cycles} open paths of {length} nodes")
         more = front.drop("closed").join(grows, ["graph_id", "node"]).where("next_place >= at").withColumn("closed", F.col("next_place") == F.col("at"))
         more = more.where(F.col("closed") | ~F.array_contains("cycle", F.col("next")))
-        longer = F.when(F.col("closed"), F.col("cycle")).otherwise(F.concat("cycle", F.array("next")))
-        found = kept(more.select("graph_id", "at", F.col("next").alias("node"), longer.alias("cycle"), (F.col("risk") + F.col("weight")).alias("risk"), "closed"))
-        done = done.unionByName(found.where("closed").select("graph_id", "cycle", "risk"))
+        longer = lambda c, end: F.when(F.col("closed"), F.col(c)).otherwise(F.concat(c, F.array(end))).alias(c)
+        at = F.lit(length - 1)
+        named = [longer("cycle_names", "next_name"), F.greatest("top", edge()).alias("top")] if detailed else []
+        found = kept(more.select("graph_id", "at", F.col("next").alias("node"), longer("cycle", "next"), (F.col("risk") + F.col("weight")).alias("risk"), "closed", *named))
+        done = done.unionByName(found.where("closed").select(done.columns))
         front = found.where("not closed")
         length += 1
-    return done.select("graph_id", "cycle", "risk", F.size("cycle").alias("length"))
+    return done.select("graph_id", "cycle", "risk", F.size("cycle").alias("length"), *(["cycle_names", "top"] if detailed else []))
 
 
 def with_cycle_names(graph: Graph, found: DataFrame) -> DataFrame:
-    """Cycles with cycle_names, the names of their nodes."""
+    """Cycles with cycle_names, the names of their nodes; detailed ones have them."""
+    if "cycle_names" in found.columns:
+        return found
     each = found.select("graph_id", "cycle", F.posexplode("cycle").alias("at", "id")).join(graph.nodes.select("graph_id", "id", F.coalesce("name", "id").alias("name")), ["graph_id", "id"])
     names = each.groupBy("graph_id", "cycle").agg(F.sort_array(F.collect_list(F.struct("at", "name")))["name"].alias("cycle_names"))
     return found.join(names, ["graph_id", "cycle"])
@@ -490,7 +516,9 @@ def cycle_edges(found: DataFrame) -> DataFrame:
 
 
 def break_edges(graph: Graph, found: DataFrame) -> DataFrame:
-    """The heaviest edge of each cycle, the first of equals; weights of -1 and less never count."""
+    """The heaviest edge of each cycle, the first of equals; weights of -1 and less never count. Detailed cycles have it."""
+    if "top" in found.columns:
+        return found.where("top is not null").select("graph_id", "cycle", *[F.col(f"top.{c}").alias(c) for c in ("source", "target", "weight", "relationship")])
     edges = cycle_edges(found).join(graph.edges.select("graph_id", "source", "target", "weight", "relationship"), ["graph_id", "source", "target"]).where("weight > -1")
     top = edges.groupBy("graph_id", "cycle").agg(F.max_by(F.struct("source", "target", "weight", "relationship"), F.struct("weight", -F.col("at"))).alias("e"))
     return top.select("graph_id", "cycle", "e.*")

@@ -10,7 +10,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from bramble.operators import bitsets, graph as g, ranks, strong, traverse as t
+from bramble.operators import advise, bitsets, graph as g, ranks, strong, traverse as t
 from tests.test_graph import make
 
 
@@ -247,3 +247,20 @@ def test_attack_costs(spark, monkeypatch):
     want = {("u", "s", "e", 2, 0.0 + 4 + 0.1, "LOW"), ("u", "r", "e", 3, 0.0 + 0.2 + 4 + 0.1, "LOW")}
     assert {tuple(r) for r in t.attack_costs(g.priced(raw)).collect()} == want and calls == [("graph_id", "node")]
     assert {tuple(r) for r in t.attack_paths(g.build(raw)).select(columns).collect()} == want
+
+
+def test_detailed_cycles(spark, monkeypatch):
+    """Details that grow with cycles are those that are looked up after: the first of equal edges is cut, weights of -1 and less and unknown ones don't count; then nothing is looked up again, nor a graph with cycles searched for more."""
+    arcs = [("a", "b", "uses", 2), ("b", "c", "grants", 2), ("c", "a", "mounts", 1), ("b", "a", "uses", -1), ("c", "c", "uses", -2), ("c", "b", "uses", 3), ("d", "d", "uses", 5), ("a", "d", "uses", 9)]
+    graph = make(spark, [(n, "pod", None if n == "b" else n.upper(), 1, 0, 0) for n in "abcd"], arcs)
+    line = make(spark, [("x", "pod", "x", 1, 0, 0), ("y", "pod", "y", 1, 0, 0)], [("x", "y", "uses", 1)], "line")
+    graph = g.kept(g.Graph(graph.nodes.unionByName(line.nodes), graph.edges.withColumn("weight", F.when(F.col("edge_seq") != 3, F.col("weight"))).unionByName(line.edges)))
+    plain, detailed = g.stored(t.cycles(graph)), g.stored(t.cycles(graph, detailed=True))
+    rows = lambda df: sorted(map(repr, df.select(sorted(df.columns)).collect()))
+    want = [rows(plain), rows(t.with_cycle_names(graph, plain)), rows(t.break_edges(graph, plain)), rows(advise.cycle_remediation(graph, plain)), rows(t.is_dag(graph))]
+    searched = []
+    monkeypatch.setattr(t, "cycle_edges", None)
+    monkeypatch.setattr(t, "strong_components", lambda edges: searched.append({r.graph_id for r in edges.collect()}) or strong.strong_components(edges))
+    assert len(want[0]) == 5 and len(want[2]) == 4
+    assert [rows(detailed.drop("cycle_names", "top")), rows(detailed.drop("top")), rows(t.break_edges(graph, detailed)), rows(advise.cycle_remediation(graph, detailed)), rows(t.is_dag(graph, detailed))] == want
+    assert searched == [{"line"}]
