@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bramble.operators import ranks
-from bramble.operators.graph import Graph, counts, histograms, sources
+from bramble.operators.graph import Graph, counts, histograms, sources, stored
 from bramble.operators.traverse import is_dag, ranked, weak_components, with_cycle_names
 
 
@@ -23,9 +23,9 @@ def _struct(**fields: Column | str) -> Column:
     return F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in fields.items()])
 
 
-def summary(graph: Graph) -> DataFrame:
-    """(graph_id, graph_summary): counts, counts by type and relationship, whether it is acyclic, and its components."""
-    all_ = counts(graph).join(histograms(graph), "graph_id").join(is_dag(graph), "graph_id").join(weak_components(graph), "graph_id")
+def summary(graph: Graph, cycles: DataFrame | None = None) -> DataFrame:
+    """(graph_id, graph_summary): counts, counts by type and relationship, whether it is acyclic, and its components. Graphs with cycles that are given are not searched for others."""
+    all_ = counts(graph).join(histograms(graph), "graph_id").join(is_dag(graph, cycles), "graph_id").join(weak_components(graph), "graph_id")
     return all_.select("graph_id", _struct(total_nodes="nodes", total_edges="edges", node_types="node_types", relationship_types="relationship_types", source_nodes="sources", sink_nodes="sinks", is_dag="is_dag", weakly_connected_components="components").alias("graph_summary"))
 
 
@@ -87,7 +87,7 @@ def report_bundle(graph: Graph, paths: DataFrame, blast: DataFrame, cycles: Data
     fixes = _path_fixes(order, path_fixes)
     rings = with_cycle_names(graph, cycles)
     parts = [
-        summary(graph),
+        summary(graph, cycles),
         _listed(order, ["rank"], _struct(**_PATH), "attack_paths"),
         _blast_rows(graph, blast, max_depth, ["source", "max_depth", "layers", "total_affected"]),
         _listed(rings, ["cycle"], F.struct("cycle", "cycle_names"), "rings"),
@@ -114,7 +114,7 @@ def _blast_rows(graph: Graph, blast: DataFrame, max_depth: int, columns: list[st
 def display_bundle(graph: Graph, classes: DataFrame, blast: DataFrame, cycles: DataFrame, critical: DataFrame, simple_counts: DataFrame, generated_at: str, max_depth: int = 3) -> DataFrame:
     """(graph_id, document): nodes, edges, classified paths with scores of two digits, cycles, critical nodes, blast radius with names, metadata and summary."""
     parts = [
-        summary(graph),
+        summary(graph, cycles),
         _listed(graph.nodes, ["node_seq"], _node(), "nodes"),
         _listed(graph.edges, ["edge_seq"], _struct(**_EDGE), "edges"),
         _listed(ranked(classes), ["rank"], _scored(), "attack_paths"),
@@ -146,6 +146,7 @@ def _lines(placed: DataFrame, place: Column | str, text: Column) -> DataFrame:
 
 
 def _placed(table: DataFrame, *order: str) -> DataFrame:
+    """table with each row's place in its graph. It is read twice, once for a sample of the order, so it should be a stored one if it is much work."""
     return ranks.ranked(table, ["graph_id"], [F.col(c) for c in order], "place")
 
 
@@ -169,7 +170,7 @@ def _blast_lines(graph: Graph, blast: DataFrame, max_depth: int, named: bool) ->
     lines = lines.unionByName(row(nodes, F.col("hop"), 1, F.col("node"), F.concat(comma(F.col("node") > F.col("least")), _string("node"))))
     lines = lines.unionByName(row(layers, F.col("hop"), 2, none, F.lit("]")))
     lines = lines.unionByName(row(starts, end, 0, none, F.lit("}}")))
-    return _placed(lines, "node_seq", "hop", "step", "node").select("graph_id", "place", "text")
+    return _placed(stored(lines), "node_seq", "hop", "step", "node").select("graph_id", "place", "text")
 
 
 def _sections(graphs: DataFrame, sections: list[Column | str | DataFrame]) -> DataFrame:
@@ -184,7 +185,7 @@ def _sections(graphs: DataFrame, sections: list[Column | str | DataFrame]) -> Da
 
 def _graphs(graph: Graph, cycles: DataFrame, simple_counts: DataFrame, generated_at: str) -> DataFrame:
     """(graph_id, begin, n_cycles, baseline): what stands once in a document; begin is its text up to the summary."""
-    out = summary(graph).join(cycles.groupBy("graph_id").agg(F.count("*").alias("n_cycles")), "graph_id", "left").join(simple_counts.select("graph_id", F.col("paths").alias("baseline")), "graph_id", "left")
+    out = summary(graph, cycles).join(cycles.groupBy("graph_id").agg(F.count("*").alias("n_cycles")), "graph_id", "left").join(simple_counts.select("graph_id", F.col("paths").alias("baseline")), "graph_id", "left")
     begin = _json(F.struct(F.struct(F.lit(generated_at).alias("generated_at"), F.col("graph_id")).alias("metadata"), "graph_summary"))
     number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string").alias(c)
     return out.select("graph_id", F.left(begin, F.length(begin) - 1).alias("begin"), number("n_cycles"), number("baseline"))
